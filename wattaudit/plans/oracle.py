@@ -522,7 +522,7 @@ LOGIC = """concat('{"description":"class ', sc_code, '","logic_steps":[{"charge_
     FEE_TEXT, '}],"sc_code":"', sc_code, '"}')""".replace("FEE_TEXT", "fee_text")
 WITH_LOGIC = {
     **OBJECTS,
-    "logics": f"""SELECT o.*, {LOGIC} AS logic FROM (SELECT o.*, d.fee AS fee_text FROM objects o JOIN tariff_docs d USING (doc_id)) o""",
+    "logics": rf"""SELECT o.*, {LOGIC} AS logic FROM (SELECT o.*, regexp_replace(d.fee, '\.?0+$', '') AS fee_text FROM objects o JOIN tariff_docs d USING (doc_id)) o""",
 }
 ORACLE["d11_all_versions"] = _with(WITH_LOGIC, f"SELECT doc_id, pos, sc_code, {txt('effective_date')}, logic FROM logics")
 ORACLE["d11_versions_of_class"] = _with(
@@ -593,7 +593,7 @@ ORACLE["e14_report_lines"] = _with(
             concat('  Date: ', CAST(bill_date AS VARCHAR)), concat('  Service Class: ', sc_code), concat('  Account: ', bill_account),
             concat('  Actual Amount: $', {_MONEY('bill_amount')}), concat('  Expected Amount: $', {_MONEY('expected_bill')}),
             concat('  Variance: $', {_MONEY('variance')}), concat('  Status: ', status), '  Calculation Trace:'],
-            list_transform(string_split(trace, '|'), x -> concat('    - ', x)), ['']) AS block FROM numbered""",
+            list_transform(string_split(trace, '|'), lambda x: concat('    - ', x)), ['']) AS block FROM numbered""",
         "heads": f"""SELECT bill_account, 0 AS bill_no, [{_RULE}, 'BILL AUDIT REPORT', {_RULE}, concat('Account ID: ', bill_account),
             'Generated: {q.GENERATED}', concat('Total Bills Audited: ', CAST(count(*) AS VARCHAR)), {_RULE}, '', 'SUMMARY:',
             concat('  Total Variance: $', {_MONEY('sum(variance)')}),
@@ -730,7 +730,7 @@ ORACLE["l2_tariff_sections"] = _with(
     length(full_text) AS n_chars FROM dated""",
 )
 _SQUASH = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
-ORACLE["n1_names"] = rf"""SELECT doc_id, md5(regexp_replace(upper({_SQUASH}), '[^A-Z0-9 &''.,\-/]', '', 'g')) AS caps,
+ORACLE["n1_names"] = rf"""SELECT doc_id, md5(regexp_replace(upper(replace({_SQUASH}, 'ß', 'ss')), '[^A-Z0-9 &''.,\-/]', '', 'g')) AS caps,
     CASE WHEN sheet = '' THEN 'Results' ELSE sheet END AS sheet, CAST(length({_SQUASH}) AS INTEGER) AS n_chars
     FROM (SELECT *, left(trim(regexp_replace(regexp_replace(text, '[:\\/?*\[\]]', ' ', 'g'), '\s+', ' ', 'g')), 31) AS sheet FROM documents)"""
 ORACLE["n2_token_kinds"] = _with(

@@ -115,7 +115,7 @@ BILL_LINES = """
 SELECT concat(bill_account, '-', CAST(CAST(floor(id / 50000) AS BIGINT) AS STRING)) AS doc_id, id, bill_account, customer, read_date,
        concat(bill_account, ' ', customer, ' ',
               CASE WHEN month(bill_date) = 10 THEN '1A0R' ELSE CAST(month(bill_date) AS STRING) END,
-              CASE WHEN id % 3 = 1 THEN ' AB / ' ELSE '/' END,
+              CASE WHEN id % 3 = 1 AND month(bill_date) <> 10 THEN ' AB / ' ELSE '/' END,
               CAST(day(bill_date) AS STRING), '/', CAST(year(bill_date) AS STRING),
               CASE WHEN id % 7 = 0 THEN '' ELSE ' ' END,
               CAST(month(read_date) AS STRING),
@@ -291,7 +291,7 @@ def bill_documents(bills: DataFrame) -> DataFrame:
         "doc_id",
         F.concat(
             F.lit("Monthly Electric History\nCustomer: "), F.left("customer", F.lit(12)), F.lit(" Bill Account: "),
-            F.col("bill_account"), F.lit("\n"), F.col("lines"), F.lit("\nPage 2 of 2\n"),
+            F.col("bill_account"), F.lit("\nService Address: on file\n"), F.col("lines"), F.lit("\nPage 2 of 2\n"),
         ).alias("text"),
     )
 
