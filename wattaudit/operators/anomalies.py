@@ -93,10 +93,10 @@ def qc_facts(bills: DataFrame, key: str, hot: HotKeys = HotKeys()) -> DataFrame:
     )
 
 
-def _middle(values: Column) -> tuple[Column, Column]:
-    """The two middle elements of an array (twice the same one if its size is odd)."""
+def _twice_median(values: Column) -> Column:
+    """Sum of the two middle elements of an array (twice the same one if its size is odd)."""
     ordered, size = F.sort_array(values), F.size(values)
-    return F.get(ordered, F.floor((size - 1) / 2).cast("int")), F.get(ordered, F.floor(size / 2).cast("int"))
+    return F.get(ordered, F.floor((size - 1) / 2).cast("int")) + F.get(ordered, F.floor(size / 2).cast("int"))
 
 
 def _anomaly(test: Column, rule: str, fields: list[str], message: Column) -> Column:
@@ -113,7 +113,9 @@ def _anomaly(test: Column, rule: str, fields: list[str], message: Column) -> Col
     )
 
 
-def _r1(window: int, min_prior: int, hi: float, lo: float, order: W) -> tuple[dict[str, Column], list[Column]]:
+def _r1(
+    window: int, min_prior: int, hi: float, lo: float, order: W
+) -> tuple[dict[str, Column], dict[str, Column], list[Column]]:
     """Usage or charge against the median of the account's previous bills (its current and later bills excluded)."""
     before = order.rowsBetween(-window, -1)
     prepared = {
@@ -121,14 +123,13 @@ def _r1(window: int, min_prior: int, hi: float, lo: float, order: W) -> tuple[di
         "_kwh_before": F.collect_list("kwh_usage").over(before),
         "_amount_before": F.collect_list("total_amount").over(before),
     }
+    # Twice the median, so that decimals stay exact.
+    derived = {"_kwh_twice": _twice_median(F.col("_kwh_before")), "_amount_twice": _twice_median(F.col("_amount_before"))}
     tests = []
-    for field, history, spike, drop, label in (
-        ("kwh_usage", "_kwh_before", R1_USAGE_SPIKE, R1_USAGE_DROP, "usage"),
-        ("total_amount", "_amount_before", R1_CHARGE_SPIKE, R1_CHARGE_DROP, "charge"),
+    for field, twice, spike, drop, label in (
+        ("kwh_usage", F.col("_kwh_twice"), R1_USAGE_SPIKE, R1_USAGE_DROP, "usage"),
+        ("total_amount", F.col("_amount_twice"), R1_CHARGE_SPIKE, R1_CHARGE_DROP, "charge"),
     ):
-        low, high = _middle(F.col(history))
-        # Compared with twice the median, so that decimals stay exact.
-        twice = low + high
         usable = (F.col("_prior") >= min_prior) & (twice > 0)
         value = F.col(field) * 2
         tests += [
@@ -141,7 +142,7 @@ def _r1(window: int, min_prior: int, hi: float, lo: float, order: W) -> tuple[di
                 F.lit(f"{label} is at most {lo:g} times the median of the previous bills"),
             ),
         ]
-    return prepared, tests
+    return prepared, derived, tests
 
 
 def _factor(x: float) -> Column:
@@ -220,10 +221,9 @@ def detect_anomalies(
     facts = _facts(bills)
     order = W.partitionBy("bill_account", "chunk").orderBy("period_end", "bill_id")
     row_rules = {"R2": _r2, "R3": _r3}
-    prepared, tests = {}, []
+    prepared, derived, tests = {}, {}, []
     if "R1" in rules:
-        columns, found = _r1(window, min_prior, hi, lo, order)
-        prepared, tests = {**prepared, **columns}, tests + found
+        prepared, derived, tests = _r1(window, min_prior, hi, lo, order)
     tests += [rule() for name, rule in row_rules.items() if name in rules]
     if "R4" in rules:
         tests.append(_r4(share))
@@ -240,7 +240,7 @@ def detect_anomalies(
         parts = _history(facts, lookback, 1 if "R6" in rules else 0, hot)
         whole = W.partitionBy("bill_account", "chunk")
         parts = parts.withColumn("n_bills", F.coalesce("hot_n_rows", F.count(F.lit(1)).over(whole)))
-        parts = parts.withColumns(prepared).where(~F.col("is_halo"))
+        parts = parts.withColumns(prepared).where(~F.col("is_halo")).withColumns(derived)
     return (
         parts.select(
             F.col("bill_account").alias("account"), "bill_id", F.explode(F.array_compact(F.array(*tests))).alias("a")

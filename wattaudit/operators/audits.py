@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattaudit.functions.values import clean_number, parse_date
+from wattaudit.operators.columns import as_date, as_number
 from wattaudit.operators.history import HotKeys, cut, profile
 from wattaudit.operators.pricing import expected_bill
 
@@ -23,7 +23,7 @@ def audit(
 ) -> DataFrame:
     """Price all bills by their bill date, without adjustment rates, after cleaning numbers (bad → 0) and dates."""
     if account is not None:
-        bills = bills.where(F.trim("bill_account") == account.strip())
+        bills = bills.where(F.col("bill_account") == account.strip())
     if "service_class" not in bills.columns:
         bills = bills.withColumn("service_class", F.lit(default_sc))
     kinds = {
@@ -33,8 +33,8 @@ def audit(
         "bill_amount": "decimal(18,2)",
         "days_used": "int",
     }
-    cleaned = {c: clean_number(c, "zero", t) for c, t in kinds.items() if c in bills.columns}
-    bills = bills.withColumns({**cleaned, "bill_date": parse_date("bill_date"), "bill_account": F.trim("bill_account")})
+    cleaned = {c: as_number(bills, c, t, "zero") for c, t in kinds.items() if c in bills.columns}
+    bills = bills.withColumns({**cleaned, "bill_date": as_date(bills, "bill_date")})
     return expected_bill(bills, versions, None, bill_date=F.col("bill_date"), trace=trace, conditions=conditions)
 
 
@@ -82,7 +82,8 @@ THIN_RULE = "-" * 80
 
 
 def report_lines(audited: DataFrame, generated: str, hot: HotKeys = HotKeys()) -> DataFrame:
-    """Report of each account as rows (bill_account, bill_no, line_no, line); bill_no 0 is the head.
+    """Report of each account as rows (bill_account, bill_no, line_no, line); bill_no 0 is the head, the number
+    after the last bill the end.
 
     ``audited`` needs the ``trace`` column.
     """
@@ -105,9 +106,16 @@ def report_lines(audited: DataFrame, generated: str, hot: HotKeys = HotKeys()) -
         F.lit("DETAILED RESULTS:"),
         F.lit(""),
     )
-    heads = audited.groupBy("bill_account").agg(*_summary()).select(
-        "bill_account", F.lit(0).cast("long").alias("bill_no"), F.posexplode(head).alias("line_no", "line")
-    )
+    tail = F.array(F.lit(RULE), F.lit("END OF REPORT"), F.lit(RULE))
+
+    def numbered(lines: Column, bill_no: Column) -> Column:
+        return F.transform(
+            lines, lambda t, i: F.struct(bill_no.alias("bill_no"), i.alias("line_no"), t.alias("line"))
+        )
+
+    frame = F.concat(numbered(head, F.lit(0).cast("long")), numbered(tail, F.col("total_bills") + 1))
+    frames = audited.groupBy("bill_account").agg(*_summary()).select("bill_account", F.explode(frame).alias("l"))
+    frames = frames.select("bill_account", "l.*")
     trace = F.when(
         F.size("trace") > 0,
         F.concat(
@@ -131,8 +139,4 @@ def report_lines(audited: DataFrame, generated: str, hot: HotKeys = HotKeys()) -
     blocks = bill_numbers(audited, hot).select(
         "bill_account", "bill_no", F.posexplode(block).alias("line_no", "line")
     )
-    tail = F.array(F.lit(RULE), F.lit("END OF REPORT"), F.lit(RULE))
-    tails = audited.groupBy("bill_account").agg((F.count(F.lit(1)) + 1).alias("bill_no")).select(
-        "bill_account", "bill_no", F.posexplode(tail).alias("line_no", "line")
-    )
-    return heads.unionByName(blocks).unionByName(tails)
+    return frames.unionByName(blocks)

@@ -29,7 +29,7 @@ _ROW = (
     rf"(?<!\S){DATE}\s+{DATE}\s+{_INT}\s+{_INT}\s+{_NUM}\s+{_NUM}\s+{_INT}"
     rf"(?:\s+{_MONEY}){{3}}{_TAIL}"
 )
-_OPEN, _CLOSE = "\x01", "\x02"
+_OPEN, _CLOSE, _END = "\x01", "\x02", "\x03"
 
 
 def clean_text(c: Column | str, nfkc: bool = False) -> Column:
@@ -37,14 +37,60 @@ def clean_text(c: Column | str, nfkc: bool = False) -> Column:
     return repair_scan(norm_space(c, nfkc))
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two names; only name pairs that need it arrive here."""
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _similarities(header: pd.Series, names: pd.Series) -> pd.Series:
+    """Matching-block ratio of the header name and each candidate; null for documents that need none."""
     return pd.Series(
-        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64"
+        [None if h is None else [SequenceMatcher(None, h, n).ratio() for n in ns] for h, ns in zip(header, names)],
+        dtype="object",
     )
 
 
+def _with_customer(docs: DataFrame, text: str, min_similarity: float) -> DataFrame:
+    """Add ``customer`` (see ``canonical_customer``); everything happens inside the row of the document."""
+    t = F.col(text)
+    raw = F.transform(F.regexp_extract_all(t, F.lit(_ROW_NAME), 1), norm_caps)
+    docs = docs.withColumns(
+        {"_header": norm_caps(F.regexp_extract(t, _HEADER_NAME, 1)), "_names": F.filter(raw, lambda n: n != "")}
+    )
+    # Equal names stand together after sorting, the earliest first; a run of them is a group.
+    docs = docs.withColumn(
+        "_sorted", F.array_sort(F.transform("_names", lambda n, i: F.struct(n.alias("name"), i.alias("pos"))))
+    )
+    places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1))
+
+    def begins(i: Column) -> Column:
+        return (i == 0) | (F.get("_sorted", i)["name"] != F.get("_sorted", i - 1)["name"])
+
+    docs = docs.withColumn("_starts", F.filter(places, begins))
+
+    def group(start: Column, k: Column) -> Column:
+        first = F.get("_sorted", start)
+        count = F.coalesce(F.get("_starts", k + 1), F.size("_sorted")) - start
+        return F.struct(
+            count.alias("n"), F.length(first["name"]).alias("len"), (-first["pos"]).alias("first"),
+            first["name"].alias("name"),
+        )
+
+    docs = docs.withColumn("_groups", F.transform("_starts", group))
+    docs = docs.withColumn("_best", F.array_max("_groups")["name"])
+    header, best = F.col("_header"), F.col("_best")
+    extends = best.startswith(header) & (F.length(best) > F.length(header))
+    compared = (header != "") & best.isNotNull() & ~extends
+    docs = docs.withColumn(
+        "_sims", _similarities(F.when(compared, header), F.when(compared, F.transform("_groups", lambda g: g["name"])))
+    )
+    scored = F.zip_with(
+        "_sims", "_groups",
+        lambda s, g: F.struct(s.alias("sim"), g["len"].alias("len"), g["first"].alias("first"), g["name"].alias("name")),
+    )
+    docs = docs.withColumn("_alike", F.array_max(scored))
+    alike = (F.col("_alike.sim") >= min_similarity) & (F.col("_alike.len") >= F.length(header))
+    customer = F.when(best.isNull(), header).when(compared & alike, F.col("_alike.name")).otherwise(best)
+    helpers = ("_header", "_names", "_sorted", "_starts", "_groups", "_best", "_sims", "_alike")
+    return docs.withColumn("customer", customer).drop(*helpers)
+
+
 def canonical_customer(docs: DataFrame, text: str = "text", min_similarity: float = 0.80) -> DataFrame:
     """One customer name per document (text already cleaned): doc_id, customer.
 
@@ -52,46 +98,14 @@ def canonical_customer(docs: DataFrame, text: str = "text", min_similarity: floa
     in the header; otherwise the candidate most similar to the header, if similar enough and not shorter; otherwise the
     most frequent one; without candidates the header.
     """
-    t = F.col(text)
-    named = docs.select(
-        "doc_id",
-        norm_caps(F.regexp_extract(t, _HEADER_NAME, 1)).alias("header"),
-        F.posexplode_outer(F.regexp_extract_all(t, F.lit(_ROW_NAME), 1)).alias("pos", "raw"),
-    ).withColumn("name", F.nullif(norm_caps("raw"), F.lit("")))
-    counted = named.groupBy("doc_id", "header", "name").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.length("name").alias("len")
-    )
-    has_header = F.col("header") != ""
-    other = has_header & F.col("name").isNotNull()
-    counted = counted.withColumn("sim", _similarity(F.when(other, F.col("header")), F.when(other, F.col("name"))))
-    known = F.col("name").isNotNull()
-    best = counted.groupBy("doc_id", "header").agg(
-        F.max_by("name", F.when(known, F.struct("n", "len", -F.col("first")))).alias("frequent"),
-        F.max_by(
-            F.struct("name", "sim", "len"), F.when(known, F.struct("sim", "len", -F.col("first")))
-        ).alias("similar"),
-    )
-    extends = (
-        has_header & F.col("frequent").startswith(F.col("header")) & (F.length("frequent") > F.length("header"))
-    )
-    alike = has_header & (F.col("similar.sim") >= min_similarity) & (F.col("similar.len") >= F.length("header"))
-    return best.select(
-        "doc_id",
-        F.when(F.col("frequent").isNull(), F.col("header"))
-        .when(extends, F.col("frequent"))
-        .when(alike, F.col("similar.name"))
-        .otherwise(F.col("frequent"))
-        .alias("customer"),
-    )
+    return _with_customer(docs, text, min_similarity).select("doc_id", "customer")
 
 
 def _rows_of(text: Column) -> Column:
-    """Array of (row, rest): each history row and the text between it and the next one."""
-    marked = F.regexp_replace(text, _ROW, f"{_OPEN}$0{_CLOSE}")
+    """Array of (row, rest): each history row and the text between it and the next one; the last rest ends in a mark."""
+    marked = F.regexp_replace(F.concat(text, F.lit(f" {_END}")), _ROW, f"{_OPEN}$0{_CLOSE}")
     pieces = F.split(marked, _OPEN)
-    return F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)), lambda p: F.split(p, _CLOSE)
-    )
+    return F.transform(F.filter(pieces, lambda p: p.contains(_CLOSE)), lambda p: F.split(p, _CLOSE))
 
 
 def _number(token: Column, to: str = "double") -> Column:
@@ -102,31 +116,34 @@ def _whole(token: Column) -> Column:
     return F.regexp_replace(token, r"[^\d\-]", "").try_cast("bigint")
 
 
-def bill_rows(docs: DataFrame, text: str = "text", nfkc: bool = False, cleaned: bool = False) -> DataFrame:
+def bill_rows(
+    docs: DataFrame, text: str = "text", nfkc: bool = False, cleaned: bool = False, min_similarity: float = 0.80
+) -> DataFrame:
     """Bills of documents (doc_id, text): one row per history row, typed, with account and customer of the document.
 
     After the three amounts of a row comes the retracted amount. Of exactly two dollar amounts in front of a number, a
     date or a page footer the first is a leftover and the second counts; otherwise the first one counts and later ones
     are leftovers. The first plain number up to 100 behind it is the sales-tax factor.
+
+    A document is read inside its own row, so the whole extraction is one stage without a shuffle.
     """
     ready = docs.select("doc_id", (F.col(text) if cleaned else clean_text(text, nfkc)).alias("text"))
-    found = ready.select(
+    found = _with_customer(ready, "text", min_similarity).select(
         "doc_id",
-        pull("text", [_ACCOUNT_LABEL]).alias("bill_account"),
-        F.size(_rows_of(F.col("text"))).alias("n_rows"),
+        F.nullif(F.col("customer"), F.lit("")).alias("customer"),
+        F.nullif(pull("text", [_ACCOUNT_LABEL]), F.lit("")).alias("bill_account"),
         F.posexplode(_rows_of(F.col("text"))).alias("row_no", "piece"),
     )
-    token = F.split(F.get("piece", F.lit(0)), r"\s+")
     found = found.withColumns(
         {
-            "token": token,
-            "next": F.regexp_extract(F.coalesce(F.get("piece", F.lit(1)), F.lit("")), r"^\s*(\S+)", 1),
+            "token": F.split(F.get("piece", F.lit(0)), r"\s+"),
+            "next": F.regexp_extract(F.get("piece", F.lit(1)), r"^\s*(\S+)", 1),
         }
     )
     tail = F.slice("token", F.lit(11), F.size("token"))
-    # The pieces are cut at the next row, so an empty rest means that a date follows, or nothing at all.
+    # Pieces are cut at the next row, so an empty rest means that its date follows.
     bounded = (
-        ((F.col("next") == "") & (F.col("row_no") < F.col("n_rows") - 1))
+        (F.col("next") == "")
         | F.col("next").rlike(f"^{DATE}$")
         | (F.lower("next") == "page")
         | F.translate("next", ",", "").rlike(rf"^{_NUM}$")
@@ -151,10 +168,11 @@ def bill_rows(docs: DataFrame, text: str = "text", nfkc: bool = False, cleaned:
     def at(i: int) -> Column:
         return F.get("token", F.lit(i))
 
-    rows = found.select(
+    return found.select(
         "doc_id",
         "row_no",
-        F.nullif(F.col("bill_account"), F.lit("")).alias("bill_account"),
+        "bill_account",
+        "customer",
         parse_date(at(0)).alias("bill_date"),
         parse_date(at(1)).alias("read_date"),
         _whole(at(2)).cast("int").alias("days_used"),
@@ -168,5 +186,3 @@ def bill_rows(docs: DataFrame, text: str = "text", nfkc: bool = False, cleaned:
         _number(F.col("retracted"), "decimal(18,2)").alias("retracted_amt"),
         F.round(F.get(factors, F.lit(0)), 2).alias("sales_tax_factor"),
     )
-    names = canonical_customer(ready)
-    return rows.join(names, "doc_id", "left").withColumn("customer", F.nullif(F.col("customer"), F.lit("")))

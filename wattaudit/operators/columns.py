@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattaudit.functions.text import clean_columns
-from wattaudit.functions.values import finite
+from wattaudit.functions.values import clean_number, finite, parse_date
 
 # Column names accepted for each role of a bill, best first.
 BILL_ROLES = {
@@ -45,6 +45,21 @@ def as_bill_grid(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame | None:
     )
 
 
+def as_number(df: DataFrame, name: str, to: str = "double", on_bad: str = "null") -> Column:
+    """Column as a number: text is cleaned, a numeric column is only cast."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return clean_number(name, on_bad, to)
+    kind = df.schema[name].dataType
+    value = finite(name) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name)
+    value = value.try_cast(to)
+    return F.coalesce(value, F.lit(0).cast(to)) if on_bad == "zero" else value
+
+
+def as_date(df: DataFrame, name: str) -> Column:
+    """Column as a date: text is parsed, a date or time is only cast."""
+    return parse_date(name) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name).cast("date")
+
+
 def conform_names(df: DataFrame, renames: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({a: b for a, b in renames.items() if a in df.columns})
 
@@ -91,9 +106,9 @@ def nulls_only(df: DataFrame) -> DataFrame:
     return df.withColumns({c: finite(c) for c in _floats(df)})
 
 
-def bad_values(df: DataFrame, limit: int = 20) -> DataFrame:
-    """The first rows that hold a NaN or infinite number, with the columns concerned."""
+def bad_values(df: DataFrame, order: Sequence[str], limit: int = 20) -> DataFrame:
+    """The first rows (by ``order``) that hold a NaN or infinite number, with the columns concerned."""
     found = F.array_compact(
         F.array(*[F.when(F.col(c).isNotNull() & finite(c).isNull(), F.lit(c)) for c in _floats(df)])
     )
-    return df.withColumn("bad_columns", found).where(F.size("bad_columns") > 0).limit(limit)
+    return df.withColumn("bad_columns", found).where(F.size("bad_columns") > 0).orderBy(*order).limit(limit)

@@ -89,14 +89,15 @@ def expected_bill(
     bill_date: Column | None = None,
     conditions: list[str] | None = None,
     trace: bool = False,
+    detail: bool = False,
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Price every bill: id, bill_account, bill_date, sc_code, actual_bill, expected_bill, variance, status.
 
     ``rates`` holds monthly adjustment rates (applied for the class codes of the bills after ``class_aliases``, such as
     ``{"SC2ND": "SC2"}``). Status is SKIPPED without a tariff (expected and variance 0) and FAILED when a minimum is
-    prose (expected null). ``unpriced_steps`` lists the charge types that held but carry no price. ``trace`` adds the
-    ordered text lines of the calculation.
+    prose (expected null). ``unpriced_steps`` lists the charge types that held but carry no price. ``detail`` adds kwh,
+    demand_kw, tra and rdm; ``trace`` adds the ordered text lines of the calculation.
     """
     when_billed = F.coalesce("read_date", "bill_date") if bill_date is None else bill_date
     texts = distinct_texts(versions, "condition") if conditions is None else conditions
@@ -156,6 +157,11 @@ def expected_bill(
         "status",
         "unpriced_steps",
     ]
+    if detail:
+        columns += [
+            F.col("_kwh").cast("double").alias("kwh"), F.col("_kw").cast("double").alias("demand_kw"),
+            tra.alias("tra"), rdm.alias("rdm"),
+        ]
     if trace:
         names = F.transform(charged, lambda s: s["step_name"])
         lines = F.zip_with(names, F.col("_costs"), lambda n, c: F.concat(n, F.lit(": $"), _text(c)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattaudit.functions.tiers import RATE
-from wattaudit.functions.values import clean_number, month_start, parse_date
+from wattaudit.functions.values import month_start, norm_sc
+from wattaudit.operators.columns import as_date, as_number
 from wattaudit.operators.lookups import BROADCAST_ROWS, lookup_join
 
 # The four adjustment rates.
@@ -55,19 +56,17 @@ def rates_for_bills(
 
 def drop_undated(grid: DataFrame, date: str = "bill_date") -> DataFrame:
     """Grid rows whose date can be read."""
-    return grid.withColumn(date, parse_date(date)).dropna(subset=[date])
+    return grid.withColumn(date, as_date(grid, date)).dropna(subset=[date])
 
 
 def override_grid(bills: DataFrame, rates: DataFrame, sc_code: str | None = None) -> DataFrame:
     """Bills of one class with their four rates, unset rates shown as 0."""
-    from wattaudit.functions.values import norm_sc
-
     grid = bills.select(
         "id",
         F.col("read_date").alias("bill_date"),
-        clean_number("billed_kwh").alias("billed_kwh"),
-        clean_number("billed_demand").alias("billed_demand"),
-        clean_number("bill_amount", to="decimal(18,2)").alias("bill_amount"),
+        as_number(bills, "billed_kwh").alias("billed_kwh"),
+        as_number(bills, "billed_demand").alias("billed_demand"),
+        as_number(bills, "bill_amount", "decimal(18,2)").alias("bill_amount"),
         norm_sc("service_class").alias("service_class"),
     )
     if sc_code is not None:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattaudit.functions.text import clean_columns
-from wattaudit.functions.values import clean_number, parse_date
-from wattaudit.operators.columns import conform_names, require_columns
+from wattaudit.operators.columns import as_date, as_number, conform_names, require_columns
 
 # Names in expected-bill exports and the bill columns they stand for.
 EXPORT_RENAMES = {"kwh": "billed_kwh", "demand_kw": "billed_demand", "expected_bill": "bill_amount"}
@@ -20,10 +19,10 @@ def monthly(bills: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     require_columns(bills, REQUIRED)
     return bills.select(
         *keep,
-        F.date_format(parse_date("bill_date"), "MM-dd-yy").alias("month"),
-        clean_number("billed_demand").alias("billed_demand"),
-        clean_number("billed_kwh").alias("billed_kwh"),
-        clean_number("bill_amount", to="decimal(18,2)").alias("bill_amount"),
+        F.date_format(as_date(bills, "bill_date"), "MM-dd-yy").alias("month"),
+        as_number(bills, "billed_demand").alias("billed_demand"),
+        as_number(bills, "billed_kwh").alias("billed_kwh"),
+        as_number(bills, "bill_amount", "decimal(18,2)").alias("bill_amount"),
     )
 
 

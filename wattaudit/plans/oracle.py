@@ -209,7 +209,8 @@ ORACLE["a7_append_bills"] = _with(
 )
 ORACLE["a9_export_results"] = _with(
     PRICED,
-    """SELECT CAST(read_date AS VARCHAR) AS "Bill Date", sc_code AS "Service Class", CAST(bill_amount AS DOUBLE) AS "Actual Bill",
+    """SELECT CAST(read_date AS VARCHAR) AS "Bill Date", sc_code AS "Service Class", billed_kwh AS "kWh",
+    billed_demand AS "Demand (kW)", CAST(tra AS DOUBLE) AS "TRA", CAST(rdm AS DOUBLE) AS "RDM", CAST(bill_amount AS DOUBLE) AS "Actual Bill",
     CAST(expected_bill AS DOUBLE) AS "Expected Bill", CAST(variance AS DOUBLE) AS "Variance", status AS "Status" FROM priced""",
 )
 

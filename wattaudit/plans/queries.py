@@ -114,10 +114,8 @@ def found_issues(spark: SparkSession, d: str) -> DataFrame:
     return rules.validation_rows(dated, F.col("read_date"))
 
 
-def priced(spark: SparkSession, d: str, trace: bool = False) -> DataFrame:
-    return pricing.expected_bill(
-        bills(spark, d), priced_versions(spark), rate_table(spark, d), ALIASES, trace=trace
-    )
+def priced(spark: SparkSession, d: str, **options: bool) -> DataFrame:
+    return pricing.expected_bill(bills(spark, d), priced_versions(spark), rate_table(spark, d), ALIASES, **options)
 
 
 def audited(spark: SparkSession, d: str, trace: bool = False) -> DataFrame:
@@ -214,7 +212,7 @@ def a8_list_documents(spark: SparkSession, d: str) -> DataFrame:
 def a9_export_results(spark: SparkSession, d: str) -> DataFrame:
     """Priced bills under their display titles, written and read back as CSV."""
     path = work_dir(spark, "export")
-    result = files.export_results(priced(spark, d).withColumnRenamed("sc_code", "service_class"))
+    result = files.export_results(priced(spark, d, detail=True).withColumnRenamed("sc_code", "service_class"))
     files.write_csv(result, path)
     return files.read_csv(spark, path, result.schema)
 
@@ -370,7 +368,7 @@ def b14_nulls_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b14_bad_values(spark: SparkSession, d: str) -> DataFrame:
-    return columns.bad_values(_holey(spark, d).orderBy("event_id")).select("event_id", "bad_columns")
+    return columns.bad_values(_holey(spark, d), ["event_id"]).select("event_id", "bad_columns")
 
 
 @query
@@ -485,10 +483,8 @@ def d5_tier_rate(spark: SparkSession, d: str) -> DataFrame:
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     """Every bill under its own class and under SC1."""
     b, v = bills(spark, d), priced_versions(spark)
-    usage_columns = b.select("id", "billed_kwh", "billed_demand")
-    old = pricing.expected_bill(b, v).select("id", "bill_date", "expected_bill").join(usage_columns, "id")
-    new = pricing.expected_bill(b.withColumn("service_class", F.lit("SC1")), v)
-    new = new.select("id", "bill_date", "expected_bill").join(usage_columns, "id")
+    old = pricing.expected_bill(b, v, detail=True)
+    new = pricing.expected_bill(b.withColumn("service_class", F.lit("SC1")), v, detail=True)
     return savings.savings(old, new)
 
 

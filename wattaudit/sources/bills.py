@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattaudit.functions.values import clean_int, clean_number, parse_date
-from wattaudit.operators.columns import conform
+from wattaudit.operators.columns import as_date, as_number, conform
 from wattaudit.schemas import BILLS, STORED_BILLS
 
 
@@ -36,12 +35,14 @@ def typed_bills(df: DataFrame) -> DataFrame:
     casts = {}
     for field in BILLS.fields:
         kind = field.dataType.simpleString()
+        if field.name not in df.columns:
+            continue
         if kind == "date":
-            casts[field.name] = parse_date(field.name)
+            casts[field.name] = as_date(df, field.name)
         elif kind == "int":
-            casts[field.name] = clean_int(field.name)
+            casts[field.name] = as_number(df, field.name).try_cast("int")
         elif kind != "string":
-            casts[field.name] = clean_number(field.name, to=kind)
+            casts[field.name] = as_number(df, field.name, kind)
     return conform(df, BILLS, casts=casts)
 
 
