@@ -71,7 +71,8 @@ def section_text(pages: DataFrame, chars: int | None) -> DataFrame:
     A whole section is one value by nature; rows of ``section_pages`` hold the same text without gathering it.
     """
     if chars is not None:
-        pages = pages.where(F.col("offset") < chars).withColumn(
+        # A page that begins right behind the range still decides whether the range ends in a line break.
+        pages = pages.where(F.col("offset") <= chars).withColumn(
             "text", F.substring("text", F.lit(1), (F.lit(chars) - F.col("offset")).cast("int"))
         )
     parts = F.transform(

@@ -488,7 +488,8 @@ SAVED = {
     "sc1": "SELECT eff, nxt, place, s0.num AS fee, s1.num AS rate FROM spans JOIN steps s0 USING (seq) JOIN steps s1 USING (seq) WHERE sc = 'SC1' AND s0.pos = 0 AND s1.pos = 1",
     "saved": """SELECT p.id, strftime(p.read_date, '%m-%d-%y') AS month, p.billed_demand AS old_demand, p.billed_demand AS new_demand,
         p.billed_kwh AS kwh, p.expected_bill AS old_rate_bill,
-        CAST(n.fee + n.rate * CAST(p.billed_kwh AS DECIMAL(18,4)) AS DECIMAL(18,2)) AS new_rate_bill
+        CASE WHEN p.sc_code = 'SC1' THEN CAST(greatest(30 + 0.04 * CAST(p.billed_kwh AS DECIMAL(18,4)), 75) AS DECIMAL(18,2))
+             ELSE CAST(n.fee + n.rate * CAST(p.billed_kwh AS DECIMAL(18,4)) AS DECIMAL(18,2)) END AS new_rate_bill
         FROM priced p JOIN sc1 n ON (n.place = 1 OR n.eff <= p.read_date) AND (n.nxt IS NULL OR p.read_date < n.nxt)""",
 }
 ORACLE["d6_savings"] = _with(

@@ -481,10 +481,11 @@ def d5_tier_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
-    """Every bill under its own class and under SC1."""
+    """Every bill under its own class and under another: SC1C for bills of SC1, SC1 for the rest."""
     b, v = bills(spark, d), priced_versions(spark)
+    other = F.when(values.norm_sc("service_class") == "SC1", "SC-1C").otherwise("SC-1")
     old = pricing.expected_bill(b, v, detail=True)
-    new = pricing.expected_bill(b.withColumn("service_class", F.lit("SC1")), v, detail=True)
+    new = pricing.expected_bill(b.withColumn("service_class", other), v, detail=True)
     return savings.savings(old, new)
 
 
