@@ -62,20 +62,29 @@ def _facts(bills: DataFrame) -> DataFrame:
 
 
 def _history(facts: DataFrame, lookback: int, lookahead: int, hot: HotKeys) -> DataFrame:
-    """Facts cut into chunks, with the account-wide counts of ``_conditions``."""
-    tests = _conditions()
-    profiled = profile(facts, "bill_account", "bill_id", **{n: F.count_if(c) for n, c in tests.items()})
-    parts = cut(facts, "bill_account", "period_end", "bill_id", profiled, lookback, lookahead, hot)
-    whole = W.partitionBy("bill_account", "chunk")
-    # A key that is not hot lies in one chunk, so its window sees the whole account.
-    return parts.withColumns(
-        {n: F.coalesce(F.col(f"hot_{n}"), F.count_if(c).over(whole)) for n, c in tests.items()}
-    )
+    """Facts cut into chunks."""
+    profiled = profile(facts, "bill_account", "bill_id", **{n: F.count_if(c) for n, c in _conditions().items()})
+    return cut(facts, "bill_account", "period_end", "bill_id", profiled, lookback, lookahead, hot)
+
+
+def _ordered() -> W:
+    return W.partitionBy("bill_account", "chunk").orderBy("period_end", "bill_id")
+
+
+def _account_counts() -> dict[str, Column]:
+    """Account-wide counts of ``_conditions`` and of bills.
+
+    Those of hot accounts come with the cut. Any other account lies in one chunk, so a window sees all of it; its order
+    is that of the other rules, which lets all of them share one sort and one pass.
+    """
+    whole = _ordered().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counts = {n: F.coalesce(F.col(f"hot_{n}"), F.count_if(c).over(whole)) for n, c in _conditions().items()}
+    return {**counts, "n_bills": F.coalesce("hot_n_rows", F.count(F.lit(1)).over(whole))}
 
 
 def qc_facts(bills: DataFrame, key: str, hot: HotKeys = HotKeys()) -> DataFrame:
     """Bills as the rules see them: flags, whether the account ever has demand, and its token instead of its number."""
-    parts = _history(_facts(bills), 0, 0, hot)
+    parts = _history(_facts(bills), 0, 0, hot).withColumns(_account_counts())
     return parts.select(
         "bill_id",
         "period_start",
@@ -219,7 +228,7 @@ def detect_anomalies(
 ) -> DataFrame:
     """One row per finding: account, bill_id, rule_id, severity, is_overcharge_risk, field_names, message, status."""
     facts = _facts(bills)
-    order = W.partitionBy("bill_account", "chunk").orderBy("period_end", "bill_id")
+    order = _ordered()
     row_rules = {"R2": _r2, "R3": _r3}
     prepared, derived, tests = {}, {}, []
     if "R1" in rules:
@@ -238,9 +247,8 @@ def detect_anomalies(
     else:
         lookback = window if "R1" in rules else 1
         parts = _history(facts, lookback, 1 if "R6" in rules else 0, hot)
-        whole = W.partitionBy("bill_account", "chunk")
-        parts = parts.withColumn("n_bills", F.coalesce("hot_n_rows", F.count(F.lit(1)).over(whole)))
-        parts = parts.withColumns(prepared).where(~F.col("is_halo")).withColumns(derived)
+        parts = parts.withColumns({**_account_counts(), **prepared})
+        parts = parts.where(~F.col("is_halo")).withColumns(derived)
     return (
         parts.select(
             F.col("bill_account").alias("account"), "bill_id", F.explode(F.array_compact(F.array(*tests))).alias("a")
