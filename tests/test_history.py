@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattaudit.operators import anomalies, audits
-from wattaudit.operators.history import HotKeys, cut, positions, profile, running
+from wattaudit.operators.history import HotKeys, cut, hot_keys, positions, profile, running
 
 from conftest import rows
 
@@ -30,7 +30,7 @@ def history(seed: int, n: int = 400):
 
     for i in range(n):
         # One account holds a third of all rows; many of its bills share a day.
-        account = "hot" if rng.random() < 0.34 else f"a{rng.randrange(25)}"
+        account = "hot" if rng.random() < 0.34 else rng.choice([None, f"a{rng.randrange(25)}", f"a{rng.randrange(25)}"])
         day = dt.date(2020, 1, 1) + dt.timedelta(days=rng.choice([0, 0, 0, rng.randrange(700)]))
         out.append(
             (
@@ -58,8 +58,9 @@ def ordered(data):
 
 def test_positions_are_exact(bills):
     data, df = bills
-    ranged = profile(df, "bill_account", "id").withColumnsRenamed({"min_id": "hot_min_id", "max_id": "hot_max_id"})
-    got = positions(df.join(ranged, "bill_account"), "bill_account", "read_date", "id", TINY)
+    large = hot_keys(profile(df, "bill_account", "id"), "bill_account", HotKeys(hot_rows=0, max_hot=99))
+    keyed = df.withColumn("_key", F.coalesce("bill_account", F.lit("\0")))
+    got = positions(keyed.join(large, "_key"), "read_date", "id", TINY)
     want = {b[0]: i for a in ordered(data).values() for i, b in enumerate(a)}
     assert {r.id: r.position for r in got.collect()} == want
 
@@ -122,6 +123,17 @@ def test_anomalies_equal_brute_force(bills, hot):
     assert {tuple(r) for r in got} == brute(data)
 
 
+def test_summary_counts_every_account(bills):
+    data, df = bills
+    got = anomalies.anomaly_summary(df, anomalies.detect_anomalies(df, hot=TINY)).collect()
+    hits = brute(data)
+    want = {
+        account: (len(items), len({h[1] for h in hits if h[0] == account}), sum(h[0] == account for h in hits))
+        for account, items in ordered(data).items()
+    }
+    assert {r.account: tuple(r)[1:] for r in got} == want
+
+
 @pytest.mark.parametrize("rule", ["r1_spikes", "r4_tax", "r5_swing", "r6_duplicates"])
 def test_single_rules_are_parts_of_the_detector(bills, rule):
     _, df = bills

@@ -115,9 +115,8 @@ def trimmed_decimal(c: Column | str, places: int) -> Column:
     text = _col(c).cast("string")
     value = F.translate(text, ",", "").try_cast("double")
     fixed = F.format_string(f"%.{places}f", value)
-    return F.when(value.isNull(), text).otherwise(F.regexp_replace(fixed, r"\.?0+$", "")) if places else F.when(
-        value.isNull(), text
-    ).otherwise(fixed)
+    trimmed = F.regexp_replace(fixed, r"\.?0+$", "") if places else fixed
+    return F.when(value.isNull(), text).otherwise(trimmed)
 
 
 def finite(c: Column | str) -> Column:

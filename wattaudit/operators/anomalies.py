@@ -292,8 +292,9 @@ def anomaly_summary(bills: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
     total = bills.groupBy(F.col("bill_account").alias("account")).agg(F.count(F.lit(1)).alias("total_bills"))
     zero = F.lit(0).cast("long")
-    return total.join(found, "account", "left").select(
-        "account",
+    same = total["account"].eqNullSafe(found["account"])
+    return total.join(found, same, "left").select(
+        total["account"],
         "total_bills",
         F.coalesce("bills_with_anomalies", zero).alias("bills_with_anomalies"),
         F.coalesce("total_anomalies", zero).alias("total_anomalies"),

@@ -49,16 +49,22 @@ def profile(df: DataFrame, key: str, row_id: str, **stats: Column) -> DataFrame:
     )
 
 
-def hot_keys(profiled: DataFrame, hot: HotKeys) -> DataFrame:
-    """The largest keys above the threshold: at most ``max_hot`` rows."""
-    large = profiled.where(F.col("n_rows") > hot.hot_rows)
-    return large.orderBy(F.desc("n_rows")).limit(hot.max_hot)
+def _named(key: str) -> Column:
+    """Key for joins; null is a key like any other."""
+    return F.coalesce(F.col(key).cast("string"), F.lit("\0"))
 
 
-def positions(df: DataFrame, key: str, day: str, row_id: str, hot: HotKeys) -> DataFrame:
-    """Add ``position`` (0-based rank by day, then id, within key) without any window over a whole key.
+def hot_keys(profiled: DataFrame, key: str, hot: HotKeys) -> DataFrame:
+    """The largest keys above the threshold as (_key, hot_<stat> …): at most ``max_hot`` rows, the same ones every time."""
+    stats = {s: f"hot_{s}" for s in profiled.columns if s != key}
+    large = profiled.where(F.col("n_rows") > hot.hot_rows).withColumn("_key", _named(key))
+    return large.orderBy(F.desc("n_rows"), "_key").limit(hot.max_hot).drop(key).withColumnsRenamed(stats)
 
-    ``df`` holds rows of hot keys, with ``hot_min_id`` and ``hot_max_id``.
+
+def positions(df: DataFrame, day: str, row_id: str, hot: HotKeys) -> DataFrame:
+    """Add ``position`` (0-based rank by day, then id, within ``_key``) without any window over a whole key.
+
+    ``df`` holds rows of hot keys, with ``_key``, ``hot_min_id`` and ``hot_max_id``.
     """
     id_range = F.col("hot_max_id").cast("double") - F.col("hot_min_id").cast("double")
     width = F.greatest(F.lit(float(hot.slab_ids)), id_range / F.lit(float(MAX_SLABS)))
@@ -69,16 +75,16 @@ def positions(df: DataFrame, key: str, day: str, row_id: str, hot: HotKeys) -> D
             "_slab": F.floor(F.col(row_id).cast("double") / width).cast("long"),
         }
     )
-    slabs = df.groupBy(key, "_day", "_slab").agg(F.count(F.lit(1)).alias("_n"))
-    days = slabs.groupBy(key, "_day").agg(F.sum("_n").alias("_n"))
-    by_day = W.partitionBy(key).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    by_slab = W.partitionBy(key, "_day").orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
-    days = days.select(key, "_day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_before_day"))
-    slabs = slabs.select(key, "_day", "_slab", F.coalesce(F.sum("_n").over(by_slab), F.lit(0)).alias("_before_slab"))
-    offsets = slabs.join(days, [key, "_day"])
-    in_slab = F.row_number().over(W.partitionBy(key, "_day", "_slab").orderBy(row_id)) - 1
+    slabs = df.groupBy("_key", "_day", "_slab").agg(F.count(F.lit(1)).alias("_n"))
+    days = slabs.groupBy("_key", "_day").agg(F.sum("_n").alias("_n"))
+    by_day = W.partitionBy("_key").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    by_slab = W.partitionBy("_key", "_day").orderBy("_slab").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("_key", "_day", F.coalesce(F.sum("_n").over(by_day), F.lit(0)).alias("_before_day"))
+    slabs = slabs.select("_key", "_day", "_slab", F.coalesce(F.sum("_n").over(by_slab), F.lit(0)).alias("_before_slab"))
+    offsets = slabs.join(days, ["_key", "_day"])
+    in_slab = F.row_number().over(W.partitionBy("_key", "_day", "_slab").orderBy(row_id)) - 1
     return (
-        df.join(offsets, [key, "_day", "_slab"])
+        df.join(offsets, ["_key", "_day", "_slab"])
         .withColumn("position", F.col("_before_day") + F.col("_before_slab") + in_slab)
         .drop("_day", "_slab", "_before_day", "_before_slab")
     )
@@ -99,9 +105,11 @@ def cut(
     ``hot_<stat>`` carries the whole-key aggregates of hot keys (null for the others, whose rows are all in one chunk and
     can be aggregated by the window itself).
     """
-    stats = [c for c in profiled.columns if c != key]
-    large = F.broadcast(hot_keys(profiled, hot).withColumnsRenamed({s: f"hot_{s}" for s in stats}))
-    tagged = df.join(large, key, "left")
+    if hot.chunk_rows < max(lookback, lookahead):
+        raise ValueError("a chunk must be at least as long as the halo")
+    df = df.withColumn("_key", _named(key))
+    large = F.broadcast(hot_keys(profiled, key, hot))
+    tagged = df.join(large, "_key", "left")
     short = tagged.where(F.col("hot_n_rows").isNull()).withColumns(
         {"position": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long"), "is_halo": F.lit(False)}
     )
@@ -116,12 +124,12 @@ def cut(
         )
     )
     long = (
-        positions(df.join(large, key), key, day, row_id, hot)
+        positions(df.join(large, "_key"), day, row_id, hot)
         .withColumn("_copy", F.explode(copies))
         .withColumns({"chunk": F.col("_copy.chunk"), "is_halo": F.col("_copy.is_halo")})
         .drop("_copy")
     )
-    return short.unionByName(long).drop("hot_min_id", "hot_max_id")
+    return short.unionByName(long).drop("_key", "hot_min_id", "hot_max_id")
 
 
 def running(
@@ -161,7 +169,8 @@ def running(
     blocks = df.groupBy(*block_keys).agg(total.alias("_total"))
     carried = blocks.select(*block_keys, step("_total", along(keys, "_block", -1)).alias("_carried"))
     inner = step("_value", along(block_keys, order, 0 if inclusive else -1))
-    joined = df.join(carried, block_keys).withColumn("_inner", inner)
+    # A left join: rows without a key stay.
+    joined = df.join(carried, block_keys, "left").withColumn("_inner", inner)
     if kind == "sum":
         zero = F.lit(0)
         result = F.coalesce("_inner", zero) + F.coalesce("_carried", zero)
