@@ -284,6 +284,12 @@ def r6_duplicates(bills: DataFrame, hot: HotKeys = HotKeys()) -> DataFrame:
     return detect_anomalies(bills, ("R6",), hot=hot)
 
 
+def bill_anomalies(anomalies: DataFrame) -> DataFrame:
+    """One row per bill with findings; ``anomalies`` is their JSON list (a bill has at most one per rule id)."""
+    found = F.collect_list(F.struct("rule_id", "severity", "is_overcharge_risk", "field_names", "message"))
+    return anomalies.groupBy("account", "bill_id").agg(F.to_json(F.array_sort(found)).alias("anomalies"))
+
+
 def anomaly_summary(bills: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Per account: total_bills, bills_with_anomalies, total_anomalies."""
     per_bill = anomalies.groupBy("account", "bill_id").agg(F.count(F.lit(1)).alias("n"))

@@ -385,7 +385,7 @@ ORACLE["e9_anomaly_summary"] = _with(
 
 # ---- filters
 
-C1_TEXT = """CASE WHEN rule = 0 THEN 'usage is at least 1.5 times the median of the previous bills'
+RULE_TEXT = """CASE WHEN rule = 0 THEN 'usage is at least 1.5 times the median of the previous bills'
     WHEN rule = 1 THEN 'usage is at most 0.5 times the median of the previous bills'
     WHEN rule = 2 THEN 'charge is at least 1.5 times the median of the previous bills'
     WHEN rule = 3 THEN 'charge is at most 0.5 times the median of the previous bills'
@@ -396,9 +396,17 @@ C1_TEXT = """CASE WHEN rule = 0 THEN 'usage is at least 1.5 times the median of
     ELSE concat('another bill of the account ends on ', CAST(read_date AS VARCHAR)) END"""
 ORACLE["c1_validation_results"] = _with(
     ANOMALIES,
-    f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {C1_TEXT} AS description,
+    f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
     CAST(read_date AS VARCHAR) AS detected_on, status FROM found ORDER BY read_date DESC, 1 LIMIT 100""",
 )
+ORACLE["g3_bill_anomalies"] = _with(
+    {
+        **ANOMALIES,
+        "texts": f"""SELECT account, bill_id, rule_id, concat('{{"rule_id":"', rule_id, '","severity":"', severity, '","is_overcharge_risk":',
+            CAST(is_overcharge_risk AS VARCHAR), ',"field_names":["', replace(field_names, '|', '","'), '"],"message":"', {RULE_TEXT}, '"}}') AS t FROM found""",
+    },
+    """SELECT account, bill_id, concat('[', string_agg(t, ',' ORDER BY rule_id), ']') AS anomalies FROM texts GROUP BY 1, 2""",
+)
 GRID = {
     **BILL,
     **MONTHLY,
@@ -570,7 +578,7 @@ ORACLE["e7_savings_totals"] = _with(
     CAST(sum(old_rate_bill - new_rate_bill) AS DOUBLE) AS total_savings FROM saved""",
 )
 ORACLE["e8_accounts"] = _with(BILL, "SELECT DISTINCT bill_account FROM bills ORDER BY 1")
-ORACLE["e10_llm_usage"] = _with(
+ORACLE["e10_model_usage"] = _with(
     COSTS,
     """SELECT month, key AS model, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,

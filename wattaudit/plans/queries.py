@@ -299,7 +299,7 @@ def b7_month_start(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b8_municipality(spark: SparkSession, d: str) -> DataFrame:
-    name = F.when(F.col("id") % 7 == 0, "Niagara Electricity").when(F.col("id") % 11 == 0, F.lit(None)).otherwise(
+    name = F.when(F.col("id") % 7 == 0, "Lake Electricity").when(F.col("id") % 11 == 0, F.lit(None)).otherwise(
         F.lower("customer")
     )
     return bills(spark, d).select("id", values.is_municipality(name).alias("is_municipality"))
@@ -595,7 +595,7 @@ def e9_anomaly_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def e10_llm_usage(spark: SparkSession, d: str) -> DataFrame:
+def e10_model_usage(spark: SparkSession, d: str) -> DataFrame:
     return usage.llm_usage(views.view(spark, d, "usage_calls"))
 
 
@@ -689,6 +689,12 @@ def g3_detect_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return rules.detect_anomalies(bills(spark, d)).drop("message")
 
 
+@query
+def g3_bill_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    """Findings nested by bill."""
+    return rules.bill_anomalies(rules.detect_anomalies(bills(spark, d)))
+
+
 # ---- limits, sets and upserts
 
 

@@ -58,7 +58,7 @@ TARIFF_DOCUMENTS = table(
     """
 )
 TARIFF_VERSIONS = table("document_id bigint, sc_code string, effective_date date, logic string")
-PIPELINE_RUNS = table(
+RUNS = table(
     """
     run_id bigint, dag_id string, start_time timestamp, end_time timestamp, status string, total_runtime int,
     error_msg string

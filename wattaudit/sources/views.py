@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 BILLS = """
 WITH li AS (
   SELECT l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS q, max(l_quantity) AS mx, CAST(count(*) AS INT) AS n,
-         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(18,2)) AS tax
+         CAST(CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT)) AS DECIMAL(18,0))
+              * CAST(0.0001 AS DECIMAL(4,4)) AS DECIMAL(18,2)) AS tax
   FROM {lineitem} GROUP BY l_orderkey),
 b AS (
   SELECT o.o_orderkey AS id, CAST(1120000000 + o.o_custkey AS STRING) AS bill_account,
