@@ -4,8 +4,8 @@ Window functions put all rows of a partition key into one task. Most accounts ar
 per account. An account that holds more than ``hot_rows`` bills is cut into chunks of consecutive bills:
 
 1. ``account_profile`` counts bills per account (combined on the map side). At most ``max_hot`` accounts above
-   ``hot_rows`` are hot, largest first, so the hot table has a proven size and is broadcast; any account left out of it
-   has at most 1/``max_hot`` of all rows.
+   ``hot_rows`` are hot, largest first, so the hot table has a proven size: it is read once and broadcast. Any account
+   left out of it has at most 1/``max_hot`` of all rows.
 2. Every bill of a hot account gets its exact position: bills before its day, plus bills before its slab of ids in that
    day, plus its place in the slab. A day window has at most one row per calendar day, a slab window at most one row per
    slab. A slab spans ``slab_ids`` consecutive ids, so it holds no more bills than that (ids are unique), or one
@@ -14,7 +14,7 @@ per account. An account that holds more than ``hot_rows`` bills is cut into chun
    ``lookahead`` into the previous one, marked ``is_halo``. Any frame within these bounds is then exact inside
    (account, chunk), and halo rows are dropped after the window.
 
-No row is lost or sampled, and a job without hot accounts pays only for the counting.
+No row is lost or sampled. A job without hot accounts pays only for the counting, and then has one window per account.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wattaudit.operators.lookups import bounded_rows
 
 MAX_SLABS = 1 << 20
+_INTERNAL = ("_key", "hot_min_id", "hot_max_id")
 
 
 @dataclass(frozen=True)
@@ -107,12 +109,17 @@ def cut(
     """
     if hot.chunk_rows < max(lookback, lookahead):
         raise ValueError("a chunk must be at least as long as the halo")
+    largest = hot_keys(profiled, key, hot)
+    # At most max_hot rows. Read once, so that every use below sees the same accounts; mostly there are none.
+    found = bounded_rows(largest, hot.max_hot, "hot keys")
+    whole = {"position": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long"), "is_halo": F.lit(False)}
+    if not found:
+        unknown = {c: F.lit(None).cast(largest.schema[c].dataType) for c in largest.columns if c not in _INTERNAL}
+        return df.withColumns({**whole, **unknown})
     df = df.withColumn("_key", _named(key))
-    large = F.broadcast(hot_keys(profiled, key, hot))
+    large = F.broadcast(df.sparkSession.createDataFrame(found, largest.schema))
     tagged = df.join(large, "_key", "left")
-    short = tagged.where(F.col("hot_n_rows").isNull()).withColumns(
-        {"position": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long"), "is_halo": F.lit(False)}
-    )
+    short = tagged.where(F.col("hot_n_rows").isNull()).withColumns(whole)
     size = hot.chunk_rows
     place = F.pmod(F.col("position"), F.lit(size))
     own = F.expr(f"position div {size}")
@@ -129,7 +136,7 @@ def cut(
         .withColumns({"chunk": F.col("_copy.chunk"), "is_halo": F.col("_copy.is_halo")})
         .drop("_copy")
     )
-    return short.unionByName(long).drop("_key", "hot_min_id", "hot_max_id")
+    return short.unionByName(long).drop(*_INTERNAL)
 
 
 def running(
