@@ -166,9 +166,9 @@ def test_full_normal_form(spark):
         ("1A0R/5/1999", "10/5/1999"),
         ("5 AB / 12/1999", "5/12/1999"),
         ("1/24/19951/22/1995", "1/24/1995 1/22/1995"),
-        ("INC1/24/1995", "INC1/24/1995"),
+        ("INC1/24/1995", "INC 1/24/1995"),
         ("INC.X1/24/1995", "INC.X 1/24/1995"),
-        ("a 1120031219", "a\n1120031219"),
+        ("a 1120031219", "a\n\n1120031219"),
     ],
 )
 def test_repair_scan(spark, raw, clean):
