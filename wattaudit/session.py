@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,10 +29,13 @@ def build_session(app: str = "wattaudit", master: str | None = None, **conf: str
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written tables and stream checkpoints.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``, which every executor can reach. Only where
-    that setting is missing (local tests) is a temporary folder of this machine used.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``, which every executor can reach. Where that
+    setting is missing, a local session (one machine, as in tests) gets a temporary folder; a cluster gets an error,
+    since its executors could not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    if not root and re.match(r"local(\[|$)", spark.sparkContext.master):
         root = tempfile.mkdtemp(prefix="wattaudit-")
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root.rstrip('/')}/wattaudit/{name}-{uuid.uuid4().hex}"
