@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from wattaudit.llm.mixing import MIX_SQL
+
+ORACLE: dict[str, str] = {"op9_mix_sources": MIX_SQL}

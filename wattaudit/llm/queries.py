@@ -4,16 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattaudit.llm.base import read
+from wattaudit.llm.bpe import decode, encode
+from wattaudit.llm.mixing import mix
 from wattaudit.llm.simhash import simhash_groups
 
+#: Vocabulary file of the public tokenizer that op5 and the pipeline use.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the text decoded from them, as digests."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decode(encode(docs, BYTE_BPE).select("doc_id", "ids"), BYTE_BPE)
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_groups": op6_simhash_groups,
+    "op9_mix_sources": op9_mix_sources,
 }
