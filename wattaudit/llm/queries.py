@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattaudit.llm.base import read
+from wattaudit.llm import langid, quality
+from wattaudit.llm.base import read, remainder
 from wattaudit.llm.bpe import decode, encode
+from wattaudit.llm.embeddings import near_vectors
 from wattaudit.llm.mixing import mix
 from wattaudit.llm.simhash import simhash_groups
 
@@ -17,6 +19,18 @@ from wattaudit.llm.simhash import simhash_groups
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned without the rows that are held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 4) == 2
+    model = quality.learn(docs.where(~held_out), read(spark, sf_dir, "labels").where(~held_out))
+    return quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -32,12 +46,23 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned without the rows that are held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 5) == 0
+    model = langid.learn(docs, ~held_out)
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
+    "op2_quality": op2_quality,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_groups": op6_simhash_groups,
+    "op8_language": op8_language,
     "op9_mix_sources": op9_mix_sources,
 }
