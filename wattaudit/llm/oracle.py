@@ -3,5 +3,6 @@
 from __future__ import annotations
 
 from wattaudit.llm.mixing import MIX_SQL
+from wattaudit.llm.warc import WARC_SQL
 
-ORACLE: dict[str, str] = {"op9_mix_sources": MIX_SQL}
+ORACLE: dict[str, str] = {"op3_warc": WARC_SQL, "op9_mix_sources": MIX_SQL}

@@ -14,6 +14,8 @@ from wattaudit.llm.bpe import decode, encode
 from wattaudit.llm.embeddings import near_vectors
 from wattaudit.llm.mixing import mix
 from wattaudit.llm.simhash import simhash_groups
+from wattaudit.llm.warc import read_warc, write_warc
+from wattaudit.session import work_dir
 
 #: Vocabulary file of the public tokenizer that op5 and the pipeline use.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +33,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, written and read back."""
+    folder = work_dir(spark, "warc")
+    write_warc(read(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +70,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality": op2_quality,
+    "op3_warc": op3_warc,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_groups": op6_simhash_groups,
     "op8_language": op8_language,
