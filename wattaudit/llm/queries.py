@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattaudit.llm import langid, quality
+from wattaudit.llm import langid, language_model, quality
 from wattaudit.llm.base import read, remainder
 from wattaudit.llm.bpe import decode, encode
 from wattaudit.llm.embeddings import near_vectors
@@ -40,6 +40,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by a model of those that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    model, counts = language_model.train(docs.where(~held_out))
+    return language_model.score(docs, model, counts, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality": op2_quality,
     "op3_warc": op3_warc,
+    "op4_language_model": op4_language_model,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_groups": op6_simhash_groups,
     "op8_language": op8_language,
