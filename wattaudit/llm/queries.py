@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattaudit.llm import langid, language_model, quality
+from wattaudit.llm import langid, language_model, page_text, quality
 from wattaudit.llm.base import read, remainder
 from wattaudit.llm.bpe import decode, encode
 from wattaudit.llm.embeddings import near_vectors
@@ -63,6 +63,12 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = page_text.main_text(pages, page_text.learn(pages))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned without the rows that are held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_model": op4_language_model,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_simhash_groups": op6_simhash_groups,
+    "op7_main_text": op7_main_text,
     "op8_language": op8_language,
     "op9_mix_sources": op9_mix_sources,
 }
