@@ -8,12 +8,14 @@ letters, needs a window of constant size. Decoding keeps at most three bytes: th
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +23,24 @@ from pyspark.sql import functions as F
 
 #: Characters handed to the transducer at a time.
 PIECE = 65_536
-#: Chunks of text whose ids are remembered; twice as many are held at most.
-REMEMBERED = 120_000
+#: Words whose ids are remembered; twice as many are held at most.
+REMEMBERED = 100_000
+#: Words merged in lockstep, and characters of texts whose words are gathered for it.
+LOCKSTEP, GATHERED = 8192, 500_000
 #: A merge is one number: its rank above, the new id in the low bits.
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 NEVER = 1 << 60
 #: Rows of a batch that is returned, times their mean bytes, stay below this.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 # The splitting pattern of byte-level BPE files of this kind is fixed by their format.
 PRETOKENS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 RUNS = [regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+")]
+#: Neither letters nor numbers nor white space.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: No pattern looks further ahead than this many characters behind its match.
 PEEK = 3
 
@@ -143,18 +149,86 @@ def merge_long(word: bytes, byte_ids: list[int], merges: list[dict[int, int]]) -
 
 
 class Encoder:
-    """Encodes texts piece by piece. One object serves many texts; what it remembers of chunks is bounded."""
+    """Encodes texts piece by piece. One object serves many texts; what it remembers of words is bounded."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED, window: int | None = None):
         self.vocabulary = vocabulary
         self.window = window or max(4096, 4 * vocabulary.reach)
-        self.remembered, self.fresh, self.old = remembered, {}, {}
+        self.remembered = remembered
+        self.fresh: dict[str, list[int]] = {}  # ids of a space and a word, by word
+        self.old: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}  # ids of marks behind a word
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
+        codes = [(a << ID_BITS | b, m) for a, row in enumerate(vocabulary.merges) for b, m in row.items()]
+        self.codes, self.values = (np.array(c, np.int64) for c in zip(*sorted(codes), strict=True))
+        self.byte_ids = np.array(vocabulary.byte_ids, np.int64)
+
+    def _merges(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merges of pairs of ids, NEVER where there is none."""
+        code = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (right >= 0), self.values[at], NEVER)
+
+    def prepare(self, texts: Iterable[str]) -> None:
+        """Remember the ids of all new words of some texts: many words are merged in lockstep, one merge each per step."""
+        found = {p.rstrip(MARKS) for t in texts for p in t.split(" ")}
+        new = [w for w in found if w not in self.fresh and w not in self.old and w.isalpha() and len(w) < 24]
+        coded = [b" " + w.encode() for w in new]
+        for size in (12, 24, 96):
+            own = [i for i, w in enumerate(coded) if len(w) <= size and (size == 12 or len(w) > size // 2 or size == 96 and len(w) > 24)]
+            for at in range(0, len(own), LOCKSTEP):
+                part = own[at : at + LOCKSTEP]
+                for i, ids in zip(part, self._together([coded[i] for i in part]), strict=True):
+                    self._remember(new[i], ids)
+
+    def _together(self, coded: list[bytes]) -> list[list[int]]:
+        length = np.array([len(w) for w in coded])
+        width = int(length.max())
+        ids = np.full((len(coded), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < length[:, None]] = self.byte_ids[np.frombuffer(b"".join(coded), np.uint8)]
+        done = ids.copy()
+        merge = self._merges(ids[:, :-1], ids[:, 1:])
+        rows, columns = np.arange(len(coded)), np.arange(width + 1)
+        while len(rows):
+            at = merge.argmin(axis=1)
+            best = merge[np.arange(len(rows)), at]
+            ended = best == NEVER
+            if ended.any():
+                done[rows[ended]] = -1
+                done[rows[ended], : ids.shape[1]] = ids[ended]
+                go_on = ~ended
+                rows, ids, merge, at, best = rows[go_on], ids[go_on], merge[go_on], at[go_on], best[go_on]
+                if not len(rows):
+                    break
+            every = np.arange(len(rows))
+            ids[every, at] = best & ID_MASK
+            shift = columns[: ids.shape[1] - 1] + (columns[: ids.shape[1] - 1] > at[:, None])
+            ids = np.take_along_axis(ids, shift, axis=1)
+            merge = np.take_along_axis(merge, shift[:, : merge.shape[1] - 1], axis=1)
+            if not merge.shape[1]:
+                merge = np.full((len(rows), 1), NEVER)
+                ids = np.hstack([ids, np.full((len(rows), 1), -1)])
+                continue
+            inner = at < merge.shape[1]
+            merge[every[inner], at[inner]] = self._merges(ids[every[inner], at[inner]], ids[every[inner], at[inner] + 1])
+            inner = at > 0
+            merge[every[inner], at[inner] - 1] = self._merges(ids[every[inner], at[inner] - 1], ids[every[inner], at[inner]])
+        real = done >= 0
+        flat, ends = done[real].tolist(), real.sum(axis=1).cumsum().tolist()
+        return [flat[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+    def _remember(self, word: str, ids: list[int]) -> None:
+        if len(self.fresh) >= self.remembered:
+            self.old, self.fresh = self.fresh, {}
+        self.fresh[word] = ids
 
     def _word(self, word: str) -> list[int]:
         data = word.encode()
         if len(data) <= 48:
             return merge_short(data, self.vocabulary.byte_ids, self.vocabulary.merges)
+        return self._word_bytes(data)
+
+    def _word_bytes(self, data: bytes) -> list[int]:
         out: list[int] = []
         rest = self._stable(data, out)
         return out + merge_long(rest, self.vocabulary.byte_ids, self.vocabulary.merges)
@@ -173,37 +247,61 @@ class Encoder:
             at = end
         return data[at:]
 
-    def _chunk(self, chunk: str) -> list[int]:
-        ids = self.old.get(chunk)
+    def _pattern(self, text: str) -> list[int]:
+        return [i for word in PRETOKENS.findall(text) for i in self._word(word)]
+
+    def _spaced(self, part: str) -> list[int]:
+        """Ids of a space and ``part``, which holds no white space."""
+        ids = self.old.get(part)
         if ids is None:
-            if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
-                ids = self._word(chunk)
-            elif chunk[-1] in ",." and chunk[-2:-1].isalpha():  # a letter before it: these end a pretoken of their own
-                return [*(self.fresh.get(chunk[:-1]) or self._chunk(chunk[:-1])), self.vocabulary.byte_ids[ord(chunk[-1])]]
-            else:
-                ids = [i for word in PRETOKENS.findall(chunk) for i in self._word(word)]
-            if len(chunk) > 64:
+            word = part.rstrip(MARKS)
+            if not word.isalpha():
+                ids = self._pattern(" " + part)
+            elif word == part:
+                ids = self._word(" " + part)
+            else:  # marks behind a letter are a pretoken of their own
+                marks = part[len(word) :]
+                more = self.marks.get(marks)
+                if more is None:
+                    more = self._word(marks)
+                    if len(self.marks) < 10_000 and len(marks) < 64:
+                        self.marks[marks] = more
+                return (self.fresh.get(word) or self._spaced(word)) + more
+            if len(part) > 64:
                 return ids
-        if len(self.fresh) >= self.remembered:
-            self.old, self.fresh = self.fresh, {}
-        self.fresh[chunk] = ids
+        self._remember(part, ids)
         return ids
 
     def _closed(self, text: str, out: list[int]) -> None:
-        """Append the ids of a text that ends where a pretoken ends whatever follows."""
-        known, chunk = self.fresh, ""
-        for i, part in enumerate(text.split(" ")):
-            if i and part and not part[0].isspace() and chunk and not chunk[-1].isspace():
-                ids = known.get(chunk)
-                if ids is None:
-                    ids = self._chunk(chunk)
-                    known = self.fresh
+        """Append the ids of a text that ends where a pretoken ends whatever follows.
+
+        A space in front of another character than white space always begins a pretoken, and white space always ends
+        one, so words with one space in front are looked up; everything else waits in ``other`` for the pattern.
+        """
+        known, first, other = self.fresh, True, ""
+        for part in text.split(" "):
+            ids = known.get(part)
+            if ids is not None and not first:
+                if other:
+                    out += self._pattern(other)
+                    other = ""
                 out += ids
-                chunk = " " + part
-            else:  # a single space between two other characters begins a pretoken; any other space needs the pattern
-                chunk = f"{chunk} {part}" if i else part
-        if chunk:
-            out += self._chunk(chunk)
+                continue
+            if first:
+                other, first = part, False
+            elif not part or part[0].isspace():
+                other = f"{other} {part}"
+            else:
+                if other:
+                    out += self._pattern(other)
+                other = ""
+                if part.isalnum() or not any(map(str.isspace, part)):
+                    out += self._spaced(part)
+                    known = self.fresh
+                else:
+                    other = " " + part
+        if other:
+            out += self._pattern(other)
 
     def stream(self, pieces: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a text given in pieces, in lists, each as soon as it is stable."""
@@ -238,17 +336,12 @@ class Encoder:
 
     @staticmethod
     def _cut(text: str) -> int:
-        """The last place where a single space between two other characters begins a pretoken; 0 if there is none."""
+        """The last space in front of another character than white space, where a pretoken begins; 0 if there is none."""
         at = text.rfind(" ", 1, len(text) - 1)
-        while at > 0 and (text[at - 1].isspace() or text[at + 1].isspace()):
+        while at > 0 and text[at + 1].isspace():
             at = text.rfind(" ", 1, at)
         return max(at, 0)
 
-    def _word_bytes(self, data: bytes) -> list[int]:
-        out: list[int] = []
-        rest = self._stable(data, out)
-        return out + merge_long(rest, self.vocabulary.byte_ids, self.vocabulary.merges)
-
     def _open(self, text: str, out: list[int]) -> tuple[str, regex.Pattern, bytes]:
         """Begin a pretoken of which more than a piece is known and whose end isn't."""
         lead = text[0] == " " and not text[1].isspace()
@@ -293,8 +386,9 @@ class Decoder:
 
     def feed(self, ids: list[int]) -> str:
         """Text that is certain after these ids. Ids outside the vocabulary stand for nothing."""
-        pieces, most = self.pieces, len(self.pieces)
-        return self.machine.decode(b"".join([pieces[i] for i in ids if 0 <= i < most]))
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.pieces):
+            ids = [i for i in ids if 0 <= i < len(self.pieces)]
+        return self.machine.decode(b"".join(map(self.pieces.__getitem__, ids)))
 
     def finish(self) -> str:
         text = self.machine.decode(b"", final=True)
@@ -323,6 +417,19 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
+def encode_all(encoder: Encoder, texts: list[str | None]) -> Iterator[list[int]]:
+    """Ids of each text; null has none. Words of some texts at a time are prepared together."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < GATHERED:
+            size, end = size + len(texts[end] or ""), end + 1
+        encoder.prepare(t[:PIECE] for t in texts[at:end] if t)
+        for t in texts[at:end]:
+            yield encoder.encode(t) if t else []
+        at = end
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of column ``text`` (null: an empty list) as ``ids``, an array of int; other columns stay.
 
@@ -337,7 +444,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         encoder = _encoder(spec.value)
         for whole in batches:
             for batch in _sliced(whole):
-                found = [encoder.encode(t) if t else [] for t in batch.column(at).to_pylist()]
+                found = list(encode_all(encoder, batch.column(at).to_pylist()))
                 columns = [*batch.columns[:at], pa.array(found, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
@@ -359,3 +466,30 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
                 yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(found, pa.string())], batch.schema.names)
 
     return given.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, key: str, text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256): digests of a text's ids, joined by commas, and of what they decode to.
+
+    The same as ``encode``, ``decode`` and digests of their columns, without passing the ids from task to task.
+    """
+    spec = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _encoder(spec.value), Decoder(vocabulary(spec.value))
+        decimal = [str(i) for i in range(len(decoder.pieces))]
+        for whole in batches:
+            for batch in _sliced(whole):
+                sizes, of_ids, of_text = [], [], []
+                for ids in encode_all(encoder, batch.column(1).to_pylist()):
+                    sizes.append(len(ids))
+                    of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    of_text.append(hashlib.sha256((decoder.feed(ids) + decoder.finish()).encode()).hexdigest())
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    none = F.lit(None)
+    schema = docs.select(key).withColumns(
+        {"n_tokens": none.cast("long"), "ids_sha256": none.cast("string"), "decoded_sha256": none.cast("string")}
+    ).schema
+    return docs.select(key, text).mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattaudit.llm import langid, language_model, page_text, quality
 from wattaudit.llm.base import read, remainder
-from wattaudit.llm.bpe import decode, encode
+from wattaudit.llm.bpe import round_trip
 from wattaudit.llm.embeddings import near_vectors
 from wattaudit.llm.mixing import mix
 from wattaudit.llm.simhash import simhash_groups
@@ -50,13 +50,7 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text decoded from them, as digests."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode(encode(docs, BYTE_BPE).select("doc_id", "ids"), BYTE_BPE)
-    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return found.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return round_trip(read(spark, sf_dir, "documents"), BYTE_BPE, "doc_id")
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
