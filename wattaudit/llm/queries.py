@@ -13,6 +13,7 @@ from wattaudit.llm.base import read, remainder
 from wattaudit.llm.bpe import round_trip
 from wattaudit.llm.embeddings import near_vectors
 from wattaudit.llm.mixing import mix
+from wattaudit.llm.search import top_k
 from wattaudit.llm.simhash import simhash_groups
 from wattaudit.llm.warc import read_warc, write_warc
 from wattaudit.session import work_dir
@@ -75,6 +76,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"))
 
 
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50, itself included."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return top_k(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality": op2_quality,
@@ -85,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_main_text": op7_main_text,
     "op8_language": op8_language,
     "op9_mix_sources": op9_mix_sources,
+    "op10_search": op10_search,
 }
