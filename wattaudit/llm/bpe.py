@@ -430,23 +430,31 @@ def encode_all(encoder: Encoder, texts: list[str | None]) -> Iterator[list[int]]
         at = end
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the ids of column ``text`` (null: an empty list) as ``ids``, an array of int; other columns stay.
 
-    A column of ``docs`` that is already called ``ids`` is replaced. Texts of any length are encoded whole.
+    With ``check``, a column of that name says whether the ids decode to the text again (null: to an empty text). A column
+    of ``docs`` that has the name of a new one is replaced. Texts of any length are encoded whole.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
-    given = docs.drop(ids).withColumn(ids, F.col(text))
+    rest = docs.drop(ids, *[check] * bool(check))
+    given = rest.select(*rest.columns, docs[text].alias(ids))
     at = len(given.columns) - 1
-    schema = docs.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema
+    schema = rest.withColumn(ids, F.lit(None).cast("array<int>")).schema
+    if check:
+        schema = schema.add(check, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(spec.value)
+        encoder, decoder = _encoder(spec.value), Decoder(vocabulary(spec.value))
         for whole in batches:
             for batch in _sliced(whole):
-                found = list(encode_all(encoder, batch.column(at).to_pylist()))
+                texts = batch.column(at).to_pylist()
+                found = list(encode_all(encoder, texts))
                 columns = [*batch.columns[:at], pa.array(found, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                if check:
+                    same = [decoder.feed(f) + decoder.finish() == (t or "") for f, t in zip(found, texts, strict=True)]
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return given.mapInArrow(run, schema)
 
