@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from wattaudit.llm.base import stored, texts
 
-#: Most steps of the search, the gain below which it ends, and the ridge on standardised weights.
-STEPS, GAIN, RIDGE = 25, 1e-6, 1e-3
+#: Most steps of the search and the gain below which it ends.
+STEPS, GAIN = 25, 1e-6
+#: The ridge on standardised weights is the first plus the second divided by the number of positives: few say little.
+RIDGE, RIDGE_ROWS = 0.02, 40
 #: The part of the risk that must not be negative may fall this far below zero before it is corrected.
 SLACK = 0.0
 
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     scale = np.sqrt(np.maximum(sums[n + 2 :] / count - mean**2, 0))
     scale[scale < 1e-6] = 1.0
     weights = np.append(np.zeros(n), np.log(prior / (1 - prior)))
-    best, least = weights, np.inf
+    best, least, strength = weights, np.inf, RIDGE + RIDGE_ROWS / goods
     for _ in range(STEPS):
 
         def step(good: np.ndarray, x: np.ndarray, w: np.ndarray = weights) -> np.ndarray:
@@ -150,15 +152,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         g = s[3:].reshape(-1, n + 1)
         from_plus, from_minus, from_all, curve = prior * g[0] / goods, prior * g[1] / goods, g[2] / count, g[3:] / count
         negative = s[2] / count - prior * s[1] / goods
-        ridge = RIDGE * np.append(weights[:-1], 0)
-        risk = prior * s[0] / goods + max(0.0, negative) + RIDGE / 2 * (weights[:-1] ** 2).sum()
+        ridge = strength * np.append(weights[:-1], 0)
+        risk = prior * s[0] / goods + max(0.0, negative) + strength / 2 * (weights[:-1] ** 2).sum()
         if risk < least:
             gain, best, least = least - risk, weights, risk
             if gain < GAIN:
                 break
         # Where the estimated risk on negatives is below zero, step back along it; otherwise follow the whole risk.
         slope = from_plus + from_all - from_minus if negative >= -SLACK else from_minus - from_all
-        move = np.linalg.solve(curve + RIDGE * np.eye(n + 1), slope + ridge)
+        move = np.linalg.solve(curve + strength * np.eye(n + 1), slope + ridge)
         weights = weights - move * min(1.0, 4 / max(1e-12, np.abs(move).max()))
     return Model(mean, scale, best, prior)
 
