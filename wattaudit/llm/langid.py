@@ -99,20 +99,22 @@ def build(samples: dict[str, list[str]]) -> Model:
         codes.append(code)
         bits.append(np.log2(len(symbols) + 1))
     width = max((len(c) for c in codes), default=1) + 1
-    table = np.empty((sum(map(len, automata)), width), np.int32)
+    table = np.empty((sum(len(a) + 1 for a in automata), width), np.int32)
     starts, first = [], 0
     for moves in automata:
-        start = np.full(width, first * width, np.int32)
+        own = first + len(moves)  # the state after a letter that the sample doesn't hold: a phrase of its own
+        start = np.full(width, own * width, np.int32)
         for s, to in moves[0].items():
-            start[s] = (first + to) * width
-        start[UNKNOWN] = first * width  # a letter of no sample is a phrase of its own
-        table[first : first + len(moves)] = ~start
+            if s != UNKNOWN:
+                start[s] = (first + to) * width
+        table[first : own + 1] = ~start
+        table[first] = start
         for state, out in enumerate(moves):
             for s, to in out.items():
                 if s != UNKNOWN:
                     table[first + state, s] = (first + to) * width
         starts.append(first * width)
-        first += len(moves)
+        first = own + 1
     return Model(langs, codes, table.reshape(-1), np.array(starts, np.int32), np.array(bits), width)
 
 

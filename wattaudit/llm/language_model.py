@@ -301,10 +301,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
     the logarithm of base 10 of the add-one unigram probability, ``score`` that of the model.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.monotonically_increasing_id().alias("_row"), "text")
+    given = docs.select(*[c.alias(n) for n, c in (keep or {}).items()], F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_text"))
     at = len(given.columns) - 1
     found = {"n_tokens": "long", "n_known": "long", "logs": "double", "classes": "double", "rest": "array<struct<word:string,n:long>>"}
-    schema = given.drop("text").withColumns({n: F.lit(None).cast(t) for n, t in found.items()}).schema
+    schema = given.drop("_text").withColumns({n: F.lit(None).cast(t) for n, t in found.items()}).schema
     rest_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
