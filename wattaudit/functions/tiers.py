@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Monthly rates, and the values of tariff steps, which may be far smaller.
 RATE = "decimal(18,6)"
+STEP_RATE = "decimal(24,12)"
 INFINITY = float("inf")
 
 
@@ -23,18 +25,18 @@ def tier_bounds(label: Column) -> Column:
 
 
 def tiers_of(rates_by_label: Column) -> Column:
-    """Map label → rate as an array of (low, high, rate), ordered by bounds."""
+    """Map label → rate as an array of (low, high, rate), in the order of the map."""
 
     def entry(e: Column) -> Column:
         bounds = tier_bounds(e["key"])
         return F.struct(
-            bounds["low"].alias("low"), bounds["high"].alias("high"), e["value"].cast(RATE).alias("rate")
+            bounds["low"].alias("low"), bounds["high"].alias("high"), e["value"].try_cast(STEP_RATE).alias("rate")
         )
 
-    return F.array_sort(F.transform(F.map_entries(rates_by_label), entry))
+    return F.transform(F.map_entries(rates_by_label), entry)
 
 
 def tier_rate(number: Column, tiers: Column, voltage: Column) -> Column:
     """Flat rate, or the rate of the first tier that holds the voltage (bounds included); otherwise 0."""
     hit = F.get(F.filter(tiers, lambda t: (t["low"] <= voltage) & (voltage <= t["high"])), F.lit(0))
-    return F.coalesce(number, hit["rate"], F.lit(0).cast(RATE))
+    return F.coalesce(number, hit["rate"], F.lit(0).cast(STEP_RATE))

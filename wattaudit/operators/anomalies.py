@@ -84,7 +84,10 @@ def _account_counts() -> dict[str, Column]:
 
 def qc_facts(bills: DataFrame, key: str, hot: HotKeys = HotKeys()) -> DataFrame:
     """Bills as the rules see them: flags, whether the account ever has demand, and its token instead of its number."""
-    parts = _history(_facts(bills), 0, 0, hot).withColumns(_account_counts())
+    facts = _facts(bills)
+    parts = _history(facts.where(_named()), 0, 0, hot).withColumns(_account_counts())
+    alone = facts.where(~_named()).withColumn("n_demand", F.lit(0).cast("long"))
+    parts = parts.select(*alone.columns).unionByName(alone)
     return parts.select(
         "bill_id",
         "period_start",
@@ -225,8 +228,13 @@ def detect_anomalies(
     share: float = 0.5,
     pct: float = 0.5,
     hot: HotKeys = HotKeys(),
+    dated: bool = False,
 ) -> DataFrame:
-    """One row per finding: account, bill_id, rule_id, severity, is_overcharge_risk, field_names, message, status."""
+    """One row per finding: account, bill_id, rule_id, severity, is_overcharge_risk, field_names, message, status.
+
+    Bills without account number have no history: only the rules on single bills (R2, R3) look at them. ``dated`` adds
+    ``period_end`` of the bill.
+    """
     facts = _facts(bills)
     order = _ordered()
     row_rules = {"R2": _r2, "R3": _r3}
@@ -246,14 +254,27 @@ def detect_anomalies(
         parts = facts  # no history needed: no shuffle
     else:
         lookback = window if "R1" in rules else 1
-        parts = _history(facts, lookback, 1 if "R6" in rules else 0, hot)
+        parts = _history(facts.where(_named()), lookback, 1 if "R6" in rules else 0, hot)
         parts = parts.withColumns({**_account_counts(), **prepared})
         parts = parts.where(~F.col("is_halo")).withColumns(derived)
+    found = _found(parts, tests, dated)
+    single = [rule() for name, rule in row_rules.items() if name in rules]
+    if parts is not facts and single:
+        found = found.unionByName(_found(facts.where(~_named()), single, dated))
+    return found
+
+
+def _named() -> Column:
+    return F.trim(F.coalesce("bill_account", F.lit(""))) != ""
+
+
+def _found(parts: DataFrame, tests: list[Column], dated: bool) -> DataFrame:
+    kept = ["period_end"] if dated else []
     return (
         parts.select(
-            F.col("bill_account").alias("account"), "bill_id", F.explode(F.array_compact(F.array(*tests))).alias("a")
+            F.col("bill_account").alias("account"), "bill_id", *kept, F.explode(F.array_compact(F.array(*tests))).alias("a")
         )
-        .select("account", "bill_id", "a.*")
+        .select("account", "bill_id", *kept, "a.*")
         .withColumn("status", F.lit("new"))
     )
 

@@ -24,8 +24,8 @@ def audit(
     """Price all bills by their bill date, without adjustment rates, after cleaning numbers (bad → 0) and dates."""
     if account is not None:
         bills = bills.where(F.col("bill_account") == account.strip())
-    if "service_class" not in bills.columns:
-        bills = bills.withColumn("service_class", F.lit(default_sc))
+    known = F.col("service_class") if "service_class" in bills.columns else F.lit(None)
+    bills = bills.withColumn("service_class", F.coalesce(F.nullif(F.trim(known), F.lit("")), F.lit(default_sc)))
     kinds = {
         "billed_kwh": "double",
         "billed_demand": "double",
@@ -48,10 +48,11 @@ def _summary() -> list[Column]:
 
 
 def audit_summary(audited: DataFrame, by_account: bool = False) -> DataFrame:
-    """Bill count, total variance, bills off by more than $0.05, bills not priced; per account plus a grand total."""
+    """Bill count, total variance, bills off by more than $0.05, bills not priced; per account plus a grand total,
+    which ``is_total`` tells from bills without account."""
     if not by_account:
         return audited.agg(*_summary())
-    return audited.rollup("bill_account").agg(*_summary())
+    return audited.rollup("bill_account").agg(*_summary(), (F.grouping("bill_account") == 1).alias("is_total"))
 
 
 def report_totals(audited: DataFrame) -> DataFrame:
@@ -81,6 +82,7 @@ RULE = "=" * 80
 THIN_RULE = "-" * 80
 
 
+# Fixed values below: the labels of the report.
 def report_lines(audited: DataFrame, generated: str, hot: HotKeys = HotKeys()) -> DataFrame:
     """Report of each account as rows (bill_account, bill_no, line_no, line); bill_no 0 is the head, the number
     after the last bill the end.

@@ -106,9 +106,10 @@ def nulls_only(df: DataFrame) -> DataFrame:
     return df.withColumns({c: finite(c) for c in _floats(df)})
 
 
-def bad_values(df: DataFrame, order: Sequence[str], limit: int = 20) -> DataFrame:
-    """The first rows (by ``order``) that hold a NaN or infinite number, with the columns concerned."""
+def bad_values(df: DataFrame, order: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Rows that hold a NaN or infinite number, by ``order``, with the columns concerned; only the first ``limit`` if given."""
     found = F.array_compact(
         F.array(*[F.when(F.col(c).isNotNull() & finite(c).isNull(), F.lit(c)) for c in _floats(df)])
     )
-    return df.withColumn("bad_columns", found).where(F.size("bad_columns") > 0).orderBy(*order).limit(limit)
+    bad = df.withColumn("bad_columns", found).where(F.size("bad_columns") > 0).orderBy(*order)
+    return bad if limit is None else bad.limit(limit)

@@ -28,10 +28,20 @@ def orphan_files(files: DataFrame, documents: DataFrame) -> DataFrame:
 def token_map(bills: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Map of account tokens to account numbers with the new accounts added; a known token is left as it is."""
     fresh = bills.select(F.trim("bill_account").alias("account_number")).where(F.col("account_number") != "").distinct()
+    # Two of very many accounts may share a token; like a known account, the first one keeps it.
     fresh = fresh.select(tokenize("account_number", "ACCT", key).alias("token"), "account_number")
+    fresh = fresh.groupBy("token").agg(F.min("account_number").alias("account_number"))
     return existing.select("token", "account_number").unionByName(fresh.join(existing, "token", "left_anti"))
 
 
+def token_collisions(bills: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Accounts (token, account_number) whose token stands for another account in the map."""
+    found = bills.select(F.trim("bill_account").alias("account_number")).where(F.col("account_number") != "").distinct()
+    named = found.select(tokenize("account_number", "ACCT", key).alias("token"), "account_number")
+    mapped = token_map(bills, existing, key).select("token", F.col("account_number").alias("_mapped"))
+    return named.join(mapped, "token").where(F.col("account_number") != F.col("_mapped")).drop("_mapped")
+
+
 def accounts(bills: DataFrame, sort: bool = True) -> DataFrame:
     """Distinct account numbers; null and '' are left out."""
     found = bills.select("bill_account").where(F.coalesce("bill_account", F.lit("")) != "").distinct()

@@ -29,13 +29,14 @@ def validation_results(
     account: str | None = None,
     bill_id: int | None = None,
     status: str | None = None,
-    limit: int = 100,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Newest validation results, optionally of one account, bill or status."""
+    """Validation results, newest first, optionally of one account, bill or status, and only the first ``limit``."""
     for column, value in (("account_id", account), ("user_bill_id", bill_id), ("status", status)):
         if value is not None:
             results = results.where(F.col(column) == value)
-    return results.orderBy(F.desc("detected_on"), "id").limit(limit)
+    ordered = results.orderBy(F.desc("detected_on"), "id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def bills_with_issues(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattaudit.functions.conditions import case_of, compile_formula, condition_holds, distinct_texts
-from wattaudit.functions.tiers import RATE, tier_rate
+from wattaudit.functions.tiers import RATE, STEP_RATE, tier_rate
 from wattaudit.operators.lookups import BROADCAST_ROWS, lookup_join
 from wattaudit.operators.rates import rates_for_bills
 from wattaudit.operators.versions import pick_version
@@ -26,7 +26,7 @@ MINIMUM = ("minimum_charge", "minimum_bill")
 RDM_ENERGY = ("SC1", "SC1C", "SC2")
 RDM_DEMAND = ("SC2D", "SC3", "SC3A")
 
-USAGE = "decimal(18,4)"
+USAGE = "decimal(20,6)"
 COST = "decimal(38,10)"
 
 
@@ -119,7 +119,7 @@ def expected_bill(
     priced = priced.withColumn("_held", F.filter(steps, held))
     kinds = F.col("_held")
     minimums = F.filter(kinds, lambda s: s["charge_type"].isin(*MINIMUM))
-    minimum = F.array_max(F.transform(minimums, lambda s: F.coalesce(s["number"], F.lit(0).cast(RATE))))
+    minimum = F.array_max(F.transform(minimums, lambda s: F.coalesce(s["number"], F.lit(0).cast(STEP_RATE))))
     priced_types = FIXED + PER_KWH + PER_KW + PER_RKVA
     charged = F.filter(kinds, lambda s: s["charge_type"].isin(*priced_types))
     ignored = F.filter(kinds, lambda s: ~s["charge_type"].isin(*priced_types, *MINIMUM))
@@ -219,7 +219,7 @@ def expected_bill_legacy(
         formula = case_of(
             step["formula"], formulas, lambda t: compile_formula(t, variables), F.lit(0.0)
         ).try_cast(COST)
-        flat = F.when(~step["bad_value"], F.coalesce(step["number"], F.lit(0).cast(RATE)).cast(COST))
+        flat = F.when(~step["bad_value"], F.coalesce(step["number"], F.lit(0).cast(STEP_RATE)).cast(COST))
         return F.when(step["charge_type"] == "formula", formula).otherwise(flat)
 
     found = F.col("steps").isNotNull()

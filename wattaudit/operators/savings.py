@@ -19,6 +19,7 @@ def monthly(bills: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     require_columns(bills, REQUIRED)
     return bills.select(
         *keep,
+        as_date(bills, "bill_date").alias("bill_date"),
         F.date_format(as_date(bills, "bill_date"), "MM-dd-yy").alias("month"),
         as_number(bills, "billed_demand").alias("billed_demand"),
         as_number(bills, "billed_kwh").alias("billed_kwh"),
@@ -26,13 +27,15 @@ def monthly(bills: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def savings(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("id",)) -> DataFrame:
-    """Old against new bill of the same month label: both amounts and old − new.
+def savings(old: DataFrame, new: DataFrame, on: tuple[str, ...] = ("bill_account",)) -> DataFrame:
+    """Old against new bill of the same account and date: both amounts and old − new, with the month label.
 
-    ``on`` are further key columns; together with the month they should identify a row on each side (the bill id does),
-    otherwise every old row of a key meets every new one.
+    ``on`` names the account columns, at least one. Bills of one account that share a date each meet each other; without
+    an account all bills of a day would, so that is refused.
     """
-    keys = [*on, "month"]
+    if not on:
+        raise ValueError("savings needs an account column to join on")
+    keys = [*on, "bill_date", "month"]
     a = monthly(old, on).withColumnsRenamed({c: f"{c}_old" for c in ("billed_demand", "billed_kwh", "bill_amount")})
     b = monthly(new, on).withColumnsRenamed({c: f"{c}_new" for c in ("billed_demand", "billed_kwh", "bill_amount")})
     return a.join(b, keys).select(

@@ -22,13 +22,18 @@ def upsert(base: DataFrame, changes: DataFrame, keys: Sequence[str], order: str)
     old = base.select(*keys, F.struct(*columns).alias("_row"), F.lit(0).alias("_new"), F.lit(None).alias("_at"))
     new = changes.select(*keys, F.struct(*columns).alias("_row"), F.lit(1).alias("_new"), F.col(order).alias("_at"))
     rows = old.withColumn("_at", F.col("_at").cast(new.schema["_at"].dataType)).unionByName(new)
-    latest = rows.groupBy(*keys).agg(F.max_by("_row", F.struct("_new", "_at")).alias("_row"))
+    # Of changes that are equally late the greatest row wins, so that runs agree.
+    latest = rows.groupBy(*keys).agg(F.max(F.struct("_new", "_at", "_row"))["_row"].alias("_row"))
     return latest.select(*keys, "_row.*").select(*base.columns)
 
 
 def update_by_key(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """``base`` with the non-null fields of ``changes`` (one row per key) put in; unknown keys are ignored."""
+    """``base`` with the non-null fields of ``changes`` put in; unknown keys are ignored.
+
+    Of several changes of one key the greatest row (fields compared in their order) counts, so no row of ``base`` multiplies.
+    """
     fields = [c for c in changes.columns if c != key]
+    changes = changes.groupBy(key).agg(F.max(F.struct(*fields)).alias("_row")).select(key, "_row.*")
     joined = base.join(changes.withColumnsRenamed({c: f"_new_{c}" for c in fields}), key, "left")
     return joined.select(
         *[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns]
@@ -38,13 +43,13 @@ def update_by_key(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def upsert_rates(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Monthly rates: a change replaces the newest row of its (type, class, month), which keeps its id.
 
-    Dates of changes snap to the first of the month; changes without class, date or rate are skipped, and the last of
+    Dates of changes snap to the first of the month; changes without class, date or a rate above zero are skipped, and the last of
     several changes of one month (by ``seq``) wins. Older rows of that month stay as they are. New months get a null id
     (the table assigns it).
     """
     keys = ["rate_type", "sc_code", "_month"]
     entered = changes.where(
-        (F.trim(F.coalesce("sc_code", F.lit(""))) != "") & F.col("effective_date").isNotNull() & F.col("rate").isNotNull()
+        (F.trim(F.coalesce("sc_code", F.lit(""))) != "") & F.col("effective_date").isNotNull() & (F.col("rate") > 0)
     ).select("rate_type", F.trim("sc_code").alias("sc_code"), month_start("effective_date").alias("_month"), "rate", "seq")
     latest = entered.groupBy(*keys).agg(F.max_by("rate", "seq").alias("_new_rate"))
     dated = base.withColumn("_month", month_start("effective_date"))

@@ -59,25 +59,30 @@ def _by_month(calls: DataFrame, kind: str) -> DataFrame:
     return calls.where(F.col("kind") == kind).withColumn("month", F.date_format("ts", "yyyy-MM"))
 
 
+def _with_totals(calls: DataFrame, key: str, counters: list[Column]) -> DataFrame:
+    """Counters per month and key and per month; a null month or key is a value like any other."""
+    return calls.groupingSets([["month", key], ["month"]], "month", key).agg(
+        *counters, (F.grouping(key) == 1).alias("is_total")
+    )
+
+
 def llm_usage(
     calls: DataFrame, prices: Mapping[str, tuple[float, float]] = PRICES, month: str | None = None
 ) -> DataFrame:
-    """Requests, tokens and cost per month and model; ``model`` null is the month's total."""
+    """Requests, tokens and cost per month and model; ``is_total`` marks the month's total. Calls without time have month null."""
     calls = _by_month(calls, "llm")
     if month is not None:
         calls = calls.where(F.col("month") == month)
     priced = usage_cost(calls, prices).withColumnRenamed("key", "model")
-    totals = priced.rollup("month", "model").agg(*usage_counters())
-    return totals.where(F.col("month").isNotNull())
+    return _with_totals(priced, "model", usage_counters())
 
 
 def op_usage(calls: DataFrame, month: str | None = None) -> DataFrame:
-    """Requests, successes and failures per month and operation; ``operation`` null is the month's total."""
+    """Requests, successes and failures per month and operation; ``is_total`` marks the month's total."""
     calls = _by_month(calls, "op")
     if month is not None:
         calls = calls.where(F.col("month") == month)
-    totals = calls.withColumnRenamed("key", "operation").rollup("month", "operation").agg(*operation_counters())
-    return totals.where(F.col("month").isNotNull())
+    return _with_totals(calls.withColumnRenamed("key", "operation"), "operation", operation_counters())
 
 
 def recent_calls(calls: DataFrame, n: int = 20) -> DataFrame:

@@ -73,13 +73,13 @@ def _tariff_ctes() -> dict[str, str]:
             step_rows.append(
                 f"({seq}, {pos}, {_quote(s['step_name'])}, '{s['charge_type']}', CAST({number} AS DECIMAL(18,6)), {condition})"
             )
-            for label, rate in tiers.items():
+            for place, (label, rate) in enumerate(tiers.items()):
                 low, high = _tier(label)
-                tier_rows.append(f"({seq}, {pos}, {low}, CAST({high} AS DOUBLE), CAST({rate} AS DECIMAL(18,6)))")
+                tier_rows.append(f"({seq}, {pos}, {place}, {low}, CAST({high} AS DOUBLE), CAST({rate} AS DECIMAL(18,6)))")
     return {
         "versions(seq, sc, eff)": "VALUES " + ", ".join(version_rows),
         "steps(seq, pos, step_name, kind, num, cond)": "VALUES " + ", ".join(step_rows),
-        "tiers(seq, pos, low, high, rate)": "VALUES " + ", ".join(tier_rows),
+        "tiers(seq, pos, place, low, high, rate)": "VALUES " + ", ".join(tier_rows),
         "spans": """SELECT seq, sc, eff, lead(eff) OVER (PARTITION BY sc ORDER BY eff) AS nxt,
             row_number() OVER (PARTITION BY sc ORDER BY eff) AS place FROM versions""",
     }
@@ -119,7 +119,7 @@ def _rate_joins(sc: str, date: str, *kinds: str) -> str:
 def _pricing(date: str = "read_date", rates: bool = True) -> dict[str, str]:
     kwh, kw, rkva = (f"CAST(p.{c} AS DECIMAL(18,4))" for c in ("billed_kwh", "billed_demand", "billed_rkva"))
     rate_code = "CASE p.sc_code WHEN 'SC2ND' THEN 'SC2' ELSE p.sc_code END"
-    price = """coalesce(s.num, (SELECT first(t.rate ORDER BY t.low, t.high) FROM tiers t WHERE t.seq = s.seq AND t.pos = s.pos
+    price = """coalesce(s.num, (SELECT first(t.rate ORDER BY t.place) FROM tiers t WHERE t.seq = s.seq AND t.pos = s.pos
         AND t.low <= p.delivery_voltage_kv AND p.delivery_voltage_kv <= t.high), 0)"""
     ctes = {
         **_pick(date),
@@ -362,20 +362,24 @@ ANOMALIES = {
     "found": """SELECT bill_account AS account, id AS bill_id, rule, rule_id, severity, risk AS is_overcharge_risk, fields AS field_names,
         'new' AS status, days_used, read_date FROM hits JOIN rules USING (rule)""",
 }
+RULE_TEXT = """CASE WHEN rule = 0 THEN 'usage is at least 1.5 times the median of the previous bills'
+    WHEN rule = 1 THEN 'usage is at most 0.5 times the median of the previous bills'
+    WHEN rule = 2 THEN 'charge is at least 1.5 times the median of the previous bills'
+    WHEN rule = 3 THEN 'charge is at most 0.5 times the median of the previous bills'
+    WHEN rule = 4 THEN concat('bill covers ', CAST(days_used AS VARCHAR), ' days, outside 25-35')
+    WHEN rule = 5 THEN 'usage is zero or a value is negative'
+    WHEN rule = 6 THEN 'account is taxed at times but most of its bills show no sales tax'
+    WHEN rule = 7 THEN 'load factor or demand changed by at least 50 percent against the previous bill'
+    ELSE concat('another bill of the account ends on ', CAST(read_date AS VARCHAR)) END"""
 FOUND_OUT = "account, bill_id, rule_id, severity, is_overcharge_risk, field_names, status"
-for _name, _rules, _message in (
-    ("f1_r1_spikes", "0, 1, 2, 3", ""),
-    ("f2_r4_tax", "6", ""),
-    ("f3_r5_swing", "7", ""),
-    ("f4_r6_duplicates", "8", ", concat('another bill of the account ends on ', CAST(read_date AS VARCHAR)) AS message"),
-    ("g1_r2_days", "4", ", concat('bill covers ', CAST(days_used AS VARCHAR), ' days, outside 25-35') AS message"),
-    ("g2_r3_non_positive", "5", ""),
-    ("g3_detect_anomalies", "0, 1, 2, 3, 4, 5, 6, 7, 8", ""),
+for _name, _rules in (
+    ("f1_r1_spikes", "0, 1, 2, 3"), ("f2_r4_tax", "6"), ("f3_r5_swing", "7"), ("f4_r6_duplicates", "8"), ("g1_r2_days", "4"),
+    ("g2_r3_non_positive", "5"), ("g3_detect_anomalies", "0, 1, 2, 3, 4, 5, 6, 7, 8"),
 ):
-    ORACLE[_name] = _with(ANOMALIES, f"SELECT {FOUND_OUT}{_message} FROM found WHERE rule IN ({_rules})")
+    ORACLE[_name] = _with(ANOMALIES, f"SELECT {FOUND_OUT}, {RULE_TEXT} AS message FROM found WHERE rule IN ({_rules})")
 ISSUES = {
     **ANOMALIES,
-    "issues": "SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, read_date AS detected_on, status FROM found",
+    "issues": f"SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description, read_date AS detected_on, status FROM found",
 }
 ORACLE["e9_anomaly_summary"] = _with(
     ANOMALIES,
@@ -385,15 +389,6 @@ ORACLE["e9_anomaly_summary"] = _with(
 
 # ---- filters
 
-RULE_TEXT = """CASE WHEN rule = 0 THEN 'usage is at least 1.5 times the median of the previous bills'
-    WHEN rule = 1 THEN 'usage is at most 0.5 times the median of the previous bills'
-    WHEN rule = 2 THEN 'charge is at least 1.5 times the median of the previous bills'
-    WHEN rule = 3 THEN 'charge is at most 0.5 times the median of the previous bills'
-    WHEN rule = 4 THEN concat('bill covers ', CAST(days_used AS VARCHAR), ' days, outside 25-35')
-    WHEN rule = 5 THEN 'usage is zero or a value is negative'
-    WHEN rule = 6 THEN 'account is taxed at times but most of its bills show no sales tax'
-    WHEN rule = 7 THEN 'load factor or demand changed by at least 50 percent against the previous bill'
-    ELSE concat('another bill of the account ends on ', CAST(read_date AS VARCHAR)) END"""
 ORACLE["c1_validation_results"] = _with(
     ANOMALIES,
     f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
@@ -464,7 +459,8 @@ ORACLE["c6_code_mismatch"] = _with(
 ORACLE["d1_bills_with_issues"] = _with(
     ISSUES,
     f"""SELECT b.id AS bill_id, i.user_bill_id AS fk_user_bill_id, i.id AS issue_id, bill_account, customer, {txt('bill_date', 'read_date')},
-    days_used, billed_kwh, billed_demand, load_factor, billed_rkva, {dbl('bill_amount', 'sales_tax_amt')}, i.issue_type, i.status,
+    days_used, billed_kwh, billed_demand, load_factor, billed_rkva, {dbl('bill_amount', 'sales_tax_amt')}, CAST(NULL AS DOUBLE) AS bill_amount_with_sales_tax,
+    CAST(NULL AS DOUBLE) AS retracted_amt, CAST(NULL AS DOUBLE) AS sales_tax_factor, CAST(NULL AS VARCHAR) AS bill_created_at, i.issue_type, i.description, i.status,
     CAST(i.detected_on AS VARCHAR) AS detected_on FROM bills b JOIN issues i ON i.user_bill_id = b.id""",
 )
 ORACLE["d2_pick_version"] = _with(
@@ -487,22 +483,24 @@ ORACLE["d4_override_grid"] = _with(
 )
 ORACLE["d5_tier_rate"] = _with(
     {**BILL, **TARIFF},
-    """SELECT b.id, CAST(coalesce((SELECT first(t.rate ORDER BY t.low) FROM tiers t JOIN versions v USING (seq)
+    """SELECT b.id, CAST(coalesce((SELECT first(t.rate ORDER BY t.place) FROM tiers t JOIN versions v USING (seq)
     WHERE v.sc = 'SC3' AND t.pos = 1 AND t.low <= b.delivery_voltage_kv AND b.delivery_voltage_kv <= t.high), 0) AS DOUBLE) AS rate FROM bills b""",
 )
 PLAIN_PRICED = _pricing("read_date", rates=False)
 SAVED = {
     **PLAIN_PRICED,
     "sc1": "SELECT eff, nxt, place, s0.num AS fee, s1.num AS rate FROM spans JOIN steps s0 USING (seq) JOIN steps s1 USING (seq) WHERE sc = 'SC1' AND s0.pos = 0 AND s1.pos = 1",
-    "saved": """SELECT p.id, strftime(p.read_date, '%m-%d-%y') AS month, p.billed_demand AS old_demand, p.billed_demand AS new_demand,
-        p.billed_kwh AS kwh, p.expected_bill AS old_rate_bill,
-        CASE WHEN p.sc_code = 'SC1' THEN CAST(greatest(30 + 0.04 * CAST(p.billed_kwh AS DECIMAL(18,4)), 75) AS DECIMAL(18,2))
+    "newer": """SELECT p.bill_account, p.read_date, p.billed_demand,
+        CASE WHEN p.sc_code = 'SC1' THEN CAST(greatest(27.4 + 0.0365 * CAST(p.billed_kwh AS DECIMAL(18,4)), 81) AS DECIMAL(18,2))
              ELSE CAST(n.fee + n.rate * CAST(p.billed_kwh AS DECIMAL(18,4)) AS DECIMAL(18,2)) END AS new_rate_bill
         FROM priced p JOIN sc1 n ON (n.place = 1 OR n.eff <= p.read_date) AND (n.nxt IS NULL OR p.read_date < n.nxt)""",
+    "saved": """SELECT bill_account, read_date AS bill_date, strftime(read_date, '%m-%d-%y') AS month, p.billed_demand AS old_demand,
+        n.billed_demand AS new_demand, p.billed_kwh AS kwh, p.expected_bill AS old_rate_bill, n.new_rate_bill
+        FROM priced p JOIN newer n USING (bill_account, read_date)""",
 }
 ORACLE["d6_savings"] = _with(
     SAVED,
-    f"""SELECT id, month, old_demand, new_demand, kwh, {dbl('old_rate_bill', 'new_rate_bill')},
+    f"""SELECT bill_account, {txt('bill_date')}, month, old_demand, new_demand, kwh, {dbl('old_rate_bill', 'new_rate_bill')},
     CAST(old_rate_bill - new_rate_bill AS DOUBLE) AS monthly_savings FROM saved""",
 )
 ORACLE["d7_attach_tables"] = _with(
@@ -550,22 +548,22 @@ ORACLE["e3_expected_bill_legacy"] = _with(
     {
         **BILL,
         "old": """SELECT *, CASE service_class
-            WHEN 'SC-1' THEN 19 + CAST(billed_kwh * 0.08889E0 AS DECIMAL(28,10))
-            WHEN 'SC-1C' THEN 30 + CAST(greatest(billed_kwh - 100, 0) * 0.05E0 + least(billed_demand, 10) * 2 AS DECIMAL(28,10))
-            WHEN 'SC2-ND' THEN 25 + CASE WHEN days_used >= 30 AND year(bill_date) > 1996 THEN CAST(billed_kwh * 0.1E0 AS DECIMAL(28,10)) ELSE 0 END
-            WHEN 'SC2-D' THEN CAST(65 AS DECIMAL(28,10)) END AS total FROM bills""",
+            WHEN 'SC-1' THEN 18 + CAST(billed_kwh * 0.0912E0 AS DECIMAL(28,10))
+            WHEN 'SC-1C' THEN 28 + CAST(greatest(billed_kwh - 120, 0) * 0.06E0 + least(billed_demand, 12) * 1.75E0 AS DECIMAL(28,10))
+            WHEN 'SC2-ND' THEN 23 + CASE WHEN days_used >= 30 AND year(bill_date) > 1996 THEN CAST(billed_kwh * 0.105E0 AS DECIMAL(28,10)) ELSE 0 END
+            WHEN 'SC2-D' THEN CAST(60 AS DECIMAL(28,10)) END AS total FROM bills""",
     },
     """SELECT id, bill_account, service_class AS sc_code, CAST(bill_amount AS DOUBLE) AS actual_bill,
     CAST(coalesce(CAST(total AS DECIMAL(18,2)), 0) AS DOUBLE) AS expected_bill,
     CAST(coalesce(CAST(total - bill_amount AS DECIMAL(18,2)), 0) AS DOUBLE) AS variance,
     CASE WHEN total IS NULL THEN 'SKIPPED' ELSE 'SUCCESS' END AS status FROM old""",
 )
-ORACLE["e4_audit"] = _with(AUDITED, f"SELECT {PRICED_OUT} FROM priced")
+ORACLE["e4_audit"] = _with(AUDITED, f"SELECT {PRICED_OUT}, unpriced AS unpriced_steps FROM priced")
 ORACLE["e5_audit_summary"] = _with(
     AUDITED,
     """SELECT bill_account, count(*) AS total_bills, CAST(sum(variance) AS DOUBLE) AS total_variance,
-    count(*) FILTER (abs(variance) > 0.05) AS high_variance_bills, count(*) FILTER (status <> 'SUCCESS') AS calculation_errors
-    FROM priced GROUP BY ROLLUP (bill_account)""",
+    count(*) FILTER (abs(variance) > 0.05) AS high_variance_bills, count(*) FILTER (status <> 'SUCCESS') AS calculation_errors,
+    grouping(bill_account) = 1 AS is_total FROM priced GROUP BY ROLLUP (bill_account)""",
 )
 ORACLE["e6_report_totals"] = _with(
     PRICED,
@@ -582,12 +580,12 @@ ORACLE["e10_model_usage"] = _with(
     COSTS,
     """SELECT month, key AS model, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-    CAST(sum(cost) AS DOUBLE) AS cost FROM costs WHERE kind = 'llm' GROUP BY GROUPING SETS ((month, key), (month))""",
+    CAST(sum(cost) AS DOUBLE) AS cost, grouping(key) = 1 AS is_total FROM costs WHERE kind = 'llm' GROUP BY GROUPING SETS ((month, key), (month))""",
 )
 ORACLE["e11_operation_usage"] = _with(
     COSTS,
     """SELECT month, key AS operation, count(*) AS requests, count(*) FILTER (success) AS success,
-    count(*) FILTER (NOT success) AS failures FROM costs WHERE kind = 'op' GROUP BY GROUPING SETS ((month, key), (month))""",
+    count(*) FILTER (NOT success) AS failures, grouping(key) = 1 AS is_total FROM costs WHERE kind = 'op' GROUP BY GROUPING SETS ((month, key), (month))""",
 )
 ORACLE["e12_override_counts"] = _with(
     GRID, "SELECT upper(rate_type) AS rate_type, count(*) AS n_saved FROM entries WHERE rate > 0 GROUP BY 1"
@@ -776,7 +774,7 @@ ORACLE["s1_stream_usage"] = _with(
     COSTS,
     """SELECT month, key AS model, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-    CAST(sum(cost) AS DOUBLE) AS cost FROM costs WHERE kind = 'llm' GROUP BY month, key""",
+    CAST(sum(cost) AS DOUBLE) AS cost, grouping(key) = 1 AS is_total FROM costs WHERE kind = 'llm' GROUP BY month, key""",
 )
 ORACLE["s1_stream_operations"] = _with(
     COSTS,

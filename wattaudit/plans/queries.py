@@ -108,10 +108,8 @@ def part_versions(spark: SparkSession, d: str) -> DataFrame:
 
 def found_issues(spark: SparkSession, d: str) -> DataFrame:
     b = bills(spark, d)
-    found = rules.detect_anomalies(b).withColumnRenamed("bill_id", "_bill")
     # A finding is dated by the bill it concerns.
-    dated = found.join(b.select(F.col("id").alias("_bill"), "read_date"), "_bill").withColumnRenamed("_bill", "bill_id")
-    return rules.validation_rows(dated, F.col("read_date"))
+    return rules.validation_rows(rules.detect_anomalies(b, dated=True), F.col("period_end"))
 
 
 def priced(spark: SparkSession, d: str, **options: bool) -> DataFrame:
@@ -368,7 +366,7 @@ def b14_nulls_only(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def b14_bad_values(spark: SparkSession, d: str) -> DataFrame:
-    return columns.bad_values(_holey(spark, d), ["event_id"]).select("event_id", "bad_columns")
+    return columns.bad_values(_holey(spark, d), ["event_id"], 20).select("event_id", "bad_columns")
 
 
 @query
@@ -382,7 +380,7 @@ def b15_doc_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def c1_validation_results(spark: SparkSession, d: str) -> DataFrame:
-    return issues.validation_results(found_issues(spark, d), status="new")
+    return issues.validation_results(found_issues(spark, d), status="new", limit=100)
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -442,8 +440,7 @@ def c6_code_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def d1_bills_with_issues(spark: SparkSession, d: str) -> DataFrame:
-    joined = issues.bills_with_issues(bills(spark, d), found_issues(spark, d))
-    return joined.drop("bill_amount_with_sales_tax", "retracted_amt", "sales_tax_factor", "bill_created_at", "description")
+    return issues.bills_with_issues(bills(spark, d), found_issues(spark, d))
 
 
 @query
@@ -497,7 +494,7 @@ def d6_savings(spark: SparkSession, d: str) -> DataFrame:
 @query
 def d7_attach_tables(spark: SparkSession, d: str) -> DataFrame:
     pages = views.view(spark, d, "tariff_pages")
-    headed = pages.select("doc_id", "page_number", F.posexplode(F.split(F.left("text", F.length("text")), "\n")).alias("no", "line"))
+    headed = pages.select("doc_id", "page_number", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     # Every headline of a page stands for a table on it.
     tables = headed.where(F.col("line").startswith("SERVICE") | F.col("line").startswith("Effective")).select(
         "doc_id", "page_number", F.col("line").alias("table")
@@ -565,7 +562,7 @@ def e3_expected_bill_legacy(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def e4_audit(spark: SparkSession, d: str) -> DataFrame:
-    return audited(spark, d).drop("unpriced_steps")
+    return audited(spark, d)
 
 
 @query
@@ -629,17 +626,17 @@ def e14_report_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def f1_r1_spikes(spark: SparkSession, d: str) -> DataFrame:
-    return rules.r1_spikes(bills(spark, d)).drop("message")
+    return rules.r1_spikes(bills(spark, d))
 
 
 @query
 def f2_r4_tax(spark: SparkSession, d: str) -> DataFrame:
-    return rules.r4_tax(bills(spark, d)).drop("message")
+    return rules.r4_tax(bills(spark, d))
 
 
 @query
 def f3_r5_swing(spark: SparkSession, d: str) -> DataFrame:
-    return rules.r5_swing(bills(spark, d)).drop("message")
+    return rules.r5_swing(bills(spark, d))
 
 
 @query
@@ -681,12 +678,12 @@ def g1_r2_days(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def g2_r3_non_positive(spark: SparkSession, d: str) -> DataFrame:
-    return rules.r3_non_positive(bills(spark, d)).drop("message")
+    return rules.r3_non_positive(bills(spark, d))
 
 
 @query
 def g3_detect_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return rules.detect_anomalies(bills(spark, d)).drop("message")
+    return rules.detect_anomalies(bills(spark, d))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.functions.tiers import RATE, tiers_of
+from wattaudit.functions.tiers import STEP_RATE, tiers_of
 from wattaudit.functions.values import norm_sc, parse_date
 
 ITEMS = "array<variant>"
@@ -24,10 +24,13 @@ def tariff_items(document: Column) -> Column:
     )
 
 
-def parse_step(step: Column) -> Column:
-    """Step object as a struct. ``value`` is a number, a map of voltage tiers, or prose (``bad_value``)."""
-    number = F.coalesce(_field(step, "value", RATE), F.trim(_field(step, "value")).try_cast(RATE))
-    tiers = _field(step, "value", f"map<string,{RATE}>")
+def parse_step(step: Column, value: Column) -> Column:
+    """Step object as a struct. Its value is a number, a map of voltage tiers, or prose (``bad_value``).
+
+    ``value`` is the same value as JSON text, in which the tiers stand in their order; a variant sorts its keys.
+    """
+    number = F.coalesce(_field(step, "value", STEP_RATE), F.trim(_field(step, "value")).try_cast(STEP_RATE))
+    tiers = F.from_json(value, "map<string,string>")
     return F.struct(
         F.coalesce(_field(step, "step_name"), F.lit("Step")).alias("step_name"),
         F.trim(F.coalesce(_field(step, "charge_type"), F.lit(""))).alias("charge_type"),
@@ -52,10 +55,27 @@ def explode_items(docs: DataFrame, body: str = "body", doc_id: str = "doc_id") -
     )
 
 
+_VALUES = "struct<logic_steps:array<struct<value:string>>>"
+
+
+def _step_values(body: Column) -> Column:
+    """Per tariff object of a document the values of its steps as JSON text."""
+    one = F.from_json(body, _VALUES)
+    return F.coalesce(
+        F.from_json(body, f"tariffs array<{_VALUES}>")["tariffs"], F.from_json(body, f"array<{_VALUES}>"), F.when(one.isNotNull(), F.array(one))
+    )
+
+
 def tariff_versions(docs: DataFrame, body: str = "body", doc_id: str = "doc_id") -> DataFrame:
     """Tariff versions of JSON documents: sc_code, norm_code, effective_date, steps, and where each came from."""
-    steps = F.transform(F.coalesce(_field("item", "logic_steps", ITEMS), F.array().cast(ITEMS)), parse_step)
-    return explode_items(docs, body, doc_id).select(
+    items = docs.select(
+        F.col(doc_id).alias("doc_id"), _step_values(F.col(body)).alias("_values"),
+        F.posexplode(tariff_items(F.try_parse_json(F.col(body)))).alias("pos", "item"),
+    )
+    found = F.coalesce(_field("item", "logic_steps", ITEMS), F.array().cast(ITEMS))
+    values = F.get("_values", F.col("pos"))["logic_steps"]
+    steps = F.transform(found, lambda step, i: parse_step(step, F.get(values, i)["value"]))
+    return items.select(
         "doc_id",
         "pos",
         _field("item", "sc_code").alias("sc_code"),
