@@ -209,8 +209,8 @@ def test_language_model_is_a_distribution(spark):
     # The classes' probabilities sum to one at every place, and within a class those of its words and one unknown word.
     places = language_model.Places.of([b"the cat ran the dog"], model.frequent)
     _, rows = next(places.blocks())
-    logits = language_model._log_classes(rows, model.weights, model.log_prior)
-    assert np.exp(logits).sum(axis=1) == pytest.approx(np.ones(len(logits)), rel=1e-4)
+    every = [language_model._log_class(rows, np.full(len(rows[0]), k), model.weights, model.log_prior) for k in range(language_model.CLASSES)]
+    assert np.exp(every).sum(axis=0) == pytest.approx(np.ones(len(rows[0])), rel=1e-4)
     held = Counter()
     for r in counts.collect():
         held[int(model.class_of[language_model.ending(r["word"].encode()) if r["word"] else 0])] += r["c"] + 1
@@ -219,6 +219,15 @@ def test_language_model_is_a_distribution(spark):
     assert known
 
 
+def test_add_rows():
+    rng = np.random.default_rng(1)
+    row, values = rng.integers(0, 9, 200).astype(np.uint16), rng.normal(size=(200, 4)).astype(np.float32)
+    got, want = np.zeros((12, 4), np.float32), np.zeros((12, 4))
+    language_model._add_rows(got.T, row, values.T)
+    np.add.at(want, row, values)
+    assert got == pytest.approx(want, abs=1e-5)
+
+
 def test_language_model_without_training(spark, odd):
     model, counts = language_model.train(odd.limit(0))
     found = language_model.score(odd, model, counts).collect()

@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +37,27 @@ FEATURES = SKIPS + 2
 #: Share of the weight that a count's logarithm gets at the start; rounds of gradients, their step and its limit.
 START, ROUNDS, STEP, MOST = 0.45, 2, 0.35, 0.5
 #: Places scored at a time, and distinct words counted before they are handed over.
-BLOCK, HELD = 8192, 200_000
+BLOCK, HELD = 16_384, 200_000
 END = b""
 
 
 def ending(word: bytes) -> int:
-    """Kind of a word's ending, 1 to ENDINGS - 1: its last bytes and the marks behind them."""
-    body = word.rstrip(b".,;:!?\"')")
-    return 1 + zlib.crc32(word[len(body) :][:2] + b" " + body[-3:]) % (ENDINGS - 1)
+    """Kind of a word's ending, 1 to ENDINGS - 1: its last three bytes, marks included."""
+    return 1 + zlib.crc32(word[-3:]) % (ENDINGS - 1)
+
+
+class Index(dict):
+    """Positions of words; -1 for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 @dataclass
 class Frequent:
     """The frequent words with their counts; position i of the arrays belongs to word i, the last one to END."""
 
-    index: dict[bytes, int]
+    index: Index
     log_count: np.ndarray
     hashed: np.ndarray
     endings: np.ndarray
@@ -58,9 +65,8 @@ class Frequent:
     @staticmethod
     def build(counts: list[tuple[bytes, int]], ends: int) -> Frequent:
         found = sorted(counts)
-        index = {w: i for i, (w, _) in enumerate(found)}
         return Frequent(
-            index,
+            Index((w, i) for i, (w, _) in enumerate(found)),
             np.log10(np.array([c for _, c in found] + [ends], np.float64) + 1),
             np.array([zlib.crc32(w) for w, _ in found] + [0], np.uint32),
             np.array([ending(w) for w, _ in found] + [0], np.int32),
@@ -75,30 +81,40 @@ class Places:
     hashed: np.ndarray
     endings: np.ndarray
     real: np.ndarray  # places that hold a token
-    rest: list[list[bytes]]  # the words of each text that aren't frequent
+    rest: list[bytes]  # the words that aren't frequent, in order
+    rest_of: np.ndarray  # the text each of them is in
     sizes: np.ndarray  # tokens of each text
 
     @staticmethod
     def of(texts_: list[bytes | None], frequent: Frequent) -> Places:
-        known, hashed, endings, rest, sizes = [], [], [], [], []
-        get, end = frequent.index.get, len(frequent.index)
-        for text in texts_:
-            found = words(text)
-            at = np.fromiter((get(w, -1) for w in found), np.int32, len(found))
-            others = [found[i] for i in np.nonzero(at < 0)[0]]
-            own_hash, own_ending = frequent.hashed[at], frequent.endings[at]
-            own_hash[at < 0] = [zlib.crc32(w) for w in others]
-            own_ending[at < 0] = [ending(w) for w in others]
-            known += [np.full(SKIPS, -1, np.int32), at, np.array([end], np.int32)]
-            hashed += [np.zeros(SKIPS, np.uint32), own_hash, np.zeros(1, np.uint32)]
-            endings += [np.zeros(SKIPS, np.int32), own_ending, np.zeros(1, np.int32)]
-            rest.append(others)
-            sizes.append(len(found) + 1)
-        sizes = np.array(sizes, np.int64)
-        real = np.ones(int(sizes.sum()) + SKIPS * len(sizes), bool)
-        starts = np.concatenate([[0], np.cumsum(sizes + SKIPS)[:-1]]).astype(np.int64)
-        real[(starts[:, None] + np.arange(SKIPS)).reshape(-1)] = False
-        return Places(np.concatenate(known), np.concatenate(hashed), np.concatenate(endings), real, rest, sizes)
+        found = [words(text) for text in texts_]
+        flat = list(chain.from_iterable(found))
+        counts = np.array([len(f) for f in found], np.int64)
+        at = np.fromiter(map(frequent.index.__getitem__, flat), np.int32, len(flat))
+        starts = np.concatenate([[0], np.cumsum(counts + 1 + SKIPS)]).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        where = np.arange(len(flat)) + np.repeat(starts[:-1] + SKIPS - before, counts)
+        other = np.nonzero(at < 0)[0]
+        rest = [flat[i] for i in other]
+        known = np.full(starts[-1], -1, np.int32)
+        hashed, endings, real = np.zeros(starts[-1], np.uint32), np.zeros(starts[-1], np.int32), np.zeros(starts[-1], bool)
+        known[where], hashed[where], endings[where] = at, frequent.hashed[at], frequent.endings[at]
+        hashed[where[other]] = np.fromiter(map(zlib.crc32, rest), np.uint32, len(rest))
+        endings[where[other]] = np.fromiter(map(ending, rest), np.int32, len(rest))
+        real[where] = True
+        last = starts[1:] - 1
+        known[last], hashed[last], endings[last], real[last] = len(frequent.index), 0, 0, True
+        rest_of = np.repeat(np.arange(len(found)), counts)[other]
+        return Places(known, hashed, endings, real, rest, rest_of, counts + 1)
+
+    def rest_counts(self) -> pa.Array:
+        """Per text the words that aren't frequent, with how often they occur in it."""
+        seen = Counter(zip(self.rest_of.tolist(), self.rest, strict=True))  # in order of texts
+        found = pa.array([w for _, w in seen], pa.binary()).cast(pa.string())
+        number = np.bincount(np.fromiter((t for t, _ in seen), np.int64, len(seen)), minlength=len(self.sizes))
+        ends = np.concatenate([[0], number.cumsum()]).astype(np.int32)
+        items = pa.StructArray.from_arrays([found, pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        return pa.ListArray.from_arrays(ends, items)
 
     def blocks(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         """Positions of tokens with the row numbers of their features, some thousand at a time."""
@@ -130,17 +146,32 @@ def _classes(places: Places, class_of: np.ndarray) -> np.ndarray:
     return class_of[places.endings]
 
 
-def _log_classes(rows: list[np.ndarray], weights: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
-    """Logits of all classes at some places, less their logarithmic sum."""
-    z = weights.take(rows[0], axis=0)
+def _logits(rows: list[np.ndarray], weights: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
+    """Logits of all classes at some places, less the largest of each place."""
+    z = weights.take(rows[0], axis=0, mode="clip")
+    more = np.empty_like(z)
     for r in rows[1:]:
-        z += weights.take(r, axis=0)
+        z += weights.take(r, axis=0, out=more, mode="clip")
     z += log_prior
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def _log_class(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
+    """Logarithm of the probability of the class ``own`` at each place."""
+    z = _logits(rows, weights, log_prior)
+    value = z[np.arange(len(own)), own]
+    return value - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """Add each line of ``values.T`` to the line of ``sums`` that ``row`` names; one class at a time fits the cache."""
+    first, last = int(row.min()), int(row.max()) + 1
+    at = (row - first).astype(np.int64)
+    for k, own in enumerate(values):
+        sums[k, first:last] += np.bincount(at, own, last - first)
+
+
 def _vectors(sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
     rows = np.nonzero(seen)[0]
     data = pa.array([sums[r].tobytes() for r in rows], pa.binary())
@@ -154,7 +185,7 @@ def _gathered(docs: DataFrame, shape: tuple[int, int], add: Callable, frequent:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, np.float32)
+        sums = np.zeros(shape, np.float32, order="F")
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = texts(whole.slice(at, 256), 0)
@@ -244,11 +275,10 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     class_of = _cluster(_gathered(docs, (ENDINGS, ENDINGS), add_pairs, shared), CLASSES)
 
     def add_counts(sums: np.ndarray, places: Places) -> None:
-        own = _classes(places, class_of)
+        own, codes = _classes(places, class_of), []
         for t, rows in places.blocks():
-            for r in rows:
-                code, n = np.unique(r.astype(np.int64) * CLASSES + own[t], return_counts=True)
-                sums.reshape(-1)[code] += n
+            codes += [r.astype(np.int32) * CLASSES + own[t].astype(np.int32) for r in rows]
+        sums += np.bincount(np.concatenate(codes), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
 
     seen = _gathered(docs, (ROWS, CLASSES), add_counts, shared)
     of_class = seen[:ENDINGS].sum(axis=0).astype(np.float64)
@@ -263,12 +293,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         def add_gradient(sums: np.ndarray, places: Places, now: Broadcast = now) -> None:
             own = _classes(places, class_of)
             for t, rows in places.blocks():
-                p = np.exp(_log_classes(rows, now.value, log_prior))
+                p = _logits(rows, now.value, log_prior)
+                np.exp(p, out=p)
+                p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(t)), own[t]] -= 1
+                p = p.T.astype(np.float64)
                 for r in rows:
-                    order = np.argsort(r, kind="stable")
-                    starts = np.nonzero(np.diff(r[order], prepend=np.uint16(65535)))[0]
-                    sums[r[order[starts]]] += np.add.reduceat(p[order], starts, axis=0)
+                    _add_rows(sums.T, r, p)
 
         # Each round takes its share of the texts, so that every text adds to one gradient.
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
@@ -305,7 +336,6 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
     at = len(given.columns) - 1
     found = {"n_tokens": "long", "n_known": "long", "logs": "double", "classes": "double", "rest": "array<struct<word:string,n:long>>"}
     schema = given.drop("_text").withColumns({n: F.lit(None).cast(t) for n, t in found.items()}).schema
-    rest_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -316,16 +346,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
                 own = _classes(places, m.class_of)
                 value, logs = np.zeros(len(own)), np.zeros(len(own))
                 for t, rows in places.blocks():
-                    log_p = _log_classes(rows, m.weights, m.log_prior)
-                    value[t] = log_p[np.arange(len(t)), own[t]] / np.log(10) - m.log_size[own[t]]
+                    log_p = _log_class(rows, own[t], m.weights, m.log_prior)
+                    value[t] = log_p / np.log(10) - m.log_size[own[t]]
                 known = places.real & (places.known >= 0) & (m.tokens > 0)
                 logs[known] = m.frequent.log_count[places.known[known]]
                 ends = np.cumsum(places.sizes + SKIPS)
                 starts = np.concatenate([[0], ends[:-1]])
-                rest = [[{"word": w.decode(), "n": n} for w, n in Counter(r).items()] for r in places.rest]
                 columns = [
                     *batch.columns[:at], pa.array(places.sizes), pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-                    pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(value, starts)), pa.array(rest, rest_type),
+                    pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(value, starts)), places.rest_counts(),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
