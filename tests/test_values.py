@@ -194,5 +194,16 @@ def test_tokens_and_names(spark):
     assert one(spark, text.sheet_name, "") == "Results"
     assert len(one(spark, text.sheet_name, "x" * 40)) == 31
     assert one(spark, text.norm_caps, " a  b* c&d ") == "A B C&D"
-    assert one(spark, lambda c: text.pull(c, [r"no: (\d+)", r"id: (\d+)"]), "ID: 7") == "7"
-    assert one(spark, text.is_money, "$-1,234.50") and not one(spark, text.is_num, "$5")
+    assert one(spark, text.token_kind, "$-1,234.50") == (False, False, False, True)
+    assert one(spark, text.token_kind, "$5") == (False, False, False, True)
+    assert one(spark, text.token_kind, "1,234") == (False, True, True, True)
+    assert one(spark, text.token_kind, " 1/2/99 ").date
+
+
+@pytest.mark.parametrize("shown, day", [
+    ("Jan 5, 2021", "2021-01-05"), ("January 5 2021", "2021-01-05"), ("5-Jan-21", "2021-01-05"), ("05 SEP 1999", "1999-09-05"),
+    ("5-Jan-70", "1970-01-05"), ("Janu 5, 2021", "2021-01-05"), ("Junk 5, 2021", None), ("Feb 30, 2021", None),
+])
+def test_dates_with_month_names(spark, shown, day):
+    got = one(spark, values.parse_date, shown)
+    assert (None if got is None else str(got)) == day

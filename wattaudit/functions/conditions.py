@@ -14,8 +14,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.operators.lookups import bounded_rows
-
 # Variables a condition may use, and the column each reads.
 VARIABLES = {
     "user.billed_kwh": "billed_kwh",
@@ -27,7 +25,13 @@ VARIABLES = {
 }
 
 ALWAYS = "Always"
-MAX_CONDITIONS = 5_000
+
+#: A number that stands alone, and everything that an expression may consist of; a text with more in it is prose.
+_NUMBER = r"(?<![\w.])(?:0|[1-9]\d*)(?:\.\d+)?(?![\w.])"
+_EXPRESSION = (
+    r"\buser\.\w+(?:\.\w+)?|\bdelivery_voltage\b|\bkV\b|\b(?:and|or|not|in|min|max|abs|round|True|False)\b"
+    r"|(?<![\w.])(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?![\w.])|[()\[\]{},<>=!+\-*/%]"
+)
 
 _DATE_PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth}
 _COMPARE = {
@@ -210,34 +214,77 @@ def compile_formula(text: str | None, variables: Mapping[str, Column] | None = N
         return F.lit(None).cast("double")
 
 
-def distinct_texts(versions: DataFrame, field: str, limit: int = MAX_CONDITIONS) -> list[str]:
-    """Distinct values of a step field (``condition``, ``formula``) over all tariff versions; tens in practice."""
-    texts = versions.select(F.explode("steps").alias("s")).select(F.col(f"s.{field}").alias("t"))
-    rows = bounded_rows(texts.where(F.col("t").isNotNull()).distinct(), limit, f"distinct {field} texts")
-    return sorted(r.t for r in rows)
+def template_of(text: Column) -> Column:
+    """The expression in ``text`` with ``?`` for its numbers; null for prose, which is decided by shape alone.
+
+    Texts that differ only in numbers share a template, so few have to be compiled however many texts there are. The
+    places of ``round`` are part of the template.
+    """
+    shape = F.regexp_replace(text, _EXPRESSION, "")
+    return F.when(F.trim(shape) == "", F.when(text.contains("round"), text).otherwise(F.regexp_replace(text, _NUMBER, "?")))
+
+
+def numbers_of(text: Column) -> Column:
+    """The numbers that ``template_of`` takes out of a text, in order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_NUMBER), 0), lambda n: n.cast("double"))
+
+
+def with_templates(versions: DataFrame, *fields: str) -> DataFrame:
+    """Versions whose steps also hold ``<field>_template`` and ``<field>_numbers`` of the given text fields.
+
+    This is done once per version, not per bill.
+    """
 
+    def extended(step: Column) -> Column:
+        for f in fields:
+            step = step.withField(f"{f}_template", template_of(step[f])).withField(f"{f}_numbers", numbers_of(step[f]))
+        return step
 
-def case_of(text: Column, texts: list[str], compiled: Callable[[str], Column], default: Column) -> Column:
-    """``CASE text WHEN <t> THEN <compiled t> … ELSE default``"""
+    return versions.withColumn("steps", F.transform("steps", extended))
+
+
+def templates(versions: DataFrame, field: str) -> list[str]:
+    """Distinct templates of a step field over versions from ``with_templates``."""
+    found = versions.select(F.explode("steps").alias("s")).select(F.col(f"s.{field}_template").alias("t"))
+    return sorted(r.t for r in found.where(F.col("t").isNotNull()).distinct().collect())
+
+
+def _filled(template: str, numbers: Column, variables: Mapping[str, Column] | None) -> tuple[str, dict[str, Column]]:
+    """A template with names for its numbers, and the variables with those names."""
+    parts = template.split("?")
+    text = parts[0] + "".join(f"_n{i}{part}" for i, part in enumerate(parts[1:]))
+    named = {f"_n{i}": F.get(numbers, F.lit(i)) for i in range(len(parts) - 1)}
+    return text, {**(default_variables() if variables is None else variables), **named}
+
+
+def case_of(template: Column, known: list[str], compiled: Callable[[str], Column], default: Column) -> Column:
+    """``CASE template WHEN <t> THEN <compiled t> … ELSE default``"""
     result = None
-    for t in texts:
-        branch = text == F.lit(t)
+    for t in known:
+        branch = template == F.lit(t)
         result = F.when(branch, compiled(t)) if result is None else result.when(branch, compiled(t))
     return default if result is None else result.otherwise(default)
 
 
-def condition_holds(condition: Column, texts: list[str], variables: Mapping[str, Column] | None = None) -> Column:
-    """Whether the condition of a step holds for its bill, for steps drawn from ``texts``."""
+def condition_holds(
+    condition: Column, template: Column, numbers: Column, known: list[str], variables: Mapping[str, Column] | None = None
+) -> Column:
+    """Whether a condition holds, by its template (one of ``known``; null for prose) and numbers."""
     always = condition.isNull() | (condition == ALWAYS)
-    others = [t for t in texts if t != ALWAYS]
-    return always | case_of(condition, others, lambda t: compile_condition(t, variables), F.lit(False))
+    return always | case_of(template, known, lambda t: compile_condition(*_filled(t, numbers, variables)), F.lit(False))
+
+
+def formula_value(
+    formula: Column, template: Column, numbers: Column, known: list[str], variables: Mapping[str, Column] | None = None
+) -> Column:
+    """Value of a formula by its template and numbers: 0 without a formula, null for prose."""
+    none = F.lit(None).cast("double")
+    value = case_of(template, known, lambda t: compile_formula(*_filled(t, numbers, variables)), none)
+    return F.when(formula.isNull(), F.lit(0.0)).otherwise(value)
 
 
 def with_condition(steps: DataFrame, condition: str = "condition", out: str = "holds") -> DataFrame:
-    """Add whether the condition of each row holds; the distinct texts are compiled once on the driver."""
-    rows = bounded_rows(
-        steps.where(F.col(condition).isNotNull()).select(F.col(condition).alias("t")).distinct(),
-        MAX_CONDITIONS,
-        "distinct condition texts",
-    )
-    return steps.withColumn(out, condition_holds(F.col(condition), sorted(r.t for r in rows)))
+    """Add whether the condition of each row holds; the distinct templates are compiled once on the driver."""
+    text = F.col(condition)
+    known = steps.select(template_of(text).alias("t")).where(F.col("t").isNotNull()).distinct().collect()
+    return steps.withColumn(out, condition_holds(text, template_of(text), numbers_of(text), sorted(r.t for r in known)))

@@ -59,17 +59,36 @@ def _short_year(text: Column, pattern: str) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    """Date from ``M/d/yyyy``, ``M/d/yy``, ``yyyy-M-d`` or ``yyyy/M/d``, else any form Spark can cast; bad → null."""
+    """Date from ``M/d/yyyy``, ``M/d/yy``, ``yyyy-M-d``, ``yyyy/M/d``, ``Jan 5, 2021`` or ``5-Jan-21`` (month names in full
+    or short, years of two or four digits), else any form Spark can cast; bad → null."""
     text = F.trim(_col(c).cast("string"))
     return (
         F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_timestamp(text, F.lit("M/d/yyyy")).cast("date"))
         .when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), _short_year(text, "M/d/yy"))
         .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_timestamp(text, F.lit("yyyy-M-d")).cast("date"))
         .when(text.rlike(r"^\d{4}/\d{1,2}/\d{1,2}$"), F.try_to_timestamp(text, F.lit("yyyy/M/d")).cast("date"))
+        .when(text.rlike(_MONTH_FIRST), _named_month(text, _MONTH_FIRST, (1, 2, 3)))
+        .when(text.rlike(_DAY_FIRST), _named_month(text, _DAY_FIRST, (2, 1, 3)))
         .otherwise(text.try_cast("date"))
     )
 
 
+_MONTH_FIRST = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})\s*,?\s+(\d{4}|\d{2})$"
+_DAY_FIRST = r"^(\d{1,2})[\s-]([A-Za-z]{3,9})\.?[\s,-]+(\d{4}|\d{2})$"
+
+
+def _named_month(text: Column, pattern: str, groups: tuple[int, int, int]) -> Column:
+    """Date from the groups of month, day and year; a name counts by its first three letters if it begins a month's name."""
+    month, day, year = (F.regexp_extract(text, pattern, g) for g in groups)
+    short = F.initcap(F.left(month, F.lit(3)))
+    plain = F.concat_ws(" ", short, day, year)
+    full = F.date_format(F.try_to_timestamp(plain, F.lit("MMM d yyyy")), "MMMM")
+    dated = F.when(F.length(year) == 4, F.try_to_timestamp(plain, F.lit("MMM d yyyy")).cast("date"))
+    dated = dated.otherwise(_short_year(plain, "MMM d yy"))
+    two = F.date_format(F.try_to_timestamp(plain, F.lit("MMM d yy")), "MMMM")
+    return F.when(F.startswith(F.lower(F.coalesce(full, two)), F.lower(month)), dated)
+
+
 def norm_sc(c: Column | str) -> Column:
     """Service-class code: null → '', upper case, without blanks and dashes."""
     return F.upper(F.translate(F.coalesce(_col(c), F.lit("")), " -", ""))

@@ -19,7 +19,6 @@ def audit(
     account: str | None = None,
     default_sc: str = "SC1",
     trace: bool = False,
-    conditions: list[str] | None = None,
 ) -> DataFrame:
     """Price all bills by their bill date, without adjustment rates, after cleaning numbers (bad → 0) and dates."""
     if account is not None:
@@ -35,7 +34,7 @@ def audit(
     }
     cleaned = {c: as_number(bills, c, t, "zero") for c, t in kinds.items() if c in bills.columns}
     bills = bills.withColumns({**cleaned, "bill_date": as_date(bills, "bill_date")})
-    return expected_bill(bills, versions, None, bill_date=F.col("bill_date"), trace=trace, conditions=conditions)
+    return expected_bill(bills, versions, None, bill_date=F.col("bill_date"), trace=trace)
 
 
 def _summary() -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattaudit.functions.text import ACCOUNT, DATE, norm_caps, norm_space, pull, repair_scan
+from wattaudit.functions.text import ACCOUNT, DATE, norm_caps, norm_space, repair_scan
 from wattaudit.functions.values import clean_number, parse_date
 
 # Tokens of a history row and where a customer name stands.
@@ -131,7 +131,7 @@ def bill_rows(
     found = _with_customer(ready, "text", min_similarity).select(
         "doc_id",
         F.nullif(F.col("customer"), F.lit("")).alias("customer"),
-        F.nullif(pull("text", [_ACCOUNT_LABEL]), F.lit("")).alias("bill_account"),
+        F.nullif(norm_space(F.regexp_extract("text", f"(?i){_ACCOUNT_LABEL}", 1), False), F.lit("")).alias("bill_account"),
         F.posexplode(_rows_of(F.col("text"))).alias("row_no", "piece"),
     )
     found = found.withColumns(

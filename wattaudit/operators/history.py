@@ -3,9 +3,9 @@
 Window functions put all rows of a partition key into one task. Most accounts are short, so they simply use one window
 per account. An account that holds more than ``hot_rows`` bills is cut into chunks of consecutive bills:
 
-1. ``account_profile`` counts bills per account (combined on the map side). At most ``max_hot`` accounts above
-   ``hot_rows`` are hot, largest first, so the hot table has a proven size: it is read once and broadcast. Any account
-   left out of it has at most 1/``max_hot`` of all rows.
+1. ``profile`` counts bills per account (combined on the map side). Every account above ``hot_rows`` is hot, however
+   many there are. The list of hot accounts is written once; up to ``max_hot`` rows it is broadcast, beyond that it is
+   joined with the bills spread over salts.
 2. Every bill of a hot account gets its exact position: bills before its day, plus bills before its slab of ids in that
    day, plus its place in the slab. A day window has at most one row per calendar day, a slab window at most one row per
    slab. A slab spans ``slab_ids`` consecutive ids, so it holds no more bills than that (ids are unique), or one
@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wattaudit.operators.lookups import bounded_rows
+from wattaudit.operators.lookups import lookup_join
+from wattaudit.session import work_dir
 
 MAX_SLABS = 1 << 20
 _INTERNAL = ("_key", "hot_min_id", "hot_max_id")
@@ -57,10 +58,10 @@ def _named(key: str) -> Column:
 
 
 def hot_keys(profiled: DataFrame, key: str, hot: HotKeys) -> DataFrame:
-    """The largest keys above the threshold as (_key, hot_<stat> …): at most ``max_hot`` rows, the same ones every time."""
+    """All keys above the threshold as (_key, hot_<stat> …)."""
     stats = {s: f"hot_{s}" for s in profiled.columns if s != key}
     large = profiled.where(F.col("n_rows") > hot.hot_rows).withColumn("_key", _named(key))
-    return large.orderBy(F.desc("n_rows"), "_key").limit(hot.max_hot).drop(key).withColumnsRenamed(stats)
+    return large.drop(key).withColumnsRenamed(stats)
 
 
 def positions(df: DataFrame, day: str, row_id: str, hot: HotKeys) -> DataFrame:
@@ -110,15 +111,20 @@ def cut(
     if hot.chunk_rows < max(lookback, lookahead):
         raise ValueError("a chunk must be at least as long as the halo")
     largest = hot_keys(profiled, key, hot)
-    # At most max_hot rows. Read once, so that every use below sees the same accounts; mostly there are none.
-    found = bounded_rows(largest, hot.max_hot, "hot keys")
+    # Read once, so that every use below sees the same accounts; mostly there are none.
+    found = largest.limit(hot.max_hot + 1).collect()
     whole = {"position": F.lit(None).cast("long"), "chunk": F.lit(0).cast("long"), "is_halo": F.lit(False)}
     if not found:
         unknown = {c: F.lit(None).cast(largest.schema[c].dataType) for c in largest.columns if c not in _INTERNAL}
         return df.withColumns({**whole, **unknown})
     df = df.withColumn("_key", _named(key))
-    large = F.broadcast(df.sparkSession.createDataFrame(found, largest.schema))
-    tagged = df.join(large, "_key", "left")
+    if len(found) > hot.max_hot:
+        path = work_dir(df.sparkSession, "hot-keys")
+        largest.write.parquet(path)
+        large = df.sparkSession.read.schema(largest.schema).parquet(path)
+    else:
+        large = df.sparkSession.createDataFrame(found, largest.schema)
+    tagged = lookup_join(df, large, ["_key"], max_rows=hot.max_hot, spread=F.col(row_id))
     short = tagged.where(F.col("hot_n_rows").isNull()).withColumns(whole)
     size = hot.chunk_rows
     place = F.pmod(F.col("position"), F.lit(size))
@@ -131,7 +137,7 @@ def cut(
         )
     )
     long = (
-        positions(df.join(large, "_key"), day, row_id, hot)
+        positions(tagged.where(F.col("hot_n_rows").isNotNull()), day, row_id, hot)
         .withColumn("_copy", F.explode(copies))
         .withColumns({"chunk": F.col("_copy.chunk"), "is_halo": F.col("_copy.is_halo")})
         .drop("_copy")

@@ -1,6 +1,6 @@
 """Joins of a large table with a dimension, and bounded reads of small tables.
 
-A dimension is broadcast only after its row count has been checked. Beyond the bound the join is a shuffle join whose
+A dimension is broadcast only after its rows and its bytes (as JSON) have been checked. Beyond a bound the join is a shuffle join whose
 large side is salted, so that one hot key (a third of all bills in one month of one class, say) is spread over
 ``salts`` tasks; the dimension is copied once per salt.
 """
@@ -13,12 +13,15 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows of ``max_bytes`` together; reads no more than one row beyond that."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, used = df.limit(max_rows + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= max_rows and used <= max_bytes
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list[Row]:

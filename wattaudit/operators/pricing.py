@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.functions.conditions import case_of, compile_formula, condition_holds, distinct_texts
+from wattaudit.functions.conditions import condition_holds, formula_value, templates, with_templates
 from wattaudit.functions.tiers import RATE, STEP_RATE, tier_rate
 from wattaudit.operators.lookups import BROADCAST_ROWS, lookup_join
 from wattaudit.operators.rates import rates_for_bills
 from wattaudit.operators.versions import pick_version
+from wattaudit.sources.bills import with_voltage
 
 # Charge types and the usage each rate multiplies.
 FIXED = ("fixed_fee",)
@@ -48,6 +49,7 @@ def _variables() -> dict[str, Column]:
 
 def _prepared(bills: DataFrame, bill_date: Column) -> DataFrame:
     """Usage with null as 0, days 0/null as 30, and optional columns that a bill table may lack."""
+    bills = with_voltage(bills)
     optional = {"billed_rkva": "double", "delivery_voltage_kv": "double", "days_used": "int", "billed_demand": "double"}
     bills = bills.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in bills.columns})
     days = F.coalesce(F.col("days_used"), F.lit(0))
@@ -87,7 +89,6 @@ def expected_bill(
     rates: DataFrame | None = None,
     class_aliases: dict[str, str] | None = None,
     bill_date: Column | None = None,
-    conditions: list[str] | None = None,
     trace: bool = False,
     detail: bool = False,
     max_rows: int = BROADCAST_ROWS,
@@ -100,7 +101,8 @@ def expected_bill(
     demand_kw, tra and rdm; ``trace`` adds the ordered text lines of the calculation.
     """
     when_billed = F.coalesce("read_date", "bill_date") if bill_date is None else bill_date
-    texts = distinct_texts(versions, "condition") if conditions is None else conditions
+    versions = with_templates(versions, "condition")
+    known = templates(versions, "condition")
     priced = pick_version(_prepared(bills, when_billed), versions, True, bill_date=F.col("_bill_date"), max_rows=max_rows)
     code = F.col("norm_code")
     for alias, target in (class_aliases or {}).items():
@@ -112,7 +114,7 @@ def expected_bill(
         priced = rates_for_bills(priced, rates, F.col("_rate_code"), F.col("_bill_date"), max_rows=max_rows)
 
     def held(step: Column) -> Column:
-        return condition_holds(step["condition"], texts, _variables())
+        return condition_holds(step["condition"], step["condition_template"], step["condition_numbers"], known, _variables())
 
     no_steps = F.array().cast(versions.schema["steps"].dataType)
     steps = F.coalesce(F.col("version.steps"), no_steps)
@@ -192,8 +194,6 @@ def expected_bill(
 def expected_bill_legacy(
     bills: DataFrame,
     versions: DataFrame,
-    conditions: list[str] | None = None,
-    formulas: list[str] | None = None,
     default_sc: str = "SC1",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
@@ -201,8 +201,8 @@ def expected_bill_legacy(
 
     Its variance is expected − actual. A step whose formula has no value is skipped.
     """
-    conditions = distinct_texts(versions, "condition") if conditions is None else conditions
-    formulas = distinct_texts(versions, "formula") if formulas is None else formulas
+    versions = with_templates(versions, "condition", "formula")
+    conditions, formulas = templates(versions, "condition"), templates(versions, "formula")
     last = versions.groupBy("sc_code").agg(F.max_by("steps", F.struct("doc_id", "pos")).alias("steps"))
     bills = _prepared(bills, F.col("bill_date")).withColumn(
         "sc_code", F.coalesce(F.col("service_class"), F.lit(default_sc))
@@ -212,12 +212,13 @@ def expected_bill_legacy(
     variables.pop("delivery_voltage")
     held = F.filter(
         F.col("steps"),
-        lambda s: s["charge_type"].isin("fixed_fee", "formula") & condition_holds(s["condition"], conditions, variables),
+        lambda s: s["charge_type"].isin("fixed_fee", "formula")
+        & condition_holds(s["condition"], s["condition_template"], s["condition_numbers"], conditions, variables),
     )
 
     def cost(step: Column) -> Column:
-        formula = case_of(
-            step["formula"], formulas, lambda t: compile_formula(t, variables), F.lit(0.0)
+        formula = formula_value(
+            step["formula"], step["formula_template"], step["formula_numbers"], formulas, variables
         ).try_cast(COST)
         flat = F.when(~step["bad_value"], F.coalesce(step["number"], F.lit(0).cast(STEP_RATE)).cast(COST))
         return F.when(step["charge_type"] == "formula", formula).otherwise(flat)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wattaudit.functions.text import effective_date
 from wattaudit.operators.history import running
 
-# Heading of a section, where it is looked for, where its date is looked for, and the default date.
+# Heading of a section, the windows of the original in which it and its date are looked for, and the default date.
 HEADING = r"^\s*(?:SERVICE CLASSIFICATION|S\.C\.)\s*(?:NO\.|NUMBER)\s*([0-9]+(?:-[A-Z]|[A-Z])?)"
 HEADING_CHARS = 1_000
 DATE_CHARS = 3_000
@@ -18,13 +18,13 @@ DEFAULT_DATE = "2025-09-01"
 SECTION = ["doc_id", "sc_code", "start_page"]
 
 
-def heading_code(text: Column, chars: int = HEADING_CHARS) -> Column:
-    """Class code of a section heading near the top of a page, null if there is none."""
-    raw = F.regexp_extract(F.substring(text, 1, chars), f"(?imd){HEADING}", 1)
+def heading_code(text: Column, chars: int | None = None) -> Column:
+    """Class code of the first section heading of a page (within its first ``chars`` characters), null if there is none."""
+    raw = F.regexp_extract(text if chars is None else F.substring(text, 1, chars), f"(?imd){HEADING}", 1)
     return F.when(raw != "", F.concat(F.lit("SC"), F.upper(F.translate(raw, "- ", ""))))
 
 
-def section_pages(pages: DataFrame, width: int = 10_000) -> DataFrame:
+def section_pages(pages: DataFrame, width: int = 10_000, heading_chars: int | None = None) -> DataFrame:
     """Pages with the section they belong to: sc_code, start_page, and ``offset``, the place of the page's text in the
     section's text (pages joined by line breaks).
 
@@ -32,7 +32,7 @@ def section_pages(pages: DataFrame, width: int = 10_000) -> DataFrame:
     none. Where a class comes back later in a document, only its last section counts; ``end_page`` is the page before
     the next section.
     """
-    found = pages.withColumn("_code", heading_code(F.col("text")))
+    found = pages.withColumn("_code", heading_code(F.col("text"), heading_chars))
     headed = running(found, ["doc_id"], "page_number", F.col("_code"), "_before", inclusive=False, width=width)
     starts = F.col("_code").isNotNull() & ~F.col("_code").eqNullSafe(F.col("_before"))
     begun = F.when(starts, F.struct(F.col("page_number").alias("start_page"), F.col("_code").alias("sc_code")))
@@ -83,13 +83,23 @@ def section_text(pages: DataFrame, chars: int | None) -> DataFrame:
 
 
 def tariff_sections(
-    pages: DataFrame, width: int = 10_000, full_text: bool = False, default_date: str = DEFAULT_DATE
+    pages: DataFrame,
+    width: int = 10_000,
+    full_text: bool = True,
+    default_date: str = DEFAULT_DATE,
+    heading_chars: int | None = None,
+    date_chars: int | None = None,
 ) -> DataFrame:
-    """One row per document and class: start_page, end_page, effective_date, n_pages, n_chars (and ``full_text``)."""
-    placed = section_pages(pages, width)
+    """One row per document and class: start_page, end_page, effective_date, n_pages, n_chars (and ``full_text``).
+
+    Headings and dates are looked for in whole pages and sections; ``heading_chars`` and ``date_chars`` limit that to
+    the beginning, as the original does with HEADING_CHARS and DATE_CHARS.
+    """
+    placed = section_pages(pages, width, heading_chars)
     sections = _winners(placed, width)
-    heads = section_text(placed, None if full_text else DATE_CHARS)
-    date = F.coalesce(effective_date(F.left(F.col("text"), F.lit(DATE_CHARS))), F.to_date(F.lit(default_date)))
+    heads = section_text(placed, None if full_text else date_chars)
+    searched = F.col("text") if date_chars is None else F.left(F.col("text"), F.lit(date_chars))
+    date = F.coalesce(effective_date(searched), F.to_date(F.lit(default_date)))
     joined = sections.join(heads, SECTION).withColumn("effective_date", date)
     out = ["doc_id", "sc_code", "start_page", "end_page", "effective_date", "n_pages", "n_chars"]
     return joined.select(*out, *([F.col("text").alias("full_text")] if full_text else []))

@@ -186,7 +186,8 @@ ORACLE["a2_tariff_versions"] = _with(
 )
 ORACLE["a3_doc_pages"] = _with(
     _views("tariff_pages"),
-    "SELECT concat_ws('-', doc_id, page_number) AS doc_id, page_number, text FROM tariff_pages",
+    """SELECT concat_ws('-', doc_id, page_number) AS doc_id, page_number, text,
+    CASE WHEN page_number % 3 <> 0 THEN concat('[[["row ', page_number, '","', doc_id, '"]]]') END AS "tables" FROM tariff_pages""",
 )
 ORACLE["a4_csv_bills"] = ORACLE["a5_json_bills"] = _with(BILL, f"SELECT {STORED_OUT} FROM bills")
 LOGGED = {
@@ -204,9 +205,18 @@ ORACLE["a6_parse_logs"] = _with(
 )
 ORACLE["a7_append_bills"] = _with(
     BILL,
-    f"""SELECT bill_account, customer, {txt('bill_date', 'read_date')}, days_used, billed_kwh, billed_demand, load_factor,
-    {dbl('bill_amount', 'sales_tax_amt')} FROM bills JOIN (VALUES (1), (2)) AS twice(n) ON true""",
-)
+    f"""SELECT id % 1000 AS raw_bill_document_id, bill_account, customer, {txt('bill_date', 'read_date')}, days_used, billed_kwh,
+    billed_demand, load_factor, billed_rkva, {dbl('bill_amount', 'sales_tax_amt')}, CAST(NULL AS DOUBLE) AS bill_amount_with_sales_tax,
+    CAST(NULL AS DOUBLE) AS retracted_amt, CAST(NULL AS DOUBLE) AS sales_tax_factor,
+    CASE WHEN id % 7 > 0 THEN service_class END AS service_class, delivery_voltage_kv,
+    concat(CAST(read_date AS VARCHAR), ' 00:00:00') AS created_at FROM bills JOIN (VALUES (1), (2)) AS twice(n) ON true""",
+)
+ORACLE["a8_list_documents"] = " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, count(*) AS n_rows FROM {t}" for t in views.TABLES)
+ACCOUNT = "bill_account = '1120000100'"
+ORACLE["a1_account_bills"] = _with(BILL, f"SELECT {BILL_OUT} FROM bills WHERE {ACCOUNT}")
+STORED = {**AUDITED, "bills": f"SELECT * REPLACE (CASE WHEN id % 7 > 0 THEN service_class ELSE 'SC1' END AS service_class) FROM ({views.duckdb_sql('bills')})"}
+ORACLE["e4_stored_audit"] = _with(STORED, f"SELECT {PRICED_OUT.removeprefix('id, ')}, unpriced AS unpriced_steps FROM priced")
+ORACLE["e4_account_audit"] = _with(AUDITED, f"SELECT {PRICED_OUT}, unpriced AS unpriced_steps FROM priced WHERE {ACCOUNT}")
 ORACLE["a9_export_results"] = _with(
     PRICED,
     """SELECT CAST(read_date AS VARCHAR) AS "Bill Date", sc_code AS "Service Class", billed_kwh AS "kWh",
@@ -394,6 +404,16 @@ ORACLE["c1_validation_results"] = _with(
     f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
     CAST(read_date AS VARCHAR) AS detected_on, status FROM found ORDER BY read_date DESC, 1 LIMIT 100""",
 )
+ORACLE["c1_account_results"] = _with(
+    ANOMALIES,
+    f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
+    CAST(read_date AS VARCHAR) AS detected_on, status FROM found WHERE account = '1120000100'""",
+)
+ORACLE["d8_issues_of_bills"] = _with(
+    ANOMALIES,
+    f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
+    CAST(read_date AS VARCHAR) AS detected_on, status FROM found WHERE bill_id = (SELECT min(id) FROM bills)""",
+)
 ORACLE["g3_bill_anomalies"] = _with(
     {
         **ANOMALIES,
@@ -632,7 +652,7 @@ ORACLE["f6_version_intervals"] = _with(
 )
 SECTIONS = {
     **_views("tariff_pages"),
-    "coded": r"""SELECT *, nullif(regexp_extract(left(text, 1000),
+    "coded": r"""SELECT *, nullif(regexp_extract(text,
         '(?im)^\s*(?:SERVICE CLASSIFICATION|S\.C\.)\s*(?:NO\.|NUMBER)\s*([0-9]+(?:-[A-Z]|[A-Z])?)', 1), '') AS raw FROM tariff_pages""",
     "carried": """SELECT doc_id, page_number, text, concat('SC', upper(replace(raw, '-', ''))) AS code, raw,
         last_value(CASE WHEN raw IS NOT NULL THEN concat('SC', upper(replace(raw, '-', ''))) END IGNORE NULLS)
@@ -731,11 +751,11 @@ ORACLE["l2_tariff_sections"] = _with(
         **SECTIONS,
         "spanned": "SELECT *, lead(start_page) OVER (PARTITION BY doc_id ORDER BY start_page) AS nxt FROM texts",
         "lasting": "SELECT * FROM spanned QUALIFY row_number() OVER (PARTITION BY doc_id, sc_code ORDER BY start_page DESC) = 1",
-        "dated": r"SELECT *, regexp_extract(left(full_text, 3000), '(?i)Effective Date:\s*(\d{2}/\d{2}/\d{4})', 1) AS d FROM lasting",
+        "dated": r"SELECT *, regexp_extract(full_text, '(?i)Effective Date:\s*(\d{2}/\d{2}/\d{4})', 1) AS d FROM lasting",
     },
     """SELECT doc_id, sc_code, start_page, coalesce(nxt - 1, last_page) AS end_page,
     CASE WHEN d = '' THEN '2025-09-01' ELSE strftime(strptime(d, '%m/%d/%Y'), '%Y-%m-%d') END AS effective_date, n_pages,
-    length(full_text) AS n_chars FROM dated""",
+    length(full_text) AS n_chars, full_text FROM dated""",
 )
 _SQUASH = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 ORACLE["n1_names"] = rf"""SELECT doc_id, md5(regexp_replace(upper(replace({_SQUASH}, 'ß', 'ss')), '[^A-Z0-9 &''.,\-/]', '', 'g')) AS caps,
@@ -774,7 +794,7 @@ ORACLE["s1_stream_usage"] = _with(
     COSTS,
     """SELECT month, key AS model, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
     CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
-    CAST(sum(cost) AS DOUBLE) AS cost, grouping(key) = 1 AS is_total FROM costs WHERE kind = 'llm' GROUP BY month, key""",
+    CAST(sum(cost) AS DOUBLE) AS cost FROM costs WHERE kind = 'llm' GROUP BY month, key""",
 )
 ORACLE["s1_stream_operations"] = _with(
     COSTS,
@@ -783,6 +803,6 @@ ORACLE["s1_stream_operations"] = _with(
 )
 ORACLE["s2_stream_logs"] = _with(
     LOGGED,
-    """SELECT 'app' AS source, trim(split_part(line, '|', 2)) AS level, concat(left(line, 13), ':00:00') AS hour, count(*) AS n_lines
-    FROM parsed WHERE fits GROUP BY ALL""",
+    """SELECT 'app' AS source, CASE WHEN fits THEN trim(split_part(line, '|', 2)) ELSE 'INFO' END AS level,
+    CASE WHEN fits THEN concat(left(line, 13), ':00:00') END AS hour, count(*) AS n_lines FROM parsed GROUP BY ALL""",
 )

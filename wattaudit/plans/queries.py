@@ -26,6 +26,7 @@ from wattaudit.streaming.tables import current_state, start_update_table
 from wattaudit.streaming.usage import stream_operations, stream_usage
 
 KEY = "bill audit token key"
+ACCOUNT = "1120000100"
 GENERATED = "2025-01-01 00:00:00 UTC"
 ALIASES = {"SC2ND": "SC2"}
 
@@ -141,13 +142,15 @@ def a2_tariff_versions(spark: SparkSession, d: str) -> DataFrame:
 def a3_doc_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages written as JSON in both layouts and read back."""
     pages = views.view(spark, d, "tariff_pages")
-    listed = F.to_json(F.struct(F.array(F.struct("page_number", "text")).alias("pages")))
-    keyed = F.to_json(F.create_map(F.col("page_number").cast("string"), F.struct("text")))
+    cells = F.array(F.concat(F.lit("row "), F.col("page_number").cast("string")), F.col("doc_id").cast("string"))
+    pages = pages.withColumn("tables", F.when(F.col("page_number") % 3 != 0, F.array(F.array(cells))))
+    listed = F.to_json(F.struct(F.array(F.struct("page_number", "text", "tables")).alias("pages")))
+    keyed = F.to_json(F.create_map(F.col("page_number").cast("string"), F.struct("text", "tables")))
     docs = pages.select(
         F.concat_ws("-", "doc_id", "page_number").alias("doc_id"),
         F.when(F.col("page_number") % 2 == 0, listed).otherwise(keyed).alias("body"),
     )
-    return tariffs.doc_pages(docs).drop("tables")
+    return tariffs.doc_pages(docs).withColumn("tables", F.to_json("tables"))
 
 
 @query
@@ -183,11 +186,14 @@ def a6_parse_logs(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select(*[c for c in LOGS.fieldNames() if c != "context"], F.col("context")["line_number"].alias("noted"))
 
 
-@query
-def a7_append_bills(spark: SparkSession, d: str) -> DataFrame:
-    """Bills as text, appended to a stored table twice over and read back without the assigned ids."""
-    path = work_dir(spark, "bills-table")
-    as_text = bills(spark, d).select(
+def _as_text(b: DataFrame) -> DataFrame:
+    """Bills as text, some without class."""
+    return b.select(
+        (F.col("id") % 1000).alias("raw_bill_document_id"),
+        F.when(F.col("id") % 7 > 0, F.col("service_class")).alias("service_class"),
+        F.col("delivery_voltage_kv").cast("string").alias("delivery_voltage"),
+        F.col("read_date").cast("timestamp").alias("created_at"),
+        F.col("billed_rkva").cast("string").alias("billed_rkva"),
         "bill_account",
         "customer",
         F.date_format("bill_date", "M/d/yyyy").alias("bill_date"),
@@ -196,14 +202,57 @@ def a7_append_bills(spark: SparkSession, d: str) -> DataFrame:
         values.money_text("bill_amount").alias("bill_amount"),
         values.money_text("sales_tax_amt").alias("sales_tax_amt"),
     )
+
+
+@query
+def a7_append_bills(spark: SparkSession, d: str) -> DataFrame:
+    """Bills as text, appended to a stored table twice over and read back without the assigned ids."""
+    path, as_text = work_dir(spark, "bills-table"), _as_text(bills(spark, d))
     bill_source.append_bills(as_text, path)
     bill_source.append_bills(as_text, path, bill_source.next_id(spark, path))
-    return spark.read.parquet(path).drop("id", *_ABSENT, "billed_rkva")
+    return bill_source.read_bills(spark, path).drop("id")
+
+
+@query
+def a1_account_bills(spark: SparkSession, d: str) -> DataFrame:
+    return bill_source.of_account(bills(spark, d), f" {ACCOUNT} ")
+
+
+@query
+def e4_stored_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Stored bills, priced; those without class by the default class."""
+    path = work_dir(spark, "bills-table")
+    bill_source.append_bills(_as_text(bills(spark, d)), path)
+    return audits.audit(bill_source.read_bills(spark, path), priced_versions(spark)).drop("id")
+
+
+@query
+def e4_account_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audits.audit(bills(spark, d), priced_versions(spark), account=ACCOUNT)
+
+
+@query
+def c1_account_results(spark: SparkSession, d: str) -> DataFrame:
+    return issues.validation_results(found_issues(spark, d), account=ACCOUNT)
+
+
+@query
+def d8_issues_of_bills(spark: SparkSession, d: str) -> DataFrame:
+    """The issues of the bill with the smallest id."""
+    first = bills(spark, d).agg(F.min("id")).first()[0]
+    return issues.issues_of_bill(found_issues(spark, d), first)
 
 
 @query
 def a8_list_documents(spark: SparkSession, d: str) -> DataFrame:
-    return files.list_documents(spark, d).select("file_name", F.col("length").alias("n_bytes"))
+    """Stored tables with the number of their rows; a table of several files counts as one."""
+    name = F.regexp_extract("path", r"/(\w+\.parquet)(?:/[^/]*)?$", 1)
+    listed = files.list_documents(spark, f"{d}/*.parquet").select(name.alias("file_name")).where("file_name <> ''").distinct()
+    counted = None
+    for t in views.TABLES:
+        rows = views.table(spark, d, t).agg(F.lit(f"{t}.parquet").alias("file_name"), F.count(F.lit(1)).alias("n_rows"))
+        counted = rows if counted is None else counted.unionByName(rows)
+    return listed.join(counted, "file_name")
 
 
 @query
@@ -828,11 +877,12 @@ def _tokens(b: DataFrame) -> DataFrame:
 @query
 def n2_token_kinds(spark: SparkSession, d: str) -> DataFrame:
     tested = _tokens(bills(spark, d)).select(
-        "id", "no", text.is_date_token("token").alias("is_date"), text.is_intlike("token").alias("is_int"),
-        text.is_num("token").alias("is_num"), text.is_money("token").alias("is_money"),
-        text.has_page_footer("token").alias("is_footer"),
+        "id", "no", text.token_kind("token").alias("kind"), text.has_page_footer("token").alias("is_footer")
+    )
+    return tested.select(
+        "id", "no", F.col("kind.date").alias("is_date"), F.col("kind.whole").alias("is_int"), F.col("kind.number").alias("is_num"),
+        F.col("kind.money").alias("is_money"), "is_footer",
     )
-    return tested
 
 
 @query

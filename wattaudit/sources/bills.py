@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattaudit.operators.columns import as_date, as_number, conform
 from wattaudit.schemas import BILLS, STORED_BILLS
@@ -30,8 +31,15 @@ def read_bills_jdbc(
     return of_account(reader.load(), account)
 
 
-def typed_bills(df: DataFrame) -> DataFrame:
-    """Bill columns in stored order; missing ones are null, dates and numbers are read leniently, bad ones become null."""
+def with_voltage(df: DataFrame) -> DataFrame:
+    """``delivery_voltage`` is another name of ``delivery_voltage_kv``."""
+    if "delivery_voltage" not in df.columns or "delivery_voltage_kv" in df.columns:
+        return df
+    return df.withColumnRenamed("delivery_voltage", "delivery_voltage_kv")
+
+
+def typed_bills(df: DataFrame, *keep: str) -> DataFrame:
+    """Bill columns in stored order, then the columns ``keep`` as they are; missing ones are null, dates and numbers are read leniently, bad ones become null."""
     casts = {}
     for field in BILLS.fields:
         kind = field.dataType.simpleString()
@@ -43,17 +51,26 @@ def typed_bills(df: DataFrame) -> DataFrame:
             casts[field.name] = as_number(df, field.name).try_cast("int")
         elif kind != "string":
             casts[field.name] = as_number(df, field.name, kind)
-    return conform(df, BILLS, casts=casts)
+    schema = T.StructType([*BILLS.fields, *[df.schema[name] for name in keep]])
+    return conform(df, schema, casts={**casts, **{name: F.col(name) for name in keep}})
 
 
 def append_bills(df: DataFrame, target: str, first_id: int = 0) -> None:
     """Append to the stored table, numbering the new bills from ``first_id``.
 
+    The document a bill comes from, its class and its voltage (under either name) are kept; ``created_at`` is the time of
+    the append unless the bills have one.
+
     Bills are never deduplicated here; R6 finds repeated ones. Ids are unique, not consecutive: each task counts in a
     range of its own.
     """
-    numbered = typed_bills(df).withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
-    numbered.select("id", *BILLS.fieldNames()).write.mode("append").parquet(target)
+    df = with_voltage(df)
+    kept = {f.name: f.dataType for f in STORED_BILLS.fields if f.name not in (*BILLS.fieldNames(), "id")}
+    typed = typed_bills(df.withColumns({f"_{n}": F.col(n) if n in df.columns else F.lit(None) for n in kept}), *[f"_{n}" for n in kept])
+    numbered = typed.withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
+    numbered = numbered.withColumns({n: F.col(f"_{n}").try_cast(t) for n, t in kept.items()})
+    numbered = numbered.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
+    numbered.select(*STORED_BILLS.fieldNames()).write.mode("append").parquet(target)
 
 
 def next_id(spark: SparkSession, target: str) -> int:
