@@ -270,12 +270,12 @@ def test_savings(spark):
     old = pricing.expected_bill(b, v, detail=True)
     new = pricing.expected_bill(b.withColumn("service_class", F.lit("SC2")), v, detail=True)
     compared = savings.savings(old, new)
-    assert sorted((r.id, r.month, r.old_rate_bill, r.monthly_savings) for r in compared.collect()) == [
-        (0, "04-28-21", D("10.00"), D("6.00")), (1, "05-28-21", D("10.00"), D("6.00"))
+    assert sorted((str(r.bill_date), r.month, r.old_rate_bill, r.monthly_savings) for r in compared.collect()) == [
+        ("2021-04-28", "04-28-21", D("10.00"), D("6.00")), ("2021-05-28", "05-28-21", D("10.00"), D("6.00"))
     ]
     assert rows(savings.savings_totals(compared)) == [(D("20.00"), D("8.00"), D("12.00"))]
-    # Exports without ids join on the date alone.
-    assert savings.savings(old.drop("id"), new.drop("id"), on=()).count() == 2
+    # Exports need no ids.
+    assert savings.savings(old.drop("id"), new.drop("id")).count() == 2
     with pytest.raises(ValueError, match="Missing required"):
         savings.savings(old.drop("kwh"), new)
 
