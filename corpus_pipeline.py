@@ -25,6 +25,13 @@ LEAST_LANGUAGE = 0.25
 LEAST_QUALITY = 0.7
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` is called so."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return name
+
+
 def _carried(docs: DataFrame, *names: str, **columns: Column) -> DataFrame:
     """The whole row as one column ``_doc``, beside the columns that an operator needs."""
     return docs.select(F.struct("*").alias("_doc"), *names, *[c.alias(n) for n, c in columns.items()])
@@ -33,15 +40,17 @@ def _carried(docs: DataFrame, *names: str, **columns: Column) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those that fit no language."""
     model = langid.learn(docs, remainder("doc_id", 5) != 0)
-    found = langid.predict(_carried(docs, "text"), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
+    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
+    found = langid.predict(docs, model, lang, score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(lang, score)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are not likely to be good, as far as the labels of documents that aren't held out tell."""
     train = remainder("doc_id", 4) != 2
     model = quality.learn(docs.where(train), read(spark, sf_dir, "labels").where(train))
-    return quality.predict(_carried(docs, "text"), model, LEAST_QUALITY).where("predicted = 1").select("_doc.*")
+    score, predicted = _free(docs, "score"), _free(docs, "predicted")
+    return quality.predict(docs, model, LEAST_QUALITY, score, predicted).where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +73,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row instead of its text, and whether they decode to it."""
-    found = encode(docs, BYTE_BPE, check="decodes")
-    return found.drop("text").withColumn("n_tokens", F.size("ids").cast("long"))
+    found = encode(docs, BYTE_BPE, check="decodes", drop=True)
+    return found.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

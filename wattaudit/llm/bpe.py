@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Characters handed to the transducer at a time.
 PIECE = 65_536
 #: Words whose ids are remembered; twice as many are held at most.
-REMEMBERED = 100_000
+REMEMBERED = 64_000
 #: Words merged in lockstep, and characters of texts whose words are gathered for it.
 LOCKSTEP, GATHERED = 8192, 500_000
 #: A merge is one number: its rank above, the new id in the low bits.
@@ -430,17 +430,18 @@ def encode_all(encoder: Encoder, texts: list[str | None]) -> Iterator[list[int]]
         at = end
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", check: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", check: str | None = None, drop: bool = False) -> DataFrame:
     """``docs`` with the ids of column ``text`` (null: an empty list) as ``ids``, an array of int; other columns stay.
 
-    With ``check``, a column of that name says whether the ids decode to the text again (null: to an empty text). A column
-    of ``docs`` that has the name of a new one is replaced. Texts of any length are encoded whole.
+    With ``check``, a column of that name says whether the ids decode to the text again (null: to an empty text); with
+    ``drop`` the text itself is left out. A column of ``docs`` that has the name of a new one is replaced. Texts of any length are encoded whole.
     """
     spec = docs.sparkSession.sparkContext.broadcast(load(docs.sparkSession, path))
     rest = docs.drop(ids, *[check] * bool(check))
-    given = rest.select(*rest.columns, docs[text].alias(ids))
-    at = len(given.columns) - 1
-    schema = rest.withColumn(ids, F.lit(None).cast("array<int>")).schema
+    given = rest if text in rest.columns else rest.select(*rest.columns, docs[text])
+    at = given.columns.index(text)
+    kept = [i for i, c in enumerate(given.columns) if c in rest.columns and not (drop and i == at)]
+    schema = rest.select(*[given.columns[i] for i in kept]).withColumn(ids, F.lit(None).cast("array<int>")).schema
     if check:
         schema = schema.add(check, "boolean")
 
@@ -450,7 +451,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", che
             for batch in _sliced(whole):
                 texts = batch.column(at).to_pylist()
                 found = list(encode_all(encoder, texts))
-                columns = [*batch.columns[:at], pa.array(found, pa.list_(pa.int32()))]
+                columns = [*[batch.column(i) for i in kept], pa.array(found, pa.list_(pa.int32()))]
                 if check:
                     same = [decoder.feed(f) + decoder.finish() == (t or "") for f, t in zip(found, texts, strict=True)]
                     columns.append(pa.array(same, pa.bool_()))

@@ -193,16 +193,16 @@ def identify(given: list[str | None], model: Model, lookups: np.ndarray) -> tupl
     return [model.langs[b] if s else "und" for b, s in zip(best, sure, strict=False)], np.where(sure, score, 0.0).tolist()
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) of the whole text; other columns stay, these two are replaced.
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with ``lang`` and ``score`` (0 to 1) of the whole text; other columns stay, these two are replaced.
 
     A null text and a text without letters are ``und`` with score 0; of languages that need equally many phrases the
     first in order of code points wins. Only the text decides.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.drop("lang_pred", "score").withColumn("lang_pred", F.col("text"))
-    at = len(given.columns) - 1
-    schema = given.withColumn("score", F.lit(0.0)).schema
+    given = docs.drop(lang, score)
+    at = given.columns.index("text")
+    schema = given.withColumns({lang: F.lit("").cast("string"), score: F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -210,8 +210,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                lang, score = identify(batch.column(at).to_pylist(), model, lookups)
-                columns = [*batch.columns[:at], pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score"])
+                found, scores = identify(batch.column(at).to_pylist(), model, lookups)
+                columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return given.mapInArrow(run, schema)

@@ -116,10 +116,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(0.99, max(0.01, ones / total)) if total else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in texts(batch, 1)], np.float32).reshape(-1, N_FEATURES)
-            values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                x = np.array([features(t) for t in texts(batch, 1)], np.float32).reshape(-1, N_FEATURES)
+                values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
 
     shaped = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<float>")
     shaped = stored(shaped, "shapes")
@@ -165,19 +167,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(mean, scale, best, prior)
 
 
-def predict(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """``docs`` with score (0 to 1, of the whole text; null counts as empty) and predicted (1 if score >= threshold).
+def predict(docs: DataFrame, model: Model, threshold: float = 0.7, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, of the whole text; null counts as empty) and ``predicted`` (1 if score >= threshold).
 
     Other columns stay; these two are replaced. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.drop("score", "predicted").withColumn("score", F.col("text"))
-    at = len(given.columns) - 1
-    schema = docs.drop("score", "predicted").withColumn("score", F.lit(0.0)).schema
+    given = docs.drop(score, predicted)
+    at = given.columns.index("text")
+    schema = given.withColumn(score, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([features(t) for t in texts(batch, at)]).reshape(-1, N_FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(shared.value.score(x))], batch.schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                x = np.array([features(t) for t in texts(batch, at)]).reshape(-1, N_FEATURES)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], schema.fieldNames())
 
-    return given.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return given.mapInArrow(run, schema).withColumn(predicted, (F.col(score) >= threshold).cast("int"))
