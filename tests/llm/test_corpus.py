@@ -173,6 +173,17 @@ def test_language_held_out(spark):
     assert held.where("lang_pred = lang").count() >= 0.98 * held.count()
 
 
+def test_language_of_copies(spark):
+    """A language of a few texts in thousands of rows is learned like one of as many different texts."""
+    few = spark.range(3).selectExpr("'xx' AS lang", "concat('qaplo zuvit mornak ', id, ' brelk tuvosh gnarip') AS text")
+    copies = few.crossJoin(spark.range(40_000)).select("lang", "text")
+    other = spark.range(50).selectExpr("'en' AS lang", "concat('the cat sat on the mat and ran ', id) AS text")
+    both = copies.unionByName(other)
+    model = langid.learn(both, F.lit(True))
+    assert model.langs == ["en", "xx"]
+    assert [r[0] for r in langid.predict(few, model).select("lang_pred").collect()] == ["xx"] * 3
+
+
 def test_language_odd(spark, odd):
     model = langid.learn(odd, F.lit(True))
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(odd, model).collect()}

@@ -122,12 +122,13 @@ def learn(docs: DataFrame, known: Column) -> Model:
     """Model from a bounded sample of the rows of ``docs`` (text, lang) where ``known`` holds and both have a value.
 
     Per language at most SAMPLE_DOCS different documents give their first SAMPLE_CHARS characters, those with the
-    smallest hashes of language and text, so the sample is the same in every run. No row at all: a model that knows no language.
+    smallest hashes of language and text, so the sample is the same in every run. Copies count once: a language of a few
+    texts in many rows is learned from all of them. No row at all: a model that knows no language.
     """
     rows = docs.where(known & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         "lang", F.xxhash64("lang", "text").alias("h"), F.left("text", F.lit(SAMPLE_CHARS)).alias("part")
-    )
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    ).where(F.col("part").rlike(r"\p{L}"))
+    counts = {r[0]: r[1] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}
     chosen = F.lit(False)
     for lang, n in counts.items():
         limit = -(2**63) + int(min(1.0, 4 * SAMPLE_DOCS / n) * (2**64 - 1))
