@@ -20,8 +20,6 @@ from wattaudit.llm.mixing import with_copies
 from wattaudit.llm.queries import BYTE_BPE
 from wattaudit.llm.simhash import simhash_groups
 
-#: Texts that no language explains better than this go. Four languages that fit alike score 0.25.
-LEAST_LANGUAGE = 0.25
 LEAST_QUALITY = 0.7
 
 
@@ -38,11 +36,20 @@ def _carried(docs: DataFrame, *names: str, **columns: Column) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those that fit no language."""
-    model = langid.learn(docs, remainder("doc_id", 5) != 0)
-    lang, score = _free(docs, "lang_pred"), _free(docs, "score")
-    found = langid.predict(docs, model, lang, score)
-    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(lang, score)
+    """Drops texts without letters and those that fit no language, as far as the labels of rows not held out tell.
+
+    A text goes whose fit is above the largest of its language; languages that fit alike are no reason to drop it. A
+    text that is labelled and in the sample of its language is known, whatever it holds.
+    """
+    known = remainder("doc_id", 5) != 0
+    model = langid.learn(docs, known)
+    largest = langid.largest_fits(docs, known, model)
+    lang, score, fit = _free(docs, "lang_pred"), _free(docs, "score"), _free(docs, "fit")
+    found = langid.predict(docs, model, lang, score, fit)
+    fits = F.lit(False)
+    for name, most in largest.items():
+        fits |= (F.col(lang) == name) & (F.col(fit) <= most)
+    return found.where(fits).drop(lang, score, fit)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

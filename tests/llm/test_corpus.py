@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -553,6 +554,25 @@ def test_pipeline(spark, odd):
         assert stage(spark, given.limit(0), labels).count() == 0
 
 
+def test_pipeline_drops_texts_of_no_language(spark):
+    """Unlearned scripts, random letters and base64 go, clean documents stay, held out or not."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(5)
+    letters = lambda own, n: "".join(rng.choice(own) for _ in range(n))
+    junk = [letters("漢字日本語中国人民大学", 300), "Ελληνικά γράμματα που κανείς δεν έμαθε " * 5, letters("абвгдежзиклмнопрст    ", 200)]
+    junk += [letters("abcdefghijklmnopqrstuvwxyz", 200) for _ in range(20)]
+    junk += [" ".join(letters("abcdefghijklmnopqrstuvwxyz", rng.randint(2, 9)) for _ in range(60)) for _ in range(20)]
+    junk += [base64.b64encode(rng.randbytes(300)).decode() for _ in range(20)]
+    first = docs.agg(F.max("doc_id")).first()[0] + 1
+    rows = spark.createDataFrame([(first + i, t) for i, t in enumerate(junk)], "doc_id long, text string")
+    both = docs.unionByName(rows, allowMissingColumns=True)
+    kept = corpus_pipeline.language(spark, both, sf)
+    assert kept.columns == both.columns and kept.where(F.col("doc_id") >= first).count() == 0
+    clean = docs.where(r"text rlike '\\p{L}'")
+    assert kept.count() == clean.count()
+
+
 def test_pipeline_runs(spark):
     found = corpus_pipeline.run(spark, SF)
     assert 0 < found.count() <= 3 * spark.read.parquet(f"{SF}/documents.parquet").count()

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +24,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 32, 1000, 2_000_000
 LETTERS = 254
 #: Characters that are parsed as a unit, and units parsed together.
 UNIT, TOGETHER = 2048, 4096
+#: Least number of other labelled texts from which the largest fit of a language is learned.
+OTHERS = 8
 #: How sharply the score falls with the distance of the second language, per bit and character.
 SHARPNESS = 10.0
 UNKNOWN, SPACE = 0, 1
@@ -39,6 +41,7 @@ class Model:
     starts: np.ndarray
     bits: np.ndarray
     width: int
+    sampled: tuple[int, ...] = ()  # hashes of language and text of the sample
 
 
 @lru_cache(1)
@@ -137,11 +140,13 @@ def learn(docs: DataFrame, known: Column) -> Model:
     found = found.orderBy("h").limit(8 * SAMPLE_DOCS * max(1, len(counts))).collect()
     most = min(SAMPLE_DOCS * SAMPLE_CHARS, SAMPLE_ALL // max(1, len(counts)))
     samples: dict[str, list[str]] = {}
-    for lang, _, part in sorted(found, key=lambda r: (r["lang"], r["h"])):
+    sampled = []
+    for lang, h, part in sorted(found, key=lambda r: (r["lang"], r["h"])):
         parts = samples.setdefault(lang, [])
         if len(parts) < SAMPLE_DOCS and sum(map(len, parts)) + len(part) <= most + SAMPLE_CHARS and letters()[[ord(c) for c in part]].any():
             parts.append(part)
-    return build({lang: parts for lang, parts in samples.items() if parts})
+            sampled.append(h)
+    return replace(build({lang: parts for lang, parts in samples.items() if parts}), sampled=tuple(sampled))
 
 
 def _lookups(model: Model) -> np.ndarray:
@@ -169,8 +174,12 @@ def _phrases(units: list[np.ndarray], model: Model, lookups: np.ndarray) -> np.n
     return count + (state != model.starts[:, None])
 
 
-def identify(given: list[str | None], model: Model, lookups: np.ndarray) -> tuple[list[str], list[float]]:
-    """Language and score of each text."""
+def identify(given: list[str | None], model: Model, lookups: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and fit of each text.
+
+    The score compares languages; the fit is absolute: bits per character that the text takes in its language even if
+    luck made its phrases one standard deviation too many, so a text of few phrases is hardly evidence against it.
+    """
     langs = len(model.langs)
     units, owner = [], []
     chars = np.zeros(len(given), np.int64)
@@ -186,24 +195,29 @@ def identify(given: list[str | None], model: Model, lookups: np.ndarray) -> tupl
         part = order[at : at + TOGETHER]
         np.add.at(phrases.T, [owner[k] for k in part], _phrases([units[k] for k in part], model, lookups).T)
     if not langs:
-        return ["und"] * len(given), [0.0] * len(given)
+        return ["und"] * len(given), [0.0] * len(given), [0.0] * len(given)
     rate = phrases * model.bits[:, None] / np.maximum(chars, 1)
     best = rate.argmin(axis=0)
     score = 1 / np.exp(-SHARPNESS * (rate - rate.min(axis=0))).sum(axis=0)
     sure = chars > 0
-    return [model.langs[b] if s else "und" for b, s in zip(best, sure, strict=False)], np.where(sure, score, 0.0).tolist()
+    found = [model.langs[b] if s else "und" for b, s in zip(best, sure, strict=False)]
+    own = phrases[best, np.arange(len(given))]
+    fit = (own - np.sqrt(own)) * model.bits[best] / np.maximum(chars, 1)
+    return found, np.where(sure, score, 0.0).tolist(), fit.tolist()
 
 
-def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with ``lang`` and ``score`` (0 to 1) of the whole text; other columns stay, these two are replaced.
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
+    """``docs`` with ``lang`` and ``score`` (0 to 1) of the whole text, and its ``fit`` (see ``identify``) if that is named;
+    other columns stay, these are replaced.
 
     A null text and a text without letters are ``und`` with score 0; of languages that need equally many phrases the
     first in order of code points wins. Only the text decides.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.drop(lang, score)
+    more = [fit] if fit else []
+    given = docs.drop(lang, score, *more)
     at = given.columns.index("text")
-    schema = given.withColumns({lang: F.lit("").cast("string"), score: F.lit(0.0)}).schema
+    schema = given.withColumns({lang: F.lit("").cast("string"), score: F.lit(0.0)} | {n: F.lit(0.0) for n in more}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -211,8 +225,30 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                found, scores = identify(batch.column(at).to_pylist(), model, lookups)
-                columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+                found, *values = identify(batch.column(at).to_pylist(), model, lookups)
+                columns = [*batch.columns, pa.array(found, pa.string()), *[pa.array(v, pa.float64()) for v in values[: 1 + len(more)]]]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
     return given.mapInArrow(run, schema)
+
+
+def largest_fits(docs: DataFrame, known: Column, model: Model) -> dict[str, float]:
+    """By language the fit (see ``identify``) above which a text is not of that language, whatever the others say.
+
+    It lies halfway, as a ratio, between the median of all different labelled texts outside the model's sample and the
+    bits of a text none of whose letters is known; junk among the labels moves it little as long as it is the smaller
+    part. It is never below that of letters dealt at random from the language's own. With fewer than OTHERS such texts
+    that figure stands for the median, so that little more than unknown letters is turned away.
+    """
+    if not model.langs:
+        return {}
+    rows = docs.where(known & F.col("text").isNotNull() & F.col("lang").isin(model.langs)).select("lang", "text")
+    rows = rows.withColumn("h", F.xxhash64("lang", "text")).where(~F.col("h").isin(list(model.sampled)))
+    fits = predict(rows, model, "found", "score", "fit").where("found = lang").groupBy("lang", "h").agg(F.first("fit").alias("fit"))
+    medians = fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5, 10_000), F.count("*")).collect()
+    learned = {lang: median for lang, median, n in medians if n >= OTHERS}
+    cuts = {}
+    for lang, code, bits in zip(model.langs, model.codes, model.bits.tolist(), strict=True):
+        at_random = float(np.log2(len(code) + 1))
+        cuts[lang] = max((learned.get(lang, at_random) * bits) ** 0.5, at_random)
+    return cuts
