@@ -420,6 +420,17 @@ def test_main_text_of_pages(spark):
         assert found[r["page_id"]]["text"] == want and found[r["page_id"]]["n_chars"] == len(want)
 
 
+def test_main_text_sample_of_copies(spark, monkeypatch):
+    """Hundreds of different pages give a whole sample, however often one of them is repeated."""
+    asked = []
+    monkeypatch.setattr(page_text, "_blocks", lambda html: asked.append(html) or [html])
+    monkeypatch.setattr(page_text, "boost", lambda x, y: None)
+    different = spark.range(400).selectExpr("concat('<p>Page ', id, ' with some words of its own.</p>') AS html")
+    copies = spark.range(400_000).selectExpr("'<p>The page that is everywhere.</p>' AS html")
+    page_text.learn(different.unionByName(copies))
+    assert len(set(asked)) == page_text.SAMPLE
+
+
 def test_main_text_of_other_layouts(trees):
     page = (
         '<body><div class="topnav"><a href=1>Home</a> <a href=2>News</a></div><div id="wrap"><div class="post-body"><p>First with some &eacute; words, and'

@@ -349,7 +349,7 @@ def learn(pages: DataFrame) -> Trees:
     """Trees from a sample of ``pages`` (html): at most SAMPLE different ones, SAMPLE_CHARS characters of each, those
     with the smallest hashes. Without any page the layouts are made of a few placeholder words."""
     rows = pages.where("html is not null and html <> ''").select(F.xxhash64("html").alias("h"), F.left("html", F.lit(SAMPLE_CHARS)).alias("html"))
-    n = rows.count()
+    n = rows.select("h").distinct().count()
     limit = min(2**63 - 1, -(2**63) + int(min(1.0, 4 * SAMPLE / max(n, 1)) * (2**64 - 1)))
     sample = rows.where(F.col("h") <= limit).groupBy("h").agg(F.first("html").alias("html")).orderBy("h").limit(SAMPLE).collect()
     rng = random.Random(7)
