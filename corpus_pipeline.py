@@ -61,15 +61,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id.
+    """Keeps one row of each group of near-duplicates, of the document with the smallest id.
 
-    Rows without id count as documents named by their text; of rows with one id the smallest row stays.
+    Rows without id count as documents named by their text. Rows that share an id but not a text are documents of their
+    own: all stay that are in different groups, and of those in one group the text with the smallest hash. Of equal ids
+    and texts the smallest row stays.
     """
     named = F.coalesce(F.col("doc_id").cast("long"), -1 - F.abs(F.shiftright(F.xxhash64("text"), 1)))
-    groups = simhash_groups(docs.select(named.alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = _carried(docs, _id=named).join(kept, "_id", "left_semi")
-    return rows.groupBy("_id").agg(F.min("_doc").alias("_doc")).select("_doc.*")
+    own = F.xxhash64(named, "text")  # a name for each id and text
+    groups = simhash_groups(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), "component_id").distinct()
+    ids = docs.select(named.alias("_id"), own.alias("_own")).distinct()
+    first = groups.join(ids, "_own").groupBy("component_id").agg(F.min(F.struct("_id", "_own")).alias("first"))
+    rows = _carried(docs, _own=own).join(first.select("first._own"), "_own", "left_semi")
+    return rows.groupBy("_own").agg(F.min("_doc").alias("_doc")).select("_doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -565,6 +565,14 @@ def test_pipeline(spark, odd):
         assert stage(spark, given.limit(0), labels).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts that share an id are kept apart; of near copies one row stays, with the smallest id."""
+    one, two, three, four = ["".join(random.Random(i).choice("abcdefgh ") for _ in range(400)) for i in range(4)]
+    rows = [(6, one, "a"), (6, two, "a"), (6, one, "b"), (7, one, "a"), (5, three, "a"), (6, three, "a"), (8, four, "a"), (None, four, "a")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(6, one, "a"), (6, two, "a"), (5, three, "a"), (None, four, "a")], key=str)
+
+
 def test_pipeline_drops_texts_of_no_language(spark):
     """Unlearned scripts, random letters and base64 go, clean documents stay, held out or not."""
     sf = "/root/testdata/sf0.01"
