@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from wattaudit.llm import langid, language_model, page_text, quality
 from wattaudit.llm.base import read, remainder
 from wattaudit.llm.bpe import round_trip
+from wattaudit.llm.clustering import cluster
+from wattaudit.llm.decontaminate import contaminated
 from wattaudit.llm.embeddings import near_vectors
 from wattaudit.llm.mixing import mix
 from wattaudit.llm.search import top_k
 from wattaudit.llm.simhash import simhash_groups
+from wattaudit.llm.trie import prefix_trie
 from wattaudit.llm.warc import read_warc, write_warc
 from wattaudit.session import work_dir
 
@@ -82,6 +85,19 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(docs, docs.where(F.col("doc_id") % 50 == 0), k=10)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold windows of which test items."""
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_vectors": op1_near_vectors,
     "op2_quality": op2_quality,
@@ -93,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mix_sources": op9_mix_sources,
     "op10_search": op10_search,
+    "op11_decontamination": op11_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_centroids": op13_centroids,
 }
