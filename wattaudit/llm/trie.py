@@ -41,6 +41,8 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.sha2(text, 256).alias("text_sha"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("words"), F.rand(0).alias("tie"),
     )
     order = [F.asc_nulls_first("turn"), "role", "text_sha", "tie"]
+    # Written first: finding the ranges reads the rows twice, and texts should be digested once.
+    turns = stored(turns, "digests")
     ranged = stored(turns.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()), "turns")
     counts = ranged.groupBy("conv_id", "range").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
