@@ -806,3 +806,16 @@ ORACLE["s2_stream_logs"] = _with(
     """SELECT 'app' AS source, CASE WHEN fits THEN trim(split_part(line, '|', 2)) ELSE 'INFO' END AS level,
     CASE WHEN fits THEN concat(left(line, 13), ':00:00') END AS hour, count(*) AS n_lines FROM parsed GROUP BY ALL""",
 )
+
+# ---- stored tables
+
+ORACLE["g3_incremental"] = _with(
+    {**ANOMALIES, "ranked": "SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM bills"},
+    f"""SELECT n * 9 + rule AS id, account AS account_id, n AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description, status
+    FROM found JOIN ranked ON bill_id = id""",
+)
+for _stored, _pure in (
+    ("k1_stored_rates", "k1_upsert_rates"), ("k2_stored_versions", "k2_upsert_versions"), ("k3_stored_documents", "k3_upsert_documents"),
+    ("k4_stored_status", "k4_update_status"), ("k5_stored_runs", "k5_run_ledger"),
+):
+    ORACLE[_stored] = ORACLE[_pure]

@@ -17,10 +17,12 @@ from wattaudit.functions.tiers import tier_rate
 from wattaudit.operators import anomalies as rules
 from wattaudit.operators import audits, billtext, columns, documents, issues, pricing, rates, savings, sections
 from wattaudit.operators import upserts, usage, versions
+from wattaudit.plans import incremental
 from wattaudit.schemas import BILLS, LOGS, table
 from wattaudit.session import work_dir
 from wattaudit.sources import bills as bill_source
 from wattaudit.sources import files, logs, tariffs, views
+from wattaudit.sources.snapshots import SnapshotTable
 from wattaudit.streaming.logs import stream_logs
 from wattaudit.streaming.tables import current_state, start_update_table
 from wattaudit.streaming.usage import stream_operations, stream_usage
@@ -735,6 +737,20 @@ def g3_detect_anomalies(spark: SparkSession, d: str) -> DataFrame:
     return rules.detect_anomalies(bills(spark, d))
 
 
+@query
+def g3_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Bills uploaded in three parts in order of their ids, the findings brought up to date after each of them."""
+    b, folder = bills(spark, d), work_dir(spark, "audit")
+    table_, findings = incremental.bill_table(spark, folder), incremental.finding_table(spark, folder)
+    low, high = b.agg(F.min("id"), F.max("id")).first()
+    step = 0 if low is None else (high - low) // 3 + 1
+    for part in range(3):
+        new = b.where(F.col("id").between((low or 0) + part * step, (low or 0) + (part + 1) * step - 1))
+        incremental.upload_bills(table_, new.orderBy("id"))
+        incremental.validate_new(table_, findings)
+    return findings.read().drop("detected_on")
+
+
 @query
 def g3_bill_anomalies(spark: SparkSession, d: str) -> DataFrame:
     """Findings nested by bill."""
@@ -781,24 +797,27 @@ def j1_unreadable_answers(spark: SparkSession, d: str) -> DataFrame:
     return bad
 
 
-@query
-def k1_upsert_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rates of the part table, changed by one entry per supplier (blank ones skipped)."""
+def rate_changes(spark: SparkSession, d: str) -> DataFrame:
+    """One entry per supplier (some blank)."""
     s, key = views.table(spark, d, "supplier"), F.col("s_suppkey")
     kinds = F.array(*[F.lit(t) for t in rates.RATE_TYPES])
     codes = F.array(*[F.lit(c) for c in ("SC1", "SC1C", "SC2", "SC2D", "SC3", " ")])
-    changes = s.select(
+    return s.select(
         F.get(kinds, (key % 4).cast("int")).alias("rate_type"),
         F.get(codes, (key % 6).cast("int")).alias("sc_code"),
         F.make_date((1996 + key % 7).cast("int"), (1 + key % 12).cast("int"), (1 + key % 28).cast("int")).alias("effective_date"),
         F.when(key % 11 != 0, (key.cast("decimal(12,0)") * F.lit("0.0001").cast("decimal(4,4)")).cast("decimal(18,6)")).alias("rate"),
         key.alias("seq"),
     )
-    return upserts.upsert_rates(rate_table(spark, d), changes)
 
 
 @query
-def k2_upsert_versions(spark: SparkSession, d: str) -> DataFrame:
+def k1_upsert_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of the part table, changed by one entry per supplier (blank ones skipped)."""
+    return upserts.upsert_rates(rate_table(spark, d), rate_changes(spark, d))
+
+
+def version_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Versions in bare JSON documents as the register, all versions as changes in order of their documents."""
     stored = part_versions(spark, d).select(
         F.col("doc_id").alias("document_id"), "sc_code", "effective_date", "logic", "pos", F.col("doc_id").alias("seq")
@@ -807,11 +826,15 @@ def k2_upsert_versions(spark: SparkSession, d: str) -> DataFrame:
     register = changes.groupBy("sc_code", "effective_date").agg(
         F.min("document_id").alias("document_id"), F.min_by("logic", "document_id").alias("logic")
     )
-    return versions.upsert_versions(register.select("document_id", "sc_code", "effective_date", "logic"), changes)
+    return register.select("document_id", "sc_code", "effective_date", "logic"), changes
 
 
 @query
-def k3_upsert_documents(spark: SparkSession, d: str) -> DataFrame:
+def k2_upsert_versions(spark: SparkSession, d: str) -> DataFrame:
+    return versions.upsert_versions(*version_changes(spark, d))
+
+
+def document_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every document registered in order of its id; the register holds the last one of each name."""
     docs = views.view(spark, d, "raw_documents")
     incoming = docs.select(
@@ -822,16 +845,24 @@ def k3_upsert_documents(spark: SparkSession, d: str) -> DataFrame:
         F.lit("unknown").alias("utility_name"), F.lit(-1).cast("long").alias("upload_date"),
         F.lit(-1).cast("long").alias("document_version"),
     )
-    return versions.upsert_documents(register, incoming)
+    return register, incoming
 
 
 @query
-def k4_update_status(spark: SparkSession, d: str) -> DataFrame:
+def k3_upsert_documents(spark: SparkSession, d: str) -> DataFrame:
+    return versions.upsert_documents(*document_changes(spark, d))
+
+
+def status_changes(spark: SparkSession, d: str) -> DataFrame:
     labels = views.table(spark, d, "labels")
-    changes = labels.select(
+    return labels.select(
         F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "error").otherwise("processed").alias("status")
     )
-    return upserts.update_by_key(views.view(spark, d, "raw_documents"), changes, "id").select("id", "file_name", "status")
+
+
+@query
+def k4_update_status(spark: SparkSession, d: str) -> DataFrame:
+    return upserts.update_by_key(views.view(spark, d, "raw_documents"), status_changes(spark, d), "id").select("id", "file_name", "status")
 
 
 @query
@@ -839,6 +870,63 @@ def k5_run_ledger(spark: SparkSession, d: str) -> DataFrame:
     return documents.run_ledger(views.view(spark, d, "run_events"))
 
 
+# ---- the same on stored tables
+
+
+@query
+def k1_stored_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of k1 on a stored table; new months get the next free ids (shown as null)."""
+    old, changes = rate_table(spark, d), rate_changes(spark, d)
+    stored = SnapshotTable(spark, work_dir(spark, "rates"), old.schema, ["rate_type", "sc_code"], 16)
+    first = stored.load(old, "id").next_id
+    changes = changes.withColumn("sc_code", F.trim("sc_code"))
+    stored.rewrite(stored.touched(changes), lambda base: upserts.upsert_rates(base, changes), "id")
+    return stored.read().withColumn("id", F.when(F.col("id") < first, F.col("id")))
+
+
+@query
+def k2_stored_versions(spark: SparkSession, d: str) -> DataFrame:
+    register, changes = version_changes(spark, d)
+    stored = SnapshotTable(spark, work_dir(spark, "versions"), register.schema, ["sc_code", "effective_date"], 16)
+    stored.load(register)
+    stored.upsert(changes, "seq")
+    return stored.read()
+
+
+@query
+def k3_stored_documents(spark: SparkSession, d: str) -> DataFrame:
+    register, incoming = document_changes(spark, d)
+    stored = SnapshotTable(spark, work_dir(spark, "documents"), register.schema, ["filename"], 16)
+    stored.load(register)
+    stored.upsert(incoming, "upload_date")
+    return stored.read()
+
+
+@query
+def k4_stored_status(spark: SparkSession, d: str) -> DataFrame:
+    docs = views.view(spark, d, "raw_documents")
+    stored = SnapshotTable(spark, work_dir(spark, "raw-documents"), docs.schema, ["id"], 16)
+    stored.load(docs)
+    stored.update(status_changes(spark, d))
+    return stored.read().select("id", "file_name", "status")
+
+
+@query
+def k5_stored_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Run events stored in two parts; after each, the ledger of the touched runs is made anew."""
+    events = views.view(spark, d, "run_events")
+    ledger = documents.run_ledger(events)
+    folder = work_dir(spark, "runs")
+    stored = SnapshotTable(spark, f"{folder}/events", events.schema, ["run_id"], 16)
+    runs = SnapshotTable(spark, f"{folder}/ledger", ledger.schema, ["run_id"], 16)
+    for part in range(2):
+        new = events.where(F.pmod(F.xxhash64("run_id", F.col("ts").cast("string")), F.lit(2)) == part)
+        touched = stored.touched(new)
+        stored.append(new)
+        runs.rewrite(touched, lambda _: documents.run_ledger(stored.read(touched)))  # noqa: B023
+    return runs.read()
+
+
 # ---- text
 
 

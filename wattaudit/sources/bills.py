@@ -55,25 +55,31 @@ def typed_bills(df: DataFrame, *keep: str) -> DataFrame:
     return conform(df, schema, casts={**casts, **{name: F.col(name) for name in keep}})
 
 
-def append_bills(df: DataFrame, target: str, first_id: int = 0) -> None:
-    """Append to the stored table, numbering the new bills from ``first_id``.
+def stored_bills(df: DataFrame) -> DataFrame:
+    """Bills with the columns of the stored table, not numbered yet.
 
     The document a bill comes from, its class and its voltage (under either name) are kept; ``created_at`` is the time of
-    the append unless the bills have one.
-
-    Bills are never deduplicated here; R6 finds repeated ones. Ids are unique, not consecutive: each task counts in a
-    range of its own.
+    the append unless the bills have one. Bills are never deduplicated; R6 finds repeated ones.
     """
     df = with_voltage(df)
     kept = {f.name: f.dataType for f in STORED_BILLS.fields if f.name not in (*BILLS.fieldNames(), "id")}
     typed = typed_bills(df.withColumns({f"_{n}": F.col(n) if n in df.columns else F.lit(None) for n in kept}), *[f"_{n}" for n in kept])
-    numbered = typed.withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
-    numbered = numbered.withColumns({n: F.col(f"_{n}").try_cast(t) for n, t in kept.items()})
-    numbered = numbered.withColumn("created_at", F.coalesce("created_at", F.current_timestamp()))
-    numbered.select(*STORED_BILLS.fieldNames()).write.mode("append").parquet(target)
+    typed = typed.withColumns({n: F.col(f"_{n}").try_cast(t) for n, t in kept.items()})
+    typed = typed.withColumns({"id": F.lit(None).cast("long"), "created_at": F.coalesce("created_at", F.current_timestamp())})
+    return typed.select(*STORED_BILLS.fieldNames())
+
+
+def append_bills(df: DataFrame, target: str, first_id: int = 0) -> None:
+    """Append to a plain folder of bills, numbering the new ones from ``first_id``.
+
+    Ids are unique, not consecutive: each task counts in a range of its own. Two appends at once need two ranges; a bill table of
+    snapshots (``plans.incremental``) hands them out itself.
+    """
+    numbered = stored_bills(df).withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
+    numbered.write.mode("append").parquet(target)
 
 
 def next_id(spark: SparkSession, target: str) -> int:
-    """First free id of a stored table; 0 if it has no rows."""
+    """First free id of a plain folder of bills; 0 if it has no rows."""
     top = spark.read.parquet(target).agg(F.max("id")).first()[0]
     return 0 if top is None else top + 1
