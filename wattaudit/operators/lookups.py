@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+#: Keys of which each has more than one MOST_HOT-th of all rows are as many at most.
+MOST_HOT = 10_000
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 32 << 20
 SALTS = 64
@@ -61,3 +63,19 @@ def lookup_join(
     copies = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     condition = condition & (F.col("_salt") == F.col("_dim_salt"))
     return salted.join(copies, condition, how).drop("_salt", "_dim_salt", *keys.values())
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str, how: str = "left") -> DataFrame:
+    """Join with ``right``, whose keys are unique and whose column ``rows`` says how many rows of ``left`` have the key.
+
+    Keys with more than one MOST_HOT-th of all rows number MOST_HOT at most: those are broadcast, so that the rows of a hot key
+    stay where they are. All others meet in a shuffle, where no key has more rows than that. Keys must not be null; ``rows`` is not in
+    the result.
+    """
+    on = list(on)
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("double")).first()[0]
+    most = max(total / MOST_HOT, 1_000.0)
+    hot, cold = (right.where(c).drop(rows) for c in (F.col(rows) > most, F.col(rows) <= most))
+    marked = left.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
+    found = marked.where("_hot").drop("_hot").join(F.broadcast(hot), on)
+    return found.unionByName(marked.where("_hot is null").drop("_hot").join(cold, on, how))

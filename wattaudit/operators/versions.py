@@ -7,10 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wattaudit.functions.values import norm_sc
-from wattaudit.operators.lookups import BROADCAST_ROWS, lookup_join
+from wattaudit.operators.history import running
+from wattaudit.operators.lookups import BROADCAST_ROWS, fits, join_counted, lookup_join
 from wattaudit.operators.upserts import upsert
 
 KEY = "norm_code"
+#: Place of an undated version or bill behind all days.
+_LAST_DAY = 1 << 32
+
+
+def one_per_date(versions: DataFrame, key: str = KEY) -> DataFrame:
+    """At most one version per class and date, the first one of the documents."""
+    rest = [c for c in versions.columns if c not in (key, "effective_date")]
+    origin = [F.col(c) for c in ("doc_id", "pos") if c in rest]
+    first = F.min_by(F.struct(*rest), F.struct(*origin)) if origin else F.first(F.struct(*rest))
+    return versions.groupBy(key, "effective_date").agg(first.alias("_v")).select(key, "effective_date", "_v.*")
 
 
 def version_intervals(versions: DataFrame, fallback: bool = True, key: str = KEY) -> DataFrame:
@@ -20,10 +31,7 @@ def version_intervals(versions: DataFrame, fallback: bool = True, key: str = KEY
     more rows than the calendar has days. With ``fallback`` the first version also covers all earlier bills. ``is_last``
     marks the version of a bill without date: an undated version if there is one, else the latest.
     """
-    rest = [c for c in versions.columns if c not in (key, "effective_date")]
-    origin = [F.col(c) for c in ("doc_id", "pos") if c in rest]
-    first = F.min_by(F.struct(*rest), F.struct(*origin)) if origin else F.first(F.struct(*rest))
-    dated = versions.groupBy(key, "effective_date").agg(first.alias("_v")).select(key, "effective_date", "_v.*")
+    dated = one_per_date(versions, key)
     # An ascending sort puts undated versions first; they must come last.
     order = W.partitionBy(key).orderBy(F.col("effective_date").asc_nulls_last())
     place, after = F.row_number().over(order), F.lead("effective_date").over(order)
@@ -49,19 +57,22 @@ def pick_version(
     """As-of join: add ``version`` (struct, null if none) in force for each bill.
 
     ``fallback``: a bill before the first version gets the first one and a bill without date the last one; otherwise
-    (strict) both get none.
+    (strict) both get none. Up to ``max_rows`` versions are broadcast as intervals; beyond that dates of bills and versions are put in
+    one order and versions carried forward.
     """
-    intervals = version_intervals(versions, fallback)
-    rest = [c for c in intervals.columns if c not in (KEY, "valid_from", "valid_to", "is_last", "covers_dates")]
-    dim = intervals.select(
-        KEY, "valid_from", "valid_to", "is_last", "covers_dates", F.struct(*rest).alias("version")
-    )
     bills = bills.withColumns(
         {
             KEY: norm_sc("service_class") if bill_class is None else bill_class,
             "_date": F.coalesce("read_date", "bill_date") if bill_date is None else bill_date,
         }
     )
+    if not fits(versions, max_rows):
+        return _pick_carried(bills, versions, fallback)
+    intervals = version_intervals(versions, fallback)
+    rest = [c for c in intervals.columns if c not in (KEY, "valid_from", "valid_to", "is_last", "covers_dates")]
+    dim = intervals.select(
+        KEY, "valid_from", "valid_to", "is_last", "covers_dates", F.struct(*rest).alias("version")
+    )
     date, low, high = F.col("_date"), F.col("valid_from"), F.col("valid_to")
     covers = (
         date.isNotNull() & F.col("covers_dates") & (low.isNull() | (low <= date)) & (high.isNull() | (date < high))
@@ -72,6 +83,35 @@ def pick_version(
     return joined.drop("valid_from", "valid_to", "is_last", "covers_dates", "_date")
 
 
+def _pick_carried(bills: DataFrame, versions: DataFrame, fallback: bool, width: int = 10_000) -> DataFrame:
+    """``pick_version`` for any number of versions; ``bills`` have the columns KEY and ``_date``.
+
+    Only the different (class, date) of the bills are looked for: together with the versions they are put in order of class and
+    day, and the latest version is carried forward by blocks of days. A bill then meets the one row of its class and date.
+    """
+    dated = one_per_date(versions)
+    fields = [c for c in dated.columns if c != KEY]
+    day = F.coalesce(F.unix_date("effective_date").cast("long"), F.lit(_LAST_DAY))
+    known = dated.select(F.col(KEY).alias("_code"), day.alias("_day"), F.struct(*fields).alias("version"))
+    code = F.coalesce(F.col(KEY), F.lit(""))
+    bills = bills.withColumns({"_code": code, "_day": F.coalesce(F.unix_date("_date").cast("long"), F.lit(_LAST_DAY))})
+    asked = bills.groupBy("_code", "_day").agg(F.count(F.lit(1)).alias("_rows"))
+    # A version comes before the bills of its own day. No day is later than an undated one.
+    points = known.where(F.col("_day") < _LAST_DAY).select("_code", (2 * F.col("_day")).alias("_at"), F.col("_day").alias("_from"), F.lit(None).cast("long").alias("_rows"))
+    points = points.unionByName(asked.select("_code", (2 * F.col("_day") + 1).alias("_at"), F.lit(None).cast("long").alias("_from"), "_rows"))
+    carried = running(points, ["_code"], "_at", F.col("_from"), "_found", width=width).where(F.col("_rows").isNotNull())
+    ends = known.groupBy("_code").agg(F.min("_day").alias("_first"), F.max("_day").alias("_last"))
+    day = F.expr("(_at - 1) div 2")
+    if fallback:
+        found = F.when(day == _LAST_DAY, F.col("_last")).otherwise(F.coalesce("_found", "_first"))
+    else:
+        found = F.when(day < _LAST_DAY, F.col("_found"))
+    resolved = carried.join(ends, "_code", "left").select("_code", day.alias("_day"), found.alias("_from"), "_rows")
+    chosen = known.withColumnRenamed("_day", "_from")
+    picked = resolved.join(chosen, ["_code", "_from"], "left").select("_code", "_day", "version", "_rows")
+    return join_counted(bills, picked, ["_code", "_day"], "_rows").drop("_code", "_day", "_date")
+
+
 def sc_codes(versions: DataFrame) -> DataFrame:
     """Distinct class codes in order."""
     return versions.select("sc_code").distinct().orderBy("sc_code")

@@ -506,6 +506,13 @@ ORACLE["d5_tier_rate"] = _with(
     """SELECT b.id, CAST(coalesce((SELECT first(t.rate ORDER BY t.place) FROM tiers t JOIN versions v USING (seq)
     WHERE v.sc = 'SC3' AND t.pos = 1 AND t.low <= b.delivery_voltage_kv AND b.delivery_voltage_kv <= t.high), 0) AS DOUBLE) AS rate FROM bills b""",
 )
+ORACLE["d2_carried_version"], ORACLE["d3_carried_version_strict"] = ORACLE["d2_pick_version"], ORACLE["d3_pick_version_strict"]
+ORACLE["d5_step_rates"] = _with(
+    _pick(),
+    """SELECT p.id, p.sc_code AS norm_code, s.pos AS step_no, s.step_name, CAST(coalesce(s.num, (SELECT first(t.rate ORDER BY t.place) FROM tiers t
+    WHERE t.seq = s.seq AND t.pos = s.pos AND t.low <= p.delivery_voltage_kv AND p.delivery_voltage_kv <= t.high), 0) AS DOUBLE) AS rate
+    FROM picked p JOIN steps s ON s.seq = p.seq""",
+)
 PLAIN_PRICED = _pricing("read_date", rates=False)
 SAVED = {
     **PLAIN_PRICED,

@@ -16,7 +16,7 @@ from wattaudit.functions.conditions import with_condition
 from wattaudit.functions.tiers import tier_rate
 from wattaudit.operators import anomalies as rules
 from wattaudit.operators import audits, billtext, columns, documents, issues, pricing, rates, savings, sections
-from wattaudit.operators import upserts, usage, versions
+from wattaudit.operators import tiers, upserts, usage, versions
 from wattaudit.plans import incremental
 from wattaudit.schemas import BILLS, LOGS, table
 from wattaudit.session import work_dir
@@ -506,6 +506,19 @@ def d3_pick_version_strict(spark: SparkSession, d: str) -> DataFrame:
     return picked.select("id", "norm_code", F.col("version.effective_date").alias("effective_date"))
 
 
+@query
+def d2_carried_version(spark: SparkSession, d: str) -> DataFrame:
+    """The way for more versions than are broadcast."""
+    picked = versions.pick_version(bills(spark, d), priced_versions(spark), True, max_rows=0)
+    return picked.select("id", "norm_code", F.col("version.effective_date").alias("effective_date"))
+
+
+@query
+def d3_carried_version_strict(spark: SparkSession, d: str) -> DataFrame:
+    picked = versions.pick_version(bills(spark, d), priced_versions(spark), False, max_rows=0)
+    return picked.select("id", "norm_code", F.col("version.effective_date").alias("effective_date"))
+
+
 @query
 def d4_rates_for_bills(spark: SparkSession, d: str) -> DataFrame:
     b = bills(spark, d).withColumn("sc_code", values.norm_sc("service_class"))
@@ -528,6 +541,14 @@ def d5_tier_rate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def d5_step_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of every step of every bill's own version, for its voltage."""
+    found = priced_versions(spark)
+    picked = versions.pick_version(bills(spark, d), found)
+    return tiers.step_rates(picked, found).select("id", "norm_code", "step_no", "step_name", "rate")
+
+
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     """Every bill under its own class and under another: SC1C for bills of SC1, SC1 for the rest."""
     b, v = bills(spark, d), priced_versions(spark)
