@@ -22,29 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattaudit.llm.base import stored, whole_groups
+from wattaudit.operators.lookups import join_counted
 
-#: Keys of which each has more than this share of the rows are at most as many, and are broadcast.
-MOST_HOT = 10_000
 #: Weight up to which a component is finished within a task; it has no more nodes than that.
 LOCAL = 65_536
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner") -> DataFrame:
-    """Join with ``right``, whose keys are unique and whose column ``rows`` bounds how many rows of ``left`` have the key.
-
-    Keys with more than one ``MOST_HOT``-th of all rows number MOST_HOT at most: those are broadcast, so that their rows stay
-    where they are. All others meet in a shuffle. ``rows`` is not in the result.
-    """
-    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("double")).first()[0]
-    most = max(total / MOST_HOT, 1_000.0)
-    hot = right.where(F.col(rows) > most).drop(rows)
-    cold = right.where(F.col(rows) <= most).drop(rows)
-    marks = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
-    marked = left.join(marks, on, "left")
-    with_hot = marked.where("_hot").drop("_hot").join(F.broadcast(hot), on)
-    return with_hot.unionByName(marked.where("_hot is null").drop("_hot").join(cold, on, how))
-
-
 def _preorder(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Nodes in preorder and the number of nodes of each subtree, by position in that order. Tops have parent -1."""
     children: list[list[int]] = [[] for _ in parent]
@@ -148,7 +131,7 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str], local: int = L
             "component", asked["member"], "c", "rows", F.when(F.col("_above") == F.col("c.key"), F.col("child")).alias("child")
         )
         asked = stored(asked, "ways")
-        met = join_hot(large, asked, ["component", "member"], "rows")
+        met = join_counted(large, asked, ["component", "member"], "rows", "inner")
         below = F.col("child").isNotNull() & (F.col("depth") > F.col("c.depth"))
         own = F.col("key") == F.col("c.key")
         # The part above keeps the component's name, the parts below are named by the centroid's children.
@@ -158,14 +141,14 @@ def rollup(nodes: DataFrame, paths: DataFrame, values: list[str], local: int = L
             *[F.sum(F.when(F.col("under"), F.col(v)).otherwise(0)).alias(f"sum_{v}") for v in values],
             F.sum(F.when(on_path, 1).otherwise(0)).alias("rows"),
         )
-        path = join_hot(dealt.where(on_path), stored(sums, "sums"), ["component"], "rows")
+        path = join_counted(dealt.where(on_path), stored(sums, "sums"), ["component"], "rows", "inner")
         rest = dealt.where(~on_path)
         path = path.withColumns({g: F.col(g) + F.col(f"sum_{v}") for g, v in zip(got, values, strict=True)})
         done.append(stored(path.where("own").select("key", *[F.col(g).alias(v) for g, v in zip(got, values, strict=True)]), "sums-done"))
         above = path.where("not own").withColumn("mass", F.col("mass") - F.col("c.mass"))
         kept = stored(above.select(rest.columns).unionByName(rest).drop("component", "whole", "c", "own", "under").withColumnRenamed("part", "component"), "rest")
         wholes = kept.groupBy("component").agg(F.max("mass").alias("whole"), F.count(F.lit(1)).alias("rows"))
-        state = stored(join_hot(kept, stored(wholes, "wholes"), ["component"], "rows"), "components")
+        state = stored(join_counted(kept, stored(wholes, "wholes"), ["component"], "rows", "inner"), "components")
     gathered = small[0]
     for s in small[1:]:
         gathered = gathered.unionByName(s)

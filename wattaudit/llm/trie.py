@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattaudit.llm.base import WORD, stored
-from wattaudit.llm.rollup import LOCAL, join_hot, rollup
+from wattaudit.llm.rollup import LOCAL, rollup
+from wattaudit.operators.lookups import join_counted
 
 STRETCH = 32
 #: Conversation ids of which one row of text is made before the members of a node are digested in order.
@@ -71,7 +72,7 @@ def rebuilt(turns: DataFrame, group: int = 20, shared: int = 4) -> tuple[DataFra
     )
     sizes = stored(sizes, "conversations")
     lent = sizes.join(heads, "base").where("pos <= h").select("conv_id", F.col("pos").alias("depth"), "digest", "words", "n")
-    own = join_hot(turns, sizes.select("conv_id", "h", "taken", "n", "rows"), ["conv_id"], "rows").where("pos > h")
+    own = join_counted(turns, sizes.select("conv_id", "h", "taken", "n", "rows"), ["conv_id"], "rows", "inner").where("pos > h")
     own = own.select("conv_id", (F.col("pos") - F.col("h") + F.col("taken")).alias("depth"), "digest", "words", "n")
     return lent.unionByName(own), sizes.select("conv_id", "n")
 
@@ -165,7 +166,7 @@ def prefix_trie(conversations: DataFrame, group: int = 20, shared: int = 4, loca
     sums = rollup(tree, paths, ["n_leaves", "saved_tokens"], local)
     ending = ways.where("depth = n").select("key", "conv_id").unionByName(sizes.where("n = 0").select(F.lit(ROOT).alias("key"), "conv_id"))
     above = nodes.where("n_children > 0").select(F.col("key").alias("parent"), F.col("member").alias("parent_conv_id"), F.col("n_children").alias("rows"))
-    placed = join_hot(nodes.where("parent is not null"), above, ["parent"], "rows").unionByName(
+    placed = join_counted(nodes.where("parent is not null"), above, ["parent"], "rows", "inner").unionByName(
         nodes.where("parent is null").withColumn("parent_conv_id", F.lit(None).cast("long"))
     )
     return placed.join(sums, "key").join(_ends(ending), "key", "left").select(
