@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattaudit.operators.anomalies import detect_anomalies, validation_rows
 from wattaudit.operators.billtext import bill_rows
-from wattaudit.operators.sections import MODEL_CHARS, section_pages, section_text, tariff_sections
+from wattaudit.operators.sections import MODEL_CHARS, tariff_sections
 from wattaudit.operators.versions import code_mismatch, stored_logic, upsert_versions
 from wattaudit.schemas import TARIFF_VERSIONS
 from wattaudit.sources.bills import append_bills
@@ -39,9 +39,8 @@ def model_inputs(docs: DataFrame) -> DataFrame:
 
     The model reads at most ``MODEL_CHARS`` characters of a section.
     """
-    pages = doc_pages(docs)
-    texts = section_text(section_pages(pages), MODEL_CHARS)
-    return tariff_sections(pages).join(texts, ["doc_id", "sc_code", "start_page"])
+    found = tariff_sections(doc_pages(docs))
+    return found.withColumn("text", F.left("full_text", F.lit(MODEL_CHARS)))
 
 
 @dataclass
