@@ -71,7 +71,7 @@ def test_plans_stay_in_the_engine(spark, name):
 # A grand total or scalar is one row by nature; its parts are summed before that exchange.
 ONE_RESULT_ROW = {"a8_list_documents", "e6_report_totals", "e7_savings_totals"}
 # Python where Spark has no built-in: the full Unicode normal form, and the matching-block ratio of two names.
-PYTHON = {"n1_names", "e13_canonical_customer", "l1_bill_rows", "a7_append_bills"}
+PYTHON = {"n1_names", "b15_doc_diagnostics", "e13_canonical_customer", "e13_account_customers", "l1_bill_rows", "a7_append_bills"}
 
 HIDDEN = """
 import sys

@@ -32,11 +32,18 @@ _ROW = (
 _OPEN, _CLOSE, _END = "\x01", "\x02", "\x03"
 
 
-def clean_text(c: Column | str, nfkc: bool = False) -> Column:
+def clean_text(c: Column | str, nfkc: bool = True) -> Column:
     """Text of a document with white space squashed and scan errors repaired."""
     return repair_scan(norm_space(c, nfkc))
 
 
+def with_clean_text(docs: DataFrame, text: str = "text", nfkc: bool = True) -> DataFrame:
+    """``docs`` with the text cleaned, once per document: an array of one text is unfolded, and later expressions are not
+    merged across that, or they would repeat the cleaning.
+    """
+    return docs.withColumn(text, F.explode(F.array(clean_text(text, nfkc))))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _similarities(header: pd.Series, names: pd.Series) -> pd.Series:
     """Matching-block ratio of the header name and each candidate; null for documents that need none."""
@@ -101,6 +108,73 @@ def canonical_customer(docs: DataFrame, text: str = "text", min_similarity: floa
     return _with_customer(docs, text, min_similarity).select("doc_id", "customer")
 
 
+@F.pandas_udf(T.DoubleType())
+def _ratio(header: pd.Series, name: pd.Series) -> pd.Series:
+    """Matching-block ratio of two names."""
+    return pd.Series([SequenceMatcher(None, h, n).ratio() for h, n in zip(header, name)], dtype="float64")
+
+
+# Characters of cleaned names.
+_LETTERS = [*"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 &'.,-/"]
+
+
+def most_similarity(a: Column, b: Column) -> Column:
+    """Upper bound of the matching-block ratio: no more characters can match than both names have of each."""
+
+    def count(name: Column, letter: Column) -> Column:
+        return F.length(name) - F.length(F.replace(name, letter, F.lit("")))
+
+    shared = F.aggregate(
+        F.array(*[F.lit(c) for c in _LETTERS]), F.lit(0), lambda total, c: total + F.least(count(a, c), count(b, c))
+    )
+    return 2 * shared / (F.length(a) + F.length(b))
+
+
+def similarities(pairs: DataFrame, least: float) -> DataFrame:
+    """(header, name, sim) of the different pairs of ``pairs`` whose ratio is at least ``least``.
+
+    Lengths bound the ratio, then letter counts do; only what passes both travels to Python, each pair once.
+    """
+    different = pairs.select("header", "name").distinct()
+    shorter, longer = (f(F.length("header"), F.length("name")) for f in (F.least, F.greatest))
+    near = different.where(2 * shorter >= F.lit(least) * (shorter + longer)).where(most_similarity(F.col("header"), F.col("name")) >= least)
+    same = near.where("header = name").withColumn("sim", F.lit(1.0))
+    rest = near.where("header <> name").withColumn("sim", _ratio("header", "name"))
+    return same.unionByName(rest).where(F.col("sim") >= least)
+
+
+def account_customers(docs: DataFrame, text: str = "text", min_similarity: float = 0.80) -> DataFrame:
+    """(bill_account, customer): one name per account, from all its documents (text already cleaned).
+
+    Candidates are the names in the rows of all documents, the header is the most frequent one of the headers (then the longest, then
+    the first in the alphabet). The rule is that of ``canonical_customer``, ties by the alphabet. A document without account
+    label has the account null, which has no customer; an account without any name has the customer null.
+
+    Names are counted per account before they meet; of the accounts whose most frequent name does not go on from the header, the different
+    (header, name) pairs are compared once each, however many accounts have them.
+    """
+    t = F.col(text)
+    account = F.nullif(norm_space(F.regexp_extract(t, f"(?i){_ACCOUNT_LABEL}", 1), False), F.lit(""))
+    header = norm_caps(F.regexp_extract(t, _HEADER_NAME, 1))
+    rows = F.transform(F.regexp_extract_all(t, F.lit(_ROW_NAME), 1), lambda n: F.struct(F.lit("row").alias("kind"), norm_caps(n).alias("name")))
+    heads = F.array(F.struct(F.lit("head").alias("kind"), header.alias("name")))
+    named = docs.select(account.alias("bill_account"), F.explode(F.concat(heads, rows)).alias("n")).select("bill_account", "n.*")
+    counts = named.where("bill_account is not null").groupBy("bill_account", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("place", F.when(F.col("name") != "", F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("len"), "name")))
+    accounts = counts.groupBy("bill_account").agg(
+        F.coalesce(F.min(F.when(F.col("kind") == "head", F.col("place")))["name"], F.lit("")).alias("header"),
+        F.min(F.when(F.col("kind") == "row", F.col("place")))["name"].alias("best"),
+    )
+    extends = F.col("best").startswith(F.col("header")) & (F.length("best") > F.length("header"))
+    open_ = accounts.where((F.col("header") != "") & F.col("best").isNotNull() & ~extends).select("bill_account", "header")
+    asked = counts.where("kind = 'row' and name <> ''").select("bill_account", "name").join(open_, "bill_account")
+    found = asked.join(similarities(asked, min_similarity), ["header", "name"])
+    top = found.groupBy("bill_account").agg(F.min(F.struct((-F.col("sim")).alias("sim"), (-F.length("name")).alias("len"), "name"))["name"].alias("top"))
+    alike = F.col("top").isNotNull() & (F.length("top") >= F.length("header"))
+    customer = F.when(alike, F.col("top")).otherwise(F.coalesce("best", F.nullif(F.col("header"), F.lit(""))))
+    return accounts.join(top, "bill_account", "left").select("bill_account", customer.alias("customer"))
+
+
 def _rows_of(text: Column) -> Column:
     """Array of (row, rest): each history row and the text between it and the next one; the last rest ends in a mark."""
     marked = F.regexp_replace(F.concat(text, F.lit(f" {_END}")), _ROW, f"{_OPEN}$0{_CLOSE}")
@@ -117,7 +191,7 @@ def _whole(token: Column) -> Column:
 
 
 def bill_rows(
-    docs: DataFrame, text: str = "text", nfkc: bool = False, cleaned: bool = False, min_similarity: float = 0.80
+    docs: DataFrame, text: str = "text", nfkc: bool = True, cleaned: bool = False, min_similarity: float = 0.80
 ) -> DataFrame:
     """Bills of documents (doc_id, text): one row per history row, typed, with account and customer of the document.
 
@@ -127,7 +201,8 @@ def bill_rows(
 
     A document is read inside its own row, so the whole extraction is one stage without a shuffle.
     """
-    ready = docs.select("doc_id", (F.col(text) if cleaned else clean_text(text, nfkc)).alias("text"))
+    ready = docs.select("doc_id", F.col(text).alias("text"))
+    ready = ready if cleaned else with_clean_text(ready, "text", nfkc)
     found = _with_customer(ready, "text", min_similarity).select(
         "doc_id",
         F.nullif(F.col("customer"), F.lit("")).alias("customer"),

@@ -618,6 +618,16 @@ ORACLE["e12_override_counts"] = _with(
     GRID, "SELECT upper(rate_type) AS rate_type, count(*) AS n_saved FROM entries WHERE rate > 0 GROUP BY 1"
 )
 ORACLE["e13_canonical_customer"] = _with(BILL, f"SELECT DISTINCT {DOC_OF_BILL} AS doc_id, customer FROM bills")
+ORACLE["e13_account_customers"] = _with(
+    {
+        **BILL,
+        "named": r"""SELECT bill_account, customer, CASE WHEN id % 3 = 0 THEN regexp_replace(customer, ' INC\.$', '') ELSE customer END AS name FROM bills""",
+        "counted": "SELECT bill_account, customer, name, count(*) AS n FROM named GROUP BY ALL",
+        "ranked": "SELECT *, row_number() OVER (PARTITION BY bill_account ORDER BY n DESC, length(name) DESC, name) AS place FROM counted",
+    },
+    """SELECT bill_account, CASE WHEN CAST(bill_account AS BIGINT) % 4 = 1 AND bool_or(name = customer) THEN any_value(customer)
+    ELSE max(name) FILTER (place = 1) END AS customer FROM ranked GROUP BY bill_account""",
+)
 _RULE, _THIN = "repeat('=', 80)", "repeat('-', 80)"
 _MONEY = "CAST(CAST({} AS DECIMAL(28,2)) AS VARCHAR)".format
 ORACLE["e14_report_lines"] = _with(

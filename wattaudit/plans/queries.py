@@ -423,7 +423,7 @@ def b14_bad_values(spark: SparkSession, d: str) -> DataFrame:
 @query
 def b15_doc_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     docs = views.bill_documents(bills(spark, d))
-    return documents.doc_diagnostics(docs.withColumn("text", billtext.clean_text("text")))
+    return documents.doc_diagnostics(billtext.with_clean_text(docs))
 
 
 # ---- filters
@@ -685,7 +685,14 @@ def _bill_docs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def e13_canonical_customer(spark: SparkSession, d: str) -> DataFrame:
     docs = _bill_docs(spark, d)
-    return billtext.canonical_customer(docs.withColumn("text", billtext.clean_text("text")))
+    return billtext.canonical_customer(billtext.with_clean_text(docs))
+
+
+@query
+def e13_account_customers(spark: SparkSession, d: str) -> DataFrame:
+    """One name per account, where headers are misspelt, shorter, unrelated or missing."""
+    docs = views.named_documents(bills(spark, d))
+    return billtext.account_customers(billtext.with_clean_text(docs))
 
 
 @query

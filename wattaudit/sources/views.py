@@ -298,3 +298,21 @@ def bill_documents(bills: DataFrame) -> DataFrame:
     )
 
 
+
+
+def named_documents(bills: DataFrame) -> DataFrame:
+    """Billing histories (doc_id, text) whose headers begin the name, misspell it, are unrelated or missing, by account; in
+    every third bill the name lacks its legal form.
+    """
+    name = F.when(F.col("id") % 3 == 0, F.regexp_replace("customer", r" INC\.$", "")).otherwise(F.col("customer"))
+    day = F.date_format("read_date", "M/d/yyyy")
+    line = F.concat_ws(" ", "bill_account", name, day, day, F.lit("30"))
+    misspelt = F.replace(F.replace("customer", F.lit("CUSTOMER"), F.lit("CUSTOMRE")), F.lit("TOWN"), F.lit("TWON"))
+    headers = [F.left("customer", F.lit(12)), misspelt, F.lit("ZZ HOLDINGS")]
+    header = F.get(F.array(*[F.concat(F.lit("Customer: "), h, F.lit(" ")) for h in headers], F.lit("")), (F.col("bill_account").cast("long") % 4).cast("int"))
+    lines = bills.select("bill_account", header.alias("header"), F.floor(F.col("id") / 50_000).alias("part"), "id", line.alias("line"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\n")
+    return lines.groupBy("bill_account", "header", "part").agg(joined.alias("lines")).select(
+        F.concat_ws("-", "bill_account", F.col("part").cast("string")).alias("doc_id"),
+        F.concat(F.lit("History\n"), "header", F.lit("Bill Account: "), "bill_account", F.lit("\nService Address: on file\n"), "lines", F.lit("\nPage 1 of 1\n")).alias("text"),
+    )
