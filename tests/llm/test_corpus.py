@@ -150,7 +150,7 @@ def brute_phrases(symbols, sample):
         end = at + 1
         while end < len(symbols) and symbols[at : end + 1] in sample:
             end += 1
-        n, at = n + 1, end
+        n, at = n + 1 + (symbols[at] not in sample), end
     return n
 
 
@@ -167,6 +167,34 @@ def test_cross_parsing():
         assert got[i].tolist() == [brute_phrases("".join(map(chr, u)), joined[lang]) for u in units]
 
 
+def test_large_alphabets():
+    """Two languages of 2,000 letters each, none in common; the model stays small."""
+    rng = random.Random(4)
+    alphabets = {"a": [chr(0x4E00 + i) for i in range(2_000)], "b": [chr(0x4E00 + 4_000 + i) for i in range(2_000)]}
+
+    def text(lang, n):
+        return "".join(rng.choice(alphabets[lang]) for _ in range(n))
+
+    model = langid.build({lang: [text(lang, 1_000) for _ in range(32)] for lang in alphabets})
+    lookups = langid._lookups(model)
+    given = [(lang, text(lang, 40)) for lang in alphabets for _ in range(100)]
+    found, scores, _ = langid.identify([t for _, t in given], model, lookups)
+    assert found == [lang for lang, _ in given] and min(scores) > 0.6
+    assert sum(x.nbytes for x in (model.base, model.check, model.target, model.begin)) < 8 << 20
+
+
+def test_many_languages_stay_within_the_bound(spark):
+    rng = random.Random(5)
+    words = {f"l{i:03}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(300)] for i in range(80)}
+    rows = [(lang, " ".join(rng.choice(w) for _ in range(200))) for lang, w in words.items() for _ in range(40)]
+    model = langid.learn(spark.createDataFrame(rows, "lang string, text string"), F.lit(True))
+    assert len(model.langs) == 80
+    assert sum(x.nbytes for x in (model.base, model.check, model.target, model.begin)) < 100 << 20
+    fresh = [(lang, " ".join(rng.choice(w) for _ in range(30))) for lang, w in words.items()]
+    found = langid.identify([t for _, t in fresh], model, langid._lookups(model))[0]
+    assert sum(f == lang for f, (lang, _) in zip(found, fresh, strict=True)) >= 78
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op8_language"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")

@@ -36,6 +36,13 @@ def texts(batch: pa.RecordBatch, column: int) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows that hold about ``size`` bytes at most, or one row."""
+    step = max(1, min(rows, size * batch.num_rows // max(size, batch.nbytes)))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
     """Tables that end where a group ends, from batches sorted by column ``key``.
 

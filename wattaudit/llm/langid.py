@@ -2,8 +2,10 @@
 
 For each language a suffix automaton of a bounded sample of labelled text knows every substring of the sample. A text is
 cut from left to right into phrases, each the longest match that the automaton still reads; many texts are parsed in
-lockstep, one table lookup per character and language. The number of phrases times the logarithm of the sample's length,
-per character, estimates the cross entropy.
+lockstep. The number of phrases times the logarithm of the sample's length, per character, estimates the cross entropy.
+
+Alphabets may have any size: the transitions of all states lie in one array, shifted against each other so that they fill its gaps, so
+the model takes about twelve bytes per transition whatever the number of letters.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The bounds of the labelled sample: documents per language, characters of each, and characters of all languages.
+from wattaudit.llm.base import slices
+
+#: The bounds of the labelled sample: documents per language, characters of each, and characters of all languages, which bounds the
+#: model by about 100 MB: above 62 languages each gets its share of them.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_ALL = 32, 1000, 2_000_000
-#: Letters of a language that are told apart; rarer ones match nothing.
-LETTERS = 254
-#: Characters that are parsed as a unit, and units parsed together.
-UNIT, TOGETHER = 2048, 4096
+#: Characters that are parsed as a unit, and units parsed together; rows and bytes of texts that are held at a time.
+UNIT, TOGETHER = 2048, 2048
+ROWS, BYTES = 1000, 4 << 20
 #: Least number of other labelled texts from which the largest fit of a language is learned.
 OTHERS = 8
 #: How sharply the score falls with the distance of the second language, per bit and character.
@@ -33,14 +37,20 @@ UNKNOWN, SPACE = 0, 1
 
 @dataclass
 class Model:
-    """Transitions of all automata in one table; a negative entry ends a phrase and holds ~(where to go on)."""
+    """All automata. ``alphabet`` lists the code points of the symbols from 2 on; 0 is any other letter and 1 a space.
+
+    The transition of ``state`` by ``symbol`` is at ``base[state] + symbol``: it exists if ``check`` holds the state there, and leads to
+    ``target``. ``begin`` is the state after the first symbol of a phrase, by language.
+    """
 
     langs: list[str]
-    codes: list[dict[int, int]]
-    table: np.ndarray
-    starts: np.ndarray
+    alphabet: np.ndarray
+    base: np.ndarray
+    check: np.ndarray
+    target: np.ndarray
+    begin: np.ndarray
     bits: np.ndarray
-    width: int
+    letters: list[int]
     sampled: tuple[int, ...] = ()  # hashes of language and text of the sample
 
 
@@ -88,37 +98,72 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def _shifted(rows: list[tuple[int, list[tuple[int, int]]]], states: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base, check and target of transitions ``rows`` (state, [(symbol, to)], symbols ascending).
+
+    States of several transitions are placed first, the largest foremost, each at the first free place that fits; where many did not
+    fit, larger states no longer look. Those of a single transition fill what is free. No place below ``width`` is used, so that no base is
+    negative.
+    """
+    base = np.zeros(states, np.int32)
+    taken, low, end, size = bytearray(4 * width), width, width, 0
+    places: list[tuple[int, int, int]] = []
+    single = [r for r in rows if len(r[1]) == 1]
+    for state, out in sorted((r for r in rows if len(r[1]) > 1), key=lambda r: -len(r[1])):
+        if len(out) < min(size, 8):
+            low = width  # small states fit where larger ones did not
+        size, first = len(out), out[0][0]
+        while taken[low]:
+            low += 1
+        at, tries = low, 0
+        while any(taken[at - first + s] for s, _ in out):
+            at = taken.index(0, at + 1)
+            tries += 1
+            if tries % 64 == 0:
+                low = at
+        base[state] = at - first
+        for s, to in out:
+            taken[at - first + s] = 1
+            places.append((at - first + s, state, to))
+        end = max(end, at - first + out[-1][0] + 1)
+        if len(taken) < end + 2 * width:
+            taken += bytes(len(taken) + 2 * width)
+    gaps = np.nonzero(np.frombuffer(taken[:end], np.uint8)[width:] == 0)[0] + width
+    gaps = np.concatenate([gaps, np.arange(end, end + max(0, len(single) - len(gaps)))])[: len(single)]
+    for at, (state, [(s, to)]) in zip(gaps.tolist(), single, strict=True):
+        base[state] = at - s
+        places.append((at, state, to))
+    size = int(base.max(initial=0)) + width + 1
+    check, target = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    if places:
+        at, state, to = np.array(places).T
+        check[at], target[at] = state, to
+    return base, check, target
+
+
 def build(samples: dict[str, list[str]]) -> Model:
     """Model of the given texts by language."""
     langs = sorted(samples)
-    automata, codes, bits = [], [], []
-    for lang in langs:
-        parts = [normal(t) for t in samples[lang]]
-        common = Counter(int(p) for part in parts for p in part if p != 32).most_common()
-        ranked = sorted(common, key=lambda x: (-x[1], x[0]))[:LETTERS]
-        code = {32: SPACE} | {p: i + 2 for i, (p, _) in enumerate(ranked)}
-        symbols = [code.get(int(p), UNKNOWN) for part in parts for p in [*part, 32]]
-        automata.append(suffix_automaton(symbols))
-        codes.append(code)
-        bits.append(np.log2(len(symbols) + 1))
-    width = max((len(c) for c in codes), default=1) + 1
-    table = np.empty((sum(len(a) + 1 for a in automata), width), np.int32)
-    starts, first = [], 0
-    for moves in automata:
-        own = first + len(moves)  # the state after a letter that the sample doesn't hold: a phrase of its own
-        start = np.full(width, own * width, np.int32)
+    parts = {lang: [normal(t) for t in samples[lang]] for lang in langs}
+    found = {lang: set(np.unique(np.concatenate(parts[lang])).tolist()) - {32} for lang in langs}
+    common = Counter(p for lang in langs for part in parts[lang] for p in part.tolist() if p != 32)
+    alphabet = [p for p, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))]
+    code = {32: SPACE} | {p: i + 2 for i, p in enumerate(alphabet)}
+    width = len(alphabet) + 2
+    begin = np.empty((len(langs), width), np.int32)
+    rows, bits, first = [], [], 0
+    for i, lang in enumerate(langs):
+        symbols = [code[p] for part in parts[lang] for p in [*part.tolist(), 32]]
+        moves = suffix_automaton(symbols)
+        # The state after a letter that the sample doesn't hold leads nowhere: a phrase of its own.
+        begin[i] = first + len(moves)
         for s, to in moves[0].items():
-            if s != UNKNOWN:
-                start[s] = (first + to) * width
-        table[first : own + 1] = ~start
-        table[first] = start
-        for state, out in enumerate(moves):
-            for s, to in out.items():
-                if s != UNKNOWN:
-                    table[first + state, s] = (first + to) * width
-        starts.append(first * width)
-        first = own + 1
-    return Model(langs, codes, table.reshape(-1), np.array(starts, np.int32), np.array(bits), width)
+            begin[i, s] = first + to
+        rows += [(first + state, sorted((s, first + to) for s, to in out.items())) for state, out in enumerate(moves) if state and out]
+        bits.append(np.log2(len(symbols) + 1))
+        first += len(moves) + 1
+    base, check, target = _shifted(rows, first, width)
+    return Model(langs, np.array(alphabet, np.int64), base, check, target, begin, np.array(bits), [len(found[lang]) + 1 for lang in langs])
 
 
 def learn(docs: DataFrame, known: Column) -> Model:
@@ -150,28 +195,33 @@ def learn(docs: DataFrame, known: Column) -> Model:
 
 
 def _lookups(model: Model) -> np.ndarray:
-    found = np.zeros((len(model.langs), 0x110000), np.uint8)
-    for i, code in enumerate(model.codes):
-        found[i, list(code)] = list(code.values())
+    """Symbol of every code point."""
+    found = np.zeros(0x110000, np.int32)
+    found[model.alphabet] = np.arange(2, len(model.alphabet) + 2)
+    found[32] = SPACE
     return found
 
 
 def _phrases(units: list[np.ndarray], model: Model, lookups: np.ndarray) -> np.ndarray:
-    """Phrases of each unit by language; units are sorted by length, longest first."""
-    langs = len(model.langs)
-    symbols = np.zeros((len(units[0]), langs, len(units)), np.uint8)
+    """Phrases of each unit by language; units are not empty and sorted by length, longest first.
+
+    A letter that the sample doesn't hold counts twice, as an escape and as itself.
+    """
+    symbols = np.zeros((len(units[0]), len(units)), np.int32)
     for i, unit in enumerate(units):
-        symbols[: len(unit), :, i] = lookups[:, unit].T
+        symbols[: len(unit), i] = lookups[unit]
     lengths = np.array([len(u) for u in units])
-    state = np.repeat(model.starts[:, None], len(units), axis=1)
-    count = np.zeros_like(state)
-    for t, row in enumerate(symbols):
+    state, unknown = model.begin[:, symbols[0]], model.begin[:, :1]
+    count = 1 + (state == unknown).astype(np.int32)
+    for t in range(1, len(symbols)):
         live = int(np.searchsorted(-lengths, -t))  # units longer than t
-        v = model.table.take(state[:, :live] + row[:, :live])
-        over = v >> 31
-        count[:, :live] -= over
-        state[:, :live] = v ^ over
-    return count + (state != model.starts[:, None])
+        row, at = symbols[t, :live], state[:, :live]
+        place = model.base.take(at) + row
+        over = model.check.take(place) != at
+        state[:, :live] = np.where(over, model.begin.take(row, axis=1), model.target.take(place))
+        count[:, :live] += over
+        count[:, :live] += state[:, :live] == unknown
+    return count
 
 
 def identify(given: list[str | None], model: Model, lookups: np.ndarray) -> tuple[list[str], list[float], list[float]]:
@@ -223,8 +273,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
         model = shared.value
         lookups = _lookups(model)
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in slices(whole, ROWS, BYTES):
                 found, *values = identify(batch.column(at).to_pylist(), model, lookups)
                 columns = [*batch.columns, pa.array(found, pa.string()), *[pa.array(v, pa.float64()) for v in values[: 1 + len(more)]]]
                 yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
@@ -248,7 +297,7 @@ def largest_fits(docs: DataFrame, known: Column, model: Model) -> dict[str, floa
     medians = fits.groupBy("lang").agg(F.percentile_approx("fit", 0.5, 10_000), F.count("*")).collect()
     learned = {lang: median for lang, median, n in medians if n >= OTHERS}
     cuts = {}
-    for lang, code, bits in zip(model.langs, model.codes, model.bits.tolist(), strict=True):
-        at_random = float(np.log2(len(code) + 1))
+    for lang, letters_, bits in zip(model.langs, model.letters, model.bits.tolist(), strict=True):
+        at_random = float(np.log2(letters_ + 1))
         cuts[lang] = max((learned.get(lang, at_random) * bits) ** 0.5, at_random)
     return cuts

@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.llm.base import stored, texts
+from wattaudit.llm.base import slices, stored, texts
 
+#: Rows and bytes of texts that are held at a time.
+ROWS, BYTES = 1000, 4 << 20
 #: Most steps of the search and the gain below which it ends.
 STEPS, GAIN = 25, 1e-6
 #: The ridge on standardised weights is the first plus the second divided by the number of positives: few say little.
@@ -117,8 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in slices(whole, ROWS, BYTES):
                 x = np.array([features(t) for t in texts(batch, 1)], np.float32).reshape(-1, N_FEATURES)
                 values = pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), pa.array(x.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
@@ -179,8 +180,7 @@ def predict(docs: DataFrame, model: Model, threshold: float = 0.7, score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
+            for batch in slices(whole, ROWS, BYTES):
                 x = np.array([features(t) for t in texts(batch, at)]).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(x))], schema.fieldNames())
 
