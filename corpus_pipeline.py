@@ -72,8 +72,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash_groups(docs.select(own.alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), "component_id").distinct()
     ids = docs.select(named.alias("_id"), own.alias("_own")).distinct()
     first = groups.join(ids, "_own").groupBy("component_id").agg(F.min(F.struct("_id", "_own")).alias("first"))
-    rows = _carried(docs, _own=own).join(first.select("first._own"), "_own", "left_semi")
-    return rows.groupBy("_own").agg(F.min("_doc").alias("_doc")).select("_doc.*")
+    # Names are short hashes: rows whose names agree by chance are told apart by their ids and a long one.
+    rows = _carried(docs, _own=own, _id=named, _text=F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = rows.join(first.select("first._own"), "_own", "left_semi")
+    return rows.groupBy("_own", "_id", "_text").agg(F.min("_doc").alias("_doc")).select("_doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
