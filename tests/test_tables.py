@@ -17,9 +17,10 @@ from wattaudit.operators.lookups import bounded_rows, fits, lookup_join
 from wattaudit.plans.intake import bill_intake, model_inputs, tariff_intake
 from wattaudit.session import work_dir
 from wattaudit.sources import bills as bill_source
-from wattaudit.sources import files, logs, tariffs
-from wattaudit.streaming.logs import stream_logs
-from wattaudit.streaming.tables import current_state, start_update_table
+from wattaudit.sources import files, logs, reports, tariffs
+from wattaudit.sources.snapshots import SnapshotTable
+from wattaudit.streaming.logs import log_windows, read_log_stream, start_log_windows, stream_logs, window_table
+from wattaudit.streaming.tables import start_update_table
 from wattaudit.streaming.usage import stream_usage
 
 from conftest import plan, rows
@@ -200,11 +201,69 @@ def test_streams_equal_batch(spark):
     batch = spark.read.parquet(path)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
     table = work_dir(spark, "counters")
-    start_update_table(stream_usage(stream), f"{table}/rows", f"{table}/checkpoint").awaitTermination()
-    got = current_state(spark, f"{table}/rows", ["month", "model"])
+    counted = stream_usage(stream)
+    stored = SnapshotTable(spark, f"{table}/rows", counted.schema, ["month", "model"], 4)
+    start_update_table(counted, stored, f"{table}/checkpoint").awaitTermination()
+    got = stored.read()
     want = usage.llm_usage(batch).where("model is not null")
     assert sorted(map(str, rows(got))) == sorted(map(str, rows(want.select(*got.columns))))
-    assert spark.read.parquet(f"{table}/rows").select("epoch").distinct().count() == 3
+    assert stored.snapshot().version == 3
+    # The same files once more, and a batch of which only some calls are new, with and without forgetting ids.
+    batch.limit(30).unionByName(batch.limit(2).withColumn("event_id", F.lit(None).cast("long"))).coalesce(1).write.mode("append").parquet(path)
+    for keep, name in ((None, "checkpoint"), ("62 days", "forgetful")):
+        counted = stream_usage(stream, keep=keep)
+        stored = SnapshotTable(spark, f"{table}/rows-{name}", counted.schema, ["month", "model"], 4)
+        start_update_table(counted, stored, f"{table}/{name}-2").awaitTermination()
+        assert sum(r.requests for r in stored.read().collect()) == 152
+
+
+def test_a_repeated_epoch_changes_nothing(spark):
+    """As after a failure between the commit of the table and that of the stream."""
+    folder = work_dir(spark, "epochs")
+    spark.range(5).selectExpr("id AS event_id", "current_timestamp() AS ts", "'llm' AS kind", "'m' AS key", "1L AS input_tokens", "1L AS output_tokens", "true AS success").write.parquet(f"{folder}/calls")
+    schema = spark.read.parquet(f"{folder}/calls").schema
+    for checkpoint in ("first", "second"):  # the second run knows nothing of the first one
+        counted = stream_usage(spark.readStream.schema(schema).parquet(f"{folder}/calls"))
+        stored = SnapshotTable(spark, f"{folder}/rows", counted.schema, ["month", "model"], 4)
+        start_update_table(counted, stored, f"{folder}/{checkpoint}").awaitTermination()
+        assert [r.requests for r in stored.read().collect()] == [5] and stored.snapshot().version == 1
+
+
+def test_log_windows_become_final_and_late_lines_are_counted_once(spark):
+    folder = work_dir(spark, "log-windows")
+    stored = window_table(spark, f"{folder}/windows", 4)
+
+    def arrive(*times, checkpoint="checkpoint"):
+        if times:
+            lines = [*[(f"{x} | INFO | a | b",) for x in times], ("no time",), (" ",)]
+            spark.createDataFrame(lines, "line string").coalesce(1).write.mode("append").text(f"{folder}/lines")
+        start_log_windows(read_log_stream(spark, f"{folder}/lines"), stored, f"{folder}/{checkpoint}", "app").awaitTermination()
+        return {r.start and r.start.hour: (r.n_lines, r.n_late, r.is_final) for r in log_windows(stored).collect()}
+
+    assert arrive("2024-01-01 10:00:00", "2024-01-01 10:30:00", "2024-01-01 11:59:00") == {10: (2, 0, False), 11: (1, 0, False), None: (1, 0, False)}
+    assert arrive("2024-01-01 13:10:00", "2024-01-01 10:45:00") == {10: (3, 0, True), 11: (1, 0, False), 13: (1, 0, False), None: (2, 0, False)}
+    want = {10: (3, 1, True), 11: (2, 0, False), 13: (1, 0, False), None: (3, 0, False)}
+    assert arrive("2024-01-01 10:50:00", "2024-01-01 11:00:00") == want
+    assert arrive() == want  # a restart without new files
+    assert arrive(checkpoint="lost") == want  # batches that the table holds already
+
+
+def test_reports_are_read_back_from_their_own_files(spark):
+    rng = random.Random(6)
+    data = [(a, b, n, f"{a} {b} {n} é{'x' * rng.randrange(30)}") for a in ("a1", "a2", "a3", "big") for b in range(40 if a == "big" else 3) for n in range(rng.randrange(1, 6))]
+    data += [(None, 1, 0, "nobody\nelse"), ("a2", 9, 0, None), ("a2", 9, 1, "")]
+    lines = spark.createDataFrame(data, "bill_account string, bill_no long, line_no int, line string").repartition(3)
+    folder = work_dir(spark, "reports")
+    reports.write_reports(lines, folder, 500)
+    files = [f for f in os.listdir(f"{folder}/files") if f.startswith("file=")]
+    assert len(files) > 5
+    for account in ("a1", "a2", "a3", "big", None):
+        want = [(x[3] or "").replace("\n", " ") for x in sorted((x for x in data if x[0] == account), key=lambda x: x[1:3])]
+        found = reports.read_report(spark, folder, account)
+        assert [r.line for r in found.collect()] == want
+        named = spark.read.parquet(f"{folder}/index").where(F.col("bill_account").eqNullSafe(F.lit(account))).count()
+        assert sum("/files/" in f for f in found.inputFiles()) == named < len(files)
+    assert reports.read_report(spark, folder, "none").count() == 0
 
 
 def test_late_and_undated_log_lines_are_counted(spark):
@@ -218,8 +277,10 @@ def test_late_and_undated_log_lines_are_counted(spark):
         os.utime(f.path, (time.time() - 100 + i, time.time() - 100 + i))
     stream = spark.readStream.schema("line string").option("maxFilesPerTrigger", 1).parquet(path)
     table = work_dir(spark, "log-counts")
-    start_update_table(stream_logs(stream, "app"), f"{table}/rows", f"{table}/checkpoint").awaitTermination()
-    got = current_state(spark, f"{table}/rows", ["source", "level", "hour"]).collect()
+    counted = stream_logs(stream, "app")
+    stored = SnapshotTable(spark, f"{table}/rows", counted.schema, ["source", "level", "hour"], 4)
+    start_update_table(counted, stored, f"{table}/checkpoint").awaitTermination()
+    got = stored.read().collect()
     assert {(r.hour and r.hour.hour, r.n_lines) for r in got} == {(10, 3), (20, 2), (19, 1), (None, 4)}
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wattaudit.operators.columns import as_date, as_number
 from wattaudit.operators.history import HotKeys, cut, profile
 from wattaudit.operators.pricing import expected_bill
+from wattaudit.session import work_dir
 
 HIGH_VARIANCE = 0.05
 
@@ -86,8 +87,11 @@ def report_lines(audited: DataFrame, generated: str, hot: HotKeys = HotKeys()) -
     """Report of each account as rows (bill_account, bill_no, line_no, line); bill_no 0 is the head, the number
     after the last bill the end.
 
-    ``audited`` needs the ``trace`` column.
+    ``audited`` needs the ``trace`` column. It is written once, so that bills are priced once for heads, bill numbers and blocks.
     """
+    path = work_dir(audited.sparkSession, "audited")
+    audited.write.parquet(path)
+    audited = audited.sparkSession.read.schema(audited.schema).parquet(path)
     head = F.array(
         F.lit(RULE),
         F.lit("BILL AUDIT REPORT"),

@@ -203,6 +203,7 @@ ORACLE["a6_parse_logs"] = _with(
     CASE WHEN fits THEN trim(split_part(line, '|', 4)) END AS description,
     line AS message, file AS log_file, line_no, CAST(line_no AS VARCHAR) AS noted FROM parsed""",
 )
+ORACLE["a6_log_files"] = ORACLE["a6_parse_logs"]
 ORACLE["a7_append_bills"] = _with(
     BILL,
     f"""SELECT id % 1000 AS raw_bill_document_id, bill_account, customer, {txt('bill_date', 'read_date')}, days_used, billed_kwh,
@@ -224,6 +225,14 @@ ORACLE["a9_export_results"] = _with(
     CAST(expected_bill AS DOUBLE) AS "Expected Bill", CAST(variance AS DOUBLE) AS "Variance", status AS "Status" FROM priced""",
 )
 
+ORACLE["a9_export_bills"] = _with(
+    BILL,
+    """SELECT id AS "Bill ID", bill_account AS "Bill Account", customer AS "Customer", CAST(bill_date AS VARCHAR) AS "Bill Date",
+    CAST(read_date AS VARCHAR) AS "Read Date", days_used AS "Days Used", billed_kwh AS "Billed kWh", billed_demand AS "Billed Demand",
+    load_factor AS "Load Factor", billed_rkva AS "Billed rKVA", CAST(bill_amount AS DOUBLE) AS "Bill Amount",
+    CAST(sales_tax_amt AS DOUBLE) AS "Sales Tax Amount" FROM bills""",
+)
+
 # ---- projections and cleaning
 
 ORACLE["b1_clean_columns"] = _with(
@@ -409,6 +418,13 @@ ORACLE["c1_account_results"] = _with(
     f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
     CAST(read_date AS VARCHAR) AS detected_on, status FROM found WHERE account = '1120000100'""",
 )
+ORACLE["a9_export_issues"] = _with(
+    ANOMALIES,
+    f"""SELECT f.bill_id AS "Bill ID", f.bill_id AS "Bill ID (FK)", f.bill_id * 9 + rule AS "Issue ID", rule_id AS "Issue Type",
+    {RULE_TEXT.replace('days_used', 'f.days_used').replace('read_date', 'f.read_date')} AS "Description", status AS "Status",
+    concat(CAST(f.read_date AS VARCHAR)) AS "Detected On", b.bill_account AS "Bill Account", b.customer AS "Customer"
+    FROM found f JOIN bills b ON b.id = f.bill_id""",
+)
 ORACLE["d8_issues_of_bills"] = _with(
     ANOMALIES,
     f"""SELECT bill_id * 9 + rule AS id, account AS account_id, bill_id AS user_bill_id, rule_id AS issue_type, {RULE_TEXT} AS description,
@@ -651,6 +667,9 @@ ORACLE["e14_report_lines"] = _with(
     """SELECT bill_account, bill_no, CAST(generate_subscripts(block, 1) - 1 AS INTEGER) AS line_no, unnest(block) AS line FROM everything""",
 )
 
+_REPORT = ORACLE["e14_report_lines"]
+ORACLE["e14_report_file"] = _REPORT[: _REPORT.rindex("SELECT bill_account, bill_no,")] + f"SELECT unnest(block) AS line FROM everything WHERE {ACCOUNT}"
+
 # ---- windows
 
 ORACLE["f5_latest_month_rate"] = _with(
@@ -836,3 +855,15 @@ for _stored, _pure in (
     ("k4_stored_status", "k4_update_status"), ("k5_stored_runs", "k5_run_ledger"),
 ):
     ORACLE[_stored] = ORACLE[_pure]
+
+ORACLE["s2_log_files"] = _with(
+    {
+        **LOGGED,
+        "lines": """SELECT CASE WHEN fits THEN trim(split_part(line, '|', 2)) ELSE 'INFO' END AS level, line_no % 50 = 0 AS again,
+            CASE WHEN fits THEN CAST(left(line, 19) AS TIMESTAMP) END AS logged FROM parsed""",
+        "counts": "SELECT level, date_trunc('hour', logged) AS start, count(*) AS n, count(*) FILTER (again) AS n_again FROM lines GROUP BY ALL",
+        "closed": """SELECT *, coalesce(start + INTERVAL 1 HOUR <= (SELECT max(logged) - INTERVAL 2 HOUR FROM lines), false) AS is_final FROM counts""",
+    },
+    """SELECT 'app' AS source, level, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n + CASE WHEN is_final THEN 0 ELSE n_again END AS n_lines,
+    CASE WHEN is_final THEN n_again ELSE 0 END AS n_late, is_final FROM closed""",
+)

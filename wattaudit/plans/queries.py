@@ -21,10 +21,10 @@ from wattaudit.plans import incremental
 from wattaudit.schemas import BILLS, LOGS, table
 from wattaudit.session import work_dir
 from wattaudit.sources import bills as bill_source
-from wattaudit.sources import files, logs, tariffs, views
+from wattaudit.sources import files, logs, reports, tariffs, views
 from wattaudit.sources.snapshots import SnapshotTable
-from wattaudit.streaming.logs import stream_logs
-from wattaudit.streaming.tables import current_state, start_update_table
+from wattaudit.streaming.logs import log_windows, read_log_stream, start_log_windows, stream_logs, window_table
+from wattaudit.streaming.tables import start_update_table
 from wattaudit.streaming.usage import stream_operations, stream_usage
 
 KEY = "bill audit token key"
@@ -188,6 +188,22 @@ def a6_parse_logs(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select(*[c for c in LOGS.fieldNames() if c != "context"], F.col("context")["line_number"].alias("noted"))
 
 
+def _log_files(spark: SparkSession, d: str) -> str:
+    """The log lines as text files, a folder per log; the folder of all."""
+    path = work_dir(spark, "log-files")
+    lines = views.view(spark, d, "log_lines").repartition("file").sortWithinPartitions("file", "line_no")
+    lines.select("line", "file").write.partitionBy("file").text(path)
+    return path
+
+
+@query
+def a6_log_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same lines, read from text files and numbered there."""
+    parsed = logs.parse_logs(logs.read_log_lines(spark, f"{_log_files(spark, d)}/*"), "app")
+    parsed = parsed.withColumn("log_file", F.regexp_extract("log_file", r"/file=([^/]+)/", 1))
+    return parsed.select(*[c for c in LOGS.fieldNames() if c != "context"], F.col("context")["line_number"].alias("noted"))
+
+
 def _as_text(b: DataFrame) -> DataFrame:
     """Bills as text, some without class."""
     return b.select(
@@ -266,6 +282,25 @@ def a9_export_results(spark: SparkSession, d: str) -> DataFrame:
     return files.read_csv(spark, path, result.schema)
 
 
+@query
+def a9_export_bills(spark: SparkSession, d: str) -> DataFrame:
+    """Bills under their display titles."""
+    path = work_dir(spark, "export")
+    result = files.export_results(bills(spark, d), files.BILL_TITLES)
+    files.write_csv(result, path)
+    return files.read_csv(spark, path, result.schema)
+
+
+@query
+def a9_export_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Findings with the customers of their bills, under their display titles."""
+    path = work_dir(spark, "export")
+    named = issues.bills_with_issues(bills(spark, d), found_issues(spark, d))
+    result = files.export_results(named, files.ISSUE_TITLES)
+    files.write_csv(result, path)
+    return files.read_csv(spark, path, result.schema)
+
+
 # ---- projections and cleaning
 
 
@@ -700,6 +735,15 @@ def e14_report_lines(spark: SparkSession, d: str) -> DataFrame:
     return audits.report_lines(audited(spark, d, trace=True), GENERATED)
 
 
+@query
+def e14_report_file(spark: SparkSession, d: str) -> DataFrame:
+    """All reports written as files, and that of one account read back."""
+    folder = work_dir(spark, "reports")
+    reports.write_reports(audits.report_lines(audited(spark, d, trace=True), GENERATED), folder, 1 << 20)
+    found = reports.read_report(spark, folder, ACCOUNT)
+    return found.select("line")
+
+
 # ---- windows and rules
 
 
@@ -1042,9 +1086,10 @@ def _calls_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _final(spark: SparkSession, stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    table = work_dir(spark, name)
-    start_update_table(stream, f"{table}/rows", f"{table}/checkpoint").awaitTermination()
-    return current_state(spark, f"{table}/rows", keys)
+    folder = work_dir(spark, name)
+    stored = SnapshotTable(spark, f"{folder}/table", stream.schema, keys, 16)
+    start_update_table(stream, stored, f"{folder}/checkpoint").awaitTermination()
+    return stored.read()
 
 
 @query
@@ -1063,3 +1108,16 @@ def s2_stream_logs(spark: SparkSession, d: str) -> DataFrame:
     raw = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")
     lines = spark.sql(views.LOG_LINES, events=raw)
     return _final(spark, stream_logs(lines, "app"), "logs", ["source", "level", "hour"])
+
+
+@query
+def s2_log_files(spark: SparkSession, d: str) -> DataFrame:
+    """Log files as a stream of text in two runs: the whole logs, then every fiftieth line once more, most of them late."""
+    folder = work_dir(spark, "log-stream")
+    stored = window_table(spark, f"{folder}/windows")
+    lines = views.view(spark, d, "log_lines")
+    for part in (lines, lines.where(F.col("line_no") % 50 == 0)):
+        part.select("line").write.mode("append").text(f"{folder}/lines")
+        stream = read_log_stream(spark, f"{folder}/lines")
+        start_log_windows(stream, stored, f"{folder}/checkpoint", "app").awaitTermination()
+    return log_windows(stored)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Column titles of the exported result and bill tables.
+# Column titles of the exported result, bill and issue tables.
 RESULT_TITLES = {
     "bill_date": "Bill Date",
     "service_class": "Service Class",
@@ -39,6 +39,17 @@ BILL_TITLES = {
     "sales_tax_factor": "Sales Tax Factor",
     "created_at": "Uploaded At",
 }
+ISSUE_TITLES = {
+    "bill_id": "Bill ID",
+    "fk_user_bill_id": "Bill ID (FK)",
+    "issue_id": "Issue ID",
+    "issue_type": "Issue Type",
+    "description": "Description",
+    "status": "Status",
+    "detected_on": "Detected On",
+    "bill_account": "Bill Account",
+    "customer": "Customer",
+}
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -109,7 +109,7 @@ class SnapshotTable:
             rows = make(self.read(buckets, old)).select(*self.schema.fieldNames())
             if id_column:
                 # Written once, so that what is numbered and what is kept come from the same rows.
-                made = self._staged(rows)
+                made = self.staged(rows)
                 top = made.agg(F.max(id_column)).first()[0]
                 next_id = next_id if top is None else max(next_id, top + 1)
                 new, next_id = self._numbered(made.where(F.col(id_column).isNull()), id_column, next_id)
@@ -133,7 +133,8 @@ class SnapshotTable:
             raise ValueError("updates need a single key column")
         return self.rewrite(self.touched(changes), lambda base: update_by_key(base, changes, self.keys[0]))
 
-    def _staged(self, rows: DataFrame) -> DataFrame:
+    def staged(self, rows: DataFrame) -> DataFrame:
+        """Rows written once beside the table, so that every use of them sees the same ones."""
         folder = f"{self.path}/data/_staged-{uuid.uuid4().hex}"
         rows.write.parquet(folder)
         return self.spark.read.schema(rows.schema).parquet(folder)
@@ -141,7 +142,7 @@ class SnapshotTable:
     def _numbered(self, rows: DataFrame, id_column: str, first: int) -> tuple[DataFrame, int]:
         """Rows with ids from ``first`` on. One count per written part is read and broadcast."""
         place = F.monotonically_increasing_id()
-        staged = self._staged(rows.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_place": place.bitwiseAND((1 << 33) - 1)}))
+        staged = self.staged(rows.withColumns({"_part": F.shiftright(place, 33).cast("int"), "_place": place.bitwiseAND((1 << 33) - 1)}))
         starts, at = [], first
         for part, n in sorted(staged.groupBy("_part").agg(F.count(F.lit(1))).collect()):
             starts.append((part, at))
