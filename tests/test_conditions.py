@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+from decimal import Decimal as D
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from wattaudit.functions import conditions
 from wattaudit.functions.conditions import compile_condition, compile_formula, with_condition
+from wattaudit.operators import pricing
+from wattaudit.sources import tariffs
 
 BILLS = [
     (900.0, 10.0, 4.0, 30, dt.date(2020, 7, 1), 2.2),
@@ -88,3 +93,24 @@ def test_with_condition_compiles_each_text_once(spark):
     for r in held.collect():
         bill = (r.billed_kwh, r.billed_demand, r.billed_rkva, r.days_used, r.bill_date, r.delivery_voltage)
         assert r.holds == reference(r.condition, bill), r
+
+
+def test_many_templates_go_block_by_block(spark, monkeypatch):
+    """Templates beyond the bound of one CASE give what one CASE gives."""
+    texts = ["Always", None, "prose it is"] + [f"user.billed_kwh {op} {n} {j} user.days_used {op} {m}" for op in ("<", ">") for j in ("and", "or") for n in (10, 500) for m in (29, 31)]
+    texts += ["user.billed_kwh " + "+ 1 " * i + "> 100" for i in range(9)]
+    rows = [(i, t, float(k), 30, D("5.00"), dt.date(2021, 1, 9)) for i, (t, k) in enumerate((t, k) for t in texts for k in (5, 100, 900))]
+    bills = spark.createDataFrame(rows, "id long, condition string, billed_kwh double, days_used int, bill_amount decimal(18,2), read_date date")
+    bills = bills.withColumns({"billed_demand": F.lit(1.0), "billed_rkva": F.lit(1.0), "delivery_voltage_kv": F.lit(1.0), "bill_date": F.col("read_date")})
+    want = {r.id: r.holds for r in conditions.with_condition(bills).collect()}
+    monkeypatch.setattr(conditions, "MOST_TEMPLATES", 3)
+    assert {r.id: r.holds for r in conditions.with_condition(bills).collect()} == want
+    assert {want[3 * i] for i in range(len(texts))} == {True, False}
+
+    class_of = {t: f"SC{i}" for i, t in enumerate(texts)}
+    body = json.dumps([{"sc_code": class_of[t], "effective_date": "2020-01-01", "logic_steps": [{"step_name": "a", "charge_type": "fixed_fee", "value": 7} | ({} if t is None else {"condition": t})]} for t in texts])
+    versions = tariffs.tariff_versions(spark.createDataFrame([(1, body)], "doc_id long, body string"))
+    classes = spark.createDataFrame([(i, class_of[r[1]]) for i, r in enumerate(rows)] + [(9_999, "none")], "id long, service_class string")
+    priced = pricing.expected_bill(bills.drop("condition").join(classes, "id", "right").withColumn("bill_account", F.lit("a")), versions)
+    got = {r.id: (r.status, r.expected_bill) for r in priced.collect()}
+    assert got == {**{i: ("SUCCESS", D("7.00") if h else D("0.00")) for i, h in want.items()}, 9_999: ("SKIPPED", D("0.00"))}

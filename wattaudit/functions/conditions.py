@@ -14,6 +14,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattaudit.session import work_dir
+
 # Variables a condition may use, and the column each reads.
 VARIABLES = {
     "user.billed_kwh": "billed_kwh",
@@ -185,6 +187,10 @@ class _Compiler:
         raise Unsupported(name)
 
 
+#: Templates that are compiled into one CASE.
+MOST_TEMPLATES = 500
+
+
 def _parse(text: str) -> ast.AST:
     try:
         return ast.parse(text.strip(), mode="eval").body
@@ -243,10 +249,39 @@ def with_templates(versions: DataFrame, *fields: str) -> DataFrame:
     return versions.withColumn("steps", F.transform("steps", extended))
 
 
-def templates(versions: DataFrame, field: str) -> list[str]:
-    """Distinct templates of a step field over versions from ``with_templates``."""
-    found = versions.select(F.explode("steps").alias("s")).select(F.col(f"s.{field}_template").alias("t"))
-    return sorted(r.t for r in found.where(F.col("t").isNotNull()).distinct().collect())
+def template_blocks(versions: DataFrame, key: list[str], *fields: str, most: int | None = None) -> tuple[DataFrame, list[dict[str, list[str]]]]:
+    """Versions from ``with_templates`` with ``template_block``, and the distinct templates of each field by block.
+
+    Up to ``most`` templates (default MOST_TEMPLATES) make one block. Beyond that versions are dealt to blocks by a hash of their ``key``, so that a block
+    has about half as many; only one block's templates are read at a time, and no CASE has a branch for all.
+    """
+    most = MOST_TEMPLATES if most is None else most
+    found = versions.select(F.xxhash64(*key).alias("h"), F.explode("steps").alias("s"))
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"s.{f}_template").alias("t")) for f in fields]))
+    found = found.select("h", named.alias("n")).select("h", "n.*").where("t is not null").distinct()
+    n = found.select("field", "t").distinct().count()
+    blocks = 1 if n <= most else -(-2 * n // most)
+    number = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
+    known = []
+    for block in range(blocks):
+        rows = found.where(F.pmod("h", F.lit(blocks)) == block).select("field", "t").distinct().collect()
+        known.append({f: sorted(r.t for r in rows if r.field == f) for f in fields})
+    return versions.withColumn("template_block", number), known
+
+
+def by_block(rows: DataFrame, block: Column, known: list[dict[str, list[str]]], finish: Callable[[DataFrame, dict[str, list[str]]], DataFrame]) -> DataFrame:
+    """``finish(rows, templates)`` of all rows: at once if there is one block, else block by block over rows that are written once."""
+    if len(known) == 1:
+        return finish(rows, known[0])
+    spark, path = rows.sparkSession, work_dir(rows.sparkSession, "template-blocks")
+    staged = rows.withColumn("_block", F.coalesce(block, F.lit(0)))
+    staged.write.partitionBy("_block").parquet(f"{path}/rows")
+    staged = spark.read.schema(staged.schema).parquet(f"{path}/rows")
+    result = None
+    for number, templates in enumerate(known):
+        result = finish(staged.where(F.col("_block") == number).drop("_block"), templates)
+        result.write.mode("append").parquet(f"{path}/result")
+    return spark.read.schema(result.schema).parquet(f"{path}/result")
 
 
 def _filled(template: str, numbers: Column, variables: Mapping[str, Column] | None) -> tuple[str, dict[str, Column]]:
@@ -283,8 +318,16 @@ def formula_value(
     return F.when(formula.isNull(), F.lit(0.0)).otherwise(value)
 
 
-def with_condition(steps: DataFrame, condition: str = "condition", out: str = "holds") -> DataFrame:
-    """Add whether the condition of each row holds; the distinct templates are compiled once on the driver."""
+def with_condition(steps: DataFrame, condition: str = "condition", out: str = "holds", most: int | None = None) -> DataFrame:
+    """Add whether the condition of each row holds; the distinct templates are compiled on the driver, MOST_TEMPLATES at a time."""
+    most = MOST_TEMPLATES if most is None else most
     text = F.col(condition)
-    known = steps.select(template_of(text).alias("t")).where(F.col("t").isNotNull()).distinct().collect()
-    return steps.withColumn(out, condition_holds(text, template_of(text), numbers_of(text), sorted(r.t for r in known)))
+    found = steps.select(template_of(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    blocks = max(1, -(-found.count() // most))
+    number = F.pmod(F.xxhash64(template_of(text)), F.lit(blocks)).cast("int")
+    known = [{"t": sorted(r.t for r in found.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect())} for b in range(blocks)]
+
+    def finish(rows: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
+        return rows.withColumn(out, condition_holds(text, template_of(text), numbers_of(text), templates["t"]))
+
+    return by_block(steps, number, known, finish)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.functions.conditions import condition_holds, formula_value, templates, with_templates
+from wattaudit.functions.conditions import by_block, condition_holds, formula_value, template_blocks, with_templates
 from wattaudit.functions.tiers import RATE, STEP_RATE, tier_rate
 from wattaudit.operators.lookups import BROADCAST_ROWS, lookup_join
 from wattaudit.operators.rates import rates_for_bills
@@ -101,8 +101,7 @@ def expected_bill(
     demand_kw, tra and rdm; ``trace`` adds the ordered text lines of the calculation.
     """
     when_billed = F.coalesce("read_date", "bill_date") if bill_date is None else bill_date
-    versions = with_templates(versions, "condition")
-    known = templates(versions, "condition")
+    versions, blocks = template_blocks(with_templates(versions, "condition"), ["norm_code", "effective_date"], "condition")
     priced = pick_version(_prepared(bills, when_billed), versions, True, bill_date=F.col("_bill_date"), max_rows=max_rows)
     code = F.col("norm_code")
     for alias, target in (class_aliases or {}).items():
@@ -113,10 +112,19 @@ def expected_bill(
     else:
         priced = rates_for_bills(priced, rates, F.col("_rate_code"), F.col("_bill_date"), max_rows=max_rows)
 
+    def finish(rows: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+        return _priced(rows, known["condition"], trace, detail)
+
+    return by_block(priced, F.col("version.template_block"), blocks, finish)
+
+
+def _priced(priced: DataFrame, known: list[str], trace: bool, detail: bool) -> DataFrame:
+    """Bills with their version and rates, priced; ``known`` are the templates of the conditions of these versions."""
+
     def held(step: Column) -> Column:
         return condition_holds(step["condition"], step["condition_template"], step["condition_numbers"], known, _variables())
 
-    no_steps = F.array().cast(versions.schema["steps"].dataType)
+    no_steps = F.array().cast(priced.schema["version"].dataType["steps"].dataType)
     steps = F.coalesce(F.col("version.steps"), no_steps)
     priced = priced.withColumn("_held", F.filter(steps, held))
     kinds = F.col("_held")
@@ -202,12 +210,20 @@ def expected_bill_legacy(
     Its variance is expected − actual. A step whose formula has no value is skipped.
     """
     versions = with_templates(versions, "condition", "formula")
-    conditions, formulas = templates(versions, "condition"), templates(versions, "formula")
     last = versions.groupBy("sc_code").agg(F.max_by("steps", F.struct("doc_id", "pos")).alias("steps"))
+    last, blocks = template_blocks(last, ["sc_code"], "condition", "formula")
     bills = _prepared(bills, F.col("bill_date")).withColumn(
         "sc_code", F.coalesce(F.col("service_class"), F.lit(default_sc))
     )
     priced = lookup_join(bills, last, ["sc_code"], how="left", max_rows=max_rows, spread=F.col("id"))
+
+    def finish(rows: DataFrame, known: dict[str, list[str]]) -> DataFrame:
+        return _priced_legacy(rows, known["condition"], known["formula"])
+
+    return by_block(priced, F.col("template_block"), blocks, finish)
+
+
+def _priced_legacy(priced: DataFrame, conditions: list[str], formulas: list[str]) -> DataFrame:
     variables = _variables()
     variables.pop("delivery_voltage")
     held = F.filter(
