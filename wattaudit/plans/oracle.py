@@ -867,3 +867,11 @@ ORACLE["s2_log_files"] = _with(
     """SELECT 'app' AS source, level, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, n + CASE WHEN is_final THEN 0 ELSE n_again END AS n_lines,
     CASE WHEN is_final THEN n_again ELSE 0 END AS n_late, is_final FROM closed""",
 )
+
+# ---- filters of other results
+
+ORACLE["c1_bill_results"] = ORACLE["d8_issues_of_bills"]
+ORACLE["d1_account_issues"] = f"SELECT * FROM ({ORACLE['d1_bills_with_issues']}) WHERE {ACCOUNT} AND issue_type = 'R2_BILL_DAYS_OUT_OF_RANGE'"
+ORACLE["d4_class_grid"] = f"SELECT * FROM ({ORACLE['d4_override_grid']}) WHERE service_class = 'SC1C'"
+ORACLE["l2_model_inputs"] = f"""SELECT doc_id, sc_code, start_page, end_page, effective_date, md5(left(full_text, 25000)) AS digest
+    FROM ({ORACLE['l2_tariff_sections']})"""

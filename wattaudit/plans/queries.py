@@ -18,6 +18,7 @@ from wattaudit.operators import anomalies as rules
 from wattaudit.operators import audits, billtext, columns, documents, issues, pricing, rates, savings, sections
 from wattaudit.operators import tiers, upserts, usage, versions
 from wattaudit.plans import incremental
+from wattaudit.plans.intake import model_inputs
 from wattaudit.schemas import BILLS, LOGS, table
 from wattaudit.session import work_dir
 from wattaudit.sources import bills as bill_source
@@ -254,6 +255,12 @@ def c1_account_results(spark: SparkSession, d: str) -> DataFrame:
     return issues.validation_results(found_issues(spark, d), account=ACCOUNT)
 
 
+@query
+def c1_bill_results(spark: SparkSession, d: str) -> DataFrame:
+    """The findings about the bill with the smallest id."""
+    return issues.validation_results(found_issues(spark, d), bill_id=bills(spark, d).agg(F.min("id")).first()[0])
+
+
 @query
 def d8_issues_of_bills(spark: SparkSession, d: str) -> DataFrame:
     """The issues of the bill with the smallest id."""
@@ -529,6 +536,12 @@ def d1_bills_with_issues(spark: SparkSession, d: str) -> DataFrame:
     return issues.bills_with_issues(bills(spark, d), found_issues(spark, d))
 
 
+@query
+def d1_account_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Bills of one account with their findings of one type."""
+    return issues.bills_with_issues(bills(spark, d), found_issues(spark, d), f" {ACCOUNT} ", rules.R2_DAYS)
+
+
 @query
 def d2_pick_version(spark: SparkSession, d: str) -> DataFrame:
     picked = versions.pick_version(bills(spark, d), priced_versions(spark), True)
@@ -566,6 +579,11 @@ def d4_override_grid(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
+@query
+def d4_class_grid(spark: SparkSession, d: str) -> DataFrame:
+    return rates.override_grid(bills(spark, d), rate_table(spark, d), "sc-1 c")
+
+
 @query
 def d5_tier_rate(spark: SparkSession, d: str) -> DataFrame:
     """The tiered demand charge of class SC3 for the voltage of every bill."""
@@ -1016,6 +1034,15 @@ def l2_tariff_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.tariff_sections(views.view(spark, d, "tariff_pages"))
 
 
+@query
+def l2_model_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Page-text documents as JSON → the text of every section that the extraction model is given."""
+    page = F.struct("page_number", "text")
+    docs = views.view(spark, d, "tariff_pages").groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(page).alias("pages"))).alias("body"))
+    found = model_inputs(docs)
+    return found.select("doc_id", "sc_code", "start_page", "end_page", "effective_date", F.md5("text").alias("digest"))
+
+
 @query
 def n1_names(spark: SparkSession, d: str) -> DataFrame:
     docs = views.table(spark, d, "documents")
