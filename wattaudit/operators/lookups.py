@@ -68,14 +68,16 @@ def lookup_join(
 def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str, how: str = "left") -> DataFrame:
     """Join with ``right``, whose keys are unique and whose column ``rows`` says how many rows of ``left`` have the key.
 
-    Keys with more than one MOST_HOT-th of all rows number MOST_HOT at most: those are broadcast, so that the rows of a hot key
-    stay where they are. All others meet in a shuffle, where no key has more rows than that. Keys must not be null; ``rows`` is not in
-    the result.
+    Keys with more than one MOST_HOT-th of all rows number MOST_HOT at most: those are looked up like a dimension, broadcast if they fit the
+    bounds and else salted, so that the rows of a hot key are no task's burden. All others meet in a shuffle, where no key has more rows than
+    that. Keys must not be null; ``rows`` is not in the result.
     """
     on = list(on)
-    total = right.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("double")).first()[0]
-    most = max(total / MOST_HOT, 1_000.0)
+    total, top = right.agg(F.sum(rows).cast("double"), F.max(rows)).first()
+    most = max((total or 0) / MOST_HOT, 1_000.0)
+    if (top or 0) <= most:
+        return left.join(right.drop(rows), on, how)
     hot, cold = (right.where(c).drop(rows) for c in (F.col(rows) > most, F.col(rows) <= most))
     marked = left.join(F.broadcast(hot.select(*on, F.lit(True).alias("_hot"))), on, "left")
-    found = marked.where("_hot").drop("_hot").join(F.broadcast(hot), on)
+    found = lookup_join(marked.where("_hot").drop("_hot"), hot, on, how="inner", max_rows=MOST_HOT)
     return found.unionByName(marked.where("_hot is null").drop("_hot").join(cold, on, how))
