@@ -562,7 +562,7 @@ def test_search_brute_force(spark, docs, odd):
 def test_against_sql(spark, name):
     found = QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     result = db.execute(ORACLE[name])
     names = [c[0] for c in result.description]
