@@ -75,6 +75,24 @@ def test_a_killed_writer_leaves_the_old_snapshot(spark, stored, monkeypatch):
     assert sorted(rows(stored.read())) == [(0, "a", "x"), (1, "c", "x")]
 
 
+def test_vacuum_removes_what_no_kept_snapshot_names(spark, stored):
+    stored.load(data(spark, *[(i, f"n{i}", "old", 0) for i in range(20)]), "id")
+    before = stored.snapshot()
+    changes = spark.createDataFrame([(None, f"n{i}", "new", 1) for i in range(20)], "id long, name string, status string, seq int")
+    stored.upsert(changes, "seq")
+    stored.append(data(spark, (None, "more", "x", 0)), "id")
+    stored.staged(data(spark, (1, "left", "by a killed writer", 0)))
+    assert stored.vacuum(1) == 0  # nothing is old enough
+    want = sorted(rows(stored.read()), key=str)
+    assert stored.vacuum(2, 0) > 0 and before.folders  # the two newest snapshots stay whole
+    assert stored.read(at=stored._manifest(stored._manifests()[0])).count() == 20
+    assert stored.vacuum(1, 0) > 0 and sorted(rows(stored.read()), key=str) == want
+    named = {f for folders in stored.snapshot().folders.values() for f in folders}
+    assert {f for f in os.listdir(f"{stored.path}/data") if not f.startswith(".")} == named
+    with pytest.raises(ValueError, match="always kept"):
+        stored.vacuum(0)
+
+
 def test_of_two_writers_one_starts_again(spark, stored):
     other = SnapshotTable(spark, stored.path, SCHEMA, ["name"], buckets=5)
     tried = []

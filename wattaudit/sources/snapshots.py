@@ -10,6 +10,7 @@ same snapshot one gets a ``Conflict`` and starts again from the other's result.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
@@ -57,13 +58,17 @@ class SnapshotTable:
 
     def snapshot(self) -> Snapshot:
         """The newest whole snapshot."""
+        whole = self._manifests()
+        return self._manifest(whole[-1]) if whole else Snapshot()
+
+    def _manifests(self) -> list[str]:
+        """Names of the whole manifests, the oldest first."""
         fs, path = self._files(f"{self.path}/manifest")
         names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        whole = sorted(n for n in names if n.endswith(".json") and not n.startswith("_"))
-        if not whole:
-            return Snapshot()
-        text = self.spark.read.text(f"{self.path}/manifest/{whole[-1]}", wholetext=True).first()[0]
-        found = json.loads(text)
+        return sorted(n for n in names if n.endswith(".json") and not n.startswith("_"))
+
+    def _manifest(self, name: str) -> Snapshot:
+        found = json.loads(self.spark.read.text(f"{self.path}/manifest/{name}", wholetext=True).first()[0])
         return Snapshot(found["version"], found["next_id"], {int(b): f for b, f in found["folders"].items()}, found["marks"])
 
     def read(self, buckets: Iterable[int] | None = None, at: Snapshot | None = None) -> DataFrame:
@@ -133,6 +138,23 @@ class SnapshotTable:
             raise ValueError("updates need a single key column")
         return self.rewrite(self.touched(changes), lambda base: update_by_key(base, changes, self.keys[0]))
 
+    def vacuum(self, keep: int = 2, seconds: int = 7 * 86_400) -> int:
+        """Remove what the newest ``keep`` snapshots do not name, if it is older than ``seconds``; the number of folders and files removed.
+
+        That is replaced rows, what killed writers left, and older manifests. ``seconds`` must be longer than any write or read takes.
+        """
+        if keep < 1:
+            raise ValueError("the newest snapshot is always kept")
+        whole = self._manifests()
+        named = {f for name in whole[-keep:] for folders in self._manifest(name).folders.values() for f in folders} | set(whole[-keep:])
+        gone, until = 0, (time.time() - seconds) * 1000
+        for folder in ("data", "manifest"):
+            fs, path = self._files(f"{self.path}/{folder}")
+            for status in fs.listStatus(path) if fs.exists(path) else ():
+                if status.getPath().getName() not in named and status.getModificationTime() <= until:
+                    gone += fs.delete(status.getPath(), True)
+        return gone
+
     def staged(self, rows: DataFrame) -> DataFrame:
         """Rows written once beside the table, so that every use of them sees the same ones."""
         folder = f"{self.path}/data/_staged-{uuid.uuid4().hex}"
