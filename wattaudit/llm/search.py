@@ -1,166 +1,290 @@
-"""Exact top-k search by BM25: an inverted index per shard with block-max pruning, merged with global statistics.
+"""Exact top-k search by BM25: a stored inverted index, searched by block-max WAND in every shard, merged with global statistics.
 
-Document counts of words and the mean length come from all documents first, so every shard scores alike. A shard holds some
-thousand documents in order of length, in blocks of a few. For a query, each block has an upper bound: the largest impact of
-each word within the block, summed. Blocks are visited from the highest bound down and left when it is below the query's k-th
-best score so far, which is carried from shard to shard of a task. Words in many documents of a shard have their impacts and
-block maxima in matrices, all others in lists; the bound of the latter is taken from their exact sums.
+The index is written once. A shard is one row: some thousand documents in order of length, the words they hold, and for each
+word its postings in document order. Document counts of words and the mean length are summed over all shards first, so every
+shard scores alike. Queries are written as blocks of a bounded number of words, which tasks read from the shared folder one
+after another; nothing of a query passes through the driver.
 
-Queries are taken in blocks of a bounded number of words, each block against all documents.
+Documents are numbered in blocks of a few, and a word has its largest impact within each block. For a query, a document's
+upper bound is its exact sum over words that few documents hold, plus the block maxima of the frequent ones. The walk goes
+through the shard in document order from pivot to pivot: the next document whose bound reaches the query's k-th best score so
+far. Blocks whose bound stays below are passed over whole, and only pivots are scored.
+
+Shards are searched in three rounds, few shards first. After a round the k-th best score of each query over all shards so far
+is the next round's threshold, so most shards are searched with a threshold close to the final one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattaudit.llm.base import stored, texts, words
+from wattaudit.llm.base import slices, stored, texts, words
+from wattaudit.llm.warc import open_fs
+from wattaudit.operators.lookups import join_counted
+from wattaudit.session import work_dir
 
 K1, B = 0.9, 0.4
-#: Documents of a shard and of a block; words of the queries that go to every task at once.
-SHARD, BLOCK, QUERY_WORDS = 4096, 16, 1_000_000
-#: A word in one of so many documents of a shard has its impacts in the matrix.
-DENSE = 10
-#: Queries whose bounds are computed together, blocks visited at first, and slack for rounding in the bounds.
-TOGETHER, FIRST, SLACK = 512, 8, 1e-4
-#: Distinct words counted before they are handed over; decimals of a score, so that equal texts have equal scores.
-HELD, DECIMALS = 200_000, 9
+#: Documents of a shard and of a block, bytes of the texts of a shard; words of a block of queries.
+SHARD, BLOCK, BYTES, QUERY_WORDS = 4096, 16, 16 << 20, 1_000_000
+#: A word in one of so many documents of a shard has its impacts in a matrix, while that has no more cells than these.
+DENSE, CELLS = 10, 8 << 20
+#: Rounds: every 64th shard, every 8th of the others, the rest.
+ROUNDS = (64, 8, 1)
+#: Queries whose bounds are computed together, blocks scored for a first threshold, pivots scored at a time.
+TOGETHER, FIRST, STRIDE = 512, 8, 256
+#: Impacts are multiples of 1 / UNIT, so that sums up to 65,536 are exact in any order; slack for the single-precision block bounds.
+UNIT, SLACK = float(1 << 37), 1e-4
+#: Decimals of a score.
+DECIMALS = 9
 NO_ID = 2**63 - 1
 
+_INDEX = "round int, size long, total long, ids binary, lengths binary, words binary, counts binary, docs binary, tfs binary"
+_FOUND = "query_id long, doc_id long, score double"
+
+
+def _packed(ids: list[int | None], found: list[list[bytes]]) -> pa.RecordBatch:
+    """The row of a shard: words joined by line feeds, which no word holds, and arrays as bytes."""
+    length = np.array([len(w) for w in found], np.int64)
+    order = np.argsort(length, kind="stable")
+    flat = pa.array([w for d in order for w in found[d]], pa.binary()).dictionary_encode()
+    where = np.repeat(np.arange(len(order)), length[order])
+    code, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(order) + where, return_counts=True)
+    vocabulary = b"\n".join(flat.dictionary.to_pylist())
+    mark = zlib.crc32(vocabulary)
+    values = [
+        next(i for i, n in enumerate(ROUNDS) if mark % n == 0), len(order), int(length.sum()),
+        np.array([NO_ID if i is None else i for i in ids], np.int64)[order].tobytes(), length[order].tobytes(), vocabulary,
+        np.bincount(code // len(order), minlength=len(flat.dictionary)).astype(np.int32).tobytes(),
+        (code % len(order)).astype(np.uint16).tobytes(), tf.astype(np.uint32).tobytes(),
+    ]
+    types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array([v], t) for v, t in zip(values, types, strict=True)],
+        ["round", "size", "total", "ids", "lengths", "words", "counts", "docs", "tfs"],
+    )
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """Stored inverted index of ``docs`` (doc_id, text), a row per shard. Every text is read whole, once; null is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, size = [], [], 0
+        for whole in batches:
+            for batch in slices(whole, SHARD, BYTES):
+                for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
+                    if found and (len(found) == SHARD or size + len(text or b"") > BYTES):
+                        yield _packed(ids, found)
+                        ids, found, size = [], [], 0
+                    ids.append(doc)
+                    found.append(words(text))
+                    size += len(text or b"")
+        if found:
+            yield _packed(ids, found)
+
+    spark = docs.sparkSession
+    path = work_dir(spark, "search-index")
+    shards = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _INDEX)
+    # Rows are megabytes, so the writer looks at the size of a row group after each.
+    shards.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size", 32 << 20).parquet(path)
+    return spark.read.schema(_INDEX).parquet(path)
+
+
+def _words_of(row: bytes, counts: np.ndarray) -> pa.Array:
+    return pa.array(row.split(b"\n") if len(counts) else [], pa.binary())
+
+
+def word_documents(shards: DataFrame) -> DataFrame:
+    """(word, df): number of documents that hold each word, summed over the shards of an index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, held in zip(batch.column(0), batch.column(1), strict=True):
+                counts = np.frombuffer(held.as_py(), np.int32)
+                found = _words_of(row.as_py(), counts).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([found, pa.array(counts.astype(np.int64))], ["word", "df"])
+
+    return shards.select("words", "counts").mapInArrow(run, "word string, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
-@dataclass
-class Queries:
-    """A block of queries: words of query i are ``terms[ends[i - 1]:ends[i]]``, positions in ``vocabulary``."""
 
-    ids: list[int]
-    ends: np.ndarray
-    terms: np.ndarray
-    vocabulary: list[bytes]
-    idf: np.ndarray
-    mean_length: float
+def _query_words(queries: DataFrame) -> DataFrame:
+    """(query_id, word) for the different words of each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 256, BYTES):
+                found = [sorted(set(words(t))) for t in texts(part, 1)]
+                ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
+                flat = pa.array([w for f in found for w in f], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), flat], ["query_id", "word"])
+
+    return queries.mapInArrow(run, "query_id long, word string")
+
+
+def _read_block(folder: str, number: int, columns: list[str]) -> pa.Table | None:
+    """Rows of one block of a table that Spark wrote by ``block``; None if there are none."""
+    store, path = open_fs(folder)
+    files = store.get_file_info(fs.FileSelector(f"{path}/block={number}", allow_not_found=True))
+    names = sorted(f.path for f in files if f.path.endswith(".parquet"))
+    parts = []
+    for name in names:
+        with store.open_input_file(name) as file:
+            parts.append(pq.ParquetFile(file).read(columns))
+    return pa.concat_tables(parts) if parts else None
+
+
+class Queries:
+    """A block of queries: words of query i are ``terms[ends[i]:ends[i + 1]]``, positions in ``vocabulary``."""
+
+    def __init__(self, asked: pa.Table, least: pa.Table | None):
+        encoded = asked["word"].cast(pa.binary()).combine_chunks().dictionary_encode()
+        self.vocabulary, term = encoded.dictionary, encoded.indices.to_numpy()
+        self.idf = np.zeros(len(self.vocabulary))
+        self.idf[term] = asked["idf"].to_numpy()
+        self.ids, code = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+        self.terms = term[np.lexsort((term, code))]
+        self.ends = np.bincount(code, minlength=len(self.ids)).cumsum()
+        self.ends = np.concatenate([[0], self.ends])
+        self.least = np.zeros(len(self.ids))
+        if least is not None:
+            self.least[np.searchsorted(self.ids, least["query_id"].to_numpy())] = least["least"].to_numpy()
 
 
 class Shard:
-    """Inverted index of some documents for the words of a block of queries."""
-
-    def __init__(self, ids: np.ndarray, texts_: list[bytes | None], index: dict[bytes, int], q: Queries):
-        found = [words(t) for t in texts_]
-        length = np.array([len(w) for w in found], np.float64)
-        order = np.argsort(length, kind="stable")
-        self.ids, self.size = ids[order], len(ids)
-        get, terms = index.get, len(q.vocabulary)
-        parts = [np.fromiter((get(w, -1) for w in found[d]), np.int64, len(found[d])) for d in order]
-        where = np.repeat(np.arange(self.size), [len(p) for p in parts])
-        term = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        known = term >= 0
-        code, tf = np.unique(term[known] * self.size + where[known], return_counts=True)
-        term, self.doc = code // self.size, code % self.size
-        norm = K1 * (1 - B + B * length[order] / max(q.mean_length, 1e-9))
-        self.impact = q.idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.start = np.searchsorted(term, np.arange(terms + 1))
+    """Postings of a shard; ``meet`` gives them the weights of a block of queries."""
+
+    def __init__(self, row: dict, mean_length: float):
+        self.ids, self.size = np.frombuffer(row["ids"], np.int64), row["size"]
+        counts = np.frombuffer(row["counts"], np.int32)
+        self.words, self.counts = _words_of(row["words"], counts), counts.astype(np.int64)
+        self.start = np.concatenate([[0], self.counts.cumsum()])
+        self.doc = np.frombuffer(row["docs"], np.uint16).astype(np.int64)
+        tf = np.frombuffer(row["tfs"], np.uint32).astype(np.float64)
+        norm = K1 * (1 - B + B * np.frombuffer(row["lengths"], np.int64) / max(mean_length, 1e-9))
+        self.part = tf * (K1 + 1) / (tf + norm[self.doc])
         self.blocks = -(-self.size // BLOCK)
-        held = np.diff(self.start)
-        often = np.nonzero(held * DENSE >= max(self.size, 1))[0]
-        self.row = np.full(terms, -1, np.int64)
+        often = np.nonzero((self.counts * DENSE >= self.size) & (self.counts >= BLOCK))[0]
+        often = often[np.argsort(-self.counts[often], kind="stable")][: CELLS // (self.blocks * BLOCK)]
+        self.row = np.full(len(counts), -1, np.int64)
         self.row[often] = np.arange(len(often))
-        self.matrix = np.zeros((len(often), self.blocks * BLOCK))
-        dense = self.row[term] >= 0
-        self.matrix[self.row[term[dense]], self.doc[dense]] = self.impact[dense]
-        self.most = self.matrix.reshape(len(often), self.blocks, BLOCK).max(axis=2).astype(np.float32)
+
+    def meet(self, q: Queries) -> None:
+        """Impacts of all postings, those of frequent words as a matrix with its block maxima."""
+        at = pc.index_in(q.vocabulary, value_set=self.words)
+        self.term = at.fill_null(-1).to_numpy().astype(np.int64)
+        known = self.term >= 0
+        idf = np.zeros(len(self.counts))
+        idf[self.term[known]] = q.idf[known]
+        used = np.repeat(idf, self.counts)
+        self.impact = np.where(used > 0, np.maximum(np.rint(used * self.part * UNIT), 1) / UNIT, 0.0)
+        rows = int(self.row.max(initial=-1)) + 1
+        self.matrix = np.zeros((rows, self.blocks * BLOCK))
+        row = np.repeat(self.row, self.counts)
+        dense = row >= 0
+        self.matrix[row[dense], self.doc[dense]] = self.impact[dense]
+        self.most = self.matrix.reshape(rows, self.blocks, BLOCK).max(axis=2).astype(np.float32)
 
     def bounds(self, q: Queries, first: int, last: int) -> np.ndarray:
         """For queries first to last, the sums of the block maxima of words in the matrix."""
         use = np.zeros((last - first, len(self.most)), np.float32)
-        begin = q.ends[first - 1] if first else 0
-        term = q.terms[begin : q.ends[last - 1]]
-        query = np.repeat(np.arange(last - first), np.diff(q.ends[first:last], prepend=begin))
-        row = self.row[term]
+        query = np.repeat(np.arange(last - first), np.diff(q.ends[first : last + 1]))
+        term = self.term[q.terms[q.ends[first] : q.ends[last]]]
+        row = np.where(term >= 0, self.row[term], -1) if len(self.row) else np.full(len(term), -1)
         use[query[row >= 0], row[row >= 0]] = 1
         return use @ self.most
 
-    def search(self, terms: np.ndarray, bound: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that may be among the best k, at least all that score ``least`` or more and are, and their scores."""
+    def search(self, terms: np.ndarray, most: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best k documents of the shard that score ``least`` or more, with all ties of the last, and their scores.
+
+        ``terms`` are the query's words in this shard, ``most`` the bounds of its blocks by frequent words.
+        """
         row = self.row[terms]
         rows, lists = row[row >= 0], terms[row < 0]
-        start = self.start[lists]
-        sizes = self.start[lists + 1] - start
+        sizes = self.counts[lists]
         ends = sizes.cumsum()
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - sizes), sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[lists] - (ends - sizes), sizes)
         score = np.bincount(self.doc[at], self.impact[at], self.blocks * BLOCK)
-        bound = bound + score.reshape(self.blocks, BLOCK).max(axis=1)
-        visit = np.argsort(-bound, kind="stable")
-        visit = visit[: np.searchsorted(-bound[visit], -(least - SLACK * (1 + abs(least))), side="right")]
-        docs, scores, done, step = [], [], 0, FIRST
-        while done < len(visit) and bound[visit[done]] > 0:
-            if docs and sum(map(len, docs)) >= k:
-                least = max(least, np.partition(np.concatenate(scores), -k)[-k])
-                if bound[visit[done]] < least - SLACK * (1 + abs(least)):
-                    break
-            some = (visit[done : done + step, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            own = np.round(score[some] + self.matrix[np.ix_(rows, some)].sum(axis=0), DECIMALS)
+        by_block = score.reshape(self.blocks, BLOCK)
+        bound = by_block.max(axis=1) + most
+
+        def scored(docs: np.ndarray) -> np.ndarray:
+            return np.round(score[docs] + self.matrix[rows[:, None], docs].sum(axis=0), DECIMALS)
+
+        def enters(values: np.ndarray) -> np.ndarray:
+            return (values > 0) & (values >= least - SLACK * (1 + abs(least)))
+
+        if not least and self.size > k:
+            some = np.argsort(-bound, kind="stable")[: max(FIRST, -(-k // BLOCK))]
+            own = scored((some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1))
+            least = max(0.0, np.partition(own, -k)[-k]) if len(own) >= k else 0.0
+        blocks = np.nonzero(enters(bound))[0]
+        upper = by_block[blocks] + most[blocks, None]
+        at, inside = np.nonzero(enters(upper))
+        pivots, upper = blocks[at] * BLOCK + inside, upper[at, inside]
+        docs, scores = np.zeros(0, np.int64), np.zeros(0)
+        for first in range(0, len(pivots), STRIDE):
+            some = pivots[first : first + STRIDE][enters(upper[first : first + STRIDE])]
+            own = scored(some)
             good = (own > 0) & (own >= least)
-            docs.append(some[good])
-            scores.append(own[good])
-            done, step = done + step, 2 * step
-        if not docs:
-            return np.zeros(0, np.int64), np.zeros(0)
-        return self.ids[np.concatenate(docs)], np.concatenate(scores)
+            docs, scores = np.concatenate([docs, some[good]]), np.concatenate([scores, own[good]])
+            if len(scores) > k:
+                least = max(least, np.partition(scores, -k)[-k])
+                docs, scores = docs[scores >= least], scores[scores >= least]
+        return self.ids[docs], scores
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
-
-
-def word_documents(docs: DataFrame) -> DataFrame:
-    """(word, df, length): documents that hold each word; the empty word counts all, with the words of all as length."""
+def _searcher(folder: str, bounds: str | None, blocks: int, mean_length: float, k: int) -> object:
+    """Every block of queries against every shard; what a shard finds for a block is handed over at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        total = rows = 0
-
-        def batch() -> pa.RecordBatch:
-            counts[b""] = rows
-            n = len(counts)
-            length = np.zeros(n, np.int64)
-            length[-1] = total  # the empty word comes last
-            found = [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array(length)]
-            return pa.RecordBatch.from_arrays(found, ["word", "df", "length"])
-
-        for given in batches:
-            for text in texts(given, 0):
-                found = words(text)
-                counts.update(set(found))
-                total, rows = total + len(found), rows + 1
-                if len(counts) > HELD:
-                    yield batch()
-                    counts.clear()
-                    total = rows = 0
-        yield batch()
-
-    parts = docs.select("text").mapInArrow(run, "word string, df long, length long")
-    return parts.groupBy("word").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shard = Shard(batch.slice(at, 1).to_pylist()[0], mean_length)
+                for number in range(blocks):
+                    asked = _read_block(folder, number, ["query_id", "word", "idf"])
+                    if asked is not None:
+                        q = Queries(asked, _read_block(bounds, number, ["query_id", "least"]) if bounds else None)
+                        yield from _best(shard, q, k)
 
+    return run
 
-def _query_words(queries: DataFrame) -> DataFrame:
-    """(query_id, word) for the different words of each query."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [sorted(set(words(t))) for t in texts(part, 1)]
-                ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                flat = pa.array([w for f in found for w in f], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), flat], ["query_id", "word"])
+def _best(shard: Shard, q: Queries, k: int) -> Iterator[pa.RecordBatch]:
+    shard.meet(q)
+    for first in range(0, len(q.ids), TOGETHER):
+        last = min(first + TOGETHER, len(q.ids))
+        query, docs, scores = [], [], []
+        for i, most in enumerate(shard.bounds(q, first, last), first):
+            terms = shard.term[q.terms[q.ends[i] : q.ends[i + 1]]]
+            doc, score = shard.search(terms[terms >= 0], most, q.least[i], k)
+            order = np.lexsort((doc, -score))[:k]
+            query.append(np.full(len(order), q.ids[i]))
+            docs.append(doc[order])
+            scores.append(score[order])
+        doc = np.concatenate(docs)
+        found = [pa.array(np.concatenate(query)), pa.array(doc, mask=doc == NO_ID), pa.array(np.concatenate(scores))]
+        yield pa.RecordBatch.from_arrays(found, ["query_id", "doc_id", "score"])
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
-    return queries.mapInArrow(run, "query_id long, word string")
+
+def _by_block(rows: DataFrame, blocks: int, name: str) -> str:
+    """Rows with query_id written in folders by block of queries; the folder of all."""
+    path = work_dir(rows.sparkSession, name)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    rows.repartition(blocks, "block").sortWithinPartitions("block", "query_id").write.partitionBy("block").parquet(path)
+    return path
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_words: int = QUERY_WORDS) -> DataFrame:
@@ -171,58 +295,21 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, query_words: int = Q
     query finds nothing, and fewer than ``k`` rows may be found. A query that is a document finds itself. Rows of
     ``queries`` that repeat an id are one query, the smallest text; those without id are none.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    known = stored(word_documents(docs), "word-documents")
-    total, length = known.where("word = ''").agg(F.coalesce(F.max("df"), F.lit(0)), F.coalesce(F.max("length"), F.lit(0))).first()
+    shards = index(docs)
+    total, length = shards.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     asked = queries.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("query_id")).agg(F.min("text").alias("text"))
-    idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = stored(_query_words(asked).join(known.where("word <> ''"), "word").select("query_id", "word", idf.alias("idf")), "query-words")
+    asked = stored(_query_words(asked), "query-words")
+    idf = F.log1p((total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    asked_by = asked.groupBy("word").agg(F.count(F.lit(1)).alias("asked"))
+    known = stored(word_documents(shards).join(asked_by, "word").select("word", idf, "asked"), "query-vocabulary")
     blocks = max(1, -(-asked.count() // query_words))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    found = None
-    for number in range(blocks):
-        rows = asked.where(block == number).toArrow()
-        encoded = rows["word"].combine_chunks().dictionary_encode()
-        q_ids, code = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-        term = encoded.indices.to_numpy()
-        weights = np.zeros(len(encoded.dictionary))
-        weights[term] = rows["idf"].to_numpy()
-        order = np.lexsort((term, code))
-        q = Queries(
-            q_ids.tolist(), np.bincount(code, minlength=len(q_ids)).cumsum(), term[order].astype(np.int32),
-            encoded.dictionary.cast(pa.binary()).to_pylist(), weights, length / max(total, 1),
-        )
-        part = docs.mapInArrow(_searcher(spark.sparkContext.broadcast(q), k), "query_id long, doc_id long, score double")
+    folder = _by_block(join_counted(asked, known, ["word"], "asked", "inner"), blocks, "query-blocks")
+    found, bounds = None, None
+    for number in range(len(ROUNDS)):
+        if found is not None:
+            least = _ranked(found, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+            bounds = _by_block(least.where(F.col("n") == k).select("query_id", "least"), blocks, "query-bounds")
+        run = _searcher(folder, bounds, blocks, length / max(total, 1), k)
+        part = stored(shards.where(F.col("round") == number).mapInArrow(run, _FOUND), "found")
         found = part if found is None else found.union(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def _searcher(shared: object, k: int) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: Queries = shared.value
-        index = {w: i for i, w in enumerate(q.vocabulary)}
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(q.ids)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
-                ids = part.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                shard = Shard(ids, texts(part, 1), index, q)
-                for first in range(0, len(q.ids), TOGETHER):
-                    last = min(first + TOGETHER, len(q.ids))
-                    for i, bound in enumerate(shard.bounds(q, first, last), first):
-                        terms = q.terms[q.ends[i - 1] if i else 0 : q.ends[i]]
-                        least = best[i][1][-1] if len(best[i][1]) == k else 0.0
-                        doc, score = shard.search(terms, bound, least, k)
-                        if len(doc):
-                            best[i] = _best(np.concatenate([best[i][0], doc]), np.concatenate([best[i][1], score]), k)
-        for first in range(0, len(q.ids), TOGETHER):
-            some = best[first : first + TOGETHER]
-            query = np.repeat(np.array(q.ids[first : first + TOGETHER], np.int64), [len(s) for _, s in some])
-            doc = np.concatenate([d for d, _ in some])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(query), pa.array(doc, mask=doc == NO_ID), pa.array(np.concatenate([s for _, s in some]))], ["query_id", "doc_id", "score"]
-            )
-
-    return run
+    return _ranked(found, k).select("query_id", "rank", "doc_id", "score")
