@@ -34,9 +34,11 @@ from wattaudit.session import work_dir
 
 K1, B = 0.9, 0.4
 #: Documents of a shard and of a block, bytes of the texts of a shard; words of a block of queries.
-SHARD, BLOCK, BYTES, QUERY_WORDS = 4096, 16, 16 << 20, 1_000_000
+SHARD, BLOCK, BYTES, QUERY_WORDS = 4096, 16, 16 << 20, 500_000
+#: Rows and bytes of texts that are split into words at a time.
+PART, PART_BYTES = 256, 1 << 20
 #: A word in one of so many documents of a shard has its impacts in a matrix, while that has no more cells than these.
-DENSE, CELLS = 10, 8 << 20
+DENSE, CELLS = 10, 4 << 20
 #: Rounds: every 64th shard, every 8th of the others, the rest.
 ROUNDS = (64, 8, 1)
 #: Queries whose bounds are computed together, blocks scored for a first threshold, pivots scored at a time.
@@ -51,44 +53,65 @@ _INDEX = "round int, size long, total long, ids binary, lengths binary, words bi
 _FOUND = "query_id long, doc_id long, score double"
 
 
-def _packed(ids: list[int | None], found: list[list[bytes]]) -> pa.RecordBatch:
-    """The row of a shard: words joined by line feeds, which no word holds, and arrays as bytes."""
-    length = np.array([len(w) for w in found], np.int64)
-    order = np.argsort(length, kind="stable")
-    flat = pa.array([w for d in order for w in found[d]], pa.binary()).dictionary_encode()
-    where = np.repeat(np.arange(len(order)), length[order])
-    code, tf = np.unique(flat.indices.to_numpy().astype(np.int64) * len(order) + where, return_counts=True)
-    vocabulary = b"\n".join(flat.dictionary.to_pylist())
-    mark = zlib.crc32(vocabulary)
-    values = [
-        next(i for i, n in enumerate(ROUNDS) if mark % n == 0), len(order), int(length.sum()),
-        np.array([NO_ID if i is None else i for i in ids], np.int64)[order].tobytes(), length[order].tobytes(), vocabulary,
-        np.bincount(code // len(order), minlength=len(flat.dictionary)).astype(np.int32).tobytes(),
-        (code % len(order)).astype(np.uint16).tobytes(), tf.astype(np.uint32).tobytes(),
-    ]
-    types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
-    return pa.RecordBatch.from_arrays(
-        [pa.array([v], t) for v, t in zip(values, types, strict=True)],
-        ["round", "size", "total", "ids", "lengths", "words", "counts", "docs", "tfs"],
-    )
+class Packer:
+    """Gathers the rows of a shard as numbers; of the texts only the different words are held."""
+
+    def __init__(self) -> None:
+        self.ids, self.length, self.size = [], [], 0
+        self.number: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: list[int | None], given: list[bytes | None]) -> None:
+        found = [words(t) for t in given]
+        length = [len(w) for w in found]
+        flat = pa.array([w for own in found for w in own], pa.binary()).dictionary_encode()
+        code, tf = np.unique(np.repeat(np.arange(len(ids)), length) * len(flat.dictionary) + flat.indices.to_numpy(), return_counts=True)
+        number = self.number
+        known = np.fromiter((number.setdefault(w, len(number)) for w in flat.dictionary.to_pylist()), np.int32, len(flat.dictionary))
+        if len(code):
+            doc = (code // len(known) + len(self.ids)).astype(np.uint16)
+            self.parts.append((known[code % len(known)], doc, tf.astype(np.uint32)))
+        self.ids += ids
+        self.length += length
+        self.size += sum(len(t or b"") for t in given)
+
+    def row(self) -> pa.RecordBatch:
+        """The row of the shard: words joined by line feeds, which no word holds, and arrays as bytes."""
+        length = np.array(self.length, np.int64)
+        order = np.argsort(length, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        none = (np.zeros(0, np.int32), np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+        term, doc, tf = (np.concatenate(c) for c in zip(none, *self.parts, strict=True))
+        doc = place[doc]
+        sort = np.argsort(term.astype(np.int64) * len(order) + doc)
+        vocabulary = b"\n".join(self.number)
+        mark = zlib.crc32(vocabulary)
+        values = [
+            next(i for i, n in enumerate(ROUNDS) if mark % n == 0), len(order), int(length.sum()),
+            np.array([NO_ID if i is None else i for i in self.ids], np.int64)[order].tobytes(), length[order].tobytes(), vocabulary,
+            np.bincount(term, minlength=len(self.number)).astype(np.int32).tobytes(), doc[sort].astype(np.uint16).tobytes(), tf[sort].tobytes(),
+        ]
+        types = [pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 6
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v], t) for v, t in zip(values, types, strict=True)],
+            ["round", "size", "total", "ids", "lengths", "words", "counts", "docs", "tfs"],
+        )
 
 
 def index(docs: DataFrame) -> DataFrame:
     """Stored inverted index of ``docs`` (doc_id, text), a row per shard. Every text is read whole, once; null is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, found, size = [], [], 0
+        shard = Packer()
         for whole in batches:
-            for batch in slices(whole, SHARD, BYTES):
-                for doc, text in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
-                    if found and (len(found) == SHARD or size + len(text or b"") > BYTES):
-                        yield _packed(ids, found)
-                        ids, found, size = [], [], 0
-                    ids.append(doc)
-                    found.append(words(text))
-                    size += len(text or b"")
-        if found:
-            yield _packed(ids, found)
+            for batch in slices(whole, PART, PART_BYTES):
+                if shard.ids and (len(shard.ids) + batch.num_rows > SHARD or shard.size + batch.nbytes > BYTES):
+                    yield shard.row()
+                    shard = Packer()
+                shard.add(batch.column(0).to_pylist(), texts(batch, 1))
+        if shard.ids:
+            yield shard.row()
 
     spark = docs.sparkSession
     path = work_dir(spark, "search-index")
@@ -120,7 +143,7 @@ def _query_words(queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 256, BYTES):
+            for part in slices(batch, PART, PART_BYTES):
                 found = [sorted(set(words(t))) for t in texts(part, 1)]
                 ids = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
                 flat = pa.array([w for f in found for w in f], pa.binary()).cast(pa.string())
