@@ -4,6 +4,7 @@ The non-negative risk  prior * E+[loss(z)] + max(0, E[loss(-z)] - prior * E+[los
 the mean over trusted positives, E the mean over unlabelled web text, the loss is logistic and z is linear in features of
 a text's shape. Its minimum makes 1 / (1 + exp(-z)) the probability that a text of the web is good, so scores need no
 further calibration. Every step sums gradient and curvature over all rows in Spark; the driver solves a small system.
+The best of a bounded number of steps is taken. It lowers the risk but need not reach its minimum, above all on few rows.
 """
 
 from __future__ import annotations
