@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattaudit.operators import tiers, versions
-from wattaudit.operators.lookups import join_counted
+from wattaudit.operators.lookups import join_counted, lookup_join
 
 from conftest import plan, rows
 
@@ -72,3 +72,12 @@ def test_step_rates(spark):
     found = {(r.id, r.step_name): float(r.rate) for r in tiers.step_rates(picked, known).collect()}
     want = [1, 1, 2, 2, 3, 3, 3, 4, 0, 0, 0, 4]
     assert found == {(i, n): float(x) for i, w in enumerate(want) for n, x in (("flat", 7), ("tiered", w))}
+
+
+def test_copies_of_a_large_dimension_are_not_broadcast(spark):
+    dim = spark.range(100).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    facts = spark.range(1_000).select(F.col("id").alias("fact"), (F.col("id") % 150).alias("id"))
+    joined = lookup_join(facts, dim, ["id"], max_rows=10, spread=F.col("fact"))
+    assert "BroadcastHashJoin" not in plan(joined)
+    assert set(rows(joined.select("fact", "id", "name"))) == {(i, i % 150, f"n{i % 150}" if i % 150 < 100 else None) for i in range(1_000)}
+    assert joined.count() == 1_000

@@ -62,7 +62,8 @@ def lookup_join(
     salted = facts.withColumn("_salt", F.pmod(spread, F.lit(salts)).cast("int"))
     copies = dim.withColumn("_dim_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     condition = condition & (F.col("_salt") == F.col("_dim_salt"))
-    return salted.join(copies, condition, how).drop("_salt", "_dim_salt", *keys.values())
+    # Spark takes the copies for as small as the dimension and would broadcast them without the hint.
+    return salted.join(copies.hint("merge"), condition, how).drop("_salt", "_dim_salt", *keys.values())
 
 
 def join_counted(left: DataFrame, right: DataFrame, on: Sequence[str], rows: str, how: str = "left") -> DataFrame:
