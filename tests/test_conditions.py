@@ -13,6 +13,8 @@ from wattaudit.functions.conditions import compile_condition, compile_formula, w
 from wattaudit.operators import pricing
 from wattaudit.sources import tariffs
 
+from conftest import plan
+
 BILLS = [
     (900.0, 10.0, 4.0, 30, dt.date(2020, 7, 1), 2.2),
     (100.0, 0.0, 0.0, 28, dt.date(1996, 1, 31), None),
@@ -114,3 +116,16 @@ def test_many_templates_go_block_by_block(spark, monkeypatch):
     priced = pricing.expected_bill(bills.drop("condition").join(classes, "id", "right").withColumn("bill_account", F.lit("a")), versions)
     got = {r.id: (r.status, r.expected_bill) for r in priced.collect()}
     assert got == {**{i: ("SUCCESS", D("7.00") if h else D("0.00")) for i, h in want.items()}, 9_999: ("SKIPPED", D("0.00"))}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_conditions_are_read_from_the_distinct_texts(spark, monkeypatch, small):
+    """Shapes and numbers are taken from each different text once, not from every row, whether the texts fit a broadcast or not."""
+    monkeypatch.setattr(conditions, "fits", lambda df: small, raising=False)
+    df = spark.createDataFrame(BILLS, SCHEMA).withColumn("condition", F.explode(F.array(*[F.lit(t) for t in TEXTS[:10]], F.lit(None))))
+    held = with_condition(df)
+    assert "regexp" not in plan(held)
+    assert held.columns == [*df.columns, "holds"] and held.count() == 11 * len(BILLS)
+    for r in held.collect():
+        bill = (r.billed_kwh, r.billed_demand, r.billed_rkva, r.days_used, r.bill_date, r.delivery_voltage)
+        assert r.holds == (r.condition is None or reference(r.condition, bill)), r

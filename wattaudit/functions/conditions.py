@@ -14,6 +14,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattaudit.operators.lookups import fits, join_counted, lookup_join
 from wattaudit.session import work_dir
 
 # Variables a condition may use, and the column each reads.
@@ -319,15 +320,25 @@ def formula_value(
 
 
 def with_condition(steps: DataFrame, condition: str = "condition", out: str = "holds", most: int | None = None) -> DataFrame:
-    """Add whether the condition of each row holds; the distinct templates are compiled on the driver, MOST_TEMPLATES at a time."""
+    """Add whether the condition of each row holds; the distinct templates are compiled on the driver, MOST_TEMPLATES at a time.
+
+    Templates and numbers are read from the distinct texts, which are written once, and looked up by the rows.
+    """
     most = MOST_TEMPLATES if most is None else most
-    text = F.col(condition)
-    found = steps.select(template_of(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    text, path = F.col(condition), work_dir(steps.sparkSession, "condition-texts")
+    asked = steps.where(text.isNotNull()).groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("_rows"))
+    asked = asked.withColumns({"_template": template_of(F.col("_text")), "_numbers": numbers_of(F.col("_text"))})
+    asked.write.parquet(path)
+    texts = steps.sparkSession.read.schema(asked.schema).parquet(path)
+    found = texts.select(F.col("_template").alias("t")).where(F.col("t").isNotNull()).distinct()
     blocks = max(1, -(-found.count() // most))
-    number = F.pmod(F.xxhash64(template_of(text)), F.lit(blocks)).cast("int")
+    number = F.pmod(F.xxhash64("_template"), F.lit(blocks)).cast("int")
     known = [{"t": sorted(r.t for r in found.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).collect())} for b in range(blocks)]
+    keyed = steps.withColumn("_text", text)
+    read = lookup_join(keyed, texts.drop("_rows"), ["_text"]) if fits(texts) else join_counted(keyed, texts, ["_text"], "_rows")
 
     def finish(rows: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
-        return rows.withColumn(out, condition_holds(text, template_of(text), numbers_of(text), templates["t"]))
+        holds = condition_holds(text, F.col("_template"), F.col("_numbers"), templates["t"])
+        return rows.withColumn(out, holds).drop("_text", "_template", "_numbers")
 
-    return by_block(steps, number, known, finish)
+    return by_block(read, number, known, finish)
