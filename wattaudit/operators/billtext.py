@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from wattaudit.functions.text import ACCOUNT, DATE, norm_caps, norm_space, repair_scan
 from wattaudit.functions.values import clean_number, parse_date
+from wattaudit.session import work_dir
 
 # Tokens of a history row and where a customer name stands.
 _INT = r"-?[\d,]+"
@@ -44,6 +45,13 @@ def with_clean_text(docs: DataFrame, text: str = "text", nfkc: bool = True) -> D
     return docs.withColumn(text, F.explode(F.array(clean_text(text, nfkc))))
 
 
+def _row_names(text: Column) -> Column:
+    """Names in the history rows, as ``norm_caps`` has them. They hold none but its characters, so only blanks are squashed."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(_ROW_NAME), 1), lambda n: F.trim(F.when(n.contains("  "), F.regexp_replace(n, " +", " ")).otherwise(n))
+    )
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _similarities(header: pd.Series, names: pd.Series) -> pd.Series:
     """Matching-block ratio of the header name and each candidate; null for documents that need none."""
@@ -56,13 +64,13 @@ def _similarities(header: pd.Series, names: pd.Series) -> pd.Series:
 def _with_customer(docs: DataFrame, text: str, min_similarity: float) -> DataFrame:
     """Add ``customer`` (see ``canonical_customer``); everything happens inside the row of the document."""
     t = F.col(text)
-    raw = F.transform(F.regexp_extract_all(t, F.lit(_ROW_NAME), 1), norm_caps)
+    raw = _row_names(t)
     docs = docs.withColumns(
         {"_header": norm_caps(F.regexp_extract(t, _HEADER_NAME, 1)), "_names": F.filter(raw, lambda n: n != "")}
     )
     # Equal names stand together after sorting, the earliest first; a run of them is a group.
     docs = docs.withColumn(
-        "_sorted", F.array_sort(F.transform("_names", lambda n, i: F.struct(n.alias("name"), i.alias("pos"))))
+        "_sorted", F.sort_array(F.transform("_names", lambda n, i: F.struct(n.alias("name"), i.alias("pos"))))
     )
     places = F.when(F.size("_sorted") > 0, F.sequence(F.lit(0), F.size("_sorted") - 1))
 
@@ -143,6 +151,11 @@ def similarities(pairs: DataFrame, least: float) -> DataFrame:
     return same.unionByName(rest).where(F.col("sim") >= least)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def account_customers(docs: DataFrame, text: str = "text", min_similarity: float = 0.80) -> DataFrame:
     """(bill_account, customer): one name per account, from all its documents (text already cleaned).
 
@@ -156,15 +169,19 @@ def account_customers(docs: DataFrame, text: str = "text", min_similarity: float
     t = F.col(text)
     account = F.nullif(norm_space(F.regexp_extract(t, f"(?i){_ACCOUNT_LABEL}", 1), False), F.lit(""))
     header = norm_caps(F.regexp_extract(t, _HEADER_NAME, 1))
-    rows = F.transform(F.regexp_extract_all(t, F.lit(_ROW_NAME), 1), lambda n: F.struct(F.lit("row").alias("kind"), norm_caps(n).alias("name")))
+    rows = F.transform(_row_names(t), lambda n: F.struct(F.lit("row").alias("kind"), n.alias("name")))
     heads = F.array(F.struct(F.lit("head").alias("kind"), header.alias("name")))
     named = docs.select(account.alias("bill_account"), F.explode(F.concat(heads, rows)).alias("n")).select("bill_account", "n.*")
     counts = named.where("bill_account is not null").groupBy("bill_account", "kind", "name").agg(F.count(F.lit(1)).alias("n"))
+    # Names and accounts are written once, as several steps need them: every text is read once.
+    path = work_dir(docs.sparkSession, "account-names")
+    counts = _written(counts, f"{path}/counts")
     counts = counts.withColumn("place", F.when(F.col("name") != "", F.struct((-F.col("n")).alias("n"), (-F.length("name")).alias("len"), "name")))
     accounts = counts.groupBy("bill_account").agg(
         F.coalesce(F.min(F.when(F.col("kind") == "head", F.col("place")))["name"], F.lit("")).alias("header"),
         F.min(F.when(F.col("kind") == "row", F.col("place")))["name"].alias("best"),
     )
+    accounts = _written(accounts, f"{path}/accounts")
     extends = F.col("best").startswith(F.col("header")) & (F.length("best") > F.length("header"))
     open_ = accounts.where((F.col("header") != "") & F.col("best").isNotNull() & ~extends).select("bill_account", "header")
     asked = counts.where("kind = 'row' and name <> ''").select("bill_account", "name").join(open_, "bill_account")

@@ -287,7 +287,7 @@ def bill_documents(bills: DataFrame) -> DataFrame:
     """
     lines = bills.sparkSession.sql(BILL_LINES, bills=bills)
     ordered = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("read_date", "id", "line"))), lambda s: s["line"]), "\n"
+        F.transform(F.sort_array(F.collect_list(F.struct("read_date", "id", "line"))), lambda s: s["line"]), "\n"
     )
     return lines.groupBy("doc_id", "bill_account", "customer").agg(ordered.alias("lines")).select(
         "doc_id",
@@ -311,7 +311,7 @@ def named_documents(bills: DataFrame) -> DataFrame:
     headers = [F.left("customer", F.lit(12)), misspelt, F.lit("ZZ HOLDINGS")]
     header = F.get(F.array(*[F.concat(F.lit("Customer: "), h, F.lit(" ")) for h in headers], F.lit("")), (F.col("bill_account").cast("long") % 4).cast("int"))
     lines = bills.select("bill_account", header.alias("header"), F.floor(F.col("id") / 50_000).alias("part"), "id", line.alias("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda s: s["line"]), "\n")
     return lines.groupBy("bill_account", "header", "part").agg(joined.alias("lines")).select(
         F.concat_ws("-", "bill_account", F.col("part").cast("string")).alias("doc_id"),
         F.concat(F.lit("History\n"), "header", F.lit("Bill Account: "), "bill_account", F.lit("\nService Address: on file\n"), "lines", F.lit("\nPage 1 of 1\n")).alias("text"),
