@@ -340,3 +340,12 @@ def test_bill_intake(spark):
     out = bill_intake(docs, work_dir(spark, "intake"))
     assert sorted({r.issue_type for r in out.issues.collect()}) == ["R2_BILL_DAYS_OUT_OF_RANGE", "R6_DUPLICATE_PERIOD"]
     assert {r.user_bill_id for r in out.issues.collect()} == {r.id for r in out.bills.collect()}
+
+
+def test_answers_are_made_and_parsed_once(spark):
+    made = spark.range(4).select(F.col("id").alias("doc_id"), F.concat(F.lit('{"sc_code": "MARK'), "id", F.when(F.col("id") < 3, '"}').otherwise("")).alias("answer"))
+    good, bad = tariffs.parse_model_json(made)
+    code = F.try_variant_get("item", "$.sc_code", "string").alias("code")
+    assert plan(good).count("MARK") == 1
+    assert sorted(rows(good.select("doc_id", "pos", code))) == [(i, 0, f"MARK{i}") for i in range(3)]
+    assert rows(bad) == [(3, '{"sc_code": "MARK3')]

@@ -908,11 +908,13 @@ def k1_upsert_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Versions in bare JSON documents as the register, all versions as changes in order of their documents."""
+    """Versions in bare JSON documents as the register, all versions as changes in order of their documents; written once for both."""
     stored = part_versions(spark, d).select(
         F.col("doc_id").alias("document_id"), "sc_code", "effective_date", "logic", "pos", F.col("doc_id").alias("seq")
     )
-    changes = stored.where(F.col("pos") == 0)
+    path = work_dir(spark, "version-changes")
+    stored.where(F.col("pos") == 0).write.parquet(path)
+    changes = spark.read.schema(stored.schema).parquet(path)
     register = changes.groupBy("sc_code", "effective_date").agg(
         F.min("document_id").alias("document_id"), F.min_by("logic", "document_id").alias("logic")
     )

@@ -90,15 +90,15 @@ def parse_model_json(answers: DataFrame, text: str = "answer", keys: tuple[str,
 
     An answer may be bare JSON, JSON in a code fence, or JSON within prose (from the first ``{`` to the last ``}``).
     """
-    raw = F.col(text)
+    # Arrays of one value are unfolded, as in ``billtext.with_clean_text``: the answer, its document and its objects are each made once.
+    answers, raw = answers.withColumn(text, F.explode(F.array(text))), F.col(text)
     fenced = F.regexp_extract(raw, r"(?s)```json(.*?)(?:```|$)", 1)
     plain = F.regexp_extract(raw, r"(?s)```(.*?)(?:```|$)", 1)
     body = F.trim(F.when(raw.contains("```json"), fenced).when(raw.contains("```"), plain).otherwise(raw))
     braces = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    parsed = answers.withColumn("_doc", F.coalesce(F.try_parse_json(body), F.try_parse_json(braces)))
-    good = parsed.where(F.col("_doc").isNotNull()).select(
-        *keys, F.posexplode(tariff_items(F.col("_doc"))).alias("pos", "item")
-    )
+    parsed = answers.withColumn("_doc", F.explode(F.array(F.coalesce(F.try_parse_json(body), F.try_parse_json(braces)))))
+    items = parsed.where(F.col("_doc").isNotNull()).select(*keys, F.explode(F.array(tariff_items(F.col("_doc")))).alias("_items"))
+    good = items.select(*keys, F.posexplode("_items").alias("pos", "item"))
     bad = parsed.where(F.col("_doc").isNull()).select(*keys, text)
     return good, bad
 
