@@ -26,19 +26,20 @@ def write_reports(lines: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
     """
     spark = lines.sparkSession
     text = F.coalesce(F.translate("line", "\r\n", "  "), F.lit("")).alias("line")
-    ranged = lines.select(*_ORDER, text).repartitionByRange(*_ORDER).withColumn("part", F.spark_partition_id())
+    size = (F.octet_length("line") + 1).alias("size")
+    # The size is a column of its own, so that the index is made without moving the lines.
+    ranged = lines.select(*_ORDER, text).select("*", size).repartitionByRange(*_ORDER).withColumn("part", F.spark_partition_id())
     staged = work_dir(spark, "report-lines")
     ranged.write.parquet(staged)
     ranged = spark.read.schema(ranged.schema).parquet(staged)
-    size = F.octet_length("line") + 1
     # Each part was one task's share of the rows, whatever the accounts.
     before = W.partitionBy("part").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1)
-    placed = ranged.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    placed = ranged.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
     name = F.format_string("%06d-%06d", F.col("part"), F.expr(f"at div {file_bytes}").cast("int"))
     placed = placed.withColumn("file", name).sortWithinPartitions("file", *_ORDER)
     placed.select("line", "file").write.partitionBy("file").text(f"{folder}/files")
     start = F.min("at").over(W.partitionBy("file"))
-    counted = placed.groupBy("file", "bill_account").agg(F.min("at").alias("at"), F.sum(size).alias("n_bytes"))
+    counted = placed.groupBy("file", "bill_account").agg(F.min("at").alias("at"), F.sum("size").alias("n_bytes"))
     index = counted.select("bill_account", "file", (F.col("at") - start).alias("first_byte"), F.col("n_bytes").cast("long"))
     index.repartitionByRange("bill_account", "file").sortWithinPartitions("bill_account", "file").write.parquet(f"{folder}/index")
 
