@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.llm.base import stored, texts, words
+from wattaudit.llm.base import slices, stored, texts, words
 
 #: Words that make up at least one in so many tokens go to every task; there are at most so many.
 FREQUENT = 100_000
@@ -38,6 +38,8 @@ FEATURES = SKIPS + 2
 START, ROUNDS, STEP, MOST = 0.45, 2, 0.35, 0.5
 #: Places scored at a time, and distinct words counted before they are handed over.
 BLOCK, HELD = 16_384, 200_000
+#: Bytes of texts scored together.
+SLICE_BYTES = 1 << 20
 END = b""
 
 
@@ -340,8 +342,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for batch in slices(whole, 256, SLICE_BYTES):
                 places = Places.of(texts(batch, at), m.frequent)
                 own = _classes(places, m.class_of)
                 value, logs = np.zeros(len(own)), np.zeros(len(own))
