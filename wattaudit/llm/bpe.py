@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Characters handed to the transducer at a time.
 PIECE = 65_536
 #: Words whose ids are remembered; twice as many are held at most.
-REMEMBERED = 64_000
+REMEMBERED = 128_000
 #: Words merged in lockstep, and characters of texts whose words are gathered for it.
 LOCKSTEP, GATHERED = 8192, 500_000
 #: A merge is one number: its rank above, the new id in the low bits.
