@@ -268,6 +268,30 @@ def test_add_rows():
     assert got == pytest.approx(want, abs=1e-5)
 
 
+def test_add_rows_many_of_one_row():
+    """One row of thousands of lines, rows of one line, and a last group that isn't full."""
+    rng = np.random.default_rng(2)
+    row = np.concatenate([np.full(5000, 7), rng.integers(0, 900, 3001), [899]]).astype(np.uint16)
+    values = rng.normal(size=(len(row), 64)).astype(np.float32)
+    got, want = np.ones((900, 64), np.float32), np.ones((900, 64))
+    language_model._add_rows(got.T, row, values.T)
+    np.add.at(want, row, values)
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_language_model_places():
+    """Endings and hashes made for many words at once are those of each word, with and without the frequent words."""
+    texts = [b"The cat, \xc3\xa9 a of", None, "漢 x cat café".encode(), b" \t\n"]
+    frequent = language_model.Frequent.build([(b"cat", 5), (b"a", 3)], 4)
+    for places in (language_model.Places.of(texts), language_model.Places.of(texts, frequent)):
+        assert places.sizes.tolist() == [6, 1, 5, 1] and places.real.sum() == 13
+        tokens = [w for t in texts for w in [*(t or b"").lower().split(), b""]]
+        assert places.endings[places.real].tolist() == [language_model.ending(w) if w else 0 for w in tokens]
+        assert places.hashed[places.real].tolist() == [zlib.crc32(w) for w in tokens]
+    assert places.rest == [b"the", b"cat,", "é".encode(), b"of", "漢".encode(), b"x", "café".encode()]
+    assert places.rest_counts().to_pylist()[0] == [{"word": w, "n": 1} for w in ("the", "cat,", "é", "of")]
+
+
 def test_language_model_without_training(spark, odd):
     model, counts = language_model.train(odd.limit(0))
     found = language_model.score(odd, model, counts).collect()

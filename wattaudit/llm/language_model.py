@@ -16,7 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ FEATURES = SKIPS + 2
 START, ROUNDS, STEP, MOST = 0.45, 2, 0.35, 0.5
 #: Places scored at a time, and distinct words counted before they are handed over.
 BLOCK, HELD = 16_384, 200_000
-#: Bytes of texts scored together.
-SLICE_BYTES = 1 << 20
+#: Texts that are split or scored together, and their bytes.
+SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
+#: Neighbours in order of rows that one product sums.
+GROUP = 16
 END = b""
 
 
@@ -48,18 +50,27 @@ def ending(word: bytes) -> int:
     return 1 + zlib.crc32(word[-3:]) % (ENDINGS - 1)
 
 
-class Index(dict):
-    """Positions of words; -1 for any other word."""
+#: What a byte adds to a checksum: zlib's table, from its checksums of single bytes.
+_CRC = ~np.array([zlib.crc32(bytes([255 ^ b])) for b in range(256)], np.uint32) ^ np.uint32(0x00FFFFFF)
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+
+def _endings(found: list[bytes]) -> np.ndarray:
+    """``ending`` of each word; the checksums of all last bytes, then of all bytes before them, in one go."""
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    data = np.frombuffer(bytes(3) + b"".join(found), np.uint8)
+    last = size.cumsum() + 2
+    crc = np.full(len(found), 0xFFFFFFFF, np.uint32)
+    for back in (2, 1, 0):
+        more = _CRC[(crc ^ data[last - back]) & np.uint32(255)] ^ crc >> np.uint32(8)
+        crc = np.where(size > back, more, crc)
+    return (1 + ~crc % np.uint32(ENDINGS - 1)).astype(np.int32)
 
 
 @dataclass
 class Frequent:
     """The frequent words with their counts; position i of the arrays belongs to word i, the last one to END."""
 
-    index: Index
+    index: dict[bytes, int]
     log_count: np.ndarray
     hashed: np.ndarray
     endings: np.ndarray
@@ -68,7 +79,7 @@ class Frequent:
     def build(counts: list[tuple[bytes, int]], ends: int) -> Frequent:
         found = sorted(counts)
         return Frequent(
-            Index((w, i) for i, (w, _) in enumerate(found)),
+            {w: i for i, (w, _) in enumerate(found)},
             np.log10(np.array([c for _, c in found] + [ends], np.float64) + 1),
             np.array([zlib.crc32(w) for w, _ in found] + [0], np.uint32),
             np.array([ending(w) for w, _ in found] + [0], np.int32),
@@ -88,25 +99,27 @@ class Places:
     sizes: np.ndarray  # tokens of each text
 
     @staticmethod
-    def of(texts_: list[bytes | None], frequent: Frequent) -> Places:
+    def of(texts_: list[bytes | None], frequent: Frequent | None = None) -> Places:
+        """Without ``frequent`` no word is looked up: ``known`` is -1 everywhere and ``rest`` holds all words."""
         found = [words(text) for text in texts_]
         flat = list(chain.from_iterable(found))
         counts = np.array([len(f) for f in found], np.int64)
-        at = np.fromiter(map(frequent.index.__getitem__, flat), np.int32, len(flat))
         starts = np.concatenate([[0], np.cumsum(counts + 1 + SKIPS)]).astype(np.int64)
         before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
         where = np.arange(len(flat)) + np.repeat(starts[:-1] + SKIPS - before, counts)
-        other = np.nonzero(at < 0)[0]
-        rest = [flat[i] for i in other]
         known = np.full(starts[-1], -1, np.int32)
         hashed, endings, real = np.zeros(starts[-1], np.uint32), np.zeros(starts[-1], np.int32), np.zeros(starts[-1], bool)
-        known[where], hashed[where], endings[where] = at, frequent.hashed[at], frequent.endings[at]
-        hashed[where[other]] = np.fromiter(map(zlib.crc32, rest), np.uint32, len(rest))
-        endings[where[other]] = np.fromiter(map(ending, rest), np.int32, len(rest))
+        rest, others, rest_of = flat, where, np.repeat(np.arange(len(found)), counts)
+        if frequent:
+            at = np.fromiter(map(frequent.index.get, flat, repeat(-1)), np.int32, len(flat))
+            other = np.nonzero(at < 0)[0]
+            rest, others, rest_of = [flat[i] for i in other.tolist()], where[other], rest_of[other]
+            known[where], hashed[where], endings[where] = at, frequent.hashed[at], frequent.endings[at]
+        hashed[others] = np.fromiter(map(zlib.crc32, rest), np.uint32, len(rest))
+        endings[others] = _endings(rest)
         real[where] = True
         last = starts[1:] - 1
-        known[last], hashed[last], endings[last], real[last] = len(frequent.index), 0, 0, True
-        rest_of = np.repeat(np.arange(len(found)), counts)[other]
+        known[last], hashed[last], endings[last], real[last] = len(frequent.index) if frequent else -1, 0, 0, True
         return Places(known, hashed, endings, real, rest, rest_of, counts + 1)
 
     def rest_counts(self) -> pa.Array:
@@ -167,11 +180,31 @@ def _log_class(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log
 
 
 def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
-    """Add each line of ``values.T`` to the line of ``sums`` that ``row`` names; one class at a time fits the cache."""
-    first, last = int(row.min()), int(row.max()) + 1
-    at = (row - first).astype(np.int64)
-    for k, own in enumerate(values):
-        sums[k, first:last] += np.bincount(at, own, last - first)
+    """Add each line of ``values.T`` to the line of ``sums.T`` that ``row`` names.
+
+    Lines are brought into order of their rows; a product with zeros and ones then sums those of equal row within each
+    group of ``GROUP`` neighbours. What is left of a row in further groups goes through the same again.
+    """
+    order = np.argsort(row, kind="stable")
+    row, lines = row[order], values.T
+    while len(row):
+        groups = -(-len(row) // GROUP)
+        spare = groups * GROUP - len(row)
+        begins = np.ones(groups * GROUP, bool)
+        begins[1 : len(row)] = row[1:] != row[:-1]
+        parts = begins.copy()
+        parts[::GROUP] = True
+        parts[len(row) :] = False
+        place = parts.reshape(groups, GROUP).cumsum(axis=1, dtype=np.int8) - 1
+        pick = (place[:, None, :] == np.arange(GROUP, dtype=np.int8)[:, None]).astype(np.float32)
+        pick[-1, :, GROUP - spare :] = 0
+        lined = lines.take(np.concatenate([order, np.zeros(spare, np.int64)]), axis=0)
+        lines = np.matmul(pick, lined.reshape(groups, GROUP, -1)).reshape(groups * GROUP, -1)
+        at = np.nonzero(parts)[0]
+        order, once = at // GROUP * GROUP + place.reshape(-1)[at], begins[at]
+        row = row[at]
+        sums.T[row[once]] += lines.take(order[once], axis=0)
+        row, order = row[~once], order[~once]
 
 
 def _vectors(sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
@@ -180,18 +213,17 @@ def _vectors(sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), data], ["row", "sums"])
 
 
-def _gathered(docs: DataFrame, shape: tuple[int, int], add: Callable, frequent: Broadcast) -> np.ndarray:
+def _gathered(docs: DataFrame, shape: tuple[int, int], add: Callable) -> np.ndarray:
     """Sum over all texts of what ``add(sums, places)`` adds to a matrix; summed by row in Spark, then collected.
 
     A task returns the rows it has touched; the reduction is by row number, so it is even. The matrix is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, np.float32, order="F")
+        sums = np.zeros(shape, np.float32)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = texts(whole.slice(at, 256), 0)
-                add(sums, Places.of(part, frequent.value))
+            for part in slices(whole, SLICE_ROWS, SLICE_BYTES):
+                add(sums, Places.of(texts(part, 0)))
         yield _vectors(sums, sums.any(axis=1))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,14 +299,13 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     top = counts.where((F.col("c") * FREQUENT >= tokens) | (F.col("word") == "")).collect()
     ends = next((r[1] for r in top if not r[0]), 0)
     frequent = Frequent.build([(r[0].encode(), r[1]) for r in top if r[0]], ends)
-    shared = spark.sparkContext.broadcast(frequent)
 
     def add_pairs(sums: np.ndarray, places: Places) -> None:
         at = np.nonzero(places.real)[0]
         code = places.endings[at - 1].astype(np.int64) * ENDINGS + places.endings[at]
         sums += np.bincount(code, minlength=ENDINGS * ENDINGS).reshape(ENDINGS, ENDINGS).astype(np.float32)
 
-    class_of = _cluster(_gathered(docs, (ENDINGS, ENDINGS), add_pairs, shared), CLASSES)
+    class_of = _cluster(_gathered(docs, (ENDINGS, ENDINGS), add_pairs), CLASSES)
 
     def add_counts(sums: np.ndarray, places: Places) -> None:
         own, codes = _classes(places, class_of), []
@@ -282,7 +313,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
             codes += [r.astype(np.int32) * CLASSES + own[t].astype(np.int32) for r in rows]
         sums += np.bincount(np.concatenate(codes), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
 
-    seen = _gathered(docs, (ROWS, CLASSES), add_counts, shared)
+    seen = _gathered(docs, (ROWS, CLASSES), add_counts)
     of_class = seen[:ENDINGS].sum(axis=0).astype(np.float64)
     prior = (of_class + 0.5) / (of_class.sum() + 0.5 * CLASSES)
     log_prior = np.log(prior).astype(np.float32)
@@ -299,13 +330,12 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
                 np.exp(p, out=p)
                 p /= p.sum(axis=1, keepdims=True)
                 p[np.arange(len(t)), own[t]] -= 1
-                p = p.T.astype(np.float64)
                 for r in rows:
-                    _add_rows(sums.T, r, p)
+                    _add_rows(sums.T, r, p.T)
 
         # Each round takes its share of the texts, so that every text adds to one gradient.
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
-        gradient = _gathered(part, (ROWS, CLASSES), add_gradient, shared)
+        gradient = _gathered(part, (ROWS, CLASSES), add_gradient)
         weights = weights - np.clip(STEP * ROUNDS * gradient / (seen + 20 * prior), -MOST, MOST).astype(np.float32)
         now.unpersist()
 
@@ -342,7 +372,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         for whole in batches:
-            for batch in slices(whole, 256, SLICE_BYTES):
+            for batch in slices(whole, SLICE_ROWS, SLICE_BYTES):
                 places = Places.of(texts(batch, at), m.frequent)
                 own = _classes(places, m.class_of)
                 value, logs = np.zeros(len(own)), np.zeros(len(own))
