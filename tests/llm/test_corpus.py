@@ -346,6 +346,21 @@ def test_bpe_against_library():
         assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_pretokens_are_merged_once(monkeypatch):
+    """Numbers, marks and words behind a line break are remembered too, whatever the bound and the order."""
+    library, vocabulary = Tokenizer.from_file(BPE), bpe.vocabulary(open(BPE, encoding="utf-8").read())
+    merged, merge = [], bpe.merge_short
+    monkeypatch.setattr(bpe, "merge_short", lambda word, *rest: merged.append(word) or merge(word, *rest))
+    text = "So 1234 (and) more,\nwords\u2003here's\n\n  x=77; word, word's 1234.\r\nwords\n"
+    want = library.encode(text, add_special_tokens=False).ids
+    encoder = bpe.Encoder(vocabulary)
+    assert list(bpe.encode_all(encoder, [text, text])) == [want, want] and len(merged) == len(set(merged))
+    monkeypatch.setattr(bpe, "PRETOKENS_HELD", 2)
+    assert list(bpe.encode_all(bpe.Encoder(vocabulary, remembered=2), [text, None, text])) == [want, [], want]
+    decoder = bpe.Decoder(vocabulary)
+    assert decoder.feed([-5, *want[:3], 10**6, *want[3:]]) + decoder.finish() == text and decoder.feed([]) == ""
+
+
 def test_bpe_streams_without_end(monkeypatch):
     library, vocabulary = Tokenizer.from_file(BPE), bpe.vocabulary(open(BPE, encoding="utf-8").read())
     monkeypatch.setattr(bpe, "PIECE", 40)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 PIECE = 65_536
 #: Words whose ids are remembered; twice as many are held at most.
 REMEMBERED = 128_000
+#: Other short pretokens whose ids are remembered.
+PRETOKENS_HELD = 30_000
 #: Words merged in lockstep, and characters of texts whose words are gathered for it.
 LOCKSTEP, GATHERED = 8192, 500_000
 #: A merge is one number: its rank above, the new id in the low bits.
@@ -157,7 +159,7 @@ class Encoder:
         self.remembered = remembered
         self.fresh: dict[str, list[int]] = {}  # ids of a space and a word, by word
         self.old: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {}  # ids of marks behind a word
+        self.pretokens: dict[str, list[int]] = {}  # ids of short pretokens that are looked up as they are
         self.special = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
         codes = [(a << ID_BITS | b, m) for a, row in enumerate(vocabulary.merges) for b, m in row.items()]
         self.codes, self.values = (np.array(c, np.int64) for c in zip(*sorted(codes), strict=True))
@@ -171,7 +173,10 @@ class Encoder:
 
     def prepare(self, texts: Iterable[str]) -> None:
         """Remember the ids of all new words of some texts: many words are merged in lockstep, one merge each per step."""
-        found = {p.rstrip(MARKS) for t in texts for p in t.split(" ")}
+        parts: set[str] = set()
+        for text in texts:
+            parts.update(text.split(" "))
+        found = {p.rstrip(MARKS) for p in parts if p not in self.fresh}
         new = [w for w in found if w not in self.fresh and w not in self.old and w.isalpha() and len(w) < 24]
         coded = [b" " + w.encode() for w in new]
         for size in (12, 24, 96):
@@ -248,7 +253,17 @@ class Encoder:
         return data[at:]
 
     def _pattern(self, text: str) -> list[int]:
-        return [i for word in PRETOKENS.findall(text) for i in self._word(word)]
+        return [i for word in PRETOKENS.findall(text) for i in self._pretoken(word)]
+
+    def _pretoken(self, word: str) -> list[int]:
+        ids = self.pretokens.get(word)
+        if ids is None:
+            ids = self._word(word)
+            if len(word) < 64:
+                if len(self.pretokens) >= PRETOKENS_HELD:
+                    self.pretokens.clear()
+                self.pretokens[word] = ids
+        return ids
 
     def _spaced(self, part: str) -> list[int]:
         """Ids of a space and ``part``, which holds no white space."""
@@ -260,13 +275,7 @@ class Encoder:
             elif word == part:
                 ids = self._word(" " + part)
             else:  # marks behind a letter are a pretoken of their own
-                marks = part[len(word) :]
-                more = self.marks.get(marks)
-                if more is None:
-                    more = self._word(marks)
-                    if len(self.marks) < 10_000 and len(marks) < 64:
-                        self.marks[marks] = more
-                return (self.fresh.get(word) or self._spaced(word)) + more
+                return (self.fresh.get(word) or self._spaced(word)) + self._pretoken(part[len(word) :])
             if len(part) > 64:
                 return ids
         self._remember(part, ids)
@@ -278,26 +287,23 @@ class Encoder:
         A space in front of another character than white space always begins a pretoken, and white space always ends
         one, so words with one space in front are looked up; everything else waits in ``other`` for the pattern.
         """
-        known, first, other = self.fresh, True, ""
-        for part in text.split(" "):
-            ids = known.get(part)
-            if ids is not None and not first:
+        parts = iter(text.split(" "))
+        other = next(parts)
+        for part in parts:
+            ids = self.fresh.get(part)
+            if ids is not None:
                 if other:
                     out += self._pattern(other)
                     other = ""
                 out += ids
-                continue
-            if first:
-                other, first = part, False
             elif not part or part[0].isspace():
                 other = f"{other} {part}"
             else:
                 if other:
                     out += self._pattern(other)
                 other = ""
-                if part.isalnum() or not any(map(str.isspace, part)):
+                if part.isalnum() or part.split() == [part]:
                     out += self._spaced(part)
-                    known = self.fresh
                 else:
                     other = " " + part
         if other:
@@ -377,18 +383,25 @@ class Encoder:
             out += ids
 
 
+def joined(pieces: pa.LargeBinaryArray, ids: np.ndarray) -> bytes:
+    """The pieces at positions ``ids``, one after the other."""
+    data = pieces.take(pa.array(ids)).buffers()[2]
+    return data.to_pybytes() if data else b""
+
+
 class Decoder:
     """Bytes to text, incrementally: holds the bytes of a character that isn't complete, and marks invalid bytes."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.pieces = [vocabulary.pieces.get(i, b"") for i in range(max(vocabulary.pieces) + 1)]
+        self.pieces = pa.array([vocabulary.pieces.get(i, b"") for i in range(max(vocabulary.pieces) + 1)], pa.large_binary())
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: list[int]) -> str:
+    def feed(self, ids: list[int] | np.ndarray) -> str:
         """Text that is certain after these ids. Ids outside the vocabulary stand for nothing."""
-        if ids and not 0 <= min(ids) <= max(ids) < len(self.pieces):
-            ids = [i for i in ids if 0 <= i < len(self.pieces)]
-        return self.machine.decode(b"".join(map(self.pieces.__getitem__, ids)))
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
+            ids = ids[(ids >= 0) & (ids < len(self.pieces))]
+        return self.machine.decode(joined(self.pieces, ids))
 
     def finish(self) -> str:
         text = self.machine.decode(b"", final=True)
@@ -486,13 +499,14 @@ def round_trip(docs: DataFrame, path: str, key: str, text: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _encoder(spec.value), Decoder(vocabulary(spec.value))
-        decimal = [str(i) for i in range(len(decoder.pieces))]
+        decimal = pa.array([b"%d," % i for i in range(len(decoder.pieces))], pa.large_binary())
         for whole in batches:
             for batch in _sliced(whole):
                 sizes, of_ids, of_text = [], [], []
-                for ids in encode_all(encoder, batch.column(1).to_pylist()):
+                for found in encode_all(encoder, batch.column(1).to_pylist()):
+                    ids = np.array(found, np.int64)
                     sizes.append(len(ids))
-                    of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    of_ids.append(hashlib.sha256(joined(decimal, ids)[:-1]).hexdigest())
                     of_text.append(hashlib.sha256((decoder.feed(ids) + decoder.finish()).encode()).hexdigest())
                 columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [key, "n_tokens", "ids_sha256", "decoded_sha256"])
