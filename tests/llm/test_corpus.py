@@ -292,6 +292,37 @@ def test_language_model_places():
     assert places.rest_counts().to_pylist()[0] == [{"word": w, "n": 1} for w in ("the", "cat,", "é", "of")]
 
 
+def test_add_features():
+    """A gradient's lines against single additions, over blocks that end within texts, among empty and short ones."""
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(rng.choice([b"cat", b"dogs", b"ran", b"of", b"a"], n)) for n in (0, 1, 2, 700, 0, 0, 5, 40)] + [None]
+    places = language_model.Places.of(texts)
+    got, want = np.zeros((language_model.ROWS, language_model.CLASSES), np.float32), np.zeros((language_model.ROWS, language_model.CLASSES))
+    language_model.BLOCK, block = 100, language_model.BLOCK
+    try:
+        for at, rows in places.blocks():
+            p = rng.normal(size=(len(at), language_model.CLASSES)).astype(np.float32)
+            language_model._add_features(got, places, at, rows, p)
+            for r in rows:
+                np.add.at(want, r, p)
+    finally:
+        language_model.BLOCK = block
+    assert got == pytest.approx(want, abs=1e-3) and np.abs(want).sum() > 0
+
+
+def test_count_words_and_pairs(spark, odd):
+    found = language_model.count_words(odd).collect()
+    tokens, pairs = Counter(), Counter()
+    for r in odd.collect():
+        of = [*words(r["text"]), b""]
+        tokens.update(of)
+        endings = [0, *(language_model.ending(w) if w else 0 for w in of)]
+        pairs.update(a * language_model.ENDINGS + b for a, b in zip(endings, endings[1:]))
+    assert {r["word"].encode(): r["c"] for r in found if r["pair"] is None} == tokens
+    assert {r["pair"]: r["c"] for r in found if r["word"] is None} == pairs
+    assert len(found) == len(tokens) + len(pairs) and language_model.count_words(odd.limit(0)).count() == 0
+
+
 def test_language_model_without_training(spark, odd):
     model, counts = language_model.train(odd.limit(0))
     found = language_model.score(odd, model, counts).collect()

@@ -12,6 +12,7 @@ others are joined by word. Counts, endings, features and gradients cover every t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -37,7 +38,7 @@ FEATURES = SKIPS + 2
 #: Share of the weight that a count's logarithm gets at the start; rounds of gradients, their step and its limit.
 START, ROUNDS, STEP, MOST = 0.45, 2, 0.35, 0.5
 #: Places scored at a time, and distinct words counted before they are handed over.
-BLOCK, HELD = 16_384, 200_000
+BLOCK, HELD = 4096, 200_000
 #: Texts that are split or scored together, and their bytes.
 SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
 #: Neighbours in order of rows that one product sums.
@@ -124,11 +125,12 @@ class Places:
 
     def rest_counts(self) -> pa.Array:
         """Per text the words that aren't frequent, with how often they occur in it."""
-        seen = Counter(zip(self.rest_of.tolist(), self.rest, strict=True))  # in order of texts
-        found = pa.array([w for _, w in seen], pa.binary()).cast(pa.string())
-        number = np.bincount(np.fromiter((t for t, _ in seen), np.int64, len(seen)), minlength=len(self.sizes))
+        ends = self.rest_of.searchsorted(np.arange(len(self.sizes) + 1)).tolist()  # in order of texts
+        seen = [Counter(self.rest[start:end]) for start, end in zip(ends, ends[1:], strict=False)]
+        found = pa.array(list(chain.from_iterable(seen)), pa.binary()).cast(pa.string())
+        number = np.array([len(c) for c in seen], np.int64)
         ends = np.concatenate([[0], number.cumsum()]).astype(np.int32)
-        items = pa.StructArray.from_arrays([found, pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        items = pa.StructArray.from_arrays([found, pa.array(list(chain.from_iterable(c.values() for c in seen)), pa.int64())], ["word", "n"])
         return pa.ListArray.from_arrays(ends, items)
 
     def blocks(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -155,38 +157,61 @@ class Model:
     log_prior: np.ndarray
     log_size: np.ndarray  # log10 of the softmax sums of the word factors
     weights: np.ndarray
+    small: bool  # whether no logit leaves the range of exp
 
 
 def _classes(places: Places, class_of: np.ndarray) -> np.ndarray:
     return class_of[places.endings]
 
 
-def _logits(rows: list[np.ndarray], weights: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
-    """Logits of all classes at some places, less the largest of each place."""
-    z = weights.take(rows[0], axis=0, mode="clip")
-    more = np.empty_like(z)
+_ROOM: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, *shape: int) -> np.ndarray:
+    """An array whose memory is used again by the next call of the same name; fresh memory costs more than the sums."""
+    size = math.prod(shape)
+    if name not in _ROOM or _ROOM[name].size < size:
+        _ROOM[name] = np.empty(size, np.float32)
+    return _ROOM[name][:size].reshape(shape)
+
+
+def _small(weights: np.ndarray, log_prior: np.ndarray) -> bool:
+    """Whether no sum of weights leaves the range of ``exp`` in single precision."""
+    return bool(np.abs(weights).max() * FEATURES + np.abs(log_prior).max() < 80)
+
+
+def _exp_logits(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log_prior: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of the logits of all classes at some places, their sums, and the logit of the class ``own``.
+
+    Unless all logits are ``small``, the largest of each place is taken off. The first lies in memory that is used again.
+    """
+    z, more = _room("logits", len(own), weights.shape[1]), _room("more", len(own), weights.shape[1])
+    first = weights[:ENDINGS] + log_prior  # the first feature of every place is an ending
+    first.take(rows[0], axis=0, mode="clip", out=z)
     for r in rows[1:]:
         z += weights.take(r, axis=0, out=more, mode="clip")
-    z += log_prior
-    z -= z.max(axis=1, keepdims=True)
-    return z
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
+    value = z[np.arange(len(own)), own]
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], z.dtype), value
 
 
-def _log_class(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log_prior: np.ndarray) -> np.ndarray:
+def _log_class(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log_prior: np.ndarray, small: bool = False) -> np.ndarray:
     """Logarithm of the probability of the class ``own`` at each place."""
-    z = _logits(rows, weights, log_prior)
-    value = z[np.arange(len(own)), own]
-    return value - np.log(np.exp(z, out=z).sum(axis=1))
+    _, total, value = _exp_logits(rows, own, weights, log_prior, small)
+    return value - np.log(total)
 
 
-def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
-    """Add each line of ``values.T`` to the line of ``sums.T`` that ``row`` names.
+def _row_sums(row: np.ndarray, lines: np.ndarray, span: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sums of the lines of equal ``row``, as some different rows with a sum of each, several times.
 
+    With ``span``, what counts as line i are the lines i to i + span - 1, one behind the other.
     Lines are brought into order of their rows; a product with zeros and ones then sums those of equal row within each
     group of ``GROUP`` neighbours. What is left of a row in further groups goes through the same again.
     """
-    order = np.argsort(row, kind="stable")
-    row, lines = row[order], values.T
+    order, level = np.argsort(row, kind="stable"), 0
+    row = row[order]
     while len(row):
         groups = -(-len(row) // GROUP)
         spare = groups * GROUP - len(row)
@@ -198,15 +223,42 @@ def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
         place = parts.reshape(groups, GROUP).cumsum(axis=1, dtype=np.int8) - 1
         pick = (place[:, None, :] == np.arange(GROUP, dtype=np.int8)[:, None]).astype(np.float32)
         pick[-1, :, GROUP - spare :] = 0
-        lined = lines.take(np.concatenate([order, np.zeros(spare, np.int64)]), axis=0)
-        lines = np.matmul(pick, lined.reshape(groups, GROUP, -1)).reshape(groups * GROUP, -1)
+        at = np.concatenate([order, np.zeros(spare, np.int64)])
+        if span > 1:
+            at = (at[:, None] + np.arange(span)).reshape(-1)
+        lined = _room("lined", groups, GROUP, span * lines.shape[1])
+        lines.take(at, axis=0, mode="clip", out=lined.reshape(len(at), -1))
+        lines = np.matmul(pick, lined, out=_room(f"sums {level % 2}", *lined.shape)).reshape(groups * GROUP, -1)
+        level, span = level + 1, 1
         at = np.nonzero(parts)[0]
         order, once = at // GROUP * GROUP + place.reshape(-1)[at], begins[at]
         row = row[at]
-        sums.T[row[once]] += lines.take(order[once], axis=0)
+        yield row[once], lines.take(order[once], axis=0)
         row, order = row[~once], order[~once]
 
 
+def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """Add each line of ``values.T`` to the line of ``sums.T`` that ``row`` names."""
+    for rows, own in _row_sums(row, values.T):
+        sums.T[rows] += own
+
+
+def _add_features(sums: np.ndarray, places: Places, at: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
+    """Add each line of ``p``, one for each of the ascending places ``at``, to the lines of ``sums`` that ``rows`` name.
+
+    A place adds its ending to the lines of the next ``SKIPS`` places, so these are summed together, as one long line.
+    """
+    for r in rows[SKIPS:]:
+        _add_rows(sums.T, r, p.T)
+    first, last = int(at[0]), int(at[-1])
+    line = _room("line", last - first + 1 + 2 * SKIPS, CLASSES)
+    line[:] = 0
+    line[at - first + SKIPS] = p
+    skips = sums[: SKIPS * ENDINGS].reshape(SKIPS, ENDINGS, CLASSES).swapaxes(0, 1)
+    for endings, own in _row_sums(places.endings[first - SKIPS : last].astype(np.uint16), line[1:], SKIPS):
+        skips[endings] += own.reshape(-1, SKIPS, CLASSES)
+
+
 def _vectors(sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
     rows = np.nonzero(seen)[0]
     data = pa.array([sums[r].tobytes() for r in rows], pa.binary())
@@ -267,25 +319,42 @@ def _cluster(pairs: np.ndarray, wanted: int) -> np.ndarray:
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) of all texts; the empty word stands for the end that every text has."""
+    """(word, pair, c) of all texts: how often each word occurs, with no pair, and how often an ending follows another.
+
+    The empty word stands for the end that every text has. A pair is ``ENDINGS`` times the former ending plus the
+    latter, with no word; ends and what is before a text have ending 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
+        pairs = np.zeros(ENDINGS * ENDINGS, np.int64)
 
-        def batch() -> pa.RecordBatch:
-            found = [pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(found, ["word", "n"])
+        def batch(found: list[bytes] | None, pair: np.ndarray | None, n: list[int] | np.ndarray) -> pa.RecordBatch:
+            word = pa.array(found, pa.binary()).cast(pa.string()) if found is not None else pa.nulls(len(n), pa.string())
+            pair = pa.array(pair, pa.int32()) if pair is not None else pa.nulls(len(n), pa.int32())
+            return pa.RecordBatch.from_arrays([word, pair, pa.array(n, pa.int64())], ["word", "pair", "n"])
 
-        for given in batches:
-            for text in texts(given, 0):
-                counts.update(words(text))
-                counts[END] += 1
+        for whole in batches:
+            for part in slices(whole, SLICE_ROWS, SLICE_BYTES):
+                flat, ends = [], []
+                for text in texts(part, 0):
+                    flat += words(text)
+                    ends.append(len(flat))
+                    flat.append(END)
+                counts.update(flat)
+                endings = _endings(flat)
+                endings[ends] = 0
+                code = endings.astype(np.int64)
+                code[1:] += ENDINGS * endings[:-1]
+                pairs += np.bincount(code, minlength=ENDINGS * ENDINGS)
                 if len(counts) > HELD:
-                    yield batch()
+                    yield batch(list(counts), None, list(counts.values()))
                     counts.clear()
-        yield batch()
+        yield batch(list(counts), None, list(counts.values()))
+        seen = np.nonzero(pairs)[0]
+        yield batch(None, seen.astype(np.int32), pairs[seen])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return docs.select("text").mapInArrow(run, "word string, pair int, n long").groupBy("word", "pair").agg(F.sum("n").alias("c"))
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
@@ -294,18 +363,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     Without any row the model is uniform over classes and knows no word.
     """
     spark = docs.sparkSession
-    counts = stored(count_words(docs), "word-counts")
+    both = stored(count_words(docs), "word-counts")
+    counts = both.where("pair IS NULL").select("word", "c")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.where((F.col("c") * FREQUENT >= tokens) | (F.col("word") == "")).collect()
     ends = next((r[1] for r in top if not r[0]), 0)
     frequent = Frequent.build([(r[0].encode(), r[1]) for r in top if r[0]], ends)
 
-    def add_pairs(sums: np.ndarray, places: Places) -> None:
-        at = np.nonzero(places.real)[0]
-        code = places.endings[at - 1].astype(np.int64) * ENDINGS + places.endings[at]
-        sums += np.bincount(code, minlength=ENDINGS * ENDINGS).reshape(ENDINGS, ENDINGS).astype(np.float32)
-
-    class_of = _cluster(_gathered(docs, (ENDINGS, ENDINGS), add_pairs), CLASSES)
+    followed = both.where("word IS NULL").select("pair", "c").toArrow()
+    pairs = np.zeros(ENDINGS * ENDINGS)
+    pairs[followed.column(0).to_numpy()] = followed.column(1).to_numpy()
+    class_of = _cluster(pairs.reshape(ENDINGS, ENDINGS), CLASSES)
 
     def add_counts(sums: np.ndarray, places: Places) -> None:
         own, codes = _classes(places, class_of), []
@@ -322,16 +390,15 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     for number in range(ROUNDS):
         now = spark.sparkContext.broadcast(weights)
+        small = _small(weights, log_prior)
 
-        def add_gradient(sums: np.ndarray, places: Places, now: Broadcast = now) -> None:
+        def add_gradient(sums: np.ndarray, places: Places, now: Broadcast = now, small: bool = small) -> None:
             own = _classes(places, class_of)
             for t, rows in places.blocks():
-                p = _logits(rows, now.value, log_prior)
-                np.exp(p, out=p)
-                p /= p.sum(axis=1, keepdims=True)
+                p, total, _ = _exp_logits(rows, own[t], now.value, log_prior, small)
+                p /= total[:, None]
                 p[np.arange(len(t)), own[t]] -= 1
-                for r in rows:
-                    _add_rows(sums.T, r, p.T)
+                _add_features(sums, places, t, rows, p)
 
         # Each round takes its share of the texts, so that every text adds to one gradient.
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
@@ -354,7 +421,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     for k, n, v in counts.mapInArrow(classed, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
         sizes[k] += n + v
     log_size = np.log10(np.maximum(sizes, 1))
-    return Model(tokens, distinct, frequent, class_of, log_prior, log_size, weights), counts
+    return Model(tokens, distinct, frequent, class_of, log_prior, log_size, weights, _small(weights, log_prior)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -377,7 +444,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
                 own = _classes(places, m.class_of)
                 value, logs = np.zeros(len(own)), np.zeros(len(own))
                 for t, rows in places.blocks():
-                    log_p = _log_class(rows, own[t], m.weights, m.log_prior)
+                    log_p = _log_class(rows, own[t], m.weights, m.log_prior, m.small)
                     value[t] = log_p / np.log(10) - m.log_size[own[t]]
                 known = places.real & (places.known >= 0) & (m.tokens > 0)
                 logs[known] = m.frequent.log_count[places.known[known]]
