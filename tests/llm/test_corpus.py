@@ -13,6 +13,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -323,6 +324,41 @@ def test_count_words_and_pairs(spark, odd):
     assert len(found) == len(tokens) + len(pairs) and language_model.count_words(odd.limit(0)).count() == 0
 
 
+def test_numbered_words():
+    """Each word once with its number: white space at edges, other controls, slices of a column, no text at all."""
+    texts = [" \tThe cat\x0b", None, "", "the\x1ccat \x85CAT É é", "cat " * 3, "skipped"]
+    distinct, number, sizes = language_model.numbered(pa.array(["first", *texts])[1:-1])
+    want = [words(t) for t in texts[:-1]]
+    assert [distinct[i].as_py().encode() for i in number.tolist()] == [w for t in want for w in t]
+    assert sizes.tolist() == [len(t) for t in want] and len(set(distinct.to_pylist())) == len(distinct)
+    distinct, number, sizes = language_model.numbered(pa.array([], pa.string()))
+    assert len(distinct) == len(number) == len(sizes) == 0
+
+
+def test_checksums_of_words():
+    """Checksums and endings of whole columns of words, short, long and empty, are those of each word."""
+    found = ["", "a", "été", "of", "x" * language_model.SHORT, "y" * (language_model.SHORT + 1), "z" * 5000, "漢字", "cats."]
+    for column in (pa.array(found), pa.array(["other", *found])[1:], pa.array([""]), pa.array([], pa.string())):
+        each = [w.encode() for w in column.to_pylist()]
+        assert language_model._checksums(column).tolist() == [zlib.crc32(w) for w in each]
+        assert language_model._endings(column).tolist() == [language_model.ending(w) if w else 0 for w in each]
+
+
+def test_language_model_gradient(spark, docs, monkeypatch):
+    """Neither the places scored and summed together nor the way of looking up counts changes the scores."""
+    scores = []
+    for block, summed, looked_up in ((4096, 32_768, 16 << 20), (100, 350, 0)):
+        monkeypatch.setattr(language_model, "BLOCK", block)
+        monkeypatch.setattr(language_model, "SUMMED", summed)
+        monkeypatch.setattr(language_model, "LOOKED_UP", looked_up)
+        model, counts = language_model.train(docs)
+        found = language_model.score(docs, model, counts, {"doc_id": F.col("doc_id")})
+        assert ("ShuffledHashJoin" in found._jdf.queryExecution().toString()) == (looked_up > 0)
+        scores.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in found.collect()})
+    assert scores[0].keys() == scores[1].keys()
+    assert all(scores[1][i] == pytest.approx(scores[0][i], rel=1e-4) for i in scores[0])
+
+
 def test_language_model_without_training(spark, odd):
     model, counts = language_model.train(odd.limit(0))
     found = language_model.score(odd, model, counts).collect()

@@ -14,18 +14,17 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattaudit.llm.base import slices, stored, texts, words
+from wattaudit.llm.base import slices, stored
 
 #: Words that make up at least one in so many tokens go to every task; there are at most so many.
 FREQUENT = 100_000
@@ -37,12 +36,15 @@ ROWS = SKIPS * ENDINGS + 2 * BUCKETS
 FEATURES = SKIPS + 2
 #: Share of the weight that a count's logarithm gets at the start; rounds of gradients, their step and its limit.
 START, ROUNDS, STEP, MOST = 0.45, 2, 0.35, 0.5
-#: Places scored at a time, and distinct words counted before they are handed over.
-BLOCK, HELD = 4096, 200_000
-#: Texts that are split or scored together, and their bytes.
+#: Bytes of words whose checksums are made together.
+SHORT = 32
+#: Places scored at a time, and those whose gradients are summed together.
+BLOCK, SUMMED = 4096, 32_768
+#: Texts that are split or scored together, and their bytes; the same where words are only counted.
 SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
-#: Neighbours in order of rows that one product sums.
-GROUP = 16
+COUNT_ROWS, COUNT_BYTES = 65_536, 8 << 20
+#: Bytes of counted words that a partition of a join may hold, on average, to be looked up in memory.
+LOOKED_UP = 16 << 20
 END = b""
 
 
@@ -55,35 +57,66 @@ def ending(word: bytes) -> int:
 _CRC = ~np.array([zlib.crc32(bytes([255 ^ b])) for b in range(256)], np.uint32) ^ np.uint32(0x00FFFFFF)
 
 
-def _endings(found: list[bytes]) -> np.ndarray:
-    """``ending`` of each word; the checksums of all last bytes, then of all bytes before them, in one go."""
-    size = np.fromiter(map(len, found), np.int64, len(found))
-    data = np.frombuffer(bytes(3) + b"".join(found), np.uint8)
-    last = size.cumsum() + 2
+def _bytes(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words, where each word begins among them, and its length."""
+    _, offsets, data = found.buffers()
+    ends = np.frombuffer(offsets, np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+    return np.frombuffer(data, np.uint8) if data and data.size else np.zeros(1, np.uint8), ends[:-1], np.diff(ends)
+
+
+def _endings(found: pa.Array) -> np.ndarray:
+    """``ending`` of each word, 0 for END; the checksums of all last bytes, then of all bytes before them, in one go."""
+    data, first, size = _bytes(found)
+    last = first + size - 1
     crc = np.full(len(found), 0xFFFFFFFF, np.uint32)
     for back in (2, 1, 0):
-        more = _CRC[(crc ^ data[last - back]) & np.uint32(255)] ^ crc >> np.uint32(8)
+        more = _CRC[(crc ^ data.take(last - back, mode="clip")) & np.uint32(255)] ^ crc >> np.uint32(8)
         crc = np.where(size > back, more, crc)
-    return (1 + ~crc % np.uint32(ENDINGS - 1)).astype(np.int32)
+    return np.where(size > 0, 1 + ~crc % np.uint32(ENDINGS - 1), 0).astype(np.int32)
+
+
+def _checksums(found: pa.Array) -> np.ndarray:
+    """``zlib.crc32`` of each word; of short words the first bytes, then the next ones, in one go."""
+    data, first, size = _bytes(found)
+    order = np.argsort(-np.where(size > SHORT, 0, size), kind="stable")
+    left = len(found) - np.bincount(size[size <= SHORT], minlength=1).cumsum() - (size > SHORT).sum()
+    crc, at = np.full(len(found), 0xFFFFFFFF, np.uint32), first[order]
+    for k, n in enumerate(left[left > 0].tolist()):  # the words that have more than k bytes
+        now = crc[:n]
+        crc[:n] = _CRC[(now ^ data[at[:n] + k]) & np.uint32(255)] ^ now >> np.uint32(8)
+    out = np.empty(len(found), np.uint32)
+    out[order] = ~crc
+    for i in np.nonzero(size > SHORT)[0].tolist():
+        out[i] = zlib.crc32(data[first[i] : first[i] + size[i]])
+    return out
+
+
+def numbered(texts_: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, the number of each word among them, and how many words each text has.
+
+    These are the words that ``words`` finds, in order; what depends on a word alone is then made once for each distinct one.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts_.cast(pa.string()), "")))
+    flat, ends = split.flatten(), split.offsets.to_numpy()
+    real = pc.binary_length(flat).to_numpy() > 0  # white space at a text's edge leaves an empty piece
+    before = np.concatenate([[0], real.cumsum()])
+    coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.diff(before[ends])
 
 
 @dataclass
 class Frequent:
-    """The frequent words with their counts; position i of the arrays belongs to word i, the last one to END."""
+    """The frequent words with their counts; position i of ``log_count`` belongs to word i, the last one to END."""
 
-    index: dict[bytes, int]
+    found: pa.Array
     log_count: np.ndarray
-    hashed: np.ndarray
-    endings: np.ndarray
 
     @staticmethod
     def build(counts: list[tuple[bytes, int]], ends: int) -> Frequent:
         found = sorted(counts)
         return Frequent(
-            {w: i for i, (w, _) in enumerate(found)},
+            pa.array([w for w, _ in found], pa.binary()).cast(pa.string()),
             np.log10(np.array([c for _, c in found] + [ends], np.float64) + 1),
-            np.array([zlib.crc32(w) for w, _ in found] + [0], np.uint32),
-            np.array([ending(w) for w, _ in found] + [0], np.int32),
         )
 
 
@@ -95,49 +128,51 @@ class Places:
     hashed: np.ndarray
     endings: np.ndarray
     real: np.ndarray  # places that hold a token
-    rest: list[bytes]  # the words that aren't frequent, in order
-    rest_of: np.ndarray  # the text each of them is in
+    distinct: pa.Array  # the distinct words
+    rest_at: np.ndarray  # the number among them of each word that isn't frequent, in order
+    rest_of: np.ndarray  # the text each of these words is in
     sizes: np.ndarray  # tokens of each text
 
     @staticmethod
-    def of(texts_: list[bytes | None], frequent: Frequent | None = None) -> Places:
+    def of(texts_: pa.Array | list[bytes | None], frequent: Frequent | None = None) -> Places:
         """Without ``frequent`` no word is looked up: ``known`` is -1 everywhere and ``rest`` holds all words."""
-        found = [words(text) for text in texts_]
-        flat = list(chain.from_iterable(found))
-        counts = np.array([len(f) for f in found], np.int64)
+        distinct, number, counts = numbered(texts_ if isinstance(texts_, pa.Array) else pa.array(texts_, pa.binary()))
         starts = np.concatenate([[0], np.cumsum(counts + 1 + SKIPS)]).astype(np.int64)
         before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
-        where = np.arange(len(flat)) + np.repeat(starts[:-1] + SKIPS - before, counts)
+        where = np.arange(len(number)) + np.repeat(starts[:-1] + SKIPS - before, counts)
         known = np.full(starts[-1], -1, np.int32)
         hashed, endings, real = np.zeros(starts[-1], np.uint32), np.zeros(starts[-1], np.int32), np.zeros(starts[-1], bool)
-        rest, others, rest_of = flat, where, np.repeat(np.arange(len(found)), counts)
+        rest_at, rest_of = number, np.repeat(np.arange(len(counts)), counts)
         if frequent:
-            at = np.fromiter(map(frequent.index.get, flat, repeat(-1)), np.int32, len(flat))
-            other = np.nonzero(at < 0)[0]
-            rest, others, rest_of = [flat[i] for i in other.tolist()], where[other], rest_of[other]
-            known[where], hashed[where], endings[where] = at, frequent.hashed[at], frequent.endings[at]
-        hashed[others] = np.fromiter(map(zlib.crc32, rest), np.uint32, len(rest))
-        endings[others] = _endings(rest)
+            at = pc.index_in(distinct, frequent.found).fill_null(-1).to_numpy()[number]
+            known[where], other = at, at < 0
+            rest_at, rest_of = number[other], rest_of[other]
+        hashed[where] = _checksums(distinct)[number]
+        endings[where] = _endings(distinct)[number]
         real[where] = True
         last = starts[1:] - 1
-        known[last], hashed[last], endings[last], real[last] = len(frequent.index) if frequent else -1, 0, 0, True
-        return Places(known, hashed, endings, real, rest, rest_of, counts + 1)
+        known[last], real[last] = len(frequent.found) if frequent else -1, True
+        return Places(known, hashed, endings, real, distinct, rest_at, rest_of, counts + 1)
+
+    @property
+    def rest(self) -> list[bytes]:
+        """The words that aren't frequent, in order."""
+        return self.distinct.take(pa.array(self.rest_at)).cast(pa.binary()).to_pylist()
 
     def rest_counts(self) -> pa.Array:
         """Per text the words that aren't frequent, with how often they occur in it."""
-        ends = self.rest_of.searchsorted(np.arange(len(self.sizes) + 1)).tolist()  # in order of texts
-        seen = [Counter(self.rest[start:end]) for start, end in zip(ends, ends[1:], strict=False)]
-        found = pa.array(list(chain.from_iterable(seen)), pa.binary()).cast(pa.string())
-        number = np.array([len(c) for c in seen], np.int64)
-        ends = np.concatenate([[0], number.cumsum()]).astype(np.int32)
-        items = pa.StructArray.from_arrays([found, pa.array(list(chain.from_iterable(c.values() for c in seen)), pa.int64())], ["word", "n"])
+        step = max(1, len(self.distinct))
+        pairs, n = np.unique(self.rest_of * step + self.rest_at, return_counts=True)
+        ends = (pairs // step).searchsorted(np.arange(len(self.sizes) + 1)).astype(np.int32)
+        found = self.distinct.take(pa.array(pairs % step))
+        items = pa.StructArray.from_arrays([found, pa.array(n, pa.int64())], ["word", "n"])
         return pa.ListArray.from_arrays(ends, items)
 
-    def blocks(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """Positions of tokens with the row numbers of their features, some thousand at a time."""
-        at = np.nonzero(self.real)[0]
-        for start in range(0, len(at), BLOCK):
-            t = at[start : start + BLOCK]
+    def blocks(self, size: int | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Positions of tokens with the row numbers of their features, some thousand (``BLOCK``) at a time."""
+        at, size = np.nonzero(self.real)[0], size or BLOCK
+        for start in range(0, len(at), size):
+            t = at[start : start + size]
             one, two = self.hashed[t - 1], self.hashed[t - 2]
             rows = [k * ENDINGS + self.endings[t - 1 - k] for k in range(SKIPS)]
             rows.append(SKIPS * ENDINGS + (one * np.uint32(2654435761) >> np.uint32(16)) % BUCKETS)
@@ -152,6 +187,7 @@ class Model:
 
     tokens: int
     distinct: int
+    size: int  # bytes of the table of counts, about
     frequent: Frequent
     class_of: np.ndarray  # by ending; END has class 0 for itself
     log_prior: np.ndarray
@@ -167,11 +203,11 @@ def _classes(places: Places, class_of: np.ndarray) -> np.ndarray:
 _ROOM: dict[str, np.ndarray] = {}
 
 
-def _room(name: str, *shape: int) -> np.ndarray:
+def _room(name: str, *shape: int, kind: type = np.float32) -> np.ndarray:
     """An array whose memory is used again by the next call of the same name; fresh memory costs more than the sums."""
     size = math.prod(shape)
     if name not in _ROOM or _ROOM[name].size < size:
-        _ROOM[name] = np.empty(size, np.float32)
+        _ROOM[name] = np.empty(size, kind)
     return _ROOM[name][:size].reshape(shape)
 
 
@@ -203,63 +239,26 @@ def _log_class(rows: list[np.ndarray], own: np.ndarray, weights: np.ndarray, log
     return value - np.log(total)
 
 
-def _row_sums(row: np.ndarray, lines: np.ndarray, span: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sums of the lines of equal ``row``, as some different rows with a sum of each, several times.
-
-    With ``span``, what counts as line i are the lines i to i + span - 1, one behind the other.
-    Lines are brought into order of their rows; a product with zeros and ones then sums those of equal row within each
-    group of ``GROUP`` neighbours. What is left of a row in further groups goes through the same again.
-    """
-    order, level = np.argsort(row, kind="stable"), 0
-    row = row[order]
-    while len(row):
-        groups = -(-len(row) // GROUP)
-        spare = groups * GROUP - len(row)
-        begins = np.ones(groups * GROUP, bool)
-        begins[1 : len(row)] = row[1:] != row[:-1]
-        parts = begins.copy()
-        parts[::GROUP] = True
-        parts[len(row) :] = False
-        place = parts.reshape(groups, GROUP).cumsum(axis=1, dtype=np.int8) - 1
-        pick = (place[:, None, :] == np.arange(GROUP, dtype=np.int8)[:, None]).astype(np.float32)
-        pick[-1, :, GROUP - spare :] = 0
-        at = np.concatenate([order, np.zeros(spare, np.int64)])
-        if span > 1:
-            at = (at[:, None] + np.arange(span)).reshape(-1)
-        lined = _room("lined", groups, GROUP, span * lines.shape[1])
-        lines.take(at, axis=0, mode="clip", out=lined.reshape(len(at), -1))
-        lines = np.matmul(pick, lined, out=_room(f"sums {level % 2}", *lined.shape)).reshape(groups * GROUP, -1)
-        level, span = level + 1, 1
-        at = np.nonzero(parts)[0]
-        order, once = at // GROUP * GROUP + place.reshape(-1)[at], begins[at]
-        row = row[at]
-        yield row[once], lines.take(order[once], axis=0)
-        row, order = row[~once], order[~once]
-
-
 def _add_rows(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
     """Add each line of ``values.T`` to the line of ``sums.T`` that ``row`` names."""
-    for rows, own in _row_sums(row, values.T):
-        sums.T[rows] += own
+    for own, value in zip(sums, values, strict=True):
+        own += np.bincount(row, value, len(own))
 
 
 def _add_features(sums: np.ndarray, places: Places, at: np.ndarray, rows: list[np.ndarray], p: np.ndarray) -> None:
-    """Add each line of ``p``, one for each of the ascending places ``at``, to the lines of ``sums`` that ``rows`` name.
+    """Add each line of ``p``, one for each of the places ``at``, to the lines of ``sums`` that ``rows`` name.
 
-    A place adds its ending to the lines of the next ``SKIPS`` places, so these are summed together, as one long line.
+    It is done class by class, so ``p`` and ``sums`` had better hold each class's numbers together.
     """
-    for r in rows[SKIPS:]:
-        _add_rows(sums.T, r, p.T)
-    first, last = int(at[0]), int(at[-1])
-    line = _room("line", last - first + 1 + 2 * SKIPS, CLASSES)
-    line[:] = 0
-    line[at - first + SKIPS] = p
-    skips = sums[: SKIPS * ENDINGS].reshape(SKIPS, ENDINGS, CLASSES).swapaxes(0, 1)
-    for endings, own in _row_sums(places.endings[first - SKIPS : last].astype(np.uint16), line[1:], SKIPS):
-        skips[endings] += own.reshape(-1, SKIPS, CLASSES)
+    for k in range(SKIPS):
+        _add_rows(sums[k * ENDINGS : (k + 1) * ENDINGS].T, places.endings[at - 1 - k].astype(np.intp), p.T)
+    for k, r in enumerate(rows[SKIPS:]):
+        first = SKIPS * ENDINGS + k * BUCKETS
+        _add_rows(sums[first : first + BUCKETS].T, r.astype(np.intp) - first, p.T)
 
 
 def _vectors(sums: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    sums = np.ascontiguousarray(sums)
     rows = np.nonzero(seen)[0]
     data = pa.array([sums[r].tobytes() for r in rows], pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), data], ["row", "sums"])
@@ -272,10 +271,10 @@ def _gathered(docs: DataFrame, shape: tuple[int, int], add: Callable) -> np.ndar
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(shape, np.float32)
+        sums = np.zeros(shape[::-1], np.float32).T  # what is added comes class by class
         for whole in batches:
             for part in slices(whole, SLICE_ROWS, SLICE_BYTES):
-                add(sums, Places.of(texts(part, 0)))
+                add(sums, Places.of(part.column(0)))
         yield _vectors(sums, sums.any(axis=1))
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,31 +325,22 @@ def count_words(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
         pairs = np.zeros(ENDINGS * ENDINGS, np.int64)
 
-        def batch(found: list[bytes] | None, pair: np.ndarray | None, n: list[int] | np.ndarray) -> pa.RecordBatch:
-            word = pa.array(found, pa.binary()).cast(pa.string()) if found is not None else pa.nulls(len(n), pa.string())
+        def batch(found: pa.Array | None, pair: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+            word = found if found is not None else pa.nulls(len(n), pa.string())
             pair = pa.array(pair, pa.int32()) if pair is not None else pa.nulls(len(n), pa.int32())
             return pa.RecordBatch.from_arrays([word, pair, pa.array(n, pa.int64())], ["word", "pair", "n"])
 
         for whole in batches:
-            for part in slices(whole, SLICE_ROWS, SLICE_BYTES):
-                flat, ends = [], []
-                for text in texts(part, 0):
-                    flat += words(text)
-                    ends.append(len(flat))
-                    flat.append(END)
-                counts.update(flat)
-                endings = _endings(flat)
-                endings[ends] = 0
-                code = endings.astype(np.int64)
-                code[1:] += ENDINGS * endings[:-1]
-                pairs += np.bincount(code, minlength=ENDINGS * ENDINGS)
-                if len(counts) > HELD:
-                    yield batch(list(counts), None, list(counts.values()))
-                    counts.clear()
-        yield batch(list(counts), None, list(counts.values()))
+            for part in slices(whole, COUNT_ROWS, COUNT_BYTES):
+                distinct, number, sizes = numbered(part.column(0))
+                endings = np.zeros(len(number) + len(sizes), np.int32)
+                endings[np.arange(len(number)) + np.repeat(np.arange(len(sizes)), sizes)] = _endings(distinct)[number]
+                endings[1:] += ENDINGS * endings[:-1]
+                pairs += np.bincount(endings, minlength=ENDINGS * ENDINGS)
+                yield batch(distinct, None, np.bincount(number, minlength=len(distinct)))
+                yield batch(pa.array([END.decode()]), None, np.array([len(sizes)]))
         seen = np.nonzero(pairs)[0]
         yield batch(None, seen.astype(np.int32), pairs[seen])
 
@@ -365,7 +355,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     spark = docs.sparkSession
     both = stored(count_words(docs), "word-counts")
     counts = both.where("pair IS NULL").select("word", "c")
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, distinct, size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()
     top = counts.where((F.col("c") * FREQUENT >= tokens) | (F.col("word") == "")).collect()
     ends = next((r[1] for r in top if not r[0]), 0)
     frequent = Frequent.build([(r[0].encode(), r[1]) for r in top if r[0]], ends)
@@ -378,8 +368,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     def add_counts(sums: np.ndarray, places: Places) -> None:
         own, codes = _classes(places, class_of), []
         for t, rows in places.blocks():
-            codes += [r.astype(np.int32) * CLASSES + own[t].astype(np.int32) for r in rows]
-        sums += np.bincount(np.concatenate(codes), minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+            codes += [own[t].astype(np.int32) * ROWS + r for r in rows]
+        sums += np.bincount(np.concatenate(codes), minlength=CLASSES * ROWS).reshape(CLASSES, ROWS).T
 
     seen = _gathered(docs, (ROWS, CLASSES), add_counts)
     of_class = seen[:ENDINGS].sum(axis=0).astype(np.float64)
@@ -394,11 +384,15 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
         def add_gradient(sums: np.ndarray, places: Places, now: Broadcast = now, small: bool = small) -> None:
             own = _classes(places, class_of)
-            for t, rows in places.blocks():
-                p, total, _ = _exp_logits(rows, own[t], now.value, log_prior, small)
-                p /= total[:, None]
-                p[np.arange(len(t)), own[t]] -= 1
-                _add_features(sums, places, t, rows, p)
+            for t, rows in places.blocks(SUMMED):
+                each = _room("each", CLASSES, len(t), kind=np.float64)
+                for start in range(0, len(t), BLOCK):
+                    part = slice(start, start + BLOCK)
+                    p, total, _ = _exp_logits([r[part] for r in rows], own[t[part]], now.value, log_prior, small)
+                    p /= total[:, None]
+                    each[:, part] = p.T
+                each[own[t], np.arange(len(t))] -= 1
+                _add_features(sums, places, t, rows, each.T)
 
         # Each round takes its share of the texts, so that every text adds to one gradient.
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == number)
@@ -411,7 +405,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
         for batch in batches:
-            own = known_class.value[[ending(w) if w else 0 for w in texts(batch, 0)]]
+            own = known_class.value[_endings(batch.column(0).cast(pa.string()))]
             n += np.bincount(own, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
             v += np.bincount(own, minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], ["k", "n", "v"])
@@ -421,7 +415,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     for k, n, v in counts.mapInArrow(classed, "k long, n long, v long").groupBy("k").agg(F.sum("n"), F.sum("v")).collect():
         sizes[k] += n + v
     log_size = np.log10(np.maximum(sizes, 1))
-    return Model(tokens, distinct, frequent, class_of, log_prior, log_size, weights, _small(weights, log_prior)), counts
+    return Model(tokens, distinct, size, frequent, class_of, log_prior, log_size, weights, _small(weights, log_prior)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -440,7 +434,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
         m: Model = shared.value
         for whole in batches:
             for batch in slices(whole, SLICE_ROWS, SLICE_BYTES):
-                places = Places.of(texts(batch, at), m.frequent)
+                places = Places.of(batch.column(at), m.frequent)
                 own = _classes(places, m.class_of)
                 value, logs = np.zeros(len(own)), np.zeros(len(own))
                 for t, rows in places.blocks():
@@ -458,7 +452,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: dict[str, Colu
 
     partial = stored(given.mapInArrow(run, schema), "scored")
     rest = partial.select("_row", F.explode("rest").alias("r")).select("_row", "r.word", "r.n")
-    joined = rest.join(counts, "word").groupBy("_row").agg(
+    # Counts that are small in every partition need not be sorted, nor the words that look for them.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    looked_up = counts.hint("shuffle_hash") if model.size <= LOOKED_UP * parts else counts
+    joined = rest.join(looked_up, "word").groupBy("_row").agg(
         F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs")
     )
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
