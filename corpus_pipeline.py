@@ -74,7 +74,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = groups.join(ids, "_own").groupBy("component_id").agg(F.min(F.struct("_id", "_own")).alias("first"))
     # Names are short hashes: rows whose names agree by chance are told apart by their ids and a long one.
     rows = _carried(docs, _own=own, _id=named, _text=F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = rows.join(first.select("first._own"), "_own", "left_semi")
+    # Ids are looked up by hash: a task that merged would sort whole rows once for the join and once more for the groups.
+    rows = rows.join(first.select("first._own").hint("shuffle_hash"), "_own", "left_semi")
     return rows.groupBy("_own", "_id", "_text").agg(F.min("_doc").alias("_doc")).select("_doc.*")
 
 

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tests.conftest import SF
+from tests.conftest import SF, plan
 from wattaudit.llm import bpe, dom, embeddings, langid, language_model, mixing, page_text, quality, search, simhash, warc
 from wattaudit.llm.base import remainder
 from wattaudit.llm.components import components
@@ -632,6 +633,18 @@ def test_mix_meets_targets(spark, docs):
         assert abs(r["t"] - r["g"]) <= r["m"]
 
 
+def test_mix_needs_no_python(spark, tmp_path):
+    """What the driver found is a local relation of the plan, not rows that Python workers of the executors copy."""
+    rows = [(i, " ".join(["w"] * (i % 7)), s) for i in range(60) for s in ("a", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(path := f"{tmp_path}/docs")
+    found = mixing.mix(spark.read.parquet(path))
+    assert "ExistingRDD" not in plan(found) and "LocalTableScan" in plan(found)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, mixing.mix(docs).collect()))
+    size = sum(i % 7 for i in range(60))
+    assert {(r["source_size"], r["target"]) for r in found.collect()} == {(size, 3 * size * w / 8) for w in (5, 2, 1)}
+
+
 # --- op10
 
 
@@ -707,6 +720,15 @@ def test_near_duplicates_of_repeated_ids(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(6, one, "a"), (6, two, "a"), (5, three, "a"), (None, four, "a")], key=str)
 
 
+def test_near_duplicates_sort_whole_rows_once(spark):
+    """The rows that stay are looked up by hash; only the groups of equal ids and texts need an order."""
+    rows = [(i, f"{random.Random(i).random()} words", "a") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert re.findall(r"(\w+Join) \[_own[^\n]*LeftSemi", plan(kept)) == ["ShuffledHashJoin"]
+    assert set(map(tuple, kept.collect())) <= set(rows)
+
+
 def test_pipeline_drops_texts_of_no_language(spark):
     """Unlearned scripts, random letters and base64 go, clean documents stay, held out or not."""
     sf = "/root/testdata/sf0.01"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,9 @@ def _descend(keyed: DataFrame, cuts: dict[str | None, Cut]) -> None:
     """Settle the next digits of every open cut."""
     spark = keyed.sparkSession
     at = len(next(c.prefix for c in cuts.values() if c.open))
-    todo = spark.createDataFrame([(c.source, c.prefix) for c in cuts.values() if c.open], "source string, prefix string")
+    todo = [c for c in cuts.values() if c.open]
+    # Arrow tables become local relations; from Python rows executors would start Python workers that only copy them.
+    todo = spark.createDataFrame(pa.table({"source": pa.array([c.source for c in todo], pa.string()), "prefix": pa.array([c.prefix for c in todo], pa.string())}))
     sums = (
         keyed.join(F.broadcast(todo), keyed["source"].eqNullSafe(todo["source"]) & F.col("key").startswith(F.col("prefix")))
         .groupBy(keyed["source"], F.substring("key", at + 1, DIGITS).alias("digits"))
@@ -100,10 +103,13 @@ def with_copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int
         cuts[source] = Cut(source, size, target, epochs, target - epochs * size)
     while any(c.open for c in cuts.values()):
         _descend(keyed, cuts)
-    plan = docs.sparkSession.createDataFrame(
-        [(c.source, c.size, c.target, c.epochs, c.last) for c in cuts.values()],
-        "__source string, source_size long, target double, __epochs int, __last string",
-    )
+    plan = docs.sparkSession.createDataFrame(pa.table({
+        "__source": pa.array([c.source for c in cuts.values()], pa.string()),
+        "source_size": pa.array([c.size for c in cuts.values()], pa.int64()),
+        "target": pa.array([c.target for c in cuts.values()], pa.float64()),
+        "__epochs": pa.array([c.epochs for c in cuts.values()], pa.int32()),
+        "__last": pa.array([c.last for c in cuts.values()], pa.string()),
+    }))
     return (
         sized.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("copies", F.col("__epochs") + (F.col("__key") <= F.col("__last")).cast("int"))
