@@ -72,6 +72,49 @@ def test_pivots_find_the_best(given, scores, seeded):
         assert [d for _, d in got[i]] == [d for _, d in best] or i == len(given) - 2  # the long text's own sums are less exact
 
 
+def test_words_are_looked_up_once_for_all_blocks(spark, given, scores, tmp_path, monkeypatch):
+    """Blocks of queries hold numbers; a shard looks its words up in the vocabulary once, and finds what it finds by words."""
+    idf, mean, _ = scores
+    asked = [(i, w.decode()) for i in range(0, len(given), 7) for w in sorted(set(plain(given[i])))]
+    asked += [(len(given), "nowhere"), (len(given) + 1, plain(given[0])[0].decode())]
+    number = {w: 3 * n for n, w in enumerate(sorted({w for _, w in asked}, reverse=True))}
+    rows = [(i, number[w], idf.get(w.encode(), 3.0)) for i, w in asked]
+    folder = search._by_block(spark.createDataFrame(rows, "query_id long, number long, idf double"), 5, "blocks", pack=True)
+    vocabulary = f"{tmp_path}/vocabulary"
+    spark.createDataFrame(list(number.items()), "word string, number long").repartition(3).write.parquet(vocabulary)
+    packer = search.Packer()
+    packer.add(list(range(len(given))), given)
+    looked, index_in = [], search.pc.index_in
+    monkeypatch.setattr(search.pc, "index_in", lambda *a, **b: looked.append(1) or index_in(*a, **b))
+    run = search._searcher(folder, vocabulary, None, 5, mean, 10)
+    got = {}
+    for batch in run(iter([packer.row()])):
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert len(looked) <= 3  # files of the vocabulary, not blocks times files
+    table = pa.table({"query_id": [a[0] for a in asked], "word": [a[1] for a in asked], "idf": [r[2] for r in rows]})
+    want = {}
+    for batch in search._best(built(given, mean), search.Queries(table, None), 10):
+        for r in batch.to_pylist():
+            want.setdefault(r["query_id"], []).append((r["doc_id"], r["score"]))
+    assert got == want and len(want) > 100 and len(given) not in want
+
+
+@pytest.mark.parametrize("times", [1, 70_000])
+def test_large_counts_and_single_documents(times):
+    """Counts beyond 16 bits, and a shard of one document."""
+    packer = search.Packer()
+    packer.add([7], [b"a " * times + b"b"])
+    row = packer.row().to_pylist()[0]
+    assert len(row["tfs"]) == (2 if times == 1 else 4) * 2
+    q = search.Queries(pa.table({"query_id": [1, 1, 2], "word": ["a", "b", "c"], "idf": [1.0, 2.0, 1.0]}), None)
+    (found,) = search._best(search.Shard(row, 2.0), q, 10)
+    norm = 0.9 * (0.6 + 0.4 * (times + 1) / 2)
+    want = times * 1.9 / (times + norm) + 2 * 1.9 / (1 + norm)
+    assert [(r["query_id"], r["doc_id"]) for r in found.to_pylist()] == [(1, 7)]
+    assert found["score"][0].as_py() == pytest.approx(want, abs=2e-9)
+
+
 def test_high_threshold_finds_nothing(given, scores):
     idf, mean, _ = scores
     shard = built(given, mean)
